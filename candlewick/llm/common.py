@@ -223,3 +223,32 @@ class Union:
 
 def chained(*iterables):
     return itertools.chain(*iterables)
+
+
+def whole_groups(batches, keys: list[str]):
+    """Tables that hold whole groups of a stream sorted by ``keys``, with the row where each group starts.
+
+    A group that goes on in the next batch is carried over to it.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            c = table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        at = starts(table)
+        if len(at) > 1:
+            yield table.slice(0, int(at[-1])), at[:-1]
+            held = table.slice(int(at[-1])).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, starts(table)
