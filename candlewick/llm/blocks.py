@@ -22,10 +22,13 @@ NO_DOC = np.iinfo(np.int64).max
 
 
 class Block:
-    """``buf`` and ``off`` are the texts' bytes and offsets, ``doc`` the doc_ids; a null doc_id counts as the largest."""
+    """``buf`` and ``off`` are the texts' bytes and offsets, ``doc`` the doc_ids; a null doc_id counts as the largest.
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, doc: np.ndarray, name: int | None = None):
-        self.buf, self.off, self.doc = buf, off, doc
+    ``rest`` holds further columns, as a stream of Arrow record batches.
+    """
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray, doc: np.ndarray, name: int | None = None, rest: bytes = b""):
+        self.buf, self.off, self.doc, self.rest = buf, off, doc, rest
         if name is None:
             h = xxhash.xxh3_64(buf.tobytes())
             h.update(off.tobytes())
@@ -34,26 +37,37 @@ class Block:
         self.name = name
 
     def pack(self) -> bytes:
-        head = np.concatenate([[len(self.doc)], np.diff(self.off), self.doc]).astype(np.int64)
-        return zstandard.compress(head.tobytes() + self.buf.tobytes(), 3)
+        head = np.concatenate([[len(self.doc), len(self.buf)], np.diff(self.off), self.doc]).astype(np.int64)
+        return zstandard.compress(head.tobytes() + self.buf.tobytes() + self.rest, 3)
 
     @staticmethod
     def unpack(data: bytes, name: int) -> Block:
         raw = zstandard.decompress(data)
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        sizes, doc = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n)
-        return Block(np.frombuffer(raw, np.uint8, offset=8 * (2 * n + 1)), np.concatenate(([0], np.cumsum(sizes))), doc, name)
+        n, size = np.frombuffer(raw, np.int64, 2).tolist()
+        sizes, doc = np.frombuffer(raw, np.int64, 2 * n, 16).reshape(2, n)
+        at = 16 * (n + 1)
+        return Block(np.frombuffer(raw, np.uint8, size, at), np.concatenate(([0], np.cumsum(sizes))), doc, name, raw[at + size :])
+
+    def columns(self) -> pa.Table:
+        return pa.ipc.open_stream(self.rest).read_all()
 
 
-def plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def plain(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"__{c}") for c in keep])
 
 
 def cut(batches):
     for batch in batches:
         for rows in text_pieces(batch, "text", BLOCK_BYTES):
             buf, off = text_buffer(rows.column("text"))
-            yield Block(buf, off, rows.column("doc_id").fill_null(NO_DOC).to_numpy())
+            rest = b""
+            if rows.num_columns > 2:
+                sink = pa.BufferOutputStream()
+                more = pa.RecordBatch.from_arrays([*rows.columns[2:]], names=[c.removeprefix("__") for c in rows.schema.names[2:]])
+                with pa.ipc.new_stream(sink, more.schema) as out:
+                    out.write_batch(more)
+                rest = sink.getvalue().to_pybytes()
+            yield Block(buf, off, rows.column("doc_id").fill_null(NO_DOC).to_numpy(), rest=rest)
 
 
 def _packed(batches):
@@ -61,7 +75,7 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([block.name], pa.int64()), pa.array([-1], pa.int32()), blobs([block.pack()])], names=["block", "part", "data"])
 
 
-def with_answers(docs: DataFrame, answers: DataFrame, parts: int, work, schema: str) -> DataFrame:
+def with_answers(docs: DataFrame, answers: DataFrame, parts: int, work, schema, keep: tuple[str, ...] = ()) -> DataFrame:
     """Call ``work(block, {part: [data, ...]})`` for every block with the answers that name it; it yields record batches."""
 
     def run(batches):
@@ -78,7 +92,7 @@ def with_answers(docs: DataFrame, answers: DataFrame, parts: int, work, schema:
                 for data in packed:  # equal blocks have one name, and equal answers
                     yield from work(Block.unpack(data, rows[0]["block"]), got)
 
-    texts = plain(docs).mapInArrow(_packed, SCHEMA)
+    texts = plain(docs, keep).mapInArrow(_packed, SCHEMA)
     return texts.unionByName(answers).repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(run, schema)
 
 

@@ -315,6 +315,11 @@ def _full(docs: pa.Table, ids: np.ndarray, at: np.ndarray, out: np.ndarray, out_
     return pa.RecordBatch.from_arrays([docs.column("doc_id").combine_chunks(), lists, decoded], names=["doc_id", "ids", "decoded"])
 
 
+def _ids(docs: pa.Table, ids: np.ndarray, at: np.ndarray, out: np.ndarray, out_at: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([docs.column("doc_id").combine_chunks(), pa.array(np.diff(at), pa.int64()), lists], names=["doc_id", "n_tokens", "ids"])
+
+
 def _run(docs: DataFrame, tokenizer: str | None, emit, schema: str) -> DataFrame:
     path = tokenizer or default_tokenizer()
     _check(path)
@@ -337,6 +342,11 @@ def encode_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return _run(docs, tokenizer, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_ids(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids) by the same steps, with the ids themselves."""
+    return _run(docs, tokenizer, _ids, "doc_id long, n_tokens long, ids array<int>")
+
+
 def encode_decode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded) by the same steps, with the ids and the decoded text themselves."""
     return _run(docs, tokenizer, _full, "doc_id long, ids array<int>, decoded string")

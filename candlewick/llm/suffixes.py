@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import blocks
 from .blocks import Block
@@ -295,7 +296,7 @@ def _sample(docs: DataFrame, buckets: int) -> tuple[np.ndarray, set[bytes], np.n
     return pick(cold), hot, pick(strings)
 
 
-def repeated_bytes(docs: DataFrame, finish, schema: str) -> DataFrame:
+def repeated_bytes(docs: DataFrame, finish, schema, keep: tuple[str, ...] = ()) -> DataFrame:
     """Find each byte covered by a LENGTH-byte string that also starts in a document with a smaller doc_id.
 
     1. All documents: 32-bit marks of the grams at anchors, dealt by hash; a bit comes back for each mark that occurs again.
@@ -322,7 +323,7 @@ def repeated_bytes(docs: DataFrame, finish, schema: str) -> DataFrame:
             ends.append(x[0] + x[1])
         yield finish(block, blocks.covered(len(block.buf), np.concatenate(starts), np.concatenate(ends)))
 
-    return blocks.with_answers(docs, found, spread_, work, schema)
+    return blocks.with_answers(docs, found, spread_, work, schema, keep)
 
 
 def _doc_ids(block: Block) -> pa.Array:
@@ -341,11 +342,16 @@ def _digest(block: Block, gone: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_doc_ids(block), pa.array(sizes, pa.int64()), pa.array(sums(gone), pa.int64()), pa.array(sums(begins), pa.int64()), pa.array(digests)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _texts(block: Block, gone: np.ndarray) -> pa.RecordBatch:
-    kept, at = block.buf[~gone].tobytes(), np.concatenate(([0], np.cumsum(~gone)))[block.off]
-    removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[block.off])
-    texts = [kept[a:b].decode("utf-8", errors="ignore") for a, b in zip(at[:-1], at[1:])]
-    return pa.RecordBatch.from_arrays([_doc_ids(block), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_removed", "kept_text"])
+def _texts(names: list[str]):
+    def finish(block: Block, gone: np.ndarray) -> pa.RecordBatch:
+        kept, at = block.buf[~gone].tobytes(), np.concatenate(([0], np.cumsum(~gone)))[block.off]
+        removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[block.off])
+        texts = [kept[a:b].decode("utf-8", errors="ignore") for a, b in zip(at[:-1], at[1:])]
+        have = {"doc_id": _doc_ids(block), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(texts, pa.string())}
+        rest = block.columns() if block.rest else pa.table({})
+        return pa.RecordBatch.from_arrays([have[c] if c in have else rest.column(c).combine_chunks() for c in names], names=names)
+
+    return finish
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
@@ -357,5 +363,14 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_removed, kept_text): the remaining bytes as text; a character that lost some of its bytes goes."""
-    return repeated_bytes(docs, _texts, "doc_id long, n_removed long, kept_text string")
+    """The rows of ``docs`` with the remaining bytes as ``text``, other columns unchanged, and ``n_removed`` (bytes).
+
+    A character that lost only some of its bytes goes as well. A text of which nothing is left, or that was
+    null, is empty.
+    """
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_removed"))
+    schema = blocks.plain(docs, keep).schema
+    kinds = {f.name.removeprefix("__"): f.dataType for f in schema}
+    names = [c for c in docs.columns if c != "n_removed"] + ["n_removed"]
+    out = StructType([StructField(c, LongType() if c == "n_removed" else kinds[c]) for c in names])
+    return repeated_bytes(docs, _texts(names), out, keep)
