@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, quality, suffixes
+from . import bpe, minhash, mixing, quality, recompression, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +34,12 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_source_mixing": op3_source_mixing, "op6_bpe_encoding": op6_bpe_encoding, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_quality_rules": op9_quality_rules}
+    return {"op10_recompression_dedup": op10_recompression_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_source_mixing": op3_source_mixing, "op6_bpe_encoding": op6_bpe_encoding, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
