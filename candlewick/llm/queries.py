@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, quality, recompression, suffixes
+from . import bpe, html, minhash, mixing, quality, recompression, suffixes, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +38,16 @@ def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {"op10_recompression_dedup": op10_recompression_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_source_mixing": op3_source_mixing, "op6_bpe_encoding": op6_bpe_encoding, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_quality_rules": op9_quality_rules}
+    return {"op4_url_filters": op4_url_filters, "op7_html_extraction": op7_html_extraction, "op10_recompression_dedup": op10_recompression_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_source_mixing": op3_source_mixing, "op6_bpe_encoding": op6_bpe_encoding, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
