@@ -6,6 +6,8 @@ second scan cut the rows differently, the names would not meet and the job fails
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, text_buffer, text_pieces, whole_groups
+from .common import blobs, text_buffer, text_pieces, whole_groups, written
 
 BLOCK_BYTES = 8 << 20
 #: Every table that is dealt by block: part -1 has the texts, other parts have answers.
@@ -52,6 +54,20 @@ class Block:
         return pa.ipc.open_stream(self.rest).read_all()
 
 
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is a plain scan of files, whose rows are cut alike at every scan; else a written table of it.
+
+    How files are split must not follow the number of executors, which changes when some are lost: their least number
+    of parts is set once for the session, unless it is set already.
+    """
+    spark = docs.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    nodes = {re.sub(r"^[ :+\-]*", "", line).split(" ")[0] for line in plan.toString().splitlines() if line.strip()}
+    return docs if plan.deterministic() and nodes <= {"Project", "Filter", "Relation"} else written(docs, "documents")
+
+
 def plain(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"__{c}") for c in keep])
 

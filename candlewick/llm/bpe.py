@@ -12,8 +12,8 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from . import blocks
 from .common import U64, Rolling, blobs, mix, spread, text_buffer, text_pieces, whole_groups
 
 #: Text of one block of documents, whose words share one dictionary, and of one step inside it.
@@ -324,7 +324,7 @@ def _run(docs: DataFrame, tokenizer: str | None, emit, schema: str) -> DataFrame
     path = tokenizer or default_tokenizer()
     _check(path)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = blocks.plain(blocks.stable(docs))
     words = docs.mapInArrow(_dictionaries(parts, path), "part int, block long, lengths binary, words binary")
     replies = words.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_encoded(path), _REPLY)
     sequences = docs.mapInArrow(_sequences(parts, path), _REPLY)

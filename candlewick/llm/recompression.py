@@ -187,6 +187,7 @@ def repeated_words(docs: DataFrame, finish, schema) -> DataFrame:
        occurs once for each block however common it is, and then in the part that its hash names.
     3. Later windows come back to their block. ``finish(block, start, end, counts, gone)`` makes the output.
     """
+    docs = blocks.stable(docs)
     size = blocks.text_bytes(docs)
     parts = max(16, -(-size // PART_BYTES))
     shuffle = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

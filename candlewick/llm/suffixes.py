@@ -306,6 +306,7 @@ def repeated_bytes(docs: DataFrame, finish, schema, keep: tuple[str, ...] = ())
     3. Buckets sort by multikey quicksort, and every run of strings with a smaller document comes back to its block.
     ``finish(block, gone)`` makes the output from a block and the bytes to remove.
     """
+    docs = blocks.stable(docs)
     size = blocks.text_bytes(docs)
     parts = max(16, -(-size // PART_BYTES))
     spread_ = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

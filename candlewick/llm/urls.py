@@ -90,7 +90,7 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataF
     a table of one row for each host.
     """
     spark = pages.sparkSession
-    placed = with_host_and_path(pages)
+    placed = with_host_and_path(pages.select("page_id", "url", "html"))
     table = spark.createDataFrame([(a, h, p) for a, h, p in rules], "action string, host string, rule_path string")
     paths = placed.filter("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
     fitting = written(paths.join(host_rules(paths, table), "host", "left"), "hosts")

@@ -46,9 +46,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document occurs as often as the mix takes it, not at all, once or twice."""
     keyed = _keyed(docs)
     sized = written(mixing.word_counts(keyed, [_KEY, "source"]).withColumnRenamed(_KEY, "doc_id").distinct(), "sizes")
-    copies = mixing.pivotal_copies(sized, mixing.source_targets(sized)).select(F.col("doc_id").alias(_KEY), F.col("source").alias("__source"), "copies")
+    copies = mixing.pivotal_copies(sized, mixing.source_targets(sized)).select(F.col("doc_id").alias(_KEY), F.col("source").alias("__source"), F.col("copies").alias("__copies"))
     same = (keyed[_KEY] == copies[_KEY]) & keyed["source"].eqNullSafe(copies["__source"])
-    repeated = keyed.join(copies.filter("copies > 0").hint("merge"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    repeated = keyed.join(copies.filter("__copies > 0").hint("merge"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return repeated.select(*docs.columns)
 
 
