@@ -9,13 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-ORDERED = Window.partitionBy("symbol").orderBy("bar_ts")
-RUNNING = ORDERED.rowsBetween(Window.unboundedPreceding, 0)
-WHOLE = Window.partitionBy("symbol")
+
+def ordered():
+    return Window.partitionBy("symbol").orderBy("bar_ts")
+
+
+def running():
+    return ordered().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def whole():
+    return Window.partitionBy("symbol")
 
 
 def last(n: int):
-    return ORDERED.rowsBetween(-(n - 1), 0)
+    return ordered().rowsBetween(-(n - 1), 0)
 
 
 def full(x, n: int, value: Column) -> Column:
@@ -44,7 +52,7 @@ def deviation(x, n: int, sample: bool = True) -> Column:
 
 
 def before(x, n: int = 1) -> Column:
-    return F.lag(x, n).over(ORDERED)
+    return F.lag(x, n).over(ordered())
 
 
 def ratio(a, b) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ORDERED
+from ..functions.windows import ordered
 from .scoring import alignment_ratio
 
 START, HOLD, STOP, TARGET, LEAST_BARS, THRESHOLD = 200, 20, 0.03, 0.05, 250, 0.7
@@ -18,8 +18,8 @@ def with_signals(df: DataFrame) -> DataFrame:
 
 def candidate_trades(df: DataFrame) -> DataFrame:
     """The trade that each signalled bar from START on would make: the stop is tested before the target, else the close after HOLD bars or the last."""
-    index = F.row_number().over(ORDERED) - 1
-    ahead = F.collect_list(F.struct("bar_ts", "high", "low", "close")).over(ORDERED.rowsBetween(1, HOLD))
+    index = F.row_number().over(ordered()) - 1
+    ahead = F.collect_list(F.struct("bar_ts", "high", "low", "close")).over(ordered().rowsBetween(1, HOLD))
     rows = df.withColumns({"idx": index, "ahead": ahead}).filter(F.col("signal").isNotNull() & (F.col("idx") >= START) & (F.size("ahead") > 0))
     buy, entry = F.col("signal") == "BUY", F.col("close")
     rows = rows.withColumns({"stop": F.when(buy, entry * (1 - STOP)).otherwise(entry * (1 + STOP)), "goal": F.when(buy, entry * (1 + TARGET)).otherwise(entry * (1 - TARGET))})

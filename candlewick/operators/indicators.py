@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ORDERED, RUNNING, before, deviation, full, highest, last, lowest, mean, percent_change, ratio, total, weighted
+from ..functions.windows import before, deviation, full, highest, last, lowest, mean, ordered, percent_change, ratio, running, total, weighted
 
 
 def typical():
@@ -82,11 +82,11 @@ def volume(bars: DataFrame) -> DataFrame:
         "__nvi": F.when(F.col("volume") < before("volume"), F.log(ratio(F.col("close"), c))).otherwise(0.0),
     })
     df = df.withColumns({
-        "obv": F.sum("__signed").over(RUNNING), "ad": F.sum("__mf").over(RUNNING), "cmf_20": ratio(total("__mf", 20), total("volume", 20)),
-        "vwap": ratio(F.sum("__tpv").over(RUNNING), F.sum("volume").over(RUNNING)),
-        "vpt": F.sum(F.coalesce(F.col("__ret") * F.col("volume"), F.lit(0.0))).over(RUNNING),
+        "obv": F.sum("__signed").over(running()), "ad": F.sum("__mf").over(running()), "cmf_20": ratio(total("__mf", 20), total("volume", 20)),
+        "vwap": ratio(F.sum("__tpv").over(running()), F.sum("volume").over(running())),
+        "vpt": F.sum(F.coalesce(F.col("__ret") * F.col("volume"), F.lit(0.0))).over(running()),
         "eom": ratio(F.col("__move") * (F.col("high") - F.col("low")), F.col("volume")) * 1e8,
-        "nvi": 1000 * F.exp(F.sum(F.coalesce("__nvi", F.lit(0.0))).over(RUNNING)),
+        "nvi": 1000 * F.exp(F.sum(F.coalesce("__nvi", F.lit(0.0))).over(running())),
         "volume_ratio": F.when(F.col("volume_sma_20") > 0, F.col("volume") / F.col("volume_sma_20")).when(F.col("volume_sma_20").isNotNull(), 1.0),
     })
     return df.withColumn("eom_sma_14", mean("eom", 14)).drop("__signed", "__mf", "__ret", "__tpv", "__move", "__nvi")
@@ -150,4 +150,3 @@ def full_series(bars: DataFrame, least_bars: int = 50) -> DataFrame:
     return df
 
 
-__all__ = ["ORDERED", "advanced", "crossings", "enough_history", "full_series", "latest", "momentum", "tail", "trend", "volatility", "volume"]

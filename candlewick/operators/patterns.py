@@ -8,7 +8,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ORDERED, last
+from ..functions.windows import last, ordered
 from .indicators import enough_history, tail, true_range
 
 #: name: (candles, direction, strength)
@@ -28,7 +28,7 @@ class Candle:
     """Columns of the candle ``k`` bars back."""
 
     def __init__(self, k: int):
-        at = lambda c: F.lag(c, k).over(ORDERED) if k else F.col(c)
+        at = lambda c: F.lag(c, k).over(ordered()) if k else F.col(c)
         self.open, self.high, self.low, self.close = at("open"), at("high"), at("low"), at("close")
         self.body, self.reach = F.abs(self.close - self.open), self.high - self.low
         self.upper, self.lower = self.high - F.greatest(self.open, self.close), F.least(self.open, self.close) - self.low

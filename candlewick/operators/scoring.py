@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import WHOLE
+from ..functions.windows import whole
 
 
 def signals(df: DataFrame) -> DataFrame:
@@ -22,9 +22,9 @@ def signals(df: DataFrame) -> DataFrame:
 
 def percentile_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add, for each column, the share of the symbol's series strictly below its newest value, in percent; windows on the same key, no join."""
-    newest = {c: F.max_by(c, "bar_ts").over(WHOLE) for c in columns}
+    newest = {c: F.max_by(c, "bar_ts").over(whole()) for c in columns}
     df = df.withColumns({f"__{c}": v for c, v in newest.items()})
-    below = {name: F.try_divide(F.count_if(F.col(c) < F.col(f"__{c}")).over(WHOLE) * 100.0, F.count(c).over(WHOLE)) for c, name in columns.items()}
+    below = {name: F.try_divide(F.count_if(F.col(c) < F.col(f"__{c}")).over(whole()) * 100.0, F.count(c).over(whole())) for c, name in columns.items()}
     return df.withColumns(below).drop(*[f"__{c}" for c in columns])
 
 
