@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import blobs, text_buffer, text_pieces, whole_groups, written
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Every table that is dealt by block: part -1 has the texts, other parts have answers.
 SCHEMA = "block long, part int, data binary"
 NO_DOC = np.iinfo(np.int64).max

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import itertools
 import os
 import tempfile
 import uuid
@@ -112,23 +110,22 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U64) + U64(seed << 20)) * U64(0x9E3779B97F4A7C15))
 
 
-@functools.lru_cache(8)
-def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    base = int(seeded(1, seed)[0]) | 1
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(n, b, U64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base mod 2**64 and of its inverse."""
-    size = 1 << max(16, (n - 1).bit_length())
-    up, down = _powers(size, seed)
-    return up[:n], down[:n]
+    """Powers of an odd base mod 2**64 and of its inverse; one table for each seed, as long as was ever needed."""
+    have = _POWERS.get(seed)
+    if have is None or len(have[0]) < n:
+        size = max(1 << 16, n + n // 8)
+        base = int(seeded(1, seed)[0]) | 1
+        tables = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, b, U64)
+            p[0] = 1
+            tables.append(np.multiply.accumulate(p))
+        have = _POWERS[seed] = (tables[0], tables[1])
+    return have[0][:n], have[1][:n]
 
 
 class Rolling:
@@ -221,10 +218,6 @@ class Union:
         return np.fromiter((self.find(x) for x in range(len(self.up))), np.int64, len(self.up))
 
 
-def chained(*iterables):
-    return itertools.chain(*iterables)
-
-
 def whole_groups(batches, keys: list[str]):
     """Tables that hold whole groups of a stream sorted by ``keys``, with the row where each group starts.
 
