@@ -25,7 +25,7 @@ SHINGLE = 5
 CANDIDATE = 0.65
 #: Members of a bucket or cluster that meet in one task; larger ones are joined block by block.
 BLOCK = 2048
-PIECE = 1 << 21
+PIECE = 1 << 20
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -192,9 +192,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = in_blocks(placed.join(buckets, "key"), "key", "size").join(classes.select("rep", "sketch"), "rep")
     alike = _together(members.select("key", "i", "j", "own", "rep", "sketch"), "key").mapInArrow(_alike, "a long, b long")
     clusters = components(alike).toDF("rep", "key")
+    # the merge join is what large inputs need: clusters grow with the input, so no size of theirs may choose the plan
     sizes = clusters.groupBy("key").agg(F.count("*").alias("size"))
     clusters = clusters.join(sizes, "key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(clusters, "rep").mapInArrow(_with_sets, "rep long, key long, size long, set binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(clusters.hint("merge"), "rep").mapInArrow(_with_sets, "rep long, key long, size long, set binary")
     links = _together(in_blocks(texts, "key", "size"), "key").mapInArrow(_linked(percent), "a long, b long")
     groups = components(links).toDF("rep", "component")
     known = classes.select("set_key", "rep").join(groups, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
