@@ -19,6 +19,8 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 DROPPED = frozenset("script style title noscript iframe template svg math canvas object embed head nav footer aside form button select textarea input label dialog menu audio video noembed noframes".split())
 #: Words of class, id and role that mark what is not part of an article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead topbar sidebar aside widget complementary contentinfo cookie cookies consent notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus respond reply replies discussion pagination pager skip toolbar search form".split())
+#: Words that turn a mark into a remark on the layout, and marks that don't count inside an article.
+NOT, HEADS = frozenset(("has", "with", "no", "without")), frozenset(("header", "masthead"))
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _WORD = re.compile(r"[a-z]+")
@@ -48,8 +50,10 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
             return True
         if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-            if any(w in MARKS for part in value.lower().split() for w in _WORD.findall(part)):
-                return True
+            for part in value.lower().split():
+                words = _WORD.findall(part)
+                if NOT.isdisjoint(words) and any(w in MARKS and not (inside_article and w in HEADS) for w in words):
+                    return True
         elif name in ("class", "id") and tag == "article" and any(w.startswith("comment") for w in _WORD.findall(value.lower())):
             return True
     return False

@@ -373,3 +373,8 @@ def test_equal_windows_have_equal_marks():
         for b, m in zip(begin, marks[number]):
             by.setdefault(words[b : b + 20].tobytes(), set()).add(int(m))
         assert all(len(m) == 1 for m in by.values())
+
+
+def test_html_marks_of_layout_and_headers_inside_an_article():
+    page = '<body class="page"><div class="layout with-sidebar"><article><header class="entry-header"><h1>Title</h1></header><p>One, two, three and more.</p></article><div class="sidebar">menu, menu</div></div></body>'
+    assert html.main_text(page) == "Title\nOne, two, three and more."
