@@ -17,7 +17,7 @@ from .common import SPACE, Rolling, text_buffer, text_pieces, word_bounds, word_
 #: Punctuation that counts as a symbol.
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-PIECE = 1 << 21
+PIECE = 1 << 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 #: The statistics that enter the distance.
 FEATURES = ("x_length", "x_symbols", "x_dup", "x_repeat")
@@ -138,6 +138,8 @@ def _inverted(moments: DataFrame, scale: float, floor: tuple[float, ...]) -> Dat
 INNER, CONSISTENCY = 0.75, 0.75 / 0.503
 #: Smallest standard deviations that count, in units of the transformed statistics.
 FLOOR = (0.05, 0.06, 0.12, 0.12)
+#: Parts of a group in the joins that bring estimates to rows.
+SALTS = 32
 #: Squared distance beyond which a vector is rejected. chi2(4) exceeds 60 once in 3e11; the room is for tails that are
 #: not normal, above all texts with some repeated lines and words, which are not yet junk.
 CUTOFF = 100.0
@@ -156,7 +158,7 @@ def robust_outliers(stats: DataFrame, steps: int = 3, least_group: int = 100, in
     """
     rows = _features(stats).withColumn("base_failed", base_failed())
     tag = lambda *cols: F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in cols])
-    rows = written(rows.withColumns({"own": tag("lang", "source"), "pool": tag("lang")}), "statistics")
+    rows = written(rows.withColumns({"own": tag("lang", "source"), "pool": tag("lang"), "salt": F.monotonically_increasing_id() % SALTS}), "statistics")
     good = rows.filter(~F.col("base_failed"))
     sizes = good.groupBy("own", "pool").count()
     pools = sizes.groupBy("pool").agg(F.sum(F.when(F.col("count") < least_group, F.col("count"))).alias("rest"))
@@ -168,15 +170,18 @@ def robust_outliers(stats: DataFrame, steps: int = 3, least_group: int = 100, in
     named = rows.join(names, "own", "left")
     inside = named.filter(~F.col("base_failed"))
     k = len(FEATURES)
+    # a salt beside the group keeps the rows of a hot group apart in joins, so that aggregates combine them before their shuffle
+    salted = lambda table: table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    at = ["grp", "salt"]
     centre = inside.groupBy("grp").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(FEATURES)])
-    spread = inside.join(centre, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(k)], *[F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 1000), 2).alias(f"c{i}{i}") for i, f in enumerate(FEATURES)])
+    spread = inside.join(salted(centre), at).groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(k)], *[F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 1000), 2).alias(f"c{i}{i}") for i, f in enumerate(FEATURES)])
     zero = {f"c{i}{j}": F.lit(0.0) for i in range(k) for j in range(i + 1, k)}
     estimate = written(_inverted(spread.withColumns(zero), 1.0, FLOOR), "estimate")
     for _ in range(steps):
-        near = inside.join(estimate, "grp").withColumn("distance", _distance())
+        near = inside.join(salted(estimate), at).withColumn("distance", _distance())
         edge = near.groupBy("grp").agg(F.percentile_approx("distance", inner, 1000).alias("edge"))
-        chosen = near.join(edge, "grp").filter(F.col("distance") <= F.col("edge"))
+        chosen = near.join(salted(edge), at).filter(F.col("distance") <= F.col("edge"))
         estimate = written(_inverted(_moments(chosen), CONSISTENCY, FLOOR), "estimate")
-    judged = named.join(estimate, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    judged = named.join(salted(estimate), at, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
-    return judged.withColumn("kept", kept).drop("own", "pool", *[f.name for f in estimate.schema if f.name != "grp"])
+    return judged.withColumn("kept", kept).drop("own", "pool", "salt", *[f.name for f in estimate.schema if f.name != "grp"])
