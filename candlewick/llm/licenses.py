@@ -26,7 +26,7 @@ TEMPLATES = {
 GRAM, WINNOW = 3, 3
 #: Words that an alignment may drift from its diagonal, and the share of a template that must match.
 BAND, COVERAGE = 8, 0.8
-PIECE = 1 << 21
+PIECE = 1 << 20
 _FOLD = np.full(256, 0x20, np.uint8)
 for _b in (*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)):
     _FOLD[_b] = LOWER[_b]
