@@ -17,7 +17,7 @@ from . import blocks
 from .common import U64, Rolling, blobs, mix, spread, text_buffer, text_pieces, whole_groups
 
 #: Text of one block of documents, whose words share one dictionary, and of one step inside it.
-BLOCK_BYTES, PIECE = 24 << 20, 1 << 21
+BLOCK_BYTES, PIECE = 24 << 20, 1 << 20
 #: White space of the split pattern, and what follows an apostrophe in a contraction.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")

@@ -171,21 +171,27 @@ def runs(values: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
+#: Parts of a node's edges in the joins of ``components``.
+SALTS = 8
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that is reachable, for every node of ``edges``.
 
     Alternating large-star and small-star rounds; each ends in a table in the shared folder. Aggregates
-    combine before their shuffle and the joins leave hot nodes to adaptive skew handling.
+    combine before their shuffle, and joins spread the edges of a hot node over a few salts.
     """
+    salt = F.pmod(F.xxhash64("v", F.lit(17)), F.lit(SALTS).cast("long"))
+    salted = lambda table: table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
     e = written(e, "edges")
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        big = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        big = both.withColumn("salt", salt).join(salted(least), ["u", "salt"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = big.withColumn("salt", salt).join(salted(least), ["u", "salt"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = written(small.distinct(), "edges")
         dropped(e)
         e = after

@@ -20,7 +20,7 @@ def word_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
 
     def run(batches):
         for batch in batches:
-            for piece in text_pieces(batch, "__text", 1 << 21):
+            for piece in text_pieces(batch, "__text", 1 << 20):
                 counts = word_bounds(*text_buffer(piece.column("__text")))[2]
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], pa.array(counts, pa.int64())], names=[*keep, "size"])
 
