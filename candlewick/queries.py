@@ -20,8 +20,8 @@ from .sources import bars as src
 from .streaming import streams
 
 PLACES = 4
-#: Means of 100 and 200 prices have up to 5 places; one fewer would be a tie that engines round differently.
-EXACT = {"sma_100": 5, "sma_200": 5}
+#: Means of 100 and 200 prices have up to 5 places, and whole units in millions 6; one fewer would be a tie that engines round differently.
+EXACT = {"sma_100": 5, "sma_200": 5, "ad_millions": 6}
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
