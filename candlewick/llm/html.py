@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,16 +30,15 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "children", "score", "chars", "linked", "gone")
+    __slots__ = ("tag", "up", "children", "score", "chars", "linked", "gone", "inside")
 
     def __init__(self, tag: str, up: Node | None, gone: bool):
         self.tag, self.up, self.gone = tag, up, gone
+        self.inside = tag in ("article", "main") or (up is not None and up.inside)
         self.children: list = []  # nodes and lines of text, in page order
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-
-
 def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not inside_article):
         return True
@@ -60,10 +60,21 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
 
 
 def parsed(page: str) -> Node:
-    """The tree of block elements, with lines of text; inline elements only tell what is a link."""
+    """The tree of block elements, with lines of text; inline elements only tell what is a link.
+
+    Open elements are counted by name, so that depth and stray tags cost no search.
+    """
     root = Node("html", None, False)
-    here, inline, text, links = root, [], [], 0
+    here, inline, text = root, [], []
     linked = 0
+    blocks, inlines = Counter(), Counter()
+
+    def close(node: Node):
+        """End open elements up to and with ``node``."""
+        nonlocal here
+        while here is not node.up:
+            blocks[here.tag] -= 1
+            here = here.up
 
     def end_line():
         nonlocal text, linked
@@ -83,67 +94,65 @@ def parsed(page: str) -> Node:
         if tag is None:
             if found[0][0] != "<" or found[0] == "<":
                 text.append(found[0])
-                if "a" in inline:
+                if inlines["a"]:
                     linked += len(found[0].strip())
             continue
         tag = tag.lower()
         if found[1]:  # an end tag
             if tag in BLOCK:
-                node = here
-                while node is not root and node.tag != tag:
-                    node = node.up
-                if node is not root:
+                if blocks[tag]:
+                    node = here
+                    while node.tag != tag:
+                        node = node.up
                     end_line()
-                    here, inline = node.up, []
+                    close(node)
+                    inline.clear()
+                    inlines.clear()
                 elif tag == "p":
                     end_line()
-            elif tag in inline:
-                while inline.pop() != tag:
-                    pass
-            elif here.tag == tag:  # a dropped element that is not a block
+            elif inlines[tag]:
+                while (last := inline.pop()) != tag:
+                    inlines[last] -= 1
+                inlines[tag] -= 1
+            elif here is not root and here.tag == tag:  # a dropped element that is not a block
                 end_line()
-                here = here.up
+                close(here)
             continue
         if tag == "br":
             text.append(" ")
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = end.end() if end else size
             continue
         if tag in VOID:
             if tag == "hr":
                 end_line()
             continue
-        gone = here.gone or _unwanted(tag, found[3], _inside(here))
+        gone = here.gone or _unwanted(tag, found[3], here.inside)
         if tag in BLOCK or (gone and not here.gone and not found[3].rstrip().endswith("/")):
             end_line()
             if here.tag == "p" and tag in BLOCK:  # a block ends an open paragraph
-                here, inline = here.up, []
+                close(here)
             if tag in ("li", "dd", "dt", "tr", "td", "th"):
                 same = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}[tag]
                 while here.tag in same:
-                    here = here.up
+                    close(here)
             gone = here.gone or gone
             node = Node(tag, here, gone)
             here.children.append(node)
             here = node
+            blocks[tag] += 1
             if tag in BLOCK:
-                inline = []
+                inline.clear()
+                inlines.clear()
         else:
             inline.append(tag)
+            inlines[tag] += 1
     end_line()
     return root
 
 
-def _inside(node: Node) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.up
-    return False
-
-
 def _scored(root: Node) -> list[Node]:
     """All nodes in page order; every line gives points to the element that holds it and its ancestors."""
     nodes, todo = [], [root]
@@ -163,26 +172,30 @@ def _scored(root: Node) -> list[Node]:
                     up.score += points * share
                     share /= 2
                     up = up.up
-                up = node
-                while up is not None:
-                    up.chars += len(line)
-                    up.linked += linked
-                    up = up.up
+                node.chars += len(line)
+                node.linked += linked
+    for node in reversed(nodes):  # children before their parents
+        if node.up is not None:
+            node.up.chars += node.chars
+            node.up.linked += node.linked
     for node in nodes:
         node.score *= 1 - node.linked / node.chars if node.chars else 0
     return nodes
 
 
-def _lines(node: Node, top: bool = True):
-    if node.gone:
-        return
-    if not top and node.tag in ("ul", "ol", "div", "table", "section") and node.chars and node.linked > 0.8 * node.chars and node.linked:
-        return  # a menu
-    for c in node.children:
+def _menu(node: Node) -> bool:
+    return node.tag in ("ul", "ol", "div", "table", "section") and node.linked > 0.8 * node.chars and node.linked > 0
+
+
+def _lines(top: Node):
+    """The lines below an element in page order, without those of menus; pages may nest deeper than calls can."""
+    todo = [top]
+    while todo:
+        c = todo.pop()
         if isinstance(c, tuple):
             yield c[0]
-        else:
-            yield from _lines(c, False)
+        elif not c.gone and (c is top or not _menu(c)):
+            todo += reversed(c.children)
 
 
 def main_text(page: str | None) -> str:

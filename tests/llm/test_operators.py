@@ -378,3 +378,9 @@ def test_equal_windows_have_equal_marks():
 def test_html_marks_of_layout_and_headers_inside_an_article():
     page = '<body class="page"><div class="layout with-sidebar"><article><header class="entry-header"><h1>Title</h1></header><p>One, two, three and more.</p></article><div class="sidebar">menu, menu</div></div></body>'
     assert html.main_text(page) == "Title\nOne, two, three and more."
+
+
+def test_deep_and_unclosed_pages():
+    assert html.main_text("<div>" * 20_000 + "x") == "x"
+    assert html.main_text("<b>y " * 20_000).count("y") == 20_000
+    assert html.main_text("<div><section>" * 5_000 + "</article>z" * 20_000) == "z" * 20_000
