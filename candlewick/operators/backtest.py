@@ -40,11 +40,12 @@ def simulated(df: DataFrame) -> DataFrame:
     """Trades of each symbol with at least LEAST_BARS bars: after one, the scan goes on at the bar behind its exit."""
     counted = df.withColumn("__n", F.count("*").over(Window.partitionBy("symbol"))).filter(F.col("__n") >= LEAST_BARS).drop("__n")
     trades = candidate_trades(with_signals(counted))
-    steps = F.array_sort(F.collect_list(F.struct("idx", "hold_days")))
-    start = F.struct(F.lit(-1).alias("free"), F.array().cast("array<int>").alias("taken"))
-    take = lambda a, t: F.when(t["idx"] >= a["free"], F.struct((t["idx"] + t["hold_days"] + 1).alias("free"), F.array_append(a["taken"], t["idx"]).alias("taken"))).otherwise(a)
-    chosen = trades.groupBy("symbol").agg(steps.alias("steps")).select("symbol", F.explode(F.aggregate("steps", start, take, lambda a: a["taken"])).alias("idx"))
-    return trades.join(chosen, ["symbol", "idx"], "left_semi")
+    rest = [c for c in trades.columns if c != "symbol"]  # idx first, so that trades sort by it
+    steps = F.array_sort(F.collect_list(F.struct(*rest)))
+    start = F.struct(F.lit(-1).alias("free"), F.slice("steps", 1, 0).alias("taken"))
+    take = lambda a, t: F.when(t["idx"] >= a["free"], F.struct((t["idx"] + t["hold_days"] + 1).alias("free"), F.array_append(a["taken"], t).alias("taken"))).otherwise(a)
+    chosen = trades.groupBy("symbol").agg(steps.alias("steps"))
+    return chosen.select("symbol", F.inline(F.aggregate("steps", start, take, lambda a: a["taken"])))
 
 
 def statistics(trades: DataFrame) -> DataFrame:

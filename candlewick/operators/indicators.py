@@ -142,11 +142,10 @@ def enough_history(df: DataFrame, bars: int) -> DataFrame:
     return df.withColumn("__n", F.count("*").over(Window.partitionBy("symbol"))).filter(F.col("__n") >= bars).drop("__n")
 
 
-def full_series(bars: DataFrame, least_bars: int = 50) -> DataFrame:
-    """All windowed indicators of symbols with enough bars."""
-    df = enough_history(bars, least_bars)
+def windowed(bars: DataFrame) -> DataFrame:
+    """All windowed indicators."""
     for step in (momentum, trend, volatility, volume, advanced):
-        df = step(df)
-    return df
+        bars = step(bars)
+    return bars
 
 

@@ -12,8 +12,11 @@ from ..operators import scoring
 
 
 def indicator_series(bars: DataFrame, least_bars: int = 50) -> DataFrame:
-    """Windowed and recursive indicators of symbols with enough history."""
-    return recursive(ind.full_series(bars, least_bars))
+    """Recursive and windowed indicators of symbols with enough history.
+
+    The recursive ones come first: they need bars alone, and Catalyst can prune the windows above them.
+    """
+    return ind.windowed(recursive(ind.enough_history(bars, least_bars)))
 
 
 def indicator_record(bars: DataFrame, least_bars: int = 50) -> DataFrame:
