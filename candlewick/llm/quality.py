@@ -116,7 +116,8 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 def _inverted(moments: DataFrame, scale: float, floor: tuple[float, ...]) -> DataFrame:
     """One row of mean and inverse covariance for each group; every variance gets a floor, so that
-    statistics that are constant in a group don't make the matrix singular."""
+    statistics that are constant in a group don't make the matrix singular. The floors of repeated lines
+    and words are correlated by ``SHARED``."""
     k = len(FEATURES)
 
     def run(frames):
@@ -126,7 +127,9 @@ def _inverted(moments: DataFrame, scale: float, floor: tuple[float, ...]) -> Dat
             for i in range(k):
                 for j in range(i, k):
                     cov[:, i, j] = cov[:, j, i] = pdf[f"c{i}{j}"].fillna(0.0) * scale
-            cov += np.diag(np.square(floor))
+            least = np.diag(np.square(floor))
+            least[2, 3] = least[3, 2] = SHARED * floor[2] * floor[3]
+            cov += least
             inverse = np.linalg.inv(cov)
             out |= {f"p{i}{j}": inverse[:, i, j] for i in range(k) for j in range(i, k)}
             yield pd.DataFrame(out)
@@ -140,17 +143,30 @@ INNER, CONSISTENCY = 0.75, 0.75 / 0.503
 FLOOR = (0.05, 0.06, 0.12, 0.12)
 #: Parts of a group in the joins that bring estimates to rows.
 SALTS = 32
-#: Squared distance beyond which a vector is rejected. chi2(4) exceeds 60 once in 3e11; the room is for tails that are
-#: not normal, above all texts with some repeated lines and words, which are not yet junk.
-CUTOFF = 100.0
+#: Correlation of the floors of x_dup and x_repeat: a repeated line repeats its words, so the two aren't separate evidence.
+SHARED = 0.5
+#: Squared distance beyond which a vector is rejected: chi2(4) exceeds it once in 1000.
+CUTOFF = 18.467
+#: The estimates have settled when no mean moves by more than this share of its standard deviation and no standard deviation by more than this share of itself.
+TOLERANCE = 0.01
 
 
-def robust_outliers(stats: DataFrame, steps: int = 3, least_group: int = 100, inner: float = INNER, cutoff: float = CUTOFF) -> DataFrame:
+
+def _moved(old: DataFrame, new: DataFrame) -> float:
+    """The largest change of a mean or of a standard deviation between two estimates, in standard deviations."""
+    k = len(FEATURES)
+    was = old.select("grp", *[F.col(f"m{i}").alias(f"n{i}") for i in range(k)], *[F.col(f"p{i}{i}").alias(f"q{i}") for i in range(k)])
+    change = [F.abs(F.col(f"m{i}") - F.col(f"n{i}")) * F.sqrt(f"p{i}{i}") for i in range(k)] + [F.abs(F.log(F.col(f"p{i}{i}") / F.col(f"q{i}"))) / 2 for i in range(k)]
+    return new.join(was, "grp").agg(F.max(F.greatest(*change))).first()[0] or 0.0
+
+
+def robust_outliers(stats: DataFrame, most_steps: int = 60, least_group: int = 100, inner: float = INNER, cutoff: float = CUTOFF) -> DataFrame:
     """Add ``base_failed``, ``distance`` (squared Mahalanobis) and ``kept`` to the rows of ``text_statistics``.
 
     Minimum covariance determinant for each (lang, source), by concentration steps from a robust start
     (medians and median absolute deviations, a deterministic start): each step keeps the ``inner`` share of
-    rows nearest to the current estimate and estimates anew from those. Groups smaller than
+    rows nearest to the current estimate and estimates anew from those, until the estimates of all groups
+    settle; it is an error if they don't. Groups smaller than
     ``least_group`` are pooled within their language, and what is left over is pooled as a whole. All rows
     enter every step; medians and shares come from Spark's percentile sketches, whose partial results are
     combined before the shuffle, so a hot source costs no more than others. Rows that fail the base rules
@@ -177,11 +193,15 @@ def robust_outliers(stats: DataFrame, steps: int = 3, least_group: int = 100, in
     spread = inside.join(salted(centre), at).groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(k)], *[F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 1000), 2).alias(f"c{i}{i}") for i, f in enumerate(FEATURES)])
     zero = {f"c{i}{j}": F.lit(0.0) for i in range(k) for j in range(i + 1, k)}
     estimate = written(_inverted(spread.withColumns(zero), 1.0, FLOOR), "estimate")
-    for _ in range(steps):
+    for _ in range(most_steps):
         near = inside.join(salted(estimate), at).withColumn("distance", _distance())
         edge = near.groupBy("grp").agg(F.percentile_approx("distance", inner, 1000).alias("edge"))
         chosen = near.join(salted(edge), at).filter(F.col("distance") <= F.col("edge"))
-        estimate = written(_inverted(_moments(chosen), CONSISTENCY, FLOOR), "estimate")
+        before, estimate = estimate, written(_inverted(_moments(chosen), CONSISTENCY, FLOOR), "estimate")
+        if _moved(before, estimate) <= TOLERANCE:
+            break
+    else:
+        raise RuntimeError("robust estimates did not settle")
     judged = named.join(salted(estimate), at, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
     return judged.withColumn("kept", kept).drop("own", "pool", "salt", *[f.name for f in estimate.schema if f.name != "grp"])

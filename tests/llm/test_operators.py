@@ -347,6 +347,20 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert {r.doc_id for r in got if not r.kept} == {j[0] for j in junk}
 
 
+def test_quality_rejects_graded_junk(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    lines = lambda n: [" ".join(word() for _ in range(rng.randint(6, 14))) for _ in range(n)]
+    rows = [(k, "\n".join(lines(20)), "en", "a") for k in range(400)]
+    symbols = lambda share: "\n".join(" ".join(w + "#" * (rng.random() < share) for w in x.split()) for x in lines(40))
+    repeated = lambda share, text: "\n".join(lines(round(20 * (1 - share))) + [text] * round(20 * share))
+    junk = [symbols(share) for share in (0.15, 0.2, 0.3, 0.4) for _ in range(5)] + [repeated(share, text) for share in (0.35, 0.45, 0.6, 0.9) for text in ("read more", " ".join(lines(1))) for _ in range(2)]
+    rows += [(1000 + k, t, "en", "a") for k, t in enumerate(junk)]
+    got = quality.robust_outliers(quality.text_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id", "lang", "source"])).collect()
+    assert {r.doc_id for r in got if not r.kept and r.doc_id >= 1000} == set(range(1000, 1000 + len(junk)))
+    assert sum(not r.kept for r in got if r.doc_id < 1000) <= 2
+
+
 def test_recompression(docs, plain, nothing):
     seen, want = set(), {}
     for d in sorted(plain):
