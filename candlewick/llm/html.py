@@ -22,6 +22,9 @@ DROPPED = frozenset("script style title noscript iframe template svg math canvas
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead topbar sidebar aside widget complementary contentinfo cookie cookies consent notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus respond reply replies discussion pagination pager skip toolbar search form".split())
 #: Words that turn a mark into a remark on the layout, and marks that don't count inside an article.
 NOT, HEADS = frozenset(("has", "with", "no", "without")), frozenset(("header", "masthead"))
+#: Words that only say what kind of part a mark is on; with them a class or id still is a mark as a whole.
+PARTS = frozenset("area bar block box btn button buttons col column container content count global group holder icon icons inner item items left link links list main mobile module outer page panel pane post posts primary right secondary section site slot sticky text title top bottom unit wrap wrapper".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _WORD = re.compile(r"[a-z]+")
@@ -30,33 +33,41 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "children", "score", "chars", "linked", "gone", "inside")
+    __slots__ = ("tag", "up", "children", "score", "chars", "linked", "gone", "doubtful", "inside")
 
-    def __init__(self, tag: str, up: Node | None, gone: bool):
-        self.tag, self.up, self.gone = tag, up, gone
+    def __init__(self, tag: str, up: Node | None, gone: bool, doubtful: bool = False):
+        self.tag, self.up, self.gone, self.doubtful = tag, up, gone, doubtful
         self.inside = tag in ("article", "main") or (up is not None and up.inside)
         self.children: list = []  # nodes and lines of text, in page order
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element goes, and whether it goes if it has mostly links.
+
+    A class, id or role that is a mark as a whole drops its element; one that has a mark among other words may be
+    the slug of a heading, so links must agree.
+    """
     if tag in DROPPED or (tag == "header" and not inside_article):
-        return True
+        return True, False
     if not attributes or not attributes.strip():
-        return False
+        return False, False
+    doubtful = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         value = value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            return True, False
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and not (name == "id" and tag in HEADINGS):
             for part in value.lower().split():
                 words = _WORD.findall(part)
                 if NOT.isdisjoint(words) and any(w in MARKS and not (inside_article and w in HEADS) for w in words):
-                    return True
+                    if all(w in MARKS or w in PARTS or len(w) == 1 for w in words):
+                        return True, False
+                    doubtful = True
         elif name in ("class", "id") and tag == "article" and any(w.startswith("comment") for w in _WORD.findall(value.lower())):
-            return True
-    return False
+            return True, False
+    return False, doubtful
 
 
 def parsed(page: str) -> Node:
@@ -129,7 +140,7 @@ def parsed(page: str) -> Node:
             if tag == "hr":
                 end_line()
             continue
-        gone = here.gone or _unwanted(tag, found[3], here.inside)
+        gone, doubtful = (True, False) if here.gone else _unwanted(tag, found[3], here.inside)
         if tag in BLOCK or (gone and not here.gone and not found[3].rstrip().endswith("/")):
             end_line()
             if here.tag == "p" and tag in BLOCK:  # a block ends an open paragraph
@@ -139,7 +150,7 @@ def parsed(page: str) -> Node:
                 while here.tag in same:
                     close(here)
             gone = here.gone or gone
-            node = Node(tag, here, gone)
+            node = Node(tag, here, gone, doubtful)
             here.children.append(node)
             here = node
             blocks[tag] += 1
@@ -154,7 +165,7 @@ def parsed(page: str) -> Node:
 
 
 def _scored(root: Node) -> list[Node]:
-    """All nodes in page order; every line gives points to the element that holds it and its ancestors."""
+    """All nodes that stay, in page order; every line gives points to the element that holds it and its ancestors."""
     nodes, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -165,28 +176,60 @@ def _scored(root: Node) -> list[Node]:
         for c in node.children:
             if isinstance(c, tuple):
                 line, linked = c
-                points = 1.0 + len(line) / 50 + line.count(",") + line.count("，") + line.count("、")
-                holder = node.up if node.tag == "p" and node.up is not None else node
-                share, up = 1.0, holder
-                while up is not None and share > 0.1:
-                    up.score += points * share
-                    share /= 2
-                    up = up.up
+                node.score += 1.0 + len(line) / 50 + line.count(",") + line.count("，") + line.count("、")
                 node.chars += len(line)
                 node.linked += linked
     for node in reversed(nodes):  # children before their parents
-        if node.up is not None:
+        if node.doubtful and node.linked > 0.5 * node.chars:
+            node.gone = True
+        elif node.up is not None:
             node.up.chars += node.chars
             node.up.linked += node.linked
+            node.up.score += node.score if node.tag == "p" else node.score / 2
+            if node.tag == "p":
+                node.score = 0.0
+    out = []
     for node in nodes:
-        node.score *= 1 - node.linked / node.chars if node.chars else 0
-    return nodes
+        node.gone = node.gone or (node.up is not None and node.up.gone)
+        if not node.gone:
+            node.score *= 1 - node.linked / node.chars if node.chars else 0
+            out.append(node)
+    return out
 
 
 def _menu(node: Node) -> bool:
     return node.tag in ("ul", "ol", "div", "table", "section") and node.linked > 0.8 * node.chars and node.linked > 0
 
 
+def _plain(c) -> int:
+    """Characters of an element or line that is text with few links, else 0."""
+    chars, linked = (len(c[0]), c[1]) if isinstance(c, tuple) else (0, 0) if c.gone else (c.chars, c.linked)
+    return chars if linked <= 0.25 * chars else 0
+
+
+def _lifted(best: Node) -> Node:
+    """The article or main around ``best``; without one, the highest ancestor whose other branches hold a fifth or
+    more of the text below it, or no text at all on the way there."""
+    above, node = [], best
+    while node is not None:
+        above.append(node)
+        node = node.up
+    for tag in ("article", "main"):
+        around = [n for n in above if n.tag == tag]
+        if around:
+            top, last = around[-1], next((n for n in reversed(above) if n.tag == "main"), around[-1])
+            break
+    else:
+        top, last = best, above[-1]
+    here, wrapped = top, True
+    while here is not last and here.up is not None:
+        below, here = here, here.up
+        wrapped = wrapped and here.chars == below.chars and here.tag not in ("body", "html")
+        if wrapped or sum(_plain(c) for c in here.children if c is not below) >= 0.2 * top.chars:
+            top, wrapped = here, True
+    return top
+
+
 def _lines(top: Node):
     """The lines below an element in page order, without those of menus; pages may nest deeper than calls can."""
     todo = [top]
@@ -201,11 +244,12 @@ def _lines(top: Node):
 def main_text(page: str | None) -> str:
     """The article of a page: the lines of the best container and of the siblings that belong to it, joined by line ends.
 
-    Lines pass points for length and commas to the element around their paragraph and, halved at each step, to its
-    ancestors; links take points away. The element with most points is the container; the next elements on
-    its level stay if they have a fifth of its points, or are plain text with few links. Menus, headers, footers,
-    sidebars, notices, adverts, forms, scripts, styles and comments are gone before. Null and empty pages give
-    an empty text.
+    Lines pass points for length and commas to the element around their paragraph and, halved at each step, to all its
+    ancestors; links take points away. The element with most points is lifted to the article or main around it, or
+    else to the ancestor whose other branches hold comparable text. Below an article, main or body all stays; else the next
+    elements on its level stay if they have a fifth of its points, or are text with few links. Menus, headers,
+    footers, sidebars, notices, adverts, forms, scripts, styles and comments are gone before. Null and empty
+    pages give an empty text.
     """
     if not page:
         return ""
@@ -214,18 +258,10 @@ def main_text(page: str | None) -> str:
     if not nodes:
         return ""
     best = max(nodes, key=lambda n: n.score)
-    kept = [best]
-    if best.up is not None and best.tag not in ("article", "main", "body"):
-        kept = []
-        for c in best.up.children:
-            if c is best:
-                kept.append(c)
-            elif isinstance(c, Node) and not c.gone and c.chars:
-                plain = c.linked <= 0.25 * c.chars and (c.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") or c.chars > 80)
-                if c.score >= 0.2 * best.score or plain:
-                    kept.append(c)
-            elif isinstance(c, tuple) and c[1] <= 0.25 * len(c[0]):
-                kept.append(c)
+    top = _lifted(best)
+    kept = [top]
+    if top.up is not None and top.tag not in ("article", "main", "body"):
+        kept = [c for c in top.up.children if c is top or _plain(c) or (isinstance(c, Node) and not c.gone and c.chars and c.score >= 0.2 * best.score)]
     lines = []
     for c in kept:
         lines += [c[0]] if isinstance(c, tuple) else _lines(c)

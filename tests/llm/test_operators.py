@@ -398,3 +398,18 @@ def test_deep_and_unclosed_pages():
     assert html.main_text("<div>" * 20_000 + "x") == "x"
     assert html.main_text("<b>y " * 20_000).count("y") == 20_000
     assert html.main_text("<div><section>" * 5_000 + "</article>z" * 20_000) == "z" * 20_000
+
+
+def test_html_keeps_all_sections_and_slugs():
+    text = [f"Part {k}, with some words, and a few more, so that it counts." for k in range(3)]
+    sections = "".join(f"<section><div><p>{t}</p></div></section>" for t in text)
+    menu = "<nav><a href=/>Home</a></nav>"
+    for page in (f"<body>{menu}<article>{sections}</article><footer>f</footer></body>", f"<body>{menu}<div id=root><div>{sections}</div></div></body>"):
+        assert html.main_text(page) == "\n".join(text)
+    deep = "<article>" + "".join("<div>" * 6 + f"<p>{t}</p>" + "</div>" * 6 for t in text) + "</article>"
+    assert html.main_text(f"<body><div>{deep}</div></body>") == "\n".join(text)
+    uneven = f"<body><div><section><div><p>{text[0] * 9}</p></div></section><section><div><p>{text[1]}</p></div></section></div></body>"
+    assert html.main_text(uneven) == f"{text[0] * 9}\n{text[1]}"
+    assert html.main_text(f"<body><div><div><p>{text[0] * 3}</p></div><ul><li>short<li>list</ul><table><tr><td>cell</table></div></body>") == f"{text[0] * 3}\nshort\nlist\ncell"
+    slugs = f'<body><article><h2 id="search">Search</h2><section id="how-to-search-logs"><p>{text[0]}</p></section><div class="social-history"><p>{text[1]}</p></div><div class="article-share-tools"><a href=x>Mail</a> <a href=y>Post</a></div><div class="left-sidebar">side</div></article></body>'
+    assert html.main_text(slugs) == f"Search\n{text[0]}\n{text[1]}"
