@@ -7,6 +7,7 @@ Bands of coordinates find candidates, and full sets confirm every link.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -17,12 +18,32 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, Rolling, Union, blobs, components, mix, runs, seeded, text_buffer, text_pieces, whole_groups, word_bounds, word_hashes, written
 
-#: 20 bands of 4 coordinates: of pairs with a similarity of 0.85 they miss (1 - 0.85**4)**20, 4 in ten million.
-BANDS, ROWS = 20, 4
-COORDINATES = BANDS * ROWS
+#: Chance that the bands miss a pair at the least similarity, and that its equal coordinates are too few for a candidate.
+MISS = 4e-7
+#: Bands that a plan may have before it takes fewer coordinates a band.
+MOST_BANDS = 40
 SHINGLE = 5
-#: Share of equal coordinates from which a pair counts as a candidate; 5 standard deviations below 0.85.
-CANDIDATE = 0.65
+
+
+@functools.cache
+def plan(percent: int) -> tuple[int, int, int]:
+    """Bands, coordinates a band, and the least number of equal coordinates of a candidate: each misses a pair with
+    a similarity of ``percent`` / 100 with a chance of at most MISS."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent is {percent}, not 1 to 100")
+    s = percent / 100
+    needed = lambda rows: 1 if percent == 100 else math.ceil(math.log(MISS) / math.log1p(-(s**rows)))
+    rows = next((r for r in (4, 3, 2) if needed(r) <= MOST_BANDS), 1)
+    bands = needed(rows)
+    n, below, least = bands * rows, 0.0, 0
+    while least < n and (below := below + math.comb(n, least) * s**least * (1 - s) ** (n - least)) <= MISS:
+        least += 1
+    return bands, rows, least
+
+
+#: The plan of the query, 20 bands of 4 coordinates.
+BANDS, ROWS, _ = plan(85)
+COORDINATES = BANDS * ROWS
 #: Members of a bucket or cluster that meet in one task; larger ones are joined block by block.
 BLOCK = 2048
 PIECE = 1 << 20
@@ -47,9 +68,9 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values[new], np.bincount(owner[new], minlength=n)
 
 
-def sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """COORDINATES 64-bit coordinates of each set: the round in the high half, a hash in the low half."""
-    n, t = len(counts), COORDINATES
+def sketches(values: np.ndarray, counts: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    """``coordinates`` 64-bit coordinates of each set: the round in the high half, a hash in the low half."""
+    n, t = len(counts), coordinates
     out = np.full(n * t, _EMPTY, U64)
     owner = np.repeat(np.arange(n), counts)
     seeds = seeded(2 * t, 7)
@@ -65,28 +86,29 @@ def sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out.reshape(n, t)
 
 
-def _band_keys(sketch: np.ndarray) -> np.ndarray:
-    keys = np.zeros((len(sketch), BANDS), U64)
-    for b in range(BANDS):
+def _band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    keys = np.zeros((len(sketch), bands), U64)
+    for b in range(bands):
         key = np.full(len(sketch), b + 1, U64)
-        for c in range(ROWS):
-            key = mix(key * U64(31) + sketch[:, b * ROWS + c])
+        for c in range(rows):
+            key = mix(key * U64(31) + sketch[:, b * rows + c])
         keys[:, b] = key
     return keys
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, set_key, sketch, bands): set_key is a 128-bit hash of the whole set, null if empty."""
+    n_bands, rows, _ = plan(percent)
 
     def run(batches):
         for batch in batches:
             for piece in text_pieces(batch, "text", PIECE):
                 values, counts = shingle_sets(*text_buffer(piece.column("text")))
-                sketch = sketches(values, counts)
+                sketch = sketches(values, counts, n_bands * rows)
                 ends = np.cumsum(counts)
                 keys = [xxhash.xxh3_128_digest(values[e - c : e].tobytes()) if c else None for e, c in zip(ends, counts)]
                 low = np.ascontiguousarray(sketch & U64(0xFFFF)).astype(np.uint16)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BANDS), pa.array(_band_keys(sketch).reshape(-1).view(np.int64)))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * n_bands), pa.array(_band_keys(sketch, n_bands, rows).reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(counts, pa.int64()), blobs(keys), blobs([x.tobytes() for x in low]), bands], names=["doc_id", "n_shingles", "set_key", "sketch", "bands"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -109,28 +131,34 @@ def _together(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def _alike(batches):
-    """Edges of a spanning forest of the pairs with enough equal coordinates, for each bucket and pair of blocks."""
-    for table, starts in whole_groups(batches, ["key", "i", "j"]):
-        rep, own, i, j = (table.column(c).to_numpy() for c in ("rep", "own", "i", "j"))
-        flat = np.frombuffer(text_buffer(table.column("sketch"))[0], np.uint16).reshape(-1, COORDINATES)
-        left, right = [], []
-        for s, e in zip(starts, [*starts[1:], table.num_rows]):
-            m, r = flat[s:e], rep[s:e]
-            joined = Union(len(m))
-            cross = i[s] != j[s]
-            mine, theirs = (np.flatnonzero(own[s:e] == i[s]), np.flatnonzero(own[s:e] == j[s])) if cross else (np.arange(len(m)),) * 2
-            step = max(1, 4_000_000 // (COORDINATES * max(1, len(theirs))))
-            for a in range(0, len(mine), step):
-                rows = mine[a : a + step]
-                same = (m[rows, None, :] == m[None, theirs, :]).sum(axis=2) >= CANDIDATE * COORDINATES
-                if not cross:
-                    same &= rows[:, None] < theirs[None, :]
-                for x, y in zip(*np.nonzero(same)):
-                    if joined.join(int(rows[x]), int(theirs[y])):
-                        left.append(r[rows[x]])
-                        right.append(r[theirs[y]])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+def _alike(percent: int):
+    n_bands, rows_each, least = plan(percent)
+    coordinates = n_bands * rows_each
+
+    def run(batches):
+        """Edges of a spanning forest of the pairs with enough equal coordinates, for each bucket and pair of blocks."""
+        for table, starts in whole_groups(batches, ["key", "i", "j"]):
+            rep, own, i, j = (table.column(c).to_numpy() for c in ("rep", "own", "i", "j"))
+            flat = np.frombuffer(text_buffer(table.column("sketch"))[0], np.uint16).reshape(-1, coordinates)
+            left, right = [], []
+            for s, e in zip(starts, [*starts[1:], table.num_rows]):
+                m, r = flat[s:e], rep[s:e]
+                joined = Union(len(m))
+                cross = i[s] != j[s]
+                mine, theirs = (np.flatnonzero(own[s:e] == i[s]), np.flatnonzero(own[s:e] == j[s])) if cross else (np.arange(len(m)),) * 2
+                step = max(1, 4_000_000 // (coordinates * max(1, len(theirs))))
+                for a in range(0, len(mine), step):
+                    rows = mine[a : a + step]
+                    same = (m[rows, None, :] == m[None, theirs, :]).sum(axis=2) >= least
+                    if not cross:
+                        same &= rows[:, None] < theirs[None, :]
+                    for x, y in zip(*np.nonzero(same)):
+                        if joined.join(int(rows[x]), int(theirs[y])):
+                            left.append(r[rows[x]])
+                            right.append(r[theirs[y]])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def _with_sets(batches):
@@ -183,14 +211,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     class, which is compared once; buckets with the same members are compared once. A row without doc_id takes
     the component of its class, or none, and is kept only if it has none.
     """
-    found = written(sketched(docs), "sketches")
+    found = written(sketched(docs, percent), "sketches")
     classes = found.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = written(classes.filter("rep is not null"), "classes")
     placed = classes.select("rep", F.explode("bands").alias("key"))
     buckets = placed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.min("rep").alias("least")).filter("size > 1")
     buckets = buckets.groupBy("size", "who", "least").agg(F.min("key").alias("key")).select("key", "size")
     members = in_blocks(placed.join(buckets, "key"), "key", "size").join(classes.select("rep", "sketch"), "rep")
-    alike = _together(members.select("key", "i", "j", "own", "rep", "sketch"), "key").mapInArrow(_alike, "a long, b long")
+    alike = _together(members.select("key", "i", "j", "own", "rep", "sketch"), "key").mapInArrow(_alike(percent), "a long, b long")
     clusters = components(alike).toDF("rep", "key")
     # the merge join is what large inputs need: clusters grow with the input, so no size of theirs may choose the plan
     sizes = clusters.groupBy("key").agg(F.count("*").alias("size"))

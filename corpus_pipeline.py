@@ -30,10 +30,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates stays."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    return docs.join(kept.hint("merge"), same, "left_semi")
+    """One row of each group of near-duplicates stays: that with the smallest doc_id, and with none if no row has one.
+
+    Texts without words have no duplicates. Rows with equal doc_id and text are one row if they have words.
+    """
+    keyed = _keyed(docs)
+    ids = keyed.select(_KEY, "doc_id").distinct()
+    found = minhash.near_duplicates(keyed.select(F.col(_KEY).alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias(_KEY), "component_id", (F.col("n_shingles") > 0).alias("__words")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _KEY, "__words")).alias("first")
+    kept = groups.join(ids.hint("merge"), _KEY).groupBy("component_id").agg(first).select(f"first.{_KEY}", "first.__words")
+    each = F.when(F.col("__words"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
+    return keyed.join(kept.hint("merge"), _KEY).withColumn("__each", each).dropDuplicates([_KEY, "__each"]).select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

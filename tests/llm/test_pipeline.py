@@ -57,3 +57,24 @@ def test_rows_with_nulls_and_clashing_columns(spark, data):
     for _, stage in pipeline.STAGES:
         empty = written(stage(spark, empty, data), "test")
     assert empty.count() == 0
+
+
+def test_near_duplicates_without_ids(spark):
+    other = " ".join(f"o{k}" for k in range(60))
+    third = " ".join(f"t{k}" for k in range(60))
+    rows = [(None, other), (None, other + " end"), (None, other), (7, third), (None, third), (7, third), (None, None), (None, None), (9, "")]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert len([r for r in got if r.text and r.text.startswith("o0")]) == 1
+    assert [r.doc_id for r in got if r.text and r.text.startswith("t0")] == [7]
+    assert len([r for r in got if not r.text]) == 3
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_pairs_at_the_least_similarity_are_found(spark, percent):
+    rows = []
+    for p in range(200):
+        words = [f"p{p}w{k}" for k in range(304)]  # 300 shingles, and the same with the first n words changed
+        n = next(n for n in range(300, -1, -1) if 100 * (300 - n) >= percent * (300 + n))
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(f"c{w}" if k < n else w for k, w in enumerate(words)))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
