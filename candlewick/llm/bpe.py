@@ -5,9 +5,12 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
+import re
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -17,7 +20,11 @@ from . import blocks
 from .common import U64, Rolling, blobs, mix, spread, text_buffer, text_pieces, whole_groups
 
 #: Text of one block of documents, whose words share one dictionary, and of one step inside it.
-BLOCK_BYTES, PIECE = 24 << 20, 1 << 20
+BLOCK_BYTES, PIECE = 4 << 20, 1 << 19
+#: Text for each part of the two exchanges: distinct words are fewer than words.
+WORD_BYTES, PART_BYTES = 16 << 20, 4 << 20
+#: Ids that are joined and decoded at a time.
+STEP = 100_000
 #: White space of the split pattern, and what follows an apostrophe in a contraction.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -43,6 +50,7 @@ def _kinds() -> np.ndarray:
 
 @functools.lru_cache(2)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -51,12 +59,20 @@ def _tokenizer(path: str):
     return t, {str(x.content): i for i, x in t.get_added_tokens_decoder().items()}
 
 
-def _check(path: str) -> None:
+def _spec(path: str) -> dict:
+    """The tokenizer's file, if it is of the kind whose words can be encoded one by one."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
     if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer"):
         raise ValueError("only byte-level BPE with the usual split pattern, without normalizer and prefix space")
+    if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take in their surroundings aren't supported")
+    return spec
+
+
+def _special(spec: dict) -> dict[str, int]:
+    return {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
 
 
 def split_words(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -108,16 +124,15 @@ def split_words(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _segments(text: str, special: dict[str, int]):
-    """Text between special tokens, and the special tokens' ids."""
-    while text:
-        found = min(((p, -len(s), s) for s in special if (p := text.find(s)) >= 0), default=None)
-        if found is None:
-            yield text, None
-            return
-        if found[0]:
-            yield text[: found[0]], None
-        yield None, special[found[2]]
-        text = text[found[0] + len(found[2]) :]
+    """Text between special tokens, and the special tokens' ids; where several begin, the longest counts."""
+    at = 0
+    for found in re.finditer("|".join(map(re.escape, sorted(special, key=len, reverse=True))), text):
+        if found.start() > at:
+            yield text[at : found.start()], None
+        yield None, special[found[0]]
+        at = found.end()
+    if at < len(text):
+        yield text[at:], None
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -130,64 +145,74 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+def _distinct(cp: np.ndarray, joined: str, start: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The number of each word among the distinct ones, and those; equal hashes are compared as words."""
+    codes, names = pd.factorize(Rolling(mix(cp), 11).of(start, ends))
+    first = np.full(len(names), len(codes), np.int64)
+    np.minimum.at(first, codes, np.arange(len(codes)))
+    size = ends - start
+    same = np.array_equal(size, size[first][codes]) and np.array_equal(cp, cp[spread(start[first][codes], size)])
+    if same:
+        return codes, [joined[a:b] for a, b in zip(start[first].tolist(), ends[first].tolist())]
+    codes, names = pd.factorize(np.array([joined[a:b] for a, b in zip(start.tolist(), ends.tolist())], object))
+    return codes, list(names)
+
+
 class _Block:
-    """The dictionary of some documents, and their words as numbers in it."""
+    """The dictionary of some documents, and their words as numbers in it.
 
-    def __init__(self, rows: pa.RecordBatch, parts: int, special: dict[str, int]):
-        import pandas as pd
+    A word is a str, or the id of a special token that the text spells out.
+    """
 
+    def __init__(self, rows: pa.RecordBatch, parts: int, special: dict[str, int]):
         digest = xxhash.xxh3_64()
-        hashes, self.per_doc, words = [], [], {}
-        specials = {}
+        per_doc, codes, numbers = [], [np.zeros(0, np.int32)], {}
+        marks = [s.encode() for s in special]
         for piece in text_pieces(rows, "text", PIECE):
             buf, off = text_buffer(piece.column("text"))
-            digest.update(buf.tobytes())
+            raw = buf.tobytes()
+            digest.update(raw)
             digest.update(np.diff(off).tobytes())
-            texts = [buf[a:b].tobytes().decode() for a, b in zip(off[:-1], off[1:])]
-            marked = [any(s in t for s in special) for t in texts] if any(s.encode() in buf.tobytes() for s in special) else [False] * len(texts)
-            segments, owner, ids = [], [], []
-            for d, t in enumerate(texts):
-                for s, i in _segments(t, special) if marked[d] else ((t, None),):
-                    segments.append(s or "")
-                    owner.append(d)
-                    ids.append(-1 if i is None else i)
-            joined = "".join(segments)
+            if any(s in raw for s in marks):
+                segments, owner, ids = [], [], []
+                for d, (a, b) in enumerate(zip(off[:-1], off[1:])):
+                    for s, i in _segments(raw[a:b].decode(), special):
+                        segments.append(s or "")
+                        owner.append(d)
+                        ids.append(-1 if i is None else i)
+                joined = "".join(segments)
+                lengths, owner, ids = np.fromiter(map(len, segments), np.int64, len(segments)), np.array(owner, np.int64), np.array(ids, np.int64)
+            else:
+                joined = raw.decode()
+                chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
+                lengths, owner, ids = np.diff(chars[off]), np.arange(len(off) - 1), None
             cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-            lengths = np.fromiter(map(len, segments), np.int64, len(segments))
             seg_off = np.concatenate(([0], np.cumsum(lengths)))
             start = split_words(cp, seg_off)
             ends = np.append(start[1:], len(cp)) if len(start) else start
-            h = Rolling(mix(cp), 11).of(start, ends)
             counts = np.diff(np.searchsorted(start, seg_off))
-            ids = np.array(ids, np.int64)
-            if (ids >= 0).any():  # a special token is a word of its own, with a hash that names its id
-                place = np.cumsum(counts) - counts
-                own = np.flatnonzero(ids >= 0)
-                name = mix(ids[own].astype(U64) + U64(1 << 40))
-                specials |= {int(k): int(v) for k, v in zip(name, ids[own])}
-                h = np.insert(h, place[own], name)
-                start = np.insert(start, place[own], -1)
-                ends = np.insert(ends, place[own], -1)
+            own, words = _distinct(cp, joined, start, ends)
+            if ids is not None and (ids >= 0).any():  # a special token is a word of its own
+                place = (np.cumsum(counts) - counts)[ids >= 0]
+                names, of = np.unique(ids[ids >= 0], return_inverse=True)
+                own = np.insert(own, place, len(words) + of)
+                words = [*words, *names.tolist()]
                 counts = counts + (ids >= 0)
-            self.per_doc.append(np.bincount(np.array(owner, np.int64), counts, len(texts)).astype(np.int64))
-            hashes.append(h)
-            _, new = np.unique(h, return_index=True) if len(h) < 1000 else (None, np.flatnonzero(~pd.Series(h).duplicated().to_numpy()))
-            for x, a, b in zip(h[new].tolist(), start[new].tolist(), ends[new].tolist()):
-                if x not in words:
-                    words[x] = joined[a:b] if a >= 0 else None
+            per_doc.append(np.bincount(owner, counts, len(off) - 1).astype(np.int64))
+            codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words))[own])
         self.name = int(np.uint64(digest.intdigest()).view(np.int64))
-        self.per_doc = np.concatenate(self.per_doc) if self.per_doc else np.zeros(0, np.int64)
-        codes, names = pd.factorize(np.concatenate(hashes)) if hashes else (np.zeros(0, np.int64), np.zeros(0, U64))
-        often = np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")
-        rank = np.empty(len(names), np.int64)
-        rank[often] = np.arange(len(names))
-        self.codes, names = rank[codes], names[often]
-        self.part = (mix(names) % U64(parts)).astype(np.int64)
-        self.words = [words[x] if words[x] is not None else specials[x] for x in names.tolist()]
-
-
-def _blocks(batches, parts: int, path: str):
-    _, special = _tokenizer(path)
+        self.per_doc = np.concatenate(per_doc) if per_doc else np.zeros(0, np.int64)
+        found = np.concatenate(codes)
+        often = np.argsort(-np.bincount(found, minlength=len(numbers)), kind="stable")
+        rank = np.empty(len(numbers), np.int32)
+        rank[often] = np.arange(len(numbers))
+        words = list(numbers)
+        # a special token goes as its id, marked by a byte that no UTF-8 has
+        self.codes, self.words = rank[found], [w.encode() if isinstance(w := words[k], str) else b"\xff%d" % w for k in often]
+        self.part = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in self.words), np.int64, len(words))
+
+
+def _blocks(batches, parts: int, special: dict[str, int]):
     for batch in batches:
         for rows in text_pieces(batch, "text", BLOCK_BYTES):
             yield rows, _Block(rows, parts, special)
@@ -196,22 +221,21 @@ def _blocks(batches, parts: int, path: str):
 _REPLY = "block long, part int, counts binary, ids binary, docs binary"
 
 
-def _dictionaries(parts: int, path: str):
+def _dictionaries(parts: int, special: dict[str, int]):
     def run(batches):
-        for _, block in _blocks(batches, parts, path):
+        for _, block in _blocks(batches, parts, special):
             order = np.argsort(block.part, kind="stable")
             edges = np.searchsorted(block.part[order], np.arange(parts + 1))
             full = np.flatnonzero(np.diff(edges))
-            # a special token goes as its id, marked by a byte that no UTF-8 has
-            lists = [[w.encode() if isinstance(w := block.words[i], str) else b"\xff%d" % w for i in order[edges[p] : edges[p + 1]]] for p in full]
+            lists = [[block.words[i] for i in order[edges[p] : edges[p + 1]]] for p in full]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), block.name), pa.int64()), blobs([_planes(np.array([len(w) for w in x], np.int64)) for x in lists]), blobs([zstandard.compress(b"".join(x), 3) for x in lists])], names=["part", "block", "lengths", "words"])
 
     return run
 
 
-def _sequences(parts: int, path: str):
+def _sequences(parts: int, special: dict[str, int]):
     def run(batches):
-        for rows, block in _blocks(batches, parts, path):
+        for rows, block in _blocks(batches, parts, special):
             docs = pa.table({"doc_id": rows.column("doc_id")})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, docs.schema) as w:
@@ -246,14 +270,15 @@ def _encoded(path: str):
     return run
 
 
+@functools.lru_cache(2)
 def _pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of every id's piece, one after the other, and where each begins: the right side of the id-to-piece join."""
-    tokenizer, special = _tokenizer(path)
+    spec = _spec(path)
+    #: The bytes that byte-level BPE writes as themselves; the others are characters from 256 on, in order.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in set(plain))}
-    size = tokenizer.get_vocab_size(with_added_tokens=True)
-    names = {i: s for s, i in special.items()}
-    pieces = [names[i].encode() if i in names else bytes(chars[c] for c in (tokenizer.id_to_token(i) or "")) for i in range(size)]
+    named = {i: bytes(chars[c] for c in w) for w, i in spec["model"]["vocab"].items()} | {i: s.encode() for s, i in _special(spec).items()}
+    pieces = [named.get(i, b"") for i in range(max(named) + 1)]
     ends = np.cumsum([0, *map(len, pieces)])
     return np.frombuffer(b"".join(pieces), np.uint8), ends
 
@@ -287,7 +312,7 @@ def _joined(path: str, emit):
                     a = 0
                     while a < n:  # some documents at a time
                         begin = ends[a] - per_doc[a]
-                        b = max(a + 1, int(np.searchsorted(ends, begin + 400_000, "right")))
+                        b = max(a + 1, int(np.searchsorted(ends, begin + STEP, "right")))
                         w = codes[begin : ends[b - 1]]
                         ids = flat[spread(first[w], size[w])]
                         word_ends = np.cumsum(size[w])
@@ -322,13 +347,15 @@ def _ids(docs: pa.Table, ids: np.ndarray, at: np.ndarray, out: np.ndarray, out_a
 
 def _run(docs: DataFrame, tokenizer: str | None, emit, schema: str) -> DataFrame:
     path = tokenizer or default_tokenizer()
-    _check(path)
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    docs = blocks.plain(blocks.stable(docs))
-    words = docs.mapInArrow(_dictionaries(parts, path), "part int, block long, lengths binary, words binary")
+    special = _special(_spec(path))
+    docs = blocks.stable(docs)
+    size = blocks.text_bytes(docs)
+    parts, shuffle = max(16, -(-size // WORD_BYTES)), max(16, -(-size // PART_BYTES))
+    docs = blocks.plain(docs)
+    words = docs.mapInArrow(_dictionaries(parts, special), "part int, block long, lengths binary, words binary")
     replies = words.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_encoded(path), _REPLY)
-    sequences = docs.mapInArrow(_sequences(parts, path), _REPLY)
-    return sequences.unionByName(replies).repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(_joined(path, emit), schema)
+    sequences = docs.mapInArrow(_sequences(parts, special), _REPLY)
+    return sequences.unionByName(replies).repartition(shuffle, "block").sortWithinPartitions("block", "part").mapInArrow(_joined(path, emit), schema)
 
 
 def encode_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -337,7 +364,9 @@ def encode_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     Ids equal what the tokenizers library gives for the whole text with add_special_tokens=False: words are split in
     the tasks that read the documents, each distinct word is encoded once in the task that its
     hash names, and the ids go back to the words' positions; special tokens that a text spells out are ids of their own. The
-    documents travel as word numbers, not as text. Repeated rows give repeated rows.
+    documents travel as word numbers, not as text. Repeated rows give repeated rows; further columns are ignored.
+    Both exchanges have as many parts as the bytes of the text ask for. A text longer than a block is a block of its
+    own; steps inside are of whole texts, and hold some 40 bytes for each byte of the longest one.
     """
     return _run(docs, tokenizer, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,21 +18,39 @@ U64 = np.uint64
 
 # ---------------------------------------------------------------- shared tables
 
+#: Tables that ``scratch`` deletes at its end; None outside of one.
+_TABLES: ContextVar[list[str] | None] = ContextVar("candlewick_tables", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share, named by ``spark.checkpoint.dir``; a local one only where that is unset and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"file://{os.path.join(tempfile.gettempdir(), 'candlewick-shared')}"
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'candlewick-shared')}"
+
+
+def _target(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
 
-    The files survive the loss of an executor, unlike blocks that executors hold.
+    The files survive the loss of an executor, unlike blocks that executors hold. They go at the end of the
+    surrounding ``scratch``, unless ``keep``, and at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, target = _target(spark, path)
+    files.deleteOnExit(target)
+    tables = _TABLES.get()
+    if tables is not None and not keep:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,8 +58,21 @@ def dropped(df: DataFrame) -> None:
     """Delete the files of a ``written`` table that nothing reads any more."""
     spark = df.sparkSession
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        files, target = _target(spark, path)
+        files.delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are ``written`` inside are deleted at the end; what goes on must be ``written`` with ``keep`` before."""
+    token = _TABLES.set([])
+    try:
+        yield
+    finally:
+        for path in _TABLES.get():
+            files, target = _target(spark, path)
+            files.delete(target, True)
+        _TABLES.reset(token)
 
 
 # ---------------------------------------------------------------- Arrow text
@@ -110,21 +143,25 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U64) + U64(seed << 20)) * U64(0x9E3779B97F4A7C15))
 
 
+#: Powers that a worker keeps for each seed; longer tables are made anew for the few texts that need them.
+KEPT_POWERS = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base mod 2**64 and of its inverse; one table for each seed, as long as was ever needed."""
+    """Powers of an odd base mod 2**64 and of its inverse."""
     have = _POWERS.get(seed)
     if have is None or len(have[0]) < n:
-        size = max(1 << 16, n + n // 8)
+        size = n if n > KEPT_POWERS else min(KEPT_POWERS, max(1 << 16, n + n // 8))
         base = int(seeded(1, seed)[0]) | 1
         tables = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, U64)
-            p[0] = 1
-            tables.append(np.multiply.accumulate(p))
-        have = _POWERS[seed] = (tables[0], tables[1])
+            p[:1] = 1
+            tables.append(np.multiply.accumulate(p, out=p))
+        have = (tables[0], tables[1])
+        if size <= KEPT_POWERS:
+            _POWERS[seed] = have
     return have[0][:n], have[1][:n]
 
 
@@ -157,8 +194,21 @@ def word_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, counts
 
 
+#: Bytes whose words are hashed at a time.
+STEP = 1 << 19
+
+
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
-    return Rolling(seeded(256, seed)[buf], seed).of(start, end)
+    """A hash of each word's bytes, STEP bytes (or one word) at a time."""
+    out = np.empty(len(start), U64)
+    values = seeded(256, seed)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + STEP, "right")))
+        low = start[a]
+        out[a:b] = Rolling(values[buf[low : end[b - 1]]], seed).of(start[a:b] - low, end[a:b] - low)
+        a = b
+    return out
 
 
 def runs(values: np.ndarray) -> np.ndarray:
@@ -179,7 +229,8 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", most_rounds: in
     """(node, component): the smallest node that is reachable, for every node of ``edges``.
 
     Alternating large-star and small-star rounds; each ends in a table in the shared folder. Aggregates
-    combine before their shuffle, and joins spread the edges of a hot node over a few salts.
+    combine before their shuffle, and joins spread the edges of a hot node over a few salts; they are merge joins at
+    every size, since what they join grows with the input, and Spark splits what is still skewed.
     """
     salt = F.pmod(F.xxhash64("v", F.lit(17)), F.lit(SALTS).cast("long"))
     salted = lambda table: table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
@@ -189,9 +240,9 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", most_rounds: in
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        big = both.withColumn("salt", salt).join(salted(least), ["u", "salt"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        big = both.withColumn("salt", salt).join(salted(least).hint("merge"), ["u", "salt"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.withColumn("salt", salt).join(salted(least), ["u", "salt"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = big.withColumn("salt", salt).join(salted(least).hint("merge"), ["u", "salt"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = written(small.distinct(), "edges")
         dropped(e)
         e = after
@@ -227,27 +278,32 @@ class Union:
 def whole_groups(batches, keys: list[str]):
     """Tables that hold whole groups of a stream sorted by ``keys``, with the row where each group starts.
 
-    A group that goes on in the next batch is carried over to it.
+    A group that goes on in the next batch is carried over to it; each batch is looked at once.
     """
     held: list[pa.RecordBatch] = []
-
-    def starts(table: pa.Table) -> np.ndarray:
-        new = np.zeros(table.num_rows, bool)
-        new[:1] = True
-        for k in keys:
-            c = table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
-            new[1:] |= c[1:] != c[:-1]
-        return np.flatnonzero(new)
+    at: list[int] = []  # where groups start among the held rows
+    rows, last = 0, None
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        at = starts(table)
-        if len(at) > 1:
-            yield table.slice(0, int(at[-1])), at[:-1]
-            held = table.slice(int(at[-1])).to_batches()
+        new = np.zeros(batch.num_rows, bool)
+        ends = []
+        for k in keys:
+            c = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= c[1:] != c[:-1]
+            ends.append((c[0], c[-1]))
+        new[0] = last is None or any(x != y for (x, _), y in zip(ends, last))
+        last = [y for _, y in ends]
+        starts = np.flatnonzero(new)
+        if len(starts) and rows + starts[-1] > 0:  # all groups but the last one are whole
+            cut = int(starts[-1])
+            table = pa.Table.from_batches([*held, batch.slice(0, cut)])
+            yield table, np.array([*at, *(starts[:-1] + rows).tolist()], np.int64)
+            held, at, rows = [batch.slice(cut)], [0], batch.num_rows - cut
+        else:
+            held.append(batch)
+            at += (starts + rows).tolist()
+            rows += batch.num_rows
     if held:
-        table = pa.Table.from_batches(held)
-        yield table, starts(table)
+        yield pa.Table.from_batches(held), np.array(at, np.int64)
