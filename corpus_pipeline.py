@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm import bpe, minhash, mixing, quality, suffixes
-from candlewick.llm.common import written
+from candlewick.llm.common import dropped, scratch, written
 
 #: Joins that bring texts to decisions are merge joins at every size: the decisions grow with the input.
 _KEY = "__key"
@@ -77,7 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's table is deleted when the next one is written, the tables inside a stage when it ends."""
+    raw = docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0].lower())
+        before = docs
+        with scratch(spark):
+            docs = written(stage(spark, before, sf_dir), name.split()[0].lower(), keep=True)
+        if before is not raw:
+            dropped(before)
     return docs
