@@ -25,7 +25,10 @@ NOT, HEADS = frozenset(("has", "with", "no", "without")), frozenset(("header", "
 #: Words that only say what kind of part a mark is on; with them a class or id still is a mark as a whole.
 PARTS = frozenset("area bar block box btn button buttons col column container content count global group holder icon icons inner item items left link links list main mobile module outer page panel pane post posts primary right secondary section site slot sticky text title top bottom unit wrap wrapper".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"""["'>]""")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -70,6 +73,67 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bo
     return False, doubtful
 
 
+class Tags:
+    """Where tags end. A tag ends at the first ``>`` outside of quotes; one that has none, or an open quote, is text.
+
+    Failed searches are remembered by the quotes they opened: a later search that opens one of these goes the same way and
+    fails too. So a page costs a few passes at most, whatever its stray signs.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.failed = page, set()
+        self.last = {q: page.rfind(q) for q in "\"'>"}
+        self.seen, self.stop = -1, -1  # the first sign in ``_STOP`` at or after ``seen``
+
+    def _next(self, at: int) -> int:
+        if not self.seen <= at <= self.stop:
+            found = _STOP.search(self.page, at)
+            self.seen, self.stop = at, found.start() if found else len(self.page)
+        return self.stop
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose attributes begin at ``at``, or -1."""
+        opened = []
+        while at <= self.last[">"]:
+            at = self._next(at) if not opened else (found.start() if (found := _STOP.search(self.page, at)) else len(self.page))
+            if at == len(self.page) or at in self.failed:
+                break
+            if self.page[at] == ">":
+                return at
+            opened.append(at)
+            if at >= self.last[self.page[at]]:
+                break
+            at = self.page.find(self.page[at], at + 1) + 1
+        self.failed.update(opened)
+        return -1
+
+
+def tokens(page: str):
+    """("text", text), or ("<" or "</", lower-cased name, attributes, place behind) of each tag; the reader may send a place to go on from."""
+    tags, at, size = Tags(page), 0, len(page)
+    while at < size:
+        mark = page.find("<", at)
+        if mark < 0:
+            mark = size
+        if mark > at:
+            yield "text", page[at:mark]
+        if mark == size:
+            return
+        at = mark
+        found = _COMMENT.match(page, at)
+        if found:
+            at = found.end()
+            continue
+        found = _TAG.match(page, at)
+        end = tags.end(found.end()) if found else -1
+        if end < 0:
+            yield "text", "<"
+            at += 1
+            continue
+        sent = yield "<" + found[1], found[2].lower(), page[found.end() : end], end + 1
+        at = end + 1 if sent is None else sent
+
+
 def parsed(page: str) -> Node:
     """The tree of block elements, with lines of text; inline elements only tell what is a link.
 
@@ -95,21 +159,20 @@ def parsed(page: str) -> Node:
                 here.children.append((line, min(linked, len(line))))
             text, linked = [], 0
 
-    at, size = 0, len(page)
-    while at < size:
-        found = _TOKEN.match(page, at)
-        if found is None:
+    stream, sent = tokens(page), None
+    while True:
+        try:
+            token = stream.send(sent)
+        except StopIteration:
             break
-        at = found.end()
-        tag = found[2]
-        if tag is None:
-            if found[0][0] != "<" or found[0] == "<":
-                text.append(found[0])
-                if inlines["a"]:
-                    linked += len(found[0].strip())
+        sent = None
+        if token[0] == "text":
+            text.append(token[1])
+            if inlines["a"]:
+                linked += len(token[1].strip())
             continue
-        tag = tag.lower()
-        if found[1]:  # an end tag
+        kind, tag, attributes, at = token
+        if kind == "</":
             if tag in BLOCK:
                 if blocks[tag]:
                     node = here
@@ -133,15 +196,15 @@ def parsed(page: str) -> Node:
             text.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            end = _RAW_END[tag].search(page, at)
+            sent = end.end() if end else len(page)
             continue
         if tag in VOID:
             if tag == "hr":
                 end_line()
             continue
-        gone, doubtful = (True, False) if here.gone else _unwanted(tag, found[3], here.inside)
-        if tag in BLOCK or (gone and not here.gone and not found[3].rstrip().endswith("/")):
+        gone, doubtful = (True, False) if here.gone else _unwanted(tag, attributes, here.inside)
+        if tag in BLOCK or (gone and not here.gone and not attributes.rstrip().endswith("/")):
             end_line()
             if here.tag == "p" and tag in BLOCK:  # a block ends an open paragraph
                 close(here)
@@ -269,7 +332,12 @@ def main_text(page: str | None) -> str:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html), by ``main_text`` of the whole html."""
+    """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html), by ``main_text`` of the whole html.
+
+    A null html gives an empty text. Repeated rows give repeated rows; further columns are ignored, whatever their names. Of
+    containers with equal points the first in page order counts. Pages are taken whole, one after the other, in time
+    that is in proportion to their length.
+    """
     schema = pages.select("page_id", "url").schema.add("text", "string", False).add("n_chars", "long", False)
 
     def run(batches):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -413,3 +414,35 @@ def test_html_keeps_all_sections_and_slugs():
     assert html.main_text(f"<body><div><div><p>{text[0] * 3}</p></div><ul><li>short<li>list</ul><table><tr><td>cell</table></div></body>") == f"{text[0] * 3}\nshort\nlist\ncell"
     slugs = f'<body><article><h2 id="search">Search</h2><section id="how-to-search-logs"><p>{text[0]}</p></section><div class="social-history"><p>{text[1]}</p></div><div class="article-share-tools"><a href=x>Mail</a> <a href=y>Post</a></div><div class="left-sidebar">side</div></article></body>'
     assert html.main_text(slugs) == f"Search\n{text[0]}\n{text[1]}"
+
+
+def test_unclosed_tags_cost_linear_time():
+    began = time.perf_counter()
+    for unit in ("<a ", '<a "', "<a x='", "<a x='\"", "<a '\"", "<", "<b x=\"'\" ", "<a b='c' "):
+        page = "<article><p>" + "Words, and more words. " * 9 + "</p></article>" + unit * 400_000
+        assert html.main_text(page).startswith("Words, and")
+    assert time.perf_counter() - began < 60
+
+
+def test_html_finds_planted_articles():
+    """Pages are built from a known article and known chrome around it; what comes out is the article, whole."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    sentence = lambda n: ", ".join(words(rng.randint(3, 8)) for _ in range(n)) + "."
+    found = planted = both = 0
+    for _ in range(150):
+        lines = [sentence(rng.randint(3, 9)) for _ in range(rng.randint(3, 12))]
+        marked = [f"<p>{t.replace(',', ', <b>x</b>', 1)}</p>" if rng.random() < 0.3 else f"<p>\n {t} <!-- c --></p>" if rng.random() < 0.5 else f"<p>{t}" for t in lines]
+        lines = [t.replace(",", ", x", 1) if "<b>" in m else t for t, m in zip(lines, marked)]
+        for _ in range(rng.randint(0, 2)):  # sections around parts of the article
+            a = rng.randint(0, len(marked) - 2)
+            marked[a], marked[-1] = "<section><div>" + marked[a], marked[-1] + "</div></section>"
+        tag = rng.choice(["article", "main", "div", 'div class="content"'])
+        article = f"<{tag}>{''.join(marked)}</{tag.split()[0]}>"
+        links = "".join(f"<li><a href=/{k}>{words(2)}</a>" for k in range(8))
+        chrome = [f"<nav><ul>{links}</ul></nav>", f"<header><h1>{words(3)}</h1></header>", f"<aside>{sentence(2)}</aside>", f'<div class="cookie-banner">{sentence(3)}</div>', f'<div id="sidebar"><ul>{links}</ul></div>', f"<script>if (a < b) {{ '{words(3)}' }}</script>"]
+        after = [f"<footer>{sentence(2)}</footer>", f'<section class="comments"><p>{sentence(9)}</p></section>', f"<form><input value={words(1)}>{words(2)}</form>", f'<div class="related"><ul>{links}</ul></div>']
+        page = f"<html><body>{''.join(rng.sample(chrome, rng.randint(0, 6)))}<div id=page>{article}</div>{''.join(rng.sample(after, rng.randint(0, 4)))}</body></html>"
+        got = html.main_text(page).split("\n")
+        found, planted, both = found + len(got), planted + len(lines), both + len([t for t in got if t in set(lines)])
+    assert both >= 0.99 * planted and both >= 0.99 * found
