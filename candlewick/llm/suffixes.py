@@ -2,7 +2,8 @@
 
 The suffixes are those at anchors, places that any long enough string picks by its own content, so that equal
 strings pick the same ones. Sampled splitters deal the suffixes to buckets by their leading bytes; buckets order them
-by multikey quicksort and read repeats off the common prefixes of neighbours.
+by multikey quicksort and read repeats off the common prefixes of neighbours. Suffixes with equal leading bytes share a
+bucket, so neighbours on two sides of a boundary never have a string in common and nothing is left to compare across it.
 """
 
 from __future__ import annotations
@@ -17,17 +18,23 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from . import blocks
 from .blocks import Block
-from .common import U64, Rolling, blobs, mix, seeded, spread, text_buffer, whole_groups
+from .common import U64, Rolling, blobs, mix, seeded, whole_groups
 
 LENGTH, GRAM = 50, 16
 #: A string of LENGTH bytes holds this many grams; the least hash among them is its anchor.
 WINDOW = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
-PIECE = 1 << 20
-#: Suffixes in the driver's sample, and the share (and number) of them from which a gram is hot.
-SAMPLE, HOT, HOT_LEAST = 65_536, 0.002, 64
+PIECE = 1 << 19
+#: Bytes that strings around a hot gram have before it at most, to be dealt by the suffix at the gram; the others by that HALF + 1 bytes before it.
+HALF = LEFT // 2
+#: Least number of suffixes in the sample, and how many there are for each bucket.
+SAMPLE, EACH = 65_536, 64
+#: A gram is hot from this share of an average bucket's suffixes in the sample, and this number.
+HOT, HOT_LEAST = 0.5, 32
 #: Bytes of text for each part of the first pass and each bucket.
 PART_BYTES = 4 << 20
+#: Suffixes that are built at a time.
+ROWS = 1 << 16
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -39,45 +46,59 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
+def _picked(buf: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the least gram of each window of LENGTH bytes whose start is ``inside``, and the grams' hashes."""
+    h = Rolling(seeded(256, 1)[buf], 5).windows(GRAM)
+    top = (h >> U64(32)).astype(np.uint32)
+    np.maximum(top, 1, out=top)
+    least = _slide(top, WINDOW, np.minimum)  # of the window that starts here
+    least[~inside] = 0
+    padded = np.concatenate([np.zeros(WINDOW - 1, np.uint32), least, np.zeros(WINDOW - 1, np.uint32)])
+    at = np.flatnonzero(_slide(padded, WINDOW, np.maximum) == top)
+    return at, mix(h[at])
+
+
 def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places that are the least gram of some LENGTH bytes within one text, and the grams' hashes."""
-    places, hashes = [], []
-    start = 0
-    n = len(off) - 1
-    while start < n:
-        end = max(start + 1, int(np.searchsorted(off, off[start] + PIECE, "right")) - 1)
-        a, b = off[start], off[end]
-        if b - a >= LENGTH:
-            h = Rolling(seeded(256, 1)[buf[a:b]], 5).windows(GRAM)
-            top = (h >> U64(32)).astype(np.uint32)
-            np.maximum(top, 1, out=top)
-            least = _slide(top, WINDOW, np.minimum)  # of the window that starts here
-            inside = np.zeros(len(least) + 1, np.int32)  # windows that cross no end of a text
-            sizes = np.diff(off[start : end + 1])
-            long_ = sizes >= LENGTH
-            first = off[start:end][long_] - a
-            inside[first] += 1
-            np.subtract.at(inside, first + sizes[long_] - LENGTH + 1, 1)
-            least[np.cumsum(inside[:-1]) == 0] = 0
-            padded = np.concatenate([np.zeros(WINDOW - 1, np.uint32), least, np.zeros(WINDOW - 1, np.uint32)])
-            most = _slide(padded, WINDOW, np.maximum)
-            at = np.flatnonzero(most == top)
+    """Places that are the least gram of some LENGTH bytes within one text, in order, and the grams' hashes; PIECE windows at a time."""
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    long_ = np.diff(off) >= LENGTH
+    first, last = off[:-1][long_], off[1:][long_] - LENGTH  # the first and last window of each text
+    windows = max(len(buf) - LENGTH + 1, 0)
+    for a in range(0, windows, PIECE):
+        b = min(a + PIECE, windows)
+        own = slice(int(np.searchsorted(last, a)), int(np.searchsorted(first, b)))
+        if own.start < own.stop:
+            change = np.zeros(b - a + 1, np.int32)
+            change[np.maximum(first[own], a) - a] += 1
+            np.subtract.at(change, np.minimum(last[own], b - 1) - a + 1, 1)
+            at, h = _picked(buf[a : b + LENGTH - 1], np.cumsum(change[:-1]) > 0)
             places.append(at + a)
-            hashes.append(mix(h[at]))
-        start = end
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    return np.concatenate(places), np.concatenate(hashes)
+            hashes.append(h)
+    found, h = np.concatenate(places), np.concatenate(hashes)
+    if len(places) > 2:  # windows on both sides of a cut may pick one place
+        found, at = np.unique(found, return_index=True)
+        h = h[at]
+    return found, h
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> U64(32)) % U64(parts)).astype(np.int64)
 
 
+def _grams(block: Block):
+    """Anchors' places, the number of each one's gram, the distinct grams' hashes, and which of these occur in more than one text of the block."""
+    places, h = anchors(block.buf, block.off)
+    row = (np.searchsorted(block.off, places, "right") - 1).astype(np.int32)
+    grams, first, number = np.unique(h, return_index=True, return_inverse=True)
+    several = np.zeros(len(grams), bool)
+    several[number[row != row[first][number]]] = True
+    return places, number, grams, several
+
+
 def _marks(parts: int):
     def run(batches):
         for block in blocks.cut(batches):
-            _, h = anchors(block.buf, block.off)
+            _, _, h, _ = _grams(block)
             found = list(blocks.shared_marks(_part(h, parts), (h & U64(0xFFFFFFFF)).astype(np.uint32), parts))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([block.name] * len(found), pa.int64()), blobs([k.tobytes() for _, k in found])], names=["part", "block", "data"])
 
@@ -118,9 +139,13 @@ def _common(rows: np.ndarray) -> np.ndarray:
 
 
 class Suffixes:
-    """Suffixes at anchors: LENGTH bytes from the anchor, LEFT bytes before it in reverse, how many of both the text has."""
+    """Suffixes at anchors: LENGTH bytes from the anchor, LEFT bytes before it in reverse, how many of both the text has.
 
-    FIELDS = (("right", np.uint8, LENGTH), ("left", np.uint8, LEFT), ("n_right", np.uint8, 1), ("n_left", np.uint8, 1), ("place", np.uint32, 1), ("doc", np.int64, 1))
+    ``reach`` tells how much further the last one of a series of anchors is that lie close together in one text and
+    all have the same bytes around them, as in text with a short period.
+    """
+
+    FIELDS = (("right", np.uint8, LENGTH), ("left", np.uint8, LEFT), ("n_right", np.uint8, 1), ("n_left", np.uint8, 1), ("place", np.uint32, 1), ("reach", np.uint32, 1), ("doc", np.int64, 1))
 
     def __init__(self, **fields):
         self.__dict__.update(fields)
@@ -128,41 +153,67 @@ class Suffixes:
     def __len__(self):
         return len(self.doc)
 
+    @staticmethod
+    def joined(many: list[Suffixes]) -> Suffixes:
+        return Suffixes(**{name: np.concatenate([getattr(s, name) for s in many]) for name, _, _ in Suffixes.FIELDS})
+
     @staticmethod
     def at(block: Block, places: np.ndarray) -> Suffixes:
-        row = np.searchsorted(block.off, places, "right") - 1
-        n_right = np.minimum(block.off[row + 1] - places, LENGTH)
-        n_left = np.minimum(places - block.off[row], LEFT)
+        """ROWS anchors at a time, so that text with a short period costs no more memory than other text."""
         padded = np.concatenate([np.zeros(LEFT, np.uint8), block.buf, np.zeros(LENGTH, np.uint8)])
-        view = np.lib.stride_tricks.sliding_window_view(padded, LEFT + LENGTH)[places]
-        right, left = view[:, LEFT:].copy(), view[:, LEFT - 1 :: -1][:, :LEFT].copy()
-        right[np.arange(LENGTH) >= n_right[:, None]] = 0
-        left[np.arange(LEFT) >= n_left[:, None]] = 0
-        return Suffixes(right=right, left=left, n_right=n_right.astype(np.uint8), n_left=n_left.astype(np.uint8), place=places.astype(np.uint32), doc=block.doc[row])
+        view = np.lib.stride_tricks.sliding_window_view(padded, LEFT + LENGTH)
+        parts = []
+        for a in range(0, max(len(places), 1), ROWS):
+            own = places[a : a + ROWS]
+            row = np.searchsorted(block.off, own, "right") - 1
+            n_right = np.minimum(block.off[row + 1] - own, LENGTH)
+            n_left = np.minimum(own - block.off[row], LEFT)
+            around = view[own]
+            right, left = around[:, LEFT:].copy(), around[:, LEFT - 1 :: -1].copy()
+            right[np.arange(LENGTH) >= n_right[:, None]] = 0
+            left[np.arange(LEFT) >= n_left[:, None]] = 0
+            head = np.ones(len(own), bool)
+            head[1:] = (row[1:] != row[:-1]) | (own[1:] - own[:-1] > LENGTH) | (n_right[1:] != n_right[:-1]) | (n_left[1:] != n_left[:-1]) | (right[1:] != right[:-1]).any(axis=1) | (left[1:] != left[:-1]).any(axis=1)
+            at = np.flatnonzero(head)
+            last = np.append(at[1:], len(own)) - 1
+            parts.append(Suffixes(right=right[at], left=left[at], n_right=n_right[at].astype(np.uint8), n_left=n_left[at].astype(np.uint8), place=own[at].astype(np.uint32), reach=(own[last] - own[at]).astype(np.uint32), doc=block.doc[row[at]]))
+        return Suffixes.joined(parts)
 
     def take(self, rows) -> Suffixes:
         return Suffixes(**{name: getattr(self, name)[rows] for name, _, _ in self.FIELDS})
 
+    def later(self) -> np.ndarray:
+        """Which suffixes have all their bytes around the anchor, too, in a smaller document of these."""
+        words = [*words_of(self.right).T, *words_of(self.left).T, self.n_right.astype(U64) << U64(8) | self.n_left]
+        h = np.zeros(len(self), U64)
+        for w in words:
+            h = mix(h * U64(31) + w)
+        _, first, number = np.unique(h, return_index=True, return_inverse=True)
+        same = first[number]  # compared byte by byte: a suffix that only shares the hash stays
+        equal = (self.right == self.right[same]).all(axis=1) & (self.left == self.left[same]).all(axis=1) & (self.n_right == self.n_right[same]) & (self.n_left == self.n_left[same])
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, number[equal], self.doc[equal])
+        return equal & (self.doc > least[number])
+
     def pack(self) -> bytes:
         return zstandard.compress(len(self).to_bytes(8, "little") + b"".join(np.ascontiguousarray(getattr(self, name)).tobytes() for name, _, _ in self.FIELDS), 1)
 
     @staticmethod
     def unpack(many: list[bytes]) -> tuple[Suffixes, np.ndarray]:
-        fields: dict[str, list] = {name: [] for name, _, _ in Suffixes.FIELDS}
-        sizes = []
+        parts = []
         for data in many:
             raw = zstandard.decompress(data)
-            n, at = int.from_bytes(raw[:8], "little"), 8
-            sizes.append(n)
+            n, at, fields = int.from_bytes(raw[:8], "little"), 8, {}
             for name, kind, wide in Suffixes.FIELDS:
                 x = np.frombuffer(raw, kind, n * wide, at)
                 at += n * wide * np.dtype(kind).itemsize
-                fields[name].append(x.reshape(n, wide) if wide > 1 else x)
-        return Suffixes(**{name: np.concatenate(x) for name, x in fields.items()}), np.array(sizes)
+                fields[name] = x.reshape(n, wide) if wide > 1 else x
+            parts.append(Suffixes(**fields))
+        return Suffixes.joined(parts), np.array([len(p) for p in parts])
 
 
-def earlier_repeats(s: Suffixes) -> np.ndarray:
-    """For each suffix and o = 0 .. LEFT: whether the LENGTH bytes that begin o bytes before the anchor also occur, around an equal anchor, in a smaller document.
+def earlier_repeats(s: Suffixes, low: int = 0, high: int = LEFT) -> np.ndarray:
+    """For each suffix and o = ``low`` .. ``high``: whether the LENGTH bytes that begin o bytes before the anchor also occur, around an equal anchor, in a smaller document.
 
     The order of the suffixes and that of the reversed left sides, with common prefixes of neighbours, name the
     classes of equal right and left sides of every length; a string is a pair of classes.
@@ -176,7 +227,7 @@ def earlier_repeats(s: Suffixes) -> np.ndarray:
     left_order = multikey_quicksort(words_of(s.left))
     left_common = np.concatenate(([0], _common(s.left[left_order])))
     n_right, n_left, doc = s.n_right.astype(np.int64), s.n_left.astype(np.int64), s.doc
-    for o in range(LEFT + 1):
+    for o in range(low, high + 1):
         size = LENGTH - o
         again = common >= size
         shared = again.copy()
@@ -198,102 +249,123 @@ def earlier_repeats(s: Suffixes) -> np.ndarray:
     return flags
 
 
-def _answers(flags: np.ndarray, place: np.ndarray, origin: np.ndarray):
-    """(origin, packed starts and ends) of the runs of repeated strings around each suffix."""
+def _spans(start: np.ndarray, end: np.ndarray) -> bytes:
+    return zstandard.compress(np.concatenate([start, end - start]).astype(np.uint32).tobytes(), 1)
+
+
+def _answers(flags: np.ndarray, s: Suffixes, origin: np.ndarray):
+    """(origin, packed starts and sizes) of the runs of repeated strings around each suffix."""
     padded = np.zeros((len(flags), flags.shape[1] + 2), np.int8)
     padded[:, 1:-1] = flags
     change = np.diff(padded, axis=1)
     row, low = np.nonzero(change == 1)
     _, high = np.nonzero(change == -1)  # low .. high - 1 are the o of one run, so strings start at place - high + 1 .. place - low
-    start = place[row].astype(np.int64) - high + 1
-    end = place[row].astype(np.int64) - low + LENGTH
+    start = s.place[row].astype(np.int64) - high + 1
+    end = s.place[row].astype(np.int64) + s.reach[row] - low + LENGTH
     order = np.argsort(origin[row], kind="stable")
     start, end, own = start[order], end[order], origin[row][order]
     at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else []
     for a, b in zip(at, [*at[1:], len(own)]):
-        yield int(own[a]), zstandard.compress(np.concatenate([start[a:b], end[a:b] - start[a:b]]).astype(np.uint32).tobytes(), 1)
+        yield int(own[a]), _spans(start[a:b], end[a:b])
+
+
+class Buckets:
+    """Which bucket a suffix goes to, by sampled splitters of its leading bytes.
+
+    A gram that alone fills much of a bucket is hot. Strings with up to HALF bytes before it hold the LENGTH - HALF
+    bytes from it on, and the others the HALF + 1 bytes before it and itself; such suffixes go
+    to two buckets, each by those bytes and for those strings.
+    """
+
+    def __init__(self, around: np.ndarray, parts: int):
+        """``around``: LEFT bytes before and LENGTH bytes from each anchor of the sample, in text order."""
+        gram = self._key(around, LEFT, GRAM)
+        names, of, counts = np.unique(gram, return_inverse=True, return_counts=True)
+        hot = counts >= max(HOT_LEAST, HOT * len(around) / parts)
+        self.hot, is_hot = names[hot], hot[of] if len(of) else np.zeros(0, bool)
+        pick = lambda x: np.unique(np.sort(x)[np.linspace(0, len(x) - 1, min(parts, len(x)) + 1).astype(int)[1:-1]]) if len(x) > 2 else x[:0]
+        self.splitters = [pick(gram[~is_hot]), pick(self._long(around[is_hot])), pick(self._wide(around[is_hot]))]
+        self.first = np.cumsum([0, *[len(x) + 1 for x in self.splitters]])
+
+    @staticmethod
+    def _key(around: np.ndarray, start: int, size: int) -> np.ndarray:
+        return np.ascontiguousarray(around[:, start : start + size]).view(f"S{size}").reshape(-1)
+
+    def _long(self, around: np.ndarray) -> np.ndarray:
+        return self._key(around, LEFT, LENGTH - HALF)
+
+    def _wide(self, around: np.ndarray) -> np.ndarray:
+        return self._key(around, LEFT - HALF - 1, HALF + 1 + GRAM)
+
+    def deal(self, s: Suffixes):
+        """(bucket, suffixes) of every bucket that gets any."""
+        around = np.concatenate([s.left[:, ::-1], s.right], axis=1)
+        gram = self._key(around, LEFT, GRAM)
+        hot = np.isin(gram, self.hot)
+        for kind, rows, key in ((0, ~hot, lambda x: self._key(x, LEFT, GRAM)), (1, hot, self._long), (2, hot & (s.n_left > HALF), self._wide)):
+            at = np.flatnonzero(rows)
+            bucket = np.searchsorted(self.splitters[kind], key(around[at]), "right") + self.first[kind]
+            order = np.argsort(bucket, kind="stable")
+            at, bucket = at[order], bucket[order]
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(at) else []
+            for a, b in zip(cuts, [*cuts[1:], len(at)]):
+                yield int(bucket[a]), s.take(at[a:b])
+
+    def strings(self, bucket: int) -> tuple[int, int]:
+        """The least and the largest number of bytes before the anchor, of the strings that this bucket decides."""
+        return (0, LEFT) if bucket < self.first[1] else (0, HALF) if bucket < self.first[2] else (HALF + 1, LEFT)
 
 
-def _buckets(splitters: np.ndarray, hot: set[bytes], hot_splitters: np.ndarray, parts: int):
+def _dealt(buckets: Buckets, parts: int):
     def work(block: Block, got: dict[int, list[bytes]]):
-        places, h = anchors(block.buf, block.off)
-        places = places[blocks.marked(_part(h, parts), parts, got)]
+        places, number, h, several = _grams(block)
+        places = places[(blocks.marked(_part(h, parts), parts, got) | several)[number]]
         rows: list[tuple[int, bytes]] = []
         if len(places):
             s = Suffixes.at(block, places)
-            gram = np.ascontiguousarray(s.right[:, :GRAM]).view(f"S{GRAM}").reshape(-1)
-            is_hot = np.isin(gram, np.array(sorted(hot), f"S{GRAM}")) if hot else np.zeros(len(places), bool)
-            if is_hot.any():
-                own = places[is_hot]
-                low = np.maximum(own - LEFT, block.off[np.searchsorted(block.off, own, "right") - 1])
-                begin = np.unique(spread(low, own - low + 1))
-                begin = begin[block.off[np.searchsorted(block.off, begin, "right")] - begin >= LENGTH]
-                t = Suffixes.at(block, begin)
-                t.left[:], t.n_left[:] = 0, 0
-                full = np.ascontiguousarray(t.right).view(f"V{LENGTH}").reshape(-1)
-                _, which = np.unique(full, return_inverse=True)
-                by = np.lexsort((t.doc, which))
-                first = np.concatenate(([True], which[by][1:] != which[by][:-1]))
-                least = t.doc[by][first][which]
-                again = t.doc > least  # decided inside the block
-                rows += [(-2, data) for _, data in _answers(again[:, None], t.place, np.zeros(len(t), np.int64))]
-                t = t.take(~again)
-                key = np.ascontiguousarray(t.right).view(f"S{LENGTH}").reshape(-1)
-                bucket = np.searchsorted(hot_splitters, key, "right") + len(splitters) + 1
-                rows += [(int(b), t.take(bucket == b).pack()) for b in np.unique(bucket)]
-            s, gram = s.take(~is_hot), gram[~is_hot]
-            bucket = np.searchsorted(splitters, gram, "right")
-            order = np.argsort(bucket, kind="stable")
-            at = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1]))) if len(order) else []
-            rows += [(int(bucket[order[a]]), s.take(order[a:b]).pack()) for a, b in zip(at, [*at[1:], len(order)])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] if r[0] >= 0 else -2 - abs(block.name) % parts for r in rows], pa.int32()), pa.array([block.name] * len(rows), pa.int64()), blobs([r[1] for r in rows])], names=["bucket", "block", "data"])
+            later = s.later()  # decided inside the block: however common a string is, the block sends it once
+            t = s.take(later)
+            if len(t):
+                place = t.place.astype(np.int64)
+                rows.append((-2 - abs(block.name) % parts, _spans(place - t.n_left, place + t.reach + t.n_right)))
+            rows += [(b, t.pack()) for b, t in buckets.deal(s.take(~later))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block.name] * len(rows), pa.int64()), blobs([r[1] for r in rows])], names=["bucket", "block", "data"])
 
     return work
 
 
-def _sorted_buckets(batches):
-    for table, starts in whole_groups(batches, ["bucket"]):
-        for s, e in zip(starts, [*starts[1:], table.num_rows]):
-            group = table.slice(s, e - s)
-            bucket, name = group.column("bucket")[0].as_py(), group.column("block").to_pylist()
-            data = group.column("data").to_pylist()
-            if bucket >= 0:
-                suffixes, sizes = Suffixes.unpack(data)
-                data = dict(_answers(earlier_repeats(suffixes), suffixes.place, np.repeat(np.arange(len(sizes)), sizes)))
-            else:
-                data = dict(enumerate(data))
-            yield pa.RecordBatch.from_arrays([pa.array([name[k] for k in data], pa.int64()), pa.array([max(bucket, 0)] * len(data), pa.int32()), blobs(list(data.values()))], names=["block", "part", "data"])
+def _sorted_buckets(buckets: Buckets):
+    def run(batches):
+        for table, starts in whole_groups(batches, ["bucket"]):
+            for s, e in zip(starts, [*starts[1:], table.num_rows]):
+                group = table.slice(s, e - s)
+                bucket, name = group.column("bucket")[0].as_py(), group.column("block").to_pylist()
+                data = group.column("data").to_pylist()
+                if bucket >= 0:
+                    suffixes, sizes = Suffixes.unpack(data)
+                    data = dict(_answers(earlier_repeats(suffixes, *buckets.strings(bucket)), suffixes, np.repeat(np.arange(len(sizes)), sizes)))
+                else:
+                    data = dict(enumerate(data))
+                yield pa.RecordBatch.from_arrays([pa.array([name[k] for k in data], pa.int64()), pa.array([max(bucket, 0)] * len(data), pa.int32()), blobs(list(data.values()))], names=["block", "part", "data"])
+
+    return run
 
 
-def _sample(docs: DataFrame, buckets: int) -> tuple[np.ndarray, set[bytes], np.ndarray]:
-    """Splitters of the grams, the hot grams, and splitters of the strings around those, from a bounded sample."""
-    n = docs.count()
-    each = 16
+def _sample(docs: DataFrame, size: int, parts: int) -> np.ndarray:
+    """The bytes around a bounded sample of anchors: EACH for each bucket, SAMPLE at least, from all documents alike."""
+    want = max(SAMPLE, EACH * parts)
+    per_byte = min(1.0, 2 * want * WINDOW / 4 / max(size, 1))  # a text has some 2 / (WINDOW + 1) anchors for each byte
+    share = min(1.0, 8 * per_byte)
+    least = U64(int((1 - per_byte / share) * (2**64 - 1)) if per_byte < share else 0)
 
     def run(batches):
         for block in blocks.cut(batches):
             places, h = anchors(block.buf, block.off)
-            row = np.searchsorted(block.off, places, "right") - 1
-            order = np.lexsort((mix(h ^ U64(99) + places.astype(U64)), row))
-            rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
-            s = Suffixes.at(block, places[order[rank < each]])
-            yield pa.RecordBatch.from_arrays([blobs([x.tobytes() for x in s.right]), blobs([x.tobytes() for x in s.left]), pa.array(s.n_left, pa.int32())], names=["right", "left", "n_left"])
-
-    share = min(1.0, SAMPLE / each / max(n, 1))
-    got = blocks.plain(docs).sample(share, 1).mapInArrow(run, "right binary, left binary, n_left int").limit(2 * SAMPLE).collect()
-    rights = np.array([r["right"] for r in got], f"S{LENGTH}")
-    grams, counts = np.unique(np.array([r["right"][:GRAM] for r in got], f"S{GRAM}"), return_counts=True)
-    hot = {bytes(g) for g in grams[counts >= max(HOT_LEAST, HOT * len(got))]} if len(got) else set()
-    hot = {g.ljust(GRAM, b"\0").rstrip(b"\0") for g in hot}
-    cold = np.sort(np.array([r["right"][:GRAM] for r in got if r["right"][:GRAM].rstrip(b"\0") not in hot], f"S{GRAM}"))
-    strings = []
-    for r in got:
-        if r["right"][:GRAM].rstrip(b"\0") in hot:
-            whole = r["left"][: r["n_left"]][::-1] + r["right"]
-            strings += [whole[k : k + LENGTH] for k in range(0, len(whole) - LENGTH + 1)]
-    strings = np.unique(np.array(strings, f"S{LENGTH}"))
-    pick = lambda x: np.unique(x[np.linspace(0, len(x) - 1, min(buckets, len(x)) + 1).astype(int)[1:-1]]) if len(x) > 2 else x[:0]
-    return pick(cold), hot, pick(strings)
+            s = Suffixes.at(block, places[mix(h ^ U64(99) + places.astype(U64)) >= least])
+            yield pa.RecordBatch.from_arrays([blobs([np.concatenate([s.left[:, ::-1], s.right], axis=1).tobytes()])], names=["around"])
+
+    got = blocks.plain(docs).sample(share, 1).mapInArrow(run, "around binary").collect()
+    return np.frombuffer(b"".join(r["around"] for r in got), np.uint8).reshape(-1, LEFT + LENGTH)
 
 
 def repeated_bytes(docs: DataFrame, finish, schema, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -301,20 +373,23 @@ def repeated_bytes(docs: DataFrame, finish, schema, keep: tuple[str, ...] = ())
 
     1. All documents: 32-bit marks of the grams at anchors, dealt by hash; a bit comes back for each mark that occurs again.
     2. The suffixes at anchors whose gram occurs again go to the bucket that sampled splitters of leading bytes
-       name. Equal grams share a bucket, so no repeat crosses its boundary. Around hot grams all strings
-       travel as suffixes of their own, once for each block, and are split by all their bytes.
+       name. A block decides what it holds of one string itself and sends the smallest document only; suffixes of hot grams
+       are split by longer stretches.
     3. Buckets sort by multikey quicksort, and every run of strings with a smaller document comes back to its block.
     ``finish(block, gone)`` makes the output from a block and the bytes to remove.
+
+    Buckets and parts follow the bytes of the text, PART_BYTES each; with larger executors that may be raised. A text longer
+    than a block is a block of its own, of which a task holds some 60 bytes for each byte.
     """
     docs = blocks.stable(docs)
     size = blocks.text_bytes(docs)
     parts = max(16, -(-size // PART_BYTES))
     spread_ = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    splitters, hot, hot_splitters = _sample(docs, parts)
+    buckets = Buckets(_sample(docs, size, parts), parts)
     marks = blocks.plain(docs).mapInArrow(_marks(parts), "part int, block long, data binary")
     again = blocks.repeated(marks, spread_)
-    suffixes = blocks.with_answers(docs, again, spread_, _buckets(splitters, hot, hot_splitters, parts), "bucket int, block long, data binary")
-    found = suffixes.repartition(spread_, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets, blocks.SCHEMA)
+    suffixes = blocks.with_answers(docs, again, spread_, _dealt(buckets, parts), "bucket int, block long, data binary")
+    found = suffixes.repartition(spread_, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(buckets), blocks.SCHEMA)
 
     def work(block: Block, got: dict[int, list[bytes]]):
         starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

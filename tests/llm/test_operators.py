@@ -446,3 +446,19 @@ def test_html_finds_planted_articles():
         got = html.main_text(page).split("\n")
         found, planted, both = found + len(got), planted + len(lines), both + len([t for t in got if t in set(lines)])
     assert both >= 0.99 * planted and both >= 0.99 * found
+
+
+def test_suffix_array_of_texts_longer_than_blocks(spark):
+    rng = np.random.default_rng(4)
+    noise = rng.integers(97, 123, 1_200_000).astype(np.uint8).tobytes().decode()
+    texts = {1: "a" * 4_500_000, 2: noise, 3: "ab" * 300_000 + "a" * 200, 4: "x" + noise[600_000:1_100_000] + "y" + noise[:49], 5: "b" * 30 + "ab" * 5000 + "a" * 70_000 + noise[-50:], 6: "ab" * 300_000}
+    got = suffixes.repeat_digests(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == _byte_repeats(texts)
+
+
+def test_one_repeated_character_makes_few_suffixes():
+    from candlewick.llm.blocks import Block
+
+    block = Block(np.full(1 << 20, 97, np.uint8), np.array([0, 1 << 20]), np.array([1]))
+    places, *_ = suffixes._grams(block)
+    assert len(places) > 1_000_000 and len(suffixes.Suffixes.at(block, places)) < 200
