@@ -37,15 +37,15 @@ def _target(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
+def written(df: DataFrame, name: str, keep: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder, in folders for each value of ``by``, and read it again.
 
     The files survive the loss of an executor, unlike blocks that executors hold. They go at the end of the
     surrounding ``scratch``, unless ``keep``, and at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     files, target = _target(spark, path)
     files.deleteOnExit(target)
     tables = _TABLES.get()
@@ -54,12 +54,15 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    files, target = _target(spark, path)
+    files.delete(target, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a ``written`` table that nothing reads any more."""
-    spark = df.sparkSession
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        files, target = _target(spark, path)
-        files.delete(target, True)
+        deleted(df.sparkSession, path)
 
 
 @contextmanager
@@ -70,8 +73,7 @@ def scratch(spark: SparkSession):
         yield
     finally:
         for path in _TABLES.get():
-            files, target = _target(spark, path)
-            files.delete(target, True)
+            deleted(spark, path)
         _TABLES.reset(token)
 
 

@@ -1,122 +1,408 @@
 """Removal of word windows that occur earlier, found by recompression.
 
-Rounds rename runs of equal symbols and then pairs of neighbours, one from each half of the alphabet. Names are
-hashes of what they stand for, so all tasks agree on them, and equal stretches of words get equal symbols
-but for the edges, where the surroundings take part. The highest symbol that only a window's own words
-decide mark it; marks that occur twice reveal the windows that may repeat, and hashes of whole windows decide.
+Each round collapses runs of equal symbols and then pairs of neighbours, one from each half of the alphabet. A round is a
+Spark exchange: what the blocks of documents found goes to the part that a hash of it names, which compares the
+contents themselves, numbers those that occur twice or more anywhere, and sends the numbers back. So names are
+the same in all tasks and stand for one content each, and equal stretches of words get equal symbols but for
+the edges, where the surroundings take part. A window whose inner symbols have one that occurs only once can't repeat and
+leaves; what is left shares high symbols with another place, which reveal where equal windows are, and the words decide.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks
 from .blocks import Block
-from .common import U64, Rolling, blobs, mix, seeded, spread, whole_groups, word_bounds, word_hashes
+from .common import U64, Rolling, blobs, deleted, mix, seeded, spread, whole_groups, word_bounds, word_hashes, written
 
 WINDOW = 20
-#: Bytes of text for each part of the two exchanges of marks and windows.
-PART_BYTES = 4 << 20
+#: Bytes of text for each part of the exchanges of windows, and of those of names.
+PART_BYTES, NAME_BYTES = 4 << 20, 8 << 20
+#: Rounds after which something is wrong: a round leaves at most WINDOW - 2 symbols of a window, and fewer each time.
+MOST_ROUNDS = WINDOW
+#: A name is the round's number above this bit, and a number within the round below.
+ROUND_BIT = 48
+_TABLE = "kind string, block long, part int, data binary"
+
+
+# ---------------------------------------------------------------- one round
+
+
+@dataclass
+class Zones:
+    """Symbols of stretches of words, the word where each begins, whether it begins a stretch; and windows: first word, and
+    the symbols low .. high - 1 that the window alone decides."""
+
+    symbol: np.ndarray
+    at: np.ndarray
+    edge: np.ndarray
+    begin: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def without(self, unique: np.ndarray) -> Zones:
+        """Windows without unique symbols, and the symbols that these need."""
+        sums = np.concatenate(([0], np.cumsum(unique)))
+        ok = sums[self.high] == sums[self.low]
+        return self.cut(self.begin[ok], self.low[ok], self.high[ok])
+
+    def cut(self, begin: np.ndarray, low: np.ndarray, high: np.ndarray) -> Zones:
+        needed = blocks.covered(len(self.symbol), low, high)
+        edge = self.edge.copy()
+        edge[1:] |= ~needed[:-1]
+        number = np.cumsum(needed) - 1
+        return Zones(self.symbol[needed], self.at[needed], edge[needed], begin, number[low] if len(low) else low, number[high - 1] + 1 if len(high) else high)
+
+
+@dataclass
+class Nodes:
+    """What a round makes of the symbols: one run or a pair of runs each, as (symbol, length) once or twice; ``zones`` has places for symbols yet to be named."""
+
+    s1: np.ndarray
+    l1: np.ndarray
+    s2: np.ndarray
+    l2: np.ndarray
+    key: np.ndarray
+    zones: Zones
+
+
+def shrunk(z: Zones, key: np.ndarray, level: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], Nodes]:
+    """(first word, word of a symbol, the symbol's index) of windows that end here, and the nodes of the others.
+
+    ``key`` is a hash of what each symbol stands for; it decides halves of the alphabet and goes on into the nodes' keys. A round
+    may join the run at either edge of a window with what lies outside, so both edge runs drop out; so does a left edge of the right
+    half or a right edge of the left half, which may pair with an outside neighbour. A window of which nothing would be left ends
+    with the symbols it has, and takes the least of them by hash.
+    """
+    size = len(z.symbol)
+    new = z.edge.copy()
+    new[1:] |= z.symbol[1:] != z.symbol[:-1]
+    run_at = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    length = np.diff(np.append(run_at, size))
+    runs = z.symbol[run_at]
+    hashes = mix(key[run_at] * U64(3) + length.astype(U64))
+    edge = z.edge[run_at]
+    right = (mix(hashes ^ seeded(1, 100 + level)[0]) >> U64(63)).astype(bool)
+    pair = np.zeros(len(runs), bool)
+    pair[:-1] = ~right[:-1] & right[1:] & ~edge[1:]
+    head = np.ones(len(runs), bool)
+    head[1:] = ~pair[:-1]
+    node = np.cumsum(head) - 1
+
+    low, high = run[z.low] + 1, run[z.high - 1]
+    open_ = low < high
+    low[open_] += right[low[open_]]
+    high[open_] -= ~right[high[open_] - 1]
+    open_ &= low < high
+    closed = ~open_
+    a, b = z.low[closed], z.high[closed]
+    zone = np.ones(len(a), bool)
+    zone[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b = a[zone], b[zone]
+    order = mix(key)
+    best = a.copy()
+    for k in range(1, int((b - a).max(initial=0))):
+        at = np.minimum(a + k, b - 1)
+        best = np.where(order[at] < order[best], at, best)
+    pick = best[np.cumsum(zone) - 1] if len(zone) else best
+    done = z.begin[closed], z.at[pick], pick
+
+    heads = np.flatnonzero(head)
+    low, high = node[low[open_]], node[high[open_] - 1] + 1
+    zones = Zones(heads, z.at[run_at[heads]], edge[heads], z.begin[open_], low, high).cut(z.begin[open_], low, high)
+    first = zones.symbol
+    paired = pair[first]
+    second = np.minimum(first + 1, len(runs) - 1)
+    s2, l2 = np.where(paired, runs[second], 0), np.where(paired, length[second], 0)
+    single = (length[first] == 1) & ~paired
+    names = np.where(single, key[run_at[first]], mix(hashes[first] * U64(5) + np.where(paired, hashes[second], U64(0)) + U64(1)))
+    return done, Nodes(runs[first], length[first], s2, l2, names, zones)
+
+
+def distinct_rows(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(one row of each distinct content, the number of each row's content); equal keys are compared as contents."""
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    if not all(np.array_equal(c, c[first][number]) for c in columns):
+        _, first, number = np.unique(np.stack(columns, 1), axis=0, return_index=True, return_inverse=True)
+    return first, number.reshape(-1)
+
+
+def exact_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one occurrence of each distinct word, the number of each word); equal hashes are compared as bytes."""
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    size = end - start
+    same = np.array_equal(size, size[first][number])
+    step = 1 << 17
+    for a in range(0, len(start), step):
+        if same:
+            n, rep = size[a : a + step], start[first][number[a : a + step]]
+            same = np.array_equal(buf[spread(start[a : a + step], n)], buf[spread(rep, n)])
+    if not same:
+        raw = buf.tobytes()
+        _, first, number = np.unique(np.array([raw[a:b] for a, b in zip(start, end)], object), return_index=True, return_inverse=True)
+    return first, number.reshape(-1)
 
 
 def window_marks(words: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all windows within one text, the number of each window's mark, and the marks.
+    """Starts of all windows within one text, the number of each window's mark, and the marks: the rounds inside one task, with
+    hashes for names. A mark is the symbol that the window ends with."""
+    z = _windows(words, counts, window)
+    begin, marks, where = z.begin, [], []
+    key = words
+    for level in range(1, MOST_ROUNDS + 1):
+        (own, _, pick), nodes = shrunk(z, key, level)
+        marks.append(key[pick])
+        where.append(np.searchsorted(begin, own))
+        z, key = nodes.zones, nodes.key
+        z.symbol = key
+        if not len(z.begin):
+            break
+    number = np.zeros(len(begin), np.int64)
+    found, number[np.concatenate(where)] = np.unique(np.concatenate(marks), return_inverse=True)
+    return begin, number, found
 
-    For a window, ``low`` and ``high`` bound the symbols that it alone decides. A round may join the run at
-    either edge with what lies outside, so both edge runs drop out; so does a left edge of the right
-    half or a right edge of the left half of the alphabet, which may pair with an outside neighbour. The last round
-    that leaves any symbols gives the mark: the symbols it leaves.
-    """
-    n = len(words)
+
+def _windows(symbol: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> Zones:
+    """All words of some texts, and all windows within one text."""
     first = np.cumsum(counts) - counts
     room = np.maximum(counts - window + 1, 0)
     begin = np.repeat(first - (np.cumsum(room) - room), room) + np.arange(room.sum())
-    number = np.zeros(len(begin), np.int64)
-    if not len(begin):
-        return begin, number, np.zeros(0, U64)
-    symbol = words
-    edge = np.zeros(n, bool)
+    edge = np.zeros(len(symbol), bool)
     edge[first[counts > 0]] = True
-    low, high, alive = begin.copy(), begin + window, np.arange(len(begin))
-    marks, have = [], 0
-    for level in range(64):
-        size = len(symbol)
-        new = edge.copy()
-        new[1:] |= symbol[1:] != symbol[:-1]
-        run_at = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        length = np.diff(np.append(run_at, size))
-        runs = symbol[run_at]
-        long_ = length > 1
-        runs[long_] = mix(runs[long_] * U64(3) + length[long_].astype(U64))
-        run_edge = edge[run_at]
-        right = (mix(runs ^ seeded(1, 100 + level)[0]) >> U64(63)).astype(bool)
-        pair = np.zeros(len(runs), bool)
-        pair[:-1] = ~right[:-1] & right[1:] & ~run_edge[1:]
-        head = np.ones(len(runs), bool)
-        head[1:] = ~pair[:-1]
-        node = np.cumsum(head) - 1
-        names = runs.copy()
-        at = np.flatnonzero(pair)
-        names[at] = mix(runs[at] * U64(0x9E3779B97F4A7C15) + mix(runs[at + 1] + U64(level)))
-
-        inner_low = run[low] + 1
-        inner_high = run[high - 1]
-        open_ = inner_low < inner_high
-        inner_low[open_] += right[inner_low[open_]]
-        inner_high[open_] -= ~right[inner_high[open_] - 1]
-        open_ &= inner_low < inner_high
-        closed = ~open_
-        a, b = low[closed], high[closed]
-        new_zone = np.ones(len(a), bool)
-        new_zone[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        number[alive[closed]] = have + np.cumsum(new_zone) - 1
-        marks.append(Rolling(symbol, 13).of(a[new_zone], b[new_zone]) + U64(level))
-        have += int(new_zone.sum())
-        alive = alive[open_]
-        if not len(alive):
-            break
-        low, high = node[inner_low[open_]], node[inner_high[open_] - 1] + 1
-        symbol, edge = names[head], run_edge[head]
-    else:
-        raise RuntimeError("a window outlived all rounds")
-    return begin, number, np.concatenate(marks)
+    return Zones(symbol, np.arange(len(symbol)), edge, begin, begin.copy(), begin + window)
+
+
+# ---------------------------------------------------------------- packing
+
 
+def _planes(x: np.ndarray, by: str) -> bytes:
+    """Byte planes of 64-bit numbers: as they are ("r"), or of their differences, small for both signs ("d")."""
+    x = x.astype(np.int64)
+    if by == "d":
+        x = np.diff(x, prepend=0)
+        x = (x << 1) ^ (x >> 63)
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def _part(x: np.ndarray, parts: int) -> np.ndarray:
-    return ((x >> U64(32)) % U64(parts)).astype(np.int64)
 
+def packed(by: str, *arrays: np.ndarray) -> bytes:
+    return b"".join(len(x).to_bytes(4, "little") for x in arrays) + zstandard.compress(b"".join(_planes(x, k) for k, x in zip(by, arrays)), 1)
+
+
+def unpacked(by: str, data: bytes) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, "<u4", len(by)).tolist()
+    raw, at, out = zstandard.decompress(data[4 * len(by) :]), 0, []
+    for k, n in zip(by, sizes):
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).reshape(-1)
+        at += 8 * n
+        out.append(np.cumsum((x.view(U64) >> U64(1)).view(np.int64) ^ -(x & 1)) if k == "d" else x)
+    return out
 
-def _words(block: Block):
-    start, end, counts = word_bounds(block.buf, block.off)
-    return start, end, counts, word_hashes(block.buf, start, end)
 
+def _by_part(part: np.ndarray, order: np.ndarray):
+    """(part, rows) of each part that has any, in the order that ``order`` puts the rows in."""
+    at = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1]))) if len(order) else []
+    for a, b in zip(at, [*at[1:], len(order)]):
+        yield int(part[order[a]]), order[a:b]
 
-def _marks(parts: int):
+
+# ---------------------------------------------------------------- the first round, on words
+
+
+class _Words:
+    """A block's words, and the distinct contents that the first round asks names for: words, and the runs and pairs of them."""
+
+    def __init__(self, block: Block, parts: int):
+        self.start, self.end, self.counts = word_bounds(block.buf, block.off)
+        h = word_hashes(block.buf, self.start, self.end)
+        first, self.word = exact_words(block.buf, self.start, self.end, h)
+        self.zones = _windows(self.word, self.counts)
+        self.done, self.nodes = shrunk(self.zones, h, 1)
+        n = self.nodes
+        self.made = (n.l1 > 1) | (n.l2 > 0)
+        columns = [x[self.made] for x in (n.s1, n.l1, n.s2, n.l2)]
+        row, self.node = distinct_rows(n.key[self.made], columns)
+        self.s1, self.l1, self.s2, self.l2 = (x[row] for x in columns)
+        key = np.concatenate([mix(h[first]), mix(n.key[self.made][row])])
+        self.several = np.concatenate([np.bincount(self.word, minlength=len(first)) > 1, np.bincount(self.node, minlength=len(row)) > 1])
+        self.part = (key % U64(parts)).astype(np.int64)
+        self.order = np.argsort(self.part, kind="stable")
+        self.first = first
+
+    def contents(self, block: Block) -> list[bytes]:
+        """Words have no white space, so a space between runs and a tab before a run's length keep contents apart."""
+        raw = block.buf.tobytes()
+        words = [raw[a:b] for a, b in zip(self.start[self.first].tolist(), self.end[self.first].tolist())]
+        run = lambda s, n: words[s] if n == 1 else b"%s\t%d" % (words[s], n)
+        return words + [run(a, m) if not k else run(a, m) + b" " + run(b, k) for a, m, b, k in zip(self.s1.tolist(), self.l1.tolist(), self.s2.tolist(), self.l2.tolist())]
+
+
+def _asked(parts: int):
     def run(batches):
         for block in blocks.cut(batches):
-            _, _, counts, words = _words(block)
-            _, _, marks = window_marks(words, counts)
-            found = list(blocks.shared_marks(_part(marks, parts), (marks & U64(0xFFFFFFFF)).astype(np.uint32), parts))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([block.name] * len(found), pa.int64()), blobs([k.tobytes() for _, k in found])], names=["part", "block", "data"])
+            words = _Words(block, parts)
+            contents, out = words.contents(block), []
+            for part, rows in _by_part(words.part, words.order):
+                own = [contents[k] for k in rows.tolist()]
+                sizes = np.fromiter(map(len, own), np.int64, len(own))
+                out.append((part, packed("rr", sizes, words.several[rows]) + b"".join(own)))
+            compress = zstandard.ZstdCompressor(3).compress
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([block.name] * len(out), pa.int64()), blobs([compress(d) for _, d in out])], names=["part", "block", "data"])
 
     return run
 
 
+def _numbers(number: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """1, 2, ... for contents that occur twice or more, 0 for the others."""
+    again = np.bincount(number, 1.0 + several) > 1
+    return np.where(again, np.cumsum(again), 0)[number]
+
+
+def _named(words: bool):
+    """Number the contents of each part, alike in all blocks."""
+
+    def run(batches):
+        for table, starts in whole_groups(batches, ["part"]):
+            for s, e in zip(starts, [*starts[1:], table.num_rows]):
+                group = table.slice(s, e - s)
+                data = group.column("data").to_pylist()
+                if words:
+                    sizes, several, texts = [], [], []
+                    for d in map(zstandard.decompress, data):
+                        n = int.from_bytes(d[:4], "little")
+                        size, flag = unpacked("rr", d)
+                        sizes.append(size)
+                        several.append(flag)
+                        texts.append(d[len(d) - int(size.sum()) :])
+                        assert len(size) == n
+                    size, buf = np.concatenate(sizes), np.frombuffer(b"".join(texts), np.uint8)
+                    end = np.cumsum(size)
+                    _, number = exact_words(buf, end - size, end, word_hashes(buf, end - size, end))
+                    cuts = np.cumsum([0, *map(len, sizes)])
+                    found = _numbers(number, np.concatenate(several))
+                else:
+                    lists = [unpacked("drrrr", d) for d in data]
+                    s1, l1, s2, l2, several = (np.concatenate(x) for x in zip(*lists))
+                    key = mix(mix(mix(s1.astype(U64)) + l1.astype(U64)) + mix(s2.astype(U64) * U64(3) + l2.astype(U64)))
+                    _, number = distinct_rows(key, [s1, l1, s2, l2])
+                    cuts = np.cumsum([0, *[len(x[0]) for x in lists]])
+                    found = _numbers(number, several)
+                yield pa.RecordBatch.from_arrays([group.column("block").combine_chunks(), group.column("part").combine_chunks(), blobs([packed("r", found[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])], names=["block", "part", "data"])
+
+    return run
+
+
+def _names(replies: list[tuple[int, bytes]], level: int, parts: int) -> np.ndarray:
+    """Names in the order in which the contents were asked for, part by part; 0 for what occurs once."""
+    out = [np.zeros(0, np.int64)]
+    for part, data in replies:
+        number = unpacked("r", data)[0]
+        out.append(np.where(number > 0, (level << ROUND_BIT) + (number - 1) * parts + part, 0))
+    return np.concatenate(out)
+
+
+def _rows(block: int, rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), blobs([r[2] for r in rows])], names=["kind", "block", "part", "data"])
+
+
+def _ended(begin: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> list[tuple[str, int, bytes]]:
+    return [("done", -1, packed("ddr", begin, at, symbol))] if len(begin) else []
+
+
+def _next(z: Zones, level: int, parts: int) -> list[tuple[str, int, bytes]]:
+    """The next round of named symbols: windows that end, contents to name, and what to go on with."""
+    if not len(z.begin):
+        return []
+    key = mix(z.symbol.astype(U64))
+    (begin, at, pick), n = shrunk(z, key, level)
+    out = _ended(begin, at, z.symbol[pick])
+    if len(n.zones.begin):
+        made = (n.l1 > 1) | (n.l2 > 0)
+        columns = [x[made] for x in (n.s1, n.l1, n.s2, n.l2)]
+        row, number = distinct_rows(n.key[made], columns)
+        s1, l1, s2, l2 = (x[row] for x in columns)
+        several = np.bincount(number, minlength=len(row)) > 1
+        part = (mix(n.key[made][row]) % U64(parts)).astype(np.int64)
+        order = np.lexsort((s1, part))
+        out += [("ask", p, packed("drrrr", s1[k], l1[k], s2[k], l2[k], several[k])) for p, k in _by_part(part, order)]
+        rank = np.empty(len(row), np.int64)
+        rank[order] = np.arange(len(row))
+        value = np.where(made, 1, n.s1 * 2)
+        value[made] = rank[number] * 2 + 1
+        w = n.zones
+        out.append(("state", -1, packed("rdrddd", value, w.at, w.edge, w.begin, w.low, w.high)))
+    return out
+
+
+def _first_round(parts: int):
+    def work(block: Block, got: dict[int, list[bytes]]):
+        words = _Words(block, parts)
+        names = np.zeros(len(words.order), np.int64)
+        found = _names([(p, d[0]) for p, d in sorted(got.items())], 1, parts)
+        if len(found) != len(names):
+            raise RuntimeError("a block's documents differ between two scans of the same table")
+        names[words.order] = found
+        word, node = names[: len(words.first)], names[len(words.first) :]
+        own = word[words.word]  # each word's name
+        z = words.nodes.zones
+        symbol = word[words.nodes.s1]
+        symbol[words.made] = node[words.node]
+        unique = np.concatenate(([0], np.cumsum(own == 0)))
+        whole = lambda begin: unique[begin + WINDOW] == unique[begin]
+        begin, at, pick = words.done
+        ok = whole(begin)
+        begin, at, pick = begin[ok], at[ok], pick[ok]
+        ok = whole(z.begin)
+        z = Zones(symbol, z.at, z.edge, z.begin[ok], z.low[ok], z.high[ok]).without(symbol == 0)
+        out = _ended(begin, at, own[pick]) + _next(z, 2, parts)
+        left = np.sort(np.concatenate([begin, z.begin]))
+        if len(left):  # the words of all windows that are left
+            needed = blocks.covered(len(own), left, left + WINDOW)
+            first = np.flatnonzero(needed & ~np.concatenate(([False], needed[:-1])))
+            out.append(("words", -1, packed("dddddr", first, np.flatnonzero(needed & ~np.concatenate((needed[1:], [False]))) + 1, words.counts, block.doc, np.zeros(0), own[needed])))
+        yield _rows(block.name, out)
+
+    return work
+
+
+def _round(level: int, parts: int):
+    def run(batches):
+        for table, starts in whole_groups(batches, ["block"]):
+            for s, e in zip(starts, [*starts[1:], table.num_rows]):
+                rows = table.slice(s, e - s).to_pylist()
+                replies = list({r["part"]: r["data"] for r in rows if r["part"] >= 0}.items())
+                names = _names(replies, level, parts)
+                for r in rows:  # equal blocks have one name, and equal rows
+                    if r["part"] < 0:
+                        value, at, edge, begin, low, high = unpacked("rdrddd", r["data"])
+                        made = (value & 1).astype(bool)
+                        if int(value[made].max(initial=-1) >> 1) + 1 != len(names):
+                            raise RuntimeError("names of a block are missing")
+                        symbol = value >> 1
+                        symbol[made] = names[symbol[made]]
+                        z = Zones(symbol, at, edge.astype(bool), begin, low, high).without(symbol == 0)
+                        yield _rows(r["block"], _next(z, level + 1, parts))
+
+    return run
+
+
+# ---------------------------------------------------------------- words decide
+
+
 def _squeezed(x: np.ndarray) -> bytes:
-    """Whole numbers as compressed byte planes of their differences."""
-    change = np.diff(x.astype(np.int64), prepend=0)
-    return zstandard.compress(np.ascontiguousarray(change.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return packed("d", x)
 
 
 def _unsqueezed(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(-1))
+    return unpacked("d", data)[0]
 
 
 def _later(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -130,69 +416,116 @@ def _later(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(parts: int):
-    def work(block: Block, got: dict[int, list[bytes]]):
-        _, _, counts, words = _words(block)
-        begin, number, marks = window_marks(words, counts)
-        shared = blocks.marked(_part(marks, parts), parts, got)
-        begin = begin[shared[number]] if len(begin) else begin
-        rows: list[tuple[int, bytes]] = []
-        if len(begin):
-            key = Rolling(words, 9).of(begin, begin + WINDOW)
-            first = np.cumsum(counts) - counts
-            row = np.repeat(np.arange(len(counts)), counts)[begin]
-            doc, start = block.doc[row], begin - first[row]
-            gone = _later(key, doc, start)  # decided inside the block
-            rows.append((-2 - abs(block.name) % parts, _squeezed(begin[gone])))
-            key, doc, start, begin = key[~gone], doc[~gone], start[~gone], begin[~gone]
-            part = _part(mix(key), parts)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(edges)):
-                own = order[edges[p] : edges[p + 1]]
-                packed = [key[own].tobytes(), _squeezed(doc[own]), _squeezed(start[own]), _squeezed(begin[own])]
-                rows.append((int(p), b"".join(len(x).to_bytes(4, "little") + x for x in packed)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block.name] * len(rows), pa.int64()), blobs([r[1] for r in rows])], names=["bucket", "block", "data"])
+def _same_words(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The number of each window's word sequence among the distinct ones; equal hashes are compared as words."""
+    key = Rolling(words.astype(U64), 9).of(begin, begin + WINDOW)
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    if not all(np.array_equal(words[begin + k], words[begin[first] + k][number]) for k in range(WINDOW)):
+        _, number = np.unique(np.stack([words[begin + k] for k in range(WINDOW)], 1), axis=0, return_inverse=True)
+    return number.reshape(-1)
 
-    return work
 
+def _candidates(parts: int):
+    """Windows that are first in their block, around the symbol they ended with: each occurrence of a symbol goes to the bucket that the symbol names, with the words of its windows."""
 
-def _unpacked(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    for k in range(4):
-        n = int.from_bytes(data[at : at + 4], "little")
-        out.append(np.frombuffer(data, U64, n // 8, at + 4) if k == 0 else _unsqueezed(data[at + 4 : at + 4 + n]))
-        at += 4 + n
-    return out
+    def run(batches):
+        for table, starts in whole_groups(batches, ["block"]):
+            for s, e in zip(starts, [*starts[1:], table.num_rows]):
+                rows = table.slice(s, e - s).to_pylist()
+                texts = [r["data"] for r in rows if r["kind"] == "words"]
+                if not texts:
+                    continue
+                low, high, counts, docs, _, words = unpacked("dddddr", texts[0])  # equal blocks have one name, and equal answers
+                ended = [unpacked("ddr", d) for d in {r["data"] for r in rows if r["kind"] == "done"}]
+                if not ended:
+                    continue
+                begin, at, symbol = (np.concatenate(x) for x in zip(*ended))
+                order = np.argsort(begin, kind="stable")
+                begin, at, symbol = begin[order], at[order], symbol[order]
+                sizes = high - low
+                compact = begin - low[np.searchsorted(low, begin, "right") - 1] + (np.cumsum(sizes) - sizes)[np.searchsorted(low, begin, "right") - 1]
+                first = np.cumsum(counts) - counts
+                row = np.searchsorted(first + counts, begin, "right")
+                doc, start = docs[row], begin - first[row]
+                gone = _later(_same_words(words, compact), doc, start)  # decided inside the block
+                out = [(-2 - abs(rows[0]["block"]) % parts, _squeezed(begin[gone]))]
+                begin, at, symbol, compact, doc, start = (x[~gone] for x in (begin, at, symbol, compact, doc, start))
+                order = np.lexsort((begin, symbol, at))
+                new = np.ones(len(order), bool)
+                new[1:] = (at[order][1:] != at[order][:-1]) | (symbol[order][1:] != symbol[order][:-1])
+                lead, last = order[new], order[np.append(np.flatnonzero(new)[1:], len(order)) - 1] if len(order) else order
+                group = np.empty(len(order), np.int64)
+                group[order] = np.cumsum(new) - 1
+                offset = begin - begin[lead][group]  # of each window in its group, below WINDOW
+                bits = np.zeros(len(lead), np.int64)
+                np.bitwise_or.at(bits, group, np.int64(1) << offset)
+                wide = begin[last] - begin[lead] + WINDOW
+                part = (mix(symbol[lead].astype(U64) ^ U64(77)) % U64(parts)).astype(np.int64)
+                for p, k in _by_part(part, np.lexsort((begin[lead], part))):
+                    out.append((p, packed("rdrrrdr", symbol[lead[k]], begin[lead[k]], bits[k], doc[lead[k]], start[lead[k]], wide[k], words[spread(compact[lead[k]], wide[k])])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([rows[0]["block"]] * len(out), pa.int64()), blobs([r[1] for r in out])], names=["bucket", "block", "data"])
+
+    return run
 
 
 def _compared(batches):
     for table, starts in whole_groups(batches, ["bucket"]):
         for s, e in zip(starts, [*starts[1:], table.num_rows]):
             group = table.slice(s, e - s)
-            bucket, data = group.column("bucket")[0].as_py(), group.column("data").to_pylist()
+            bucket, name, data = group.column("bucket")[0].as_py(), group.column("block").to_pylist(), group.column("data").to_pylist()
             if bucket >= 0:
-                lists = [_unpacked(x) for x in data]
-                gone = _later(*[np.concatenate([x[k] for x in lists]) for k in range(3)])
-                cuts = np.cumsum([0, *[len(x[0]) for x in lists]])
-                data = [_squeezed(x[3][gone[a:b]]) for x, a, b in zip(lists, cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([group.column("block").combine_chunks(), pa.array([max(bucket, 0)] * len(data), pa.int32()), blobs(data)], names=["block", "part", "data"])
+                lists = [unpacked("rdrrrdr", x) for x in data]
+                symbol, place, bits, doc, start, wide, words = (np.concatenate(x) for x in zip(*lists))
+                origin = np.repeat(np.arange(len(lists)), [len(x[0]) for x in lists])
+                _, number, count = np.unique(symbol, return_inverse=True, return_counts=True)
+                shared = np.flatnonzero(count[number] > 1)  # a symbol at one place only has no equal window elsewhere
+                row, offset = np.nonzero(bits[shared, None] >> np.arange(WINDOW) & 1)
+                row = shared[row]
+                same = _same_words(words, (np.cumsum(wide) - wide)[row] + offset)
+                gone = _later(same, doc[row], start[row] + offset)
+                row, found = row[gone], (place[row] + offset)[gone]
+                data = {k: _squeezed(found[origin[row] == k]) for k in np.unique(origin[row]).tolist()}
+            else:
+                data = dict(enumerate(data))
+            yield pa.RecordBatch.from_arrays([pa.array([name[k] for k in data], pa.int64()), pa.array([max(bucket, 0)] * len(data), pa.int32()), blobs(list(data.values()))], names=["block", "part", "data"])
 
 
 def repeated_words(docs: DataFrame, finish, schema) -> DataFrame:
     """Find each word covered by a window of WINDOW words that also starts earlier: in a smaller doc_id, or before in the same document.
 
-    1. Marks of all windows, 32 bits beside the part a hash deals them to; a bit comes back for each that occurs again.
-    2. Windows with such a mark are compared by 64-bit hashes beside the part, inside their block first, so that a window
-       occurs once for each block however common it is, and then in the part that its hash names.
+    1. The first round names words, and runs and pairs of them, from the bytes of all documents; each further round names runs and
+       pairs of symbols, for the windows that are left, and ends in a shared table.
+    2. Windows that are left at their end are compared as sequences of words' names, which stand for one word each: inside their
+       block, so that a window occurs once for each block however common it is, and then where the symbol they ended with meets its like.
     3. Later windows come back to their block. ``finish(block, start, end, counts, gone)`` makes the output.
+
+    All exchanges have parts in proportion to the bytes of the text. A text longer than a block is a block of its own, of which a
+    task holds some 100 bytes for each byte.
     """
+    spark = docs.sparkSession
     docs = blocks.stable(docs)
     size = blocks.text_bytes(docs)
-    parts = max(16, -(-size // PART_BYTES))
-    shuffle = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    marks = blocks.plain(docs).mapInArrow(_marks(parts), "part int, block long, data binary")
-    windows = blocks.with_answers(docs, blocks.repeated(marks, shuffle), shuffle, _candidates(parts), "bucket int, block long, data binary")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, names = max(16, -(-size // PART_BYTES)), max(16, -(-size // NAME_BYTES))
+    shuffle = max(parts, least)
+    named = lambda asked, words: asked.repartition(names, "part").sortWithinPartitions("part").mapInArrow(_named(words), blocks.SCHEMA)
+    asked = blocks.plain(docs).mapInArrow(_asked(names), "part int, block long, data binary")
+    table = written(blocks.with_answers(docs, named(asked, True), shuffle, _first_round(names), _TABLE), "round", by=("kind",))
+    kind = lambda k: table.filter(F.col("kind") == k).select("block", "part", "data")  # noqa: B023, E731
+    kept = table.filter("kind in ('words', 'done')")
+    for level in range(2, MOST_ROUNDS + 1):
+        state = kind("state")
+        if state.isEmpty():
+            break
+        rows = state.unionByName(named(kind("ask"), False)).repartition(shuffle, "block").sortWithinPartitions("block", "part")
+        old, table = table, written(rows.mapInArrow(_round(level, names), _TABLE), "round", by=("kind",))
+        for path in {f.rsplit("/kind=", 1)[0] for f in old.inputFiles()}:
+            for k in ("state", "ask"):
+                deleted(spark, f"{path}/kind={k}")
+        kept = kept.unionByName(table.filter("kind = 'done'"))
+    else:
+        raise RuntimeError("a window outlived all rounds")
+    windows = kept.select("kind", "block", "data").repartition(shuffle, "block").sortWithinPartitions("block").mapInArrow(_candidates(parts), "bucket int, block long, data binary")
     later = windows.repartition(shuffle, "bucket").sortWithinPartitions("bucket").mapInArrow(_compared, blocks.SCHEMA)
 
     def work(block: Block, got: dict[int, list[bytes]]):

@@ -462,3 +462,36 @@ def test_one_repeated_character_makes_few_suffixes():
     block = Block(np.full(1 << 20, 97, np.uint8), np.array([0, 1 << 20]), np.array([1]))
     places, *_ = suffixes._grams(block)
     assert len(places) > 1_000_000 and len(suffixes.Suffixes.at(block, places)) < 200
+
+
+def test_recompression_decides_what_is_compared(spark, monkeypatch):
+    """Only windows whose symbols the rounds name as shared reach the comparison: without names nothing is removed."""
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    shared = words(60)
+    docs = spark.createDataFrame([(k, f"{words(rng.randint(30, 200))} {shared} {words(50)}") for k in range(40)] + [(100, "a b " * 300), (101, "c " * 90 + words(30))], "doc_id long, text string").repartition(4)
+    assert sum(r.n_removed for r in recompression.repeat_digests(docs).collect()) >= 39 * 60
+    named = recompression._named
+
+    def nothing_shared(by_words):
+        run = named(by_words)
+
+        def blank(batches):
+            for b in run(batches):
+                yield b.set_column(2, "data", recompression.blobs([recompression.packed("r", 0 * recompression.unpacked("r", d)[0]) for d in b.column("data").to_pylist()]))
+
+        return blank
+
+    monkeypatch.setattr(recompression, "_named", nothing_shared)
+    assert sum(r.n_removed for r in recompression.repeat_digests(docs).collect()) == 0
+
+
+def test_contents_with_equal_hashes_are_told_apart():
+    buf = np.frombuffer(b"ab cd ab ef", np.uint8)
+    start, end = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11])
+    first, number = recompression.exact_words(buf, start, end, np.zeros(4, np.uint64))
+    assert number[0] == number[2] and len(set(number)) == 3 and len(first) == 3
+    _, number = recompression.distinct_rows(np.zeros(3, np.uint64), [np.array([1, 1, 1]), np.array([2, 3, 2])])
+    assert number[0] == number[2] != number[1]
+    codes, words = bpe._distinct(np.frombuffer("abcd".encode("utf-32-le"), np.uint32), "abcd", np.array([0, 2]), np.array([2, 4]))
+    assert [words[k] for k in codes] == ["ab", "cd"]
