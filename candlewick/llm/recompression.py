@@ -14,6 +14,7 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -38,13 +39,14 @@ _TABLE = "kind string, block long, part int, data binary"
 
 @dataclass
 class Zones:
-    """Symbols of stretches of words, the word where each begins, whether it begins a stretch; and windows: first word, and
-    the symbols low .. high - 1 that the window alone decides."""
+    """Symbols of stretches of words, the word where each begins, whether it begins a stretch; and series of windows: first word of the
+    first one, how many there are, one word apart, and the symbols low .. high - 1 that each of them alone decides."""
 
     symbol: np.ndarray
     at: np.ndarray
     edge: np.ndarray
     begin: np.ndarray
+    n: np.ndarray
     low: np.ndarray
     high: np.ndarray
 
@@ -52,14 +54,20 @@ class Zones:
         """Windows without unique symbols, and the symbols that these need."""
         sums = np.concatenate(([0], np.cumsum(unique)))
         ok = sums[self.high] == sums[self.low]
-        return self.cut(self.begin[ok], self.low[ok], self.high[ok])
-
-    def cut(self, begin: np.ndarray, low: np.ndarray, high: np.ndarray) -> Zones:
+        return self.cut(self.begin[ok], self.n[ok], self.low[ok], self.high[ok])
+
+    def cut(self, begin: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> Zones:
+        """Other windows, those that follow each other with the same symbols as one series, and the symbols that they need."""
+        if len(begin):
+            new = np.ones(len(begin), bool)
+            new[1:] = (begin[1:] != begin[:-1] + n[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            at = np.flatnonzero(new)
+            begin, n, low, high = begin[at], np.add.reduceat(n, at), low[at], high[at]
         needed = blocks.covered(len(self.symbol), low, high)
         edge = self.edge.copy()
         edge[1:] |= ~needed[:-1]
         number = np.cumsum(needed) - 1
-        return Zones(self.symbol[needed], self.at[needed], edge[needed], begin, number[low] if len(low) else low, number[high - 1] + 1 if len(high) else high)
+        return Zones(self.symbol[needed], self.at[needed], edge[needed], begin, n, number[low] if len(low) else low, number[high - 1] + 1 if len(high) else high)
 
 
 @dataclass
@@ -74,8 +82,8 @@ class Nodes:
     zones: Zones
 
 
-def shrunk(z: Zones, key: np.ndarray, level: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], Nodes]:
-    """(first word, word of a symbol, the symbol's index) of windows that end here, and the nodes of the others.
+def shrunk(z: Zones, key: np.ndarray, level: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Nodes]:
+    """(first word, number, word of a symbol, the symbol's index) of windows that end here, and the nodes of the others.
 
     ``key`` is a hash of what each symbol stands for; it decides halves of the alphabet and goes on into the nodes' keys. A round
     may join the run at either edge of a window with what lies outside, so both edge runs drop out; so does a left edge of the right
@@ -114,11 +122,12 @@ def shrunk(z: Zones, key: np.ndarray, level: int) -> tuple[tuple[np.ndarray, np.
         at = np.minimum(a + k, b - 1)
         best = np.where(order[at] < order[best], at, best)
     pick = best[np.cumsum(zone) - 1] if len(zone) else best
-    done = z.begin[closed], z.at[pick], pick
+    done = z.begin[closed], z.n[closed], z.at[pick], pick
 
     heads = np.flatnonzero(head)
     low, high = node[low[open_]], node[high[open_] - 1] + 1
-    zones = Zones(heads, z.at[run_at[heads]], edge[heads], z.begin[open_], low, high).cut(z.begin[open_], low, high)
+    own = z.begin[open_], z.n[open_], low, high
+    zones = Zones(heads, z.at[run_at[heads]], edge[heads], *own).cut(*own)
     first = zones.symbol
     paired = pair[first]
     second = np.minimum(first + 1, len(runs) - 1)
@@ -128,9 +137,18 @@ def shrunk(z: Zones, key: np.ndarray, level: int) -> tuple[tuple[np.ndarray, np.
     return done, Nodes(runs[first], length[first], s2, l2, names, zones)
 
 
+def _first_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first place of each distinct value, the number of each value), in order of appearance."""
+    number = pd.factorize(key)[0]
+    most = np.maximum.accumulate(number) if len(number) else number
+    new = np.ones(len(number), bool)
+    new[1:] = most[1:] > most[:-1]
+    return np.flatnonzero(new), number
+
+
 def distinct_rows(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(one row of each distinct content, the number of each row's content); equal keys are compared as contents."""
-    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    first, number = _first_of(key)
     if not all(np.array_equal(c, c[first][number]) for c in columns):
         _, first, number = np.unique(np.stack(columns, 1), axis=0, return_index=True, return_inverse=True)
     return first, number.reshape(-1)
@@ -138,7 +156,7 @@ def distinct_rows(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarra
 
 def exact_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one occurrence of each distinct word, the number of each word); equal hashes are compared as bytes."""
-    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    first, number = _first_of(h)
     size = end - start
     same = np.array_equal(size, size[first][number])
     step = 1 << 17
@@ -159,9 +177,9 @@ def window_marks(words: np.ndarray, counts: np.ndarray, window: int = WINDOW) ->
     begin, marks, where = z.begin, [], []
     key = words
     for level in range(1, MOST_ROUNDS + 1):
-        (own, _, pick), nodes = shrunk(z, key, level)
-        marks.append(key[pick])
-        where.append(np.searchsorted(begin, own))
+        (own, n, _, pick), nodes = shrunk(z, key, level)
+        marks.append(np.repeat(key[pick], n))
+        where.append(np.searchsorted(begin, spread(own, n)))
         z, key = nodes.zones, nodes.key
         z.symbol = key
         if not len(z.begin):
@@ -178,31 +196,40 @@ def _windows(symbol: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> Zo
     begin = np.repeat(first - (np.cumsum(room) - room), room) + np.arange(room.sum())
     edge = np.zeros(len(symbol), bool)
     edge[first[counts > 0]] = True
-    return Zones(symbol, np.arange(len(symbol)), edge, begin, begin.copy(), begin + window)
+    return Zones(symbol, np.arange(len(symbol)), edge, begin, np.ones(len(begin), np.int64), begin.copy(), begin + window)
 
 
 # ---------------------------------------------------------------- packing
 
 
-def _planes(x: np.ndarray, by: str) -> bytes:
-    """Byte planes of 64-bit numbers: as they are ("r"), or of their differences, small for both signs ("d")."""
+def _planes(x: np.ndarray, by: str) -> tuple[int, bytes]:
+    """Bytes for each number, and byte planes of whole numbers: as they are ("r"), or of their differences, small for both signs ("d")."""
     x = x.astype(np.int64)
     if by == "d":
         x = np.diff(x, prepend=0)
         x = (x << 1) ^ (x >> 63)
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def packed(by: str, *arrays: np.ndarray) -> bytes:
-    return b"".join(len(x).to_bytes(4, "little") for x in arrays) + zstandard.compress(b"".join(_planes(x, k) for k, x in zip(by, arrays)), 1)
-
-
-def unpacked(by: str, data: bytes) -> list[np.ndarray]:
-    sizes = np.frombuffer(data, "<u4", len(by)).tolist()
-    raw, at, out = zstandard.decompress(data[4 * len(by) :]), 0, []
-    for k, n in zip(by, sizes):
-        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).reshape(-1)
-        at += 8 * n
+    wide = max(1, -(-int(np.bitwise_or.reduce(x.view(U64), initial=U64(0))).bit_length() // 8))
+    return wide, np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
+
+
+def packed(by: str, *arrays: np.ndarray, plain: bool = False) -> bytes:
+    """``plain``: not compressed, for what is compressed as a whole later."""
+    planes = [_planes(x, k) for k, x in zip(by, arrays)]
+    head = b"".join(len(x).to_bytes(4, "little") + bytes([wide]) for x, (wide, _) in zip(arrays, planes))
+    body = b"".join(data for _, data in planes)
+    return head + (body if plain else zstandard.compress(body, 1))
+
+
+def unpacked(by: str, data: bytes, plain: bool = False) -> list[np.ndarray]:
+    heads = [(int.from_bytes(data[5 * k : 5 * k + 4], "little"), data[5 * k + 4]) for k in range(len(by))]
+    raw, at, out = data[5 * len(by) :], 0, []
+    if not plain:
+        raw = zstandard.decompress(raw)
+    for k, (n, wide) in zip(by, heads):
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :wide] = np.frombuffer(raw, np.uint8, wide * n, at).reshape(wide, n).T
+        x = x.view(np.int64).reshape(-1)
+        at += wide * n
         out.append(np.cumsum((x.view(U64) >> U64(1)).view(np.int64) ^ -(x & 1)) if k == "d" else x)
     return out
 
@@ -234,28 +261,46 @@ class _Words:
         key = np.concatenate([mix(h[first]), mix(n.key[self.made][row])])
         self.several = np.concatenate([np.bincount(self.word, minlength=len(first)) > 1, np.bincount(self.node, minlength=len(row)) > 1])
         self.part = (key % U64(parts)).astype(np.int64)
-        self.order = np.argsort(self.part, kind="stable")
+        self.order = np.argsort(self.part.astype(np.uint16) if parts <= 1 << 16 else self.part, kind="stable")
         self.first = first
 
-    def contents(self, block: Block) -> list[bytes]:
-        """Words have no white space, so a space between runs and a tab before a run's length keep contents apart."""
-        raw = block.buf.tobytes()
-        words = [raw[a:b] for a, b in zip(self.start[self.first].tolist(), self.end[self.first].tolist())]
-        run = lambda s, n: words[s] if n == 1 else b"%s\t%d" % (words[s], n)
-        return words + [run(a, m) if not k else run(a, m) + b" " + run(b, k) for a, m, b, k in zip(self.s1.tolist(), self.l1.tolist(), self.s2.tolist(), self.l2.tolist())]
+    def contents(self, block: Block) -> tuple[bytes, np.ndarray]:
+        """Bytes and sizes of the contents in the order of ``order``. Words have no white space, so a space between runs and a tab before
+        a run's length keep contents apart."""
+        size = self.end - self.start
+        one, two = self.first[np.concatenate([np.arange(len(self.first)), self.s1])], self.first[self.s2]
+        none = np.zeros(len(self.first), np.int64)
+        paired = np.concatenate([none, self.l2 > 0]).astype(np.int64)
+        start = np.stack([self.start[one], np.full(len(one), len(block.buf)), np.concatenate([none, self.start[two]])], 1)
+        wide = np.stack([size[one], paired, np.concatenate([none, size[two]]) * paired], 1)
+        raw, more, at = block.buf.tobytes(), [b" "], len(block.buf) + 1
+        word = lambda k, n: raw[self.start[self.first[k]] : self.end[self.first[k]]] + (b"\t%d" % n if n > 1 else b"")
+        for k in np.flatnonzero((self.l1 > 1) | (self.l2 > 1)).tolist():
+            text = word(self.s1[k], self.l1[k]) + (b" " + word(self.s2[k], self.l2[k]) if self.l2[k] else b"")
+            start[len(self.first) + k], wide[len(self.first) + k] = (at, 0, 0), (len(text), 0, 0)
+            more.append(text)
+            at += len(text)
+        start, wide = start[self.order], wide[self.order]
+        source = np.concatenate([block.buf, np.frombuffer(b"".join(more), np.uint8)])
+        out, step = [], 1 << 16
+        for a in range(0, len(start), step):
+            out.append(source[spread(start[a : a + step].reshape(-1), wide[a : a + step].reshape(-1))])
+        return b"".join(x.tobytes() for x in out), wide.sum(axis=1)
 
 
 def _asked(parts: int):
     def run(batches):
+        compress = zstandard.ZstdCompressor(1).compress
         for block in blocks.cut(batches):
             words = _Words(block, parts)
-            contents, out = words.contents(block), []
-            for part, rows in _by_part(words.part, words.order):
-                own = [contents[k] for k in rows.tolist()]
-                sizes = np.fromiter(map(len, own), np.int64, len(own))
-                out.append((part, packed("rr", sizes, words.several[rows]) + b"".join(own)))
-            compress = zstandard.ZstdCompressor(3).compress
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([block.name] * len(out), pa.int64()), blobs([compress(d) for _, d in out])], names=["part", "block", "data"])
+            raw, sizes = words.contents(block)
+            ends = np.cumsum(sizes)
+            several, part, out = words.several[words.order], words.part[words.order], []
+            cuts = np.searchsorted(part, np.arange(parts + 1)).tolist()
+            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if a < b:
+                    out.append((p, compress(packed("rr", sizes[a:b], several[a:b], plain=True) + raw[ends[a] - sizes[a] : ends[b - 1]])))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([block.name] * len(out), pa.int64()), blobs([d for _, d in out])], names=["part", "block", "data"])
 
     return run
 
@@ -277,12 +322,10 @@ def _named(words: bool):
                 if words:
                     sizes, several, texts = [], [], []
                     for d in map(zstandard.decompress, data):
-                        n = int.from_bytes(d[:4], "little")
-                        size, flag = unpacked("rr", d)
+                        size, flag = unpacked("rr", d, plain=True)
                         sizes.append(size)
                         several.append(flag)
                         texts.append(d[len(d) - int(size.sum()) :])
-                        assert len(size) == n
                     size, buf = np.concatenate(sizes), np.frombuffer(b"".join(texts), np.uint8)
                     end = np.cumsum(size)
                     _, number = exact_words(buf, end - size, end, word_hashes(buf, end - size, end))
@@ -313,8 +356,8 @@ def _rows(block: int, rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), blobs([r[2] for r in rows])], names=["kind", "block", "part", "data"])
 
 
-def _ended(begin: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> list[tuple[str, int, bytes]]:
-    return [("done", -1, packed("ddr", begin, at, symbol))] if len(begin) else []
+def _ended(begin: np.ndarray, n: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> list[tuple[str, int, bytes]]:
+    return [("done", -1, packed("drdr", begin, n, at, symbol))] if len(begin) else []
 
 
 def _next(z: Zones, level: int, parts: int) -> list[tuple[str, int, bytes]]:
@@ -322,8 +365,8 @@ def _next(z: Zones, level: int, parts: int) -> list[tuple[str, int, bytes]]:
     if not len(z.begin):
         return []
     key = mix(z.symbol.astype(U64))
-    (begin, at, pick), n = shrunk(z, key, level)
-    out = _ended(begin, at, z.symbol[pick])
+    (begin, many, at, pick), n = shrunk(z, key, level)
+    out = _ended(begin, many, at, z.symbol[pick])
     if len(n.zones.begin):
         made = (n.l1 > 1) | (n.l2 > 0)
         columns = [x[made] for x in (n.s1, n.l1, n.s2, n.l2)]
@@ -338,7 +381,7 @@ def _next(z: Zones, level: int, parts: int) -> list[tuple[str, int, bytes]]:
         value = np.where(made, 1, n.s1 * 2)
         value[made] = rank[number] * 2 + 1
         w = n.zones
-        out.append(("state", -1, packed("rdrddd", value, w.at, w.edge, w.begin, w.low, w.high)))
+        out.append(("state", -1, packed("rdrdrdd", value, w.at, w.edge, w.begin, w.n, w.low, w.high)))
     return out
 
 
@@ -356,14 +399,17 @@ def _first_round(parts: int):
         symbol = word[words.nodes.s1]
         symbol[words.made] = node[words.node]
         unique = np.concatenate(([0], np.cumsum(own == 0)))
-        whole = lambda begin: unique[begin + WINDOW] == unique[begin]
-        begin, at, pick = words.done
-        ok = whole(begin)
+        # a series of windows has as many starts as its word has windows; each window needs all its own words shared
+        begin, n, at, pick = words.done
+        at, pick, begin = np.repeat(at, n), np.repeat(pick, n), spread(begin, n)
+        ok = unique[begin + WINDOW] == unique[begin]
         begin, at, pick = begin[ok], at[ok], pick[ok]
-        ok = whole(z.begin)
-        z = Zones(symbol, z.at, z.edge, z.begin[ok], z.low[ok], z.high[ok]).without(symbol == 0)
-        out = _ended(begin, at, own[pick]) + _next(z, 2, parts)
-        left = np.sort(np.concatenate([begin, z.begin]))
+        low, high, left = np.repeat(z.low, z.n), np.repeat(z.high, z.n), spread(z.begin, z.n)
+        ok = unique[left + WINDOW] == unique[left]
+        one = np.ones(int(ok.sum()), np.int64)
+        z = Zones(symbol, z.at, z.edge, left[ok], one, low[ok], high[ok]).without(symbol == 0)
+        out = _ended(begin, np.ones(len(begin), np.int64), at, own[pick]) + _next(z, 2, parts)
+        left = np.sort(np.concatenate([begin, spread(z.begin, z.n)]))
         if len(left):  # the words of all windows that are left
             needed = blocks.covered(len(own), left, left + WINDOW)
             first = np.flatnonzero(needed & ~np.concatenate(([False], needed[:-1])))
@@ -382,13 +428,13 @@ def _round(level: int, parts: int):
                 names = _names(replies, level, parts)
                 for r in rows:  # equal blocks have one name, and equal rows
                     if r["part"] < 0:
-                        value, at, edge, begin, low, high = unpacked("rdrddd", r["data"])
+                        value, at, edge, begin, n, low, high = unpacked("rdrdrdd", r["data"])
                         made = (value & 1).astype(bool)
                         if int(value[made].max(initial=-1) >> 1) + 1 != len(names):
                             raise RuntimeError("names of a block are missing")
                         symbol = value >> 1
                         symbol[made] = names[symbol[made]]
-                        z = Zones(symbol, at, edge.astype(bool), begin, low, high).without(symbol == 0)
+                        z = Zones(symbol, at, edge.astype(bool), begin, n, low, high).without(symbol == 0)
                         yield _rows(r["block"], _next(z, level + 1, parts))
 
     return run
@@ -419,7 +465,7 @@ def _later(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
 def _same_words(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The number of each window's word sequence among the distinct ones; equal hashes are compared as words."""
     key = Rolling(words.astype(U64), 9).of(begin, begin + WINDOW)
-    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    first, number = _first_of(key)
     if not all(np.array_equal(words[begin + k], words[begin[first] + k][number]) for k in range(WINDOW)):
         _, number = np.unique(np.stack([words[begin + k] for k in range(WINDOW)], 1), axis=0, return_inverse=True)
     return number.reshape(-1)
@@ -436,10 +482,11 @@ def _candidates(parts: int):
                 if not texts:
                     continue
                 low, high, counts, docs, _, words = unpacked("dddddr", texts[0])  # equal blocks have one name, and equal answers
-                ended = [unpacked("ddr", d) for d in {r["data"] for r in rows if r["kind"] == "done"}]
+                ended = [unpacked("drdr", d) for d in {r["data"] for r in rows if r["kind"] == "done"}]
                 if not ended:
                     continue
-                begin, at, symbol = (np.concatenate(x) for x in zip(*ended))
+                begin, n, at, symbol = (np.concatenate(x) for x in zip(*ended))
+                begin, at, symbol = spread(begin, n), np.repeat(at, n), np.repeat(symbol, n)
                 order = np.argsort(begin, kind="stable")
                 begin, at, symbol = begin[order], at[order], symbol[order]
                 sizes = high - low
@@ -505,19 +552,17 @@ def repeated_words(docs: DataFrame, finish, schema) -> DataFrame:
     spark = docs.sparkSession
     docs = blocks.stable(docs)
     size = blocks.text_bytes(docs)
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts, names = max(16, -(-size // PART_BYTES)), max(16, -(-size // NAME_BYTES))
-    shuffle = max(parts, least)
     named = lambda asked, words: asked.repartition(names, "part").sortWithinPartitions("part").mapInArrow(_named(words), blocks.SCHEMA)
     asked = blocks.plain(docs).mapInArrow(_asked(names), "part int, block long, data binary")
-    table = written(blocks.with_answers(docs, named(asked, True), shuffle, _first_round(names), _TABLE), "round", by=("kind",))
+    table = written(blocks.with_answers(docs, named(asked, True), parts, _first_round(names), _TABLE), "round", by=("kind",))
     kind = lambda k: table.filter(F.col("kind") == k).select("block", "part", "data")  # noqa: B023, E731
     kept = table.filter("kind in ('words', 'done')")
     for level in range(2, MOST_ROUNDS + 1):
         state = kind("state")
         if state.isEmpty():
             break
-        rows = state.unionByName(named(kind("ask"), False)).repartition(shuffle, "block").sortWithinPartitions("block", "part")
+        rows = state.unionByName(named(kind("ask"), False)).repartition(names, "block").sortWithinPartitions("block", "part")
         old, table = table, written(rows.mapInArrow(_round(level, names), _TABLE), "round", by=("kind",))
         for path in {f.rsplit("/kind=", 1)[0] for f in old.inputFiles()}:
             for k in ("state", "ask"):
@@ -525,15 +570,15 @@ def repeated_words(docs: DataFrame, finish, schema) -> DataFrame:
         kept = kept.unionByName(table.filter("kind = 'done'"))
     else:
         raise RuntimeError("a window outlived all rounds")
-    windows = kept.select("kind", "block", "data").repartition(shuffle, "block").sortWithinPartitions("block").mapInArrow(_candidates(parts), "bucket int, block long, data binary")
-    later = windows.repartition(shuffle, "bucket").sortWithinPartitions("bucket").mapInArrow(_compared, blocks.SCHEMA)
+    windows = kept.select("kind", "block", "data").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_candidates(parts), "bucket int, block long, data binary")
+    later = windows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compared, blocks.SCHEMA)
 
     def work(block: Block, got: dict[int, list[bytes]]):
         start, end, counts = word_bounds(block.buf, block.off)
         at = np.concatenate([np.zeros(0, np.int64), *[_unsqueezed(d) for many in got.values() for d in set(many)]])
         yield finish(block, start, end, counts, blocks.covered(len(start), at, at + WINDOW))
 
-    return blocks.with_answers(docs, later, shuffle, work, schema)
+    return blocks.with_answers(docs, later, parts, work, schema)
 
 
 def _kept(block: Block, start: np.ndarray, end: np.ndarray, counts: np.ndarray, gone: np.ndarray):
