@@ -10,6 +10,15 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under the local temporary folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'candlewick-shared')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new path under ``spark.checkpoint.dir``, or under the local temporary folder where that is unset and Spark runs in one process; it goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{os.path.join(tempfile.gettempdir(), 'candlewick-shared')}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.recursive import recursive
 from ..functions.windows import mean
 from ..sources.bars import monthly, weekly
 from .indicators import latest
@@ -39,6 +40,12 @@ def screen(rows: DataFrame, *, least_cap_cr=None, most_pe=None, least_roe=None,
     return out.orderBy(F.col("market_cap").desc(), "symbol").limit(limit) if limit else out
 
 
+def company_info(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Facts of the asked symbols, unknown ones with nulls; sector and industry are "N/A" where unknown."""
+    facts = symbols.select("symbol").join(rows, "symbol", "left")
+    return facts.withColumns({c: F.coalesce(F.col(c), F.lit("N/A")) for c in ("sector", "industry") if c in facts.columns})
+
+
 def search(rows: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Exact symbols first, then prefixes, then symbols or names that contain the query; larger caps first inside a tier."""
     q = F.lit(query.upper())
@@ -94,17 +101,31 @@ def volume_profile(bars: DataFrame, bins: int = 20, value_area: float = 0.7, lea
     return out.select("symbol", "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("price_low"), (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("price_high"), "volume", (F.col("volume") / total * 100).alias("percent"), (F.row_number().over(order) == 1).alias("is_poc"), (so_far < value_area * total).alias("in_value_area"))
 
 
+def overlays(bars: DataFrame, *lengths: int) -> DataFrame:
+    """Simple means of the close for charts of weekly or four-hour bars."""
+    return bars.withColumns({f"sma_{n}": mean("close", n) for n in lengths})
+
+
 def multi_timeframe(bars: DataFrame) -> DataFrame:
-    """Daily close against SMA20, weekly against SMA10, monthly trend (last against third last close), and their alignment."""
-    d = latest(bars.withColumn("sma", mean("close", 20))).select("symbol", F.when(F.col("close") > F.col("sma"), "bullish").when(F.col("sma").isNotNull(), "bearish").alias("daily"))
-    week = weekly(bars).withColumnRenamed("bucket", "bar_ts")
-    w = latest(week.withColumn("sma", mean("close", 10))).select("symbol", F.when(F.col("close") > F.col("sma"), "bullish").when(F.col("sma").isNotNull(), "bearish").alias("weekly"))
-    month = monthly(bars).withColumnRenamed("bucket", "bar_ts")
-    back = F.lag("close", 2).over(Window.partitionBy("symbol").orderBy("bar_ts"))
-    m = latest(month.withColumn("third", back)).select("symbol", F.when(F.col("close") > F.col("third"), "bullish").when(F.col("third").isNotNull(), "bearish").alias("monthly"))
+    """One row for each symbol: RSI14, MACD and SMA20 daily, RSI14 and SMA10 weekly, SMA6 and trend (last against third last close) monthly, and their alignment.
+
+    A timeframe votes by close against its mean. Weeks need 35 days and 14 weeks, months 150 days and 6 months; what has too few is null and doesn't vote up.
+    """
+    side = lambda c, s: F.when(F.col(c) > F.col(s), "above").when(F.col(s).isNotNull(), "below")
+    series = recursive(bars).select("symbol", "bar_ts", "close", "rsi_14", "macd")
+    count = F.count("*").over(Window.partitionBy("symbol"))
+    d = latest(series.withColumns({"sma_20": mean("close", 20), "days": count})).select("symbol", "days", F.col("rsi_14").alias("daily_rsi"), F.col("macd").alias("daily_macd"), F.col("sma_20").alias("daily_sma_20"), side("close", "sma_20").alias("daily"))
+    week = recursive(weekly(bars).withColumnRenamed("bucket", "bar_ts")).select("symbol", "bar_ts", "close", "rsi_14")
+    w = latest(week.withColumns({"sma_10": mean("close", 10), "weeks": count})).select("symbol", "weeks", F.col("rsi_14").alias("weekly_rsi"), F.col("sma_10").alias("weekly_sma_10"), side("close", "sma_10").alias("weekly"))
+    month = monthly(bars).withColumnRenamed("bucket", "bar_ts").select("symbol", "bar_ts", "close")
+    third = F.lag("close", 2).over(Window.partitionBy("symbol").orderBy("bar_ts"))
+    m = latest(month.withColumns({"sma_6": mean("close", 6), "third": third, "months": count})).select("symbol", "months", F.col("sma_6").alias("monthly_sma_6"), side("close", "sma_6").alias("monthly"), F.when(F.col("close") > F.col("third"), "up").otherwise("down").alias("monthly_trend"))
     out = d.join(w, "symbol").join(m, "symbol")
-    count = lambda side: sum((F.when(F.col(c) == side, 1).otherwise(0) for c in ("daily", "weekly", "monthly")), F.lit(0))
-    return out.withColumns({"n_bullish": count("bullish")}).withColumn("alignment", F.when(F.col("n_bullish") >= 2, "bullish").when(F.col("n_bullish") == 0, "bearish").otherwise("mixed"))
+    by_week, by_month = (F.col("days") >= 35) & (F.col("weeks") >= 14), (F.col("days") >= 150) & (F.col("months") >= 6)
+    out = out.withColumns({c: F.when(by_week, F.col(c)) for c in ("weekly_rsi", "weekly_sma_10", "weekly")} | {c: F.when(by_month, F.col(c)) for c in ("monthly_sma_6", "monthly", "monthly_trend")})
+    score = sum((F.when(F.col(c) == "above", 1).otherwise(0) for c in ("daily", "weekly", "monthly")), F.lit(0))
+    out = out.withColumn("score", score).drop("days", "weeks", "months")
+    return out.withColumn("alignment", F.when(F.col("score") >= 2, "bullish").when(F.col("score") == 0, "bearish").otherwise("mixed"))
 
 
 def listed_on(delistings: DataFrame, symbols: DataFrame, day: Column) -> DataFrame:

@@ -11,13 +11,45 @@ from pyspark.sql import functions as F
 from ..functions.windows import last, ordered
 from .indicators import enough_history, tail, true_range
 
-#: name: (candles, direction, strength)
+#: Fixed values. name: (candles, direction, strength, type, description)
 KINDS = {
-    "doji": (1, "indecision", "weak"), "hammer": (1, "bullish", "medium"), "hanging_man": (1, "bearish", "medium"), "inverted_hammer": (1, "bullish", "medium"),
-    "shooting_star": (1, "bearish", "medium"), "spinning_top": (1, "indecision", "weak"), "bullish_engulfing": (2, "bullish", "strong"), "bearish_engulfing": (2, "bearish", "strong"),
-    "piercing_line": (2, "bullish", "medium"), "dark_cloud_cover": (2, "bearish", "medium"), "harami": (2, "indecision", "medium"), "morning_star": (3, "bullish", "strong"),
-    "evening_star": (3, "bearish", "strong"), "three_white_soldiers": (3, "bullish", "strong"), "three_black_crows": (3, "bearish", "strong"),
-    "rising_three_methods": (5, "bullish", "medium"), "falling_three_methods": (5, "bearish", "medium"),
+    "doji": (1, "indecision", "weak", "indecision", "Market indecision with small body and equal shadows"),
+    "hammer": (1, "bullish", "medium", "bullish_reversal", "Bullish reversal with long lower shadow"),
+    "hanging_man": (1, "bearish", "medium", "bearish_reversal", "Bearish reversal with long lower shadow"),
+    "inverted_hammer": (1, "bullish", "medium", "bullish_reversal", "Bullish reversal with long upper shadow"),
+    "shooting_star": (1, "bearish", "medium", "bearish_reversal", "Bearish reversal with long upper shadow"),
+    "spinning_top": (1, "indecision", "weak", "indecision", "Indecision with small body and long shadows"),
+    "bullish_engulfing": (2, "bullish", "strong", "bullish_reversal", "Strong bullish reversal - current candle engulfs previous"),
+    "bearish_engulfing": (2, "bearish", "strong", "bearish_reversal", "Strong bearish reversal - current candle engulfs previous"),
+    "piercing_line": (2, "bullish", "medium", "bullish_reversal", "Bullish reversal - closes above midpoint of previous candle"),
+    "dark_cloud_cover": (2, "bearish", "medium", "bearish_reversal", "Bearish reversal - closes below midpoint of previous candle"),
+    "harami": (2, "indecision", "weak", "indecision", "Indecision - small candle within previous candle's body"),
+    "morning_star": (3, "bullish", "strong", "bullish_reversal", "Strong bullish reversal - three candle pattern"),
+    "evening_star": (3, "bearish", "strong", "bearish_reversal", "Strong bearish reversal - three candle pattern"),
+    "three_white_soldiers": (3, "bullish", "strong", "bullish_reversal", "Strong bullish continuation - three consecutive bullish candles"),
+    "three_black_crows": (3, "bearish", "strong", "bearish_reversal", "Strong bearish continuation - three consecutive bearish candles"),
+    "rising_three_methods": (5, "bullish", "medium", "bullish_continuation", "Bullish continuation pattern"),
+    "falling_three_methods": (5, "bearish", "medium", "bearish_continuation", "Bearish continuation pattern"),
+}
+#: Fixed values. name: (signal, meaning), what a pattern implies.
+IMPLICATIONS = {
+    "doji": ("⚠️ Wait for confirmation", "Buyers and sellers are balanced. Wait for next candle to confirm direction."),
+    "hammer": ("📈 Potential upside", "Buyers rejected lower prices. Stock may reverse upward from here."),
+    "inverted_hammer": ("📈 Potential upside", "After downtrend, buyers showing interest. Watch for confirmation."),
+    "hanging_man": ("📉 Potential downside", "After uptrend, selling pressure emerging. Consider taking profits."),
+    "shooting_star": ("📉 Potential downside", "Buyers failed to hold highs. Reversal likely, watch for follow-through."),
+    "spinning_top": ("⚠️ Wait for confirmation", "Market is undecided. Trend may pause or reverse - wait for clarity."),
+    "bullish_engulfing": ("🚀 Strong buy signal", "Buyers overpowered sellers completely. High probability of upward move."),
+    "bearish_engulfing": ("🔻 Strong sell signal", "Sellers overpowered buyers completely. High probability of downward move."),
+    "piercing_line": ("📈 Bullish reversal", "Strong buying after gap down. Recovery likely to continue."),
+    "dark_cloud_cover": ("📉 Bearish reversal", "Strong selling after gap up. Decline likely to continue."),
+    "morning_star": ("🚀 Strong buy signal", "Classic bottom reversal. High confidence upward move expected."),
+    "evening_star": ("🔻 Strong sell signal", "Classic top reversal. High confidence downward move expected."),
+    "three_white_soldiers": ("🚀 Strong bullish momentum", "Sustained buying pressure. Uptrend likely to continue."),
+    "three_black_crows": ("🔻 Strong bearish momentum", "Sustained selling pressure. Downtrend likely to continue."),
+    "harami": ("⚠️ Trend weakening", "Current trend losing momentum. Possible reversal or consolidation ahead."),
+    "rising_three_methods": ("📈 Bullish continuation", "Brief pause in uptrend. Expect continuation higher."),
+    "falling_three_methods": ("📉 Bearish continuation", "Brief pause in downtrend. Expect continuation lower."),
 }
 BASE = {"strong": 70, "medium": 50, "weak": 30}
 #: The newest bars that are looked at, and the fewest that give patterns.
@@ -102,6 +134,15 @@ def summary(events: DataFrame) -> DataFrame:
     return events.groupBy("symbol").agg(F.count_if(F.col("direction") == "bullish").alias("bullish"), F.count_if(F.col("direction") == "bearish").alias("bearish"), F.count_if(F.col("direction") == "indecision").alias("indecision"), newest.alias("latest_signal"))
 
 
+def described(events: DataFrame) -> DataFrame:
+    """Add each pattern's type (reversal, continuation or indecision), description and implication (direction, signal, meaning)."""
+    table = lambda f: F.create_map(*[F.lit(x) for k in KINDS for x in (k, f(k))])[F.col("pattern")]
+    side = F.when(F.col("direction") == "indecision", "neutral").otherwise(F.col("direction"))
+    return events.withColumns({
+        "type": table(lambda k: KINDS[k][3]), "description": table(lambda k: KINDS[k][4]),
+        "implication": F.struct(side.alias("direction"), table(lambda k: IMPLICATIONS[k][0]).alias("signal"), table(lambda k: IMPLICATIONS[k][1]).alias("meaning"))})
+
+
 def formatted(events: DataFrame) -> DataFrame:
     """For display: day/month/year, the default time of daily bars, a title and a price text."""
     return events.withColumns({"date": F.date_format("bar_ts", "dd/MM/yyyy"), "time": F.lit("15:30:00"), "name": F.initcap(F.replace("pattern", F.lit("_"), F.lit(" "))), "price_text": F.concat(F.lit("₹"), F.format_number("close", 2))})

@@ -38,14 +38,14 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def composite(df: DataFrame) -> DataFrame:
-    """``composite_score`` from 50: RSI and volume percentiles, distances from SMAs, MACD histogram and volatility percentile."""
+    """``composite_score`` from 50: RSI and volume percentiles, distances from SMAs, MACD histogram (an unknown one counts as 0, which isn't positive) and volatility percentile."""
     points = lambda *cases: F.coalesce(_ladder(cases), F.lit(0))
     total = (
         F.lit(50)
         + points((F.col("rsi_pct") < 30, 15), (F.col("rsi_pct") > 70, -15))
         + points(((F.col("volume_pct") > 60) & (F.col("ret_1") > 0), 12), (F.col("volume_pct") < 40, -8))
         + points(((F.col("dist_sma_20") > 0) & (F.col("dist_sma_50") > 0), 12), ((F.col("dist_sma_20") < 0) & (F.col("dist_sma_50") < 0), -12))
-        + points((F.col("macd_hist") > 0, 10), (F.col("macd_hist").isNotNull(), -10))
+        + F.when(F.col("macd_hist") > 0, 10).otherwise(-10)
         + points((F.col("volatility_pct") > 80, -5)))
     return df.withColumn("composite_score", clamp(total, 0, 100))
 
@@ -57,11 +57,6 @@ def _ladder(cases) -> Column:
     return out
 
 
-def quintile_text(column: str, texts: tuple[str, str, str, str, str]) -> Column:
-    c = F.col(column)
-    return F.when(c < 20, texts[0]).when(c < 40, texts[1]).when(c < 60, texts[2]).when(c < 80, texts[3]).when(c.isNotNull(), texts[4])
-
-
 def alignment(side: str) -> tuple[Column, Column]:
     """(aligned checks, checks made) of RSI, MACD, trend, stochastic and volume for BUY or SELL; unknown inputs make no check."""
     buy = side == "BUY"
@@ -112,7 +107,7 @@ def validated(df: DataFrame) -> DataFrame:
         ("contradicts stochastic", (buy & (F.col("stoch_k") > 80)) | (sell & (F.col("stoch_k") < 20)), 8),
         ("weak alignment", side < 0.6, 10),
         ("short reasoning", F.length(F.coalesce("reasoning", F.lit(""))) < 100, 15),
-        ("no indicator named", ~F.coalesce(F.lower("reasoning"), F.lit("")).rlike("rsi|macd|sma|support|resistance|volume|trend"), 5),
+        ("no indicator named", ~F.coalesce(F.lower("reasoning"), F.lit("")).rlike("rsi|macd|trend|support|resistance"), 5),
         ("fewer than two risks", F.coalesce(F.size("key_risks"), F.lit(0)) < 2, 5),
         ("poor risk and reward", F.col("risk_reward") < 1.5, 5),
     ]
@@ -125,18 +120,7 @@ def validated(df: DataFrame) -> DataFrame:
 
 
 def confidence_band(c: Column) -> Column:
-    return F.when(c >= 85, "very high").when(c >= 70, "high").when(c >= 55, "moderate").when(c >= 40, "low").otherwise("very low")
-
-
-def insights(df: DataFrame) -> DataFrame:
-    """``insights``: the sentences of the rules that hold, in a fixed order, and ``summary``."""
-    rules = [
-        (F.col("rsi_14") < 30, "RSI is oversold"), (F.col("rsi_14") > 70, "RSI is overbought"), (F.col("macd_hist") > 0, "MACD momentum is positive"), (F.col("macd_hist") < 0, "MACD momentum is negative"),
-        ((F.col("close") > F.col("sma_20")) & (F.col("close") > F.col("sma_50")), "Price is above both averages"), ((F.col("close") < F.col("sma_20")) & (F.col("close") < F.col("sma_50")), "Price is below both averages"),
-        (F.col("volume_ratio") > 1.5, "Volume is well above average"), (F.col("volume_ratio") < 0.5, "Volume is thin"), (F.col("bb_percent") > 1, "Price is above the upper band"), (F.col("bb_percent") < 0, "Price is below the lower band"),
-        (F.col("stoch_k") < 20, "Stochastic is oversold"), (F.col("stoch_k") > 80, "Stochastic is overbought"),
-    ]
-    return df.withColumn("insights", F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules]))).withColumn("summary", F.concat_ws("; ", "insights"))
+    return F.when(c >= 85, "very_high").when(c >= 70, "high").when(c >= 55, "medium").when(c >= 40, "low").otherwise("very_low")
 
 
 def merged_ensemble(df: DataFrame) -> DataFrame:
@@ -161,6 +145,11 @@ def parsed_analysis(raw: Column, schema: str) -> Column:
     return F.coalesce(good(raw), good(fenced), good(braces))
 
 
+def is_masked(value: str) -> Column:
+    """Whether a value is what ``masked`` makes, so that it must not be stored as a secret."""
+    return F.coalesce((F.col(value) == "****") | F.contains(value, F.lit("...")), F.lit(False))
+
+
 def masked(secret: str) -> Column:
     s = F.col(secret)
     return F.when(F.length(s) > 12, F.concat(F.substring(s, 1, 8), F.lit("..."), F.right(s, F.lit(4)))).when(s != "", "****")

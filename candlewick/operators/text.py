@@ -52,8 +52,10 @@ def scored(df: DataFrame, text: str, lex: Lexicon, out: str = "sentiment") -> Da
     modifier = lambda i: F.coalesce(F.col("__mod")[F.coalesce(word(i), F.lit(""))], F.lit(1.0))
     df = df.withColumn("__hit", F.filter(index(n - 1), lambda i: weight(i) != 0))
     signed = F.transform("__hit", lambda i: weight(i) * modifier(i - 1) * F.when(negated(i), -1.0).otherwise(1.0))
-    df = df.withColumns({"__b": signed, "__used": F.flatten(F.transform("__hit", lambda i: F.array(i, i + 1)))})
-    used = lambda i: F.array_contains("__used", i)
+    # whether a bigram begins at each word: used() is two look-ups, so long texts cost linear time
+    begins = F.transform(index(n), lambda i: weight(i) != 0)
+    df = df.withColumns({"__b": signed, "__begins": begins})
+    used = lambda i: F.coalesce(F.get("__begins", i), F.lit(False)) | F.coalesce(F.get("__begins", i - 1), F.lit(False))
 
     def single(i):
         scale = F.when((i > 0) & ~used(i - 1), modifier(i - 1)).otherwise(1.0)
@@ -69,7 +71,7 @@ def scored(df: DataFrame, text: str, lex: Lexicon, out: str = "sentiment") -> Da
     confidence = F.round(F.least(F.log(1.0 + F.col("__k")) / F.log(F.lit(21.0)), F.lit(1.0)), 3)
     words = lambda sign: F.slice(F.transform(F.filter("__s", lambda x: x["v"] * sign > 0), lambda x: x["w"]), 1, 10)
     df = df.withColumn(out, F.struct(score.alias("score"), confidence.alias("confidence"), label(score).alias("label"), words(1.0).alias("positive"), words(-1.0).alias("negative")))
-    return df.drop("__t", "__pos", "__neg", "__bi", "__mod", "__no", "__neutral", "__hit", "__b", "__used", "__s", "__p", "__q", "__k")
+    return df.drop("__t", "__pos", "__neg", "__bi", "__mod", "__no", "__neutral", "__hit", "__b", "__begins", "__s", "__p", "__q", "__k")
 
 
 def label(score: Column, threshold: float = THRESHOLD) -> Column:
@@ -153,9 +155,30 @@ def search(df: DataFrame, query: str, since: Column, limit: int = 20, newest: in
 
 
 def for_symbols(df: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Articles that name a symbol in title or description. ``symbols`` is the short list that a request names."""
-    words = df.withColumn("__w", F.explode(F.array_distinct(F.split(F.upper(F.concat_ws(" ", "title", "description")), r"[^\p{L}\p{N}&._-]+"))))
-    return words.join(symbols.select(F.upper("symbol").alias("__w"), "symbol"), "__w").drop("__w")
+    """Articles whose title or description contains a symbol, without its exchange suffix, in any case; one row for each article and symbol.
+
+    ``symbols`` (symbol, and alias for a company's name where there is one) is the short list that a request names; it is gathered into
+    one array that travels with the rows, so there is no join and articles stay where they are.
+    """
+    alias = F.col("alias") if "alias" in symbols.columns else F.lit(None).cast("string")
+    asked = symbols.select("symbol", F.lower(F.regexp_replace(F.upper("symbol"), r"\.(NS|BO)$", "")).alias("clean"), F.lower(alias).alias("alias"))
+    wanted = asked.agg(F.collect_list(F.struct("symbol", "clean", "alias")).alias("__asked"))
+    text = F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit("\n"), F.lower(F.coalesce("description", F.lit(""))))
+    named = lambda x: F.contains(F.col("__text"), x["clean"]) | F.coalesce(F.contains(F.col("__text"), x["alias"]), F.lit(False))
+    rows = df.withColumn("__text", text).join(F.broadcast(wanted), F.lit(True), "left")
+    return rows.withColumn("symbol", F.explode(F.transform(F.filter("__asked", named), lambda x: x["symbol"]))).drop("__text", "__asked")
+
+
+def stock_news(df: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
+    """The newest ``limit`` articles of each symbol that name its company; for symbols without any, those that name the symbol itself."""
+    by_name = for_symbols(df, symbols.select(F.coalesce("alias", "symbol").alias("symbol"), F.col("symbol").alias("__s"))).withColumn("__broad", F.lit(0))
+    names = symbols.select("symbol", F.coalesce("alias", "symbol").alias("__n"))
+    by_name = by_name.withColumnRenamed("symbol", "__n").join(F.broadcast(names), "__n").drop("__n")
+    rows = by_name.unionByName(for_symbols(df, symbols.select("symbol")).withColumn("__broad", F.lit(1)))
+    tier = Window.partitionBy("symbol")
+    order = tier.orderBy(F.col("published").desc(), "article_id")
+    kept = rows.withColumn("__least", F.min("__broad").over(tier)).filter("__broad = __least")
+    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("__broad", "__least")
 
 
 def feed(df: DataFrame, now: Column, most: int = 20, days: int = 30) -> DataFrame:

@@ -74,5 +74,33 @@ def deleted(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def generated_within(stored: DataFrame, at: str, now: Column, minutes: int = 60) -> bool:
-    """Whether a row is younger than ``minutes``; then an upsert replaces it, else a new one is appended."""
+    """Whether a row is younger than ``minutes``."""
     return not stored.filter(F.col(at) >= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))).isEmpty()
+
+
+def refreshed(stored: DataFrame, new: DataFrame, key: str, at: str, minutes: int = 60) -> DataFrame:
+    """A new row takes the place of the newest stored row of its key if that is at most ``minutes`` older, and is added otherwise. ``new`` has one row for each key."""
+    order = Window.partitionBy(key).orderBy(F.col(at).desc())
+    ranked = stored.withColumn("__r", F.row_number().over(order))
+    young = F.col(at) >= F.col("__at") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    kept = ranked.join(new.select(key, F.col(at).alias("__at")), key, "left").filter(~((F.col("__r") == 1) & F.coalesce(young, F.lit(False))))
+    return kept.drop("__r", "__at").unionByName(new)
+
+
+#: Seconds that a cached answer of each kind stays good; others stay DEFAULT_TTL.
+TTL = {"market_news": 300, "trending": 600, "symbol_news": 300, "fii_dii": 1800, "sentiment": 300, "market_overview": 120, "stock_quote": 60, "index_data": 120}
+DEFAULT_TTL = 300
+
+
+def live(cached: DataFrame, now: Column, kind: str = "kind", at: str = "cached_at", ttl: dict[str, int] = TTL) -> DataFrame:
+    """Cached rows that are not stale at ``now``, with their ``ttl`` in seconds: the newest of each kind and key."""
+    seconds = F.coalesce(F.create_map(*[F.lit(x) for kv in ttl.items() for x in kv])[F.col(kind)], F.lit(DEFAULT_TTL))
+    good = cached.withColumn("ttl", seconds).filter((F.col(at) <= now) & (F.col(at) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("ttl").cast("decimal(18,6)")) > now))
+    order = Window.partitionBy(kind, "key").orderBy(F.col(at).desc())
+    return good.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
+
+
+def cleared(cached: DataFrame, pattern: str) -> DataFrame:
+    """Cached rows whose key doesn't match a pattern with ``*``."""
+    like = pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%")
+    return cached.filter(~F.coalesce(F.col("key").like(like), F.lit(False)))

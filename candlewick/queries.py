@@ -278,7 +278,13 @@ def _pattern_sql() -> str:
         "rising_three_methods": f"{bull(4)} AND {body(4)} > 0.5 * (high4 - low4) AND {bear(3)} AND {bear(2)} AND {bear(1)} AND {mids} AND low3 > low4 AND low2 > low4 AND low1 > low4 AND {bull('')} AND close > close4",
         "falling_three_methods": f"{bear(4)} AND {body(4)} > 0.5 * (high4 - low4) AND {bull(3)} AND {bull(2)} AND {bull(1)} AND {mids} AND high3 < high4 AND high2 < high4 AND high1 < high4 AND {bear('')} AND close < close4",
     }
-    union = " UNION ALL ".join(f"SELECT *, '{k}' AS pattern, '{patterns.KINDS[k][1]}' AS direction, '{patterns.KINDS[k][2]}' AS strength, {patterns.BASE[patterns.KINDS[k][2]]} AS base FROM l WHERE {v}" for k, v in rules.items())
+    strong, medium, weak = ("strong", 70), ("medium", 50), ("weak", 30)
+    kinds = {
+        "doji": ("indecision", weak), "hammer": ("bullish", medium), "hanging_man": ("bearish", medium), "inverted_hammer": ("bullish", medium), "shooting_star": ("bearish", medium), "spinning_top": ("indecision", weak),
+        "bullish_engulfing": ("bullish", strong), "bearish_engulfing": ("bearish", strong), "piercing_line": ("bullish", medium), "dark_cloud_cover": ("bearish", medium), "harami": ("indecision", weak),
+        "morning_star": ("bullish", strong), "evening_star": ("bearish", strong), "three_white_soldiers": ("bullish", strong), "three_black_crows": ("bearish", strong), "rising_three_methods": ("bullish", medium), "falling_three_methods": ("bearish", medium),
+    }
+    union = " UNION ALL ".join(f"SELECT *, '{k}' AS pattern, '{kinds[k][0]}' AS direction, '{kinds[k][1][0]}' AS strength, {kinds[k][1][1]} AS base FROM l WHERE {v}" for k, v in rules.items())
     return f"""{BARS}, t AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) <= 50),
 l0 AS (SELECT *, {lags}, coalesce({_TR}, high - low) AS tr, {avg('volume', 20)} AS v20 FROM t),
 l AS (SELECT *, {avg('tr', 14)} AS atr, volume / v20 AS vr FROM l0), e AS ({union}),
@@ -342,19 +348,79 @@ def signals_and_percentiles(spark, sf_dir):
     return rounded(analysis.analysed(src.daily_bars(spark, sf_dir)), "symbol", "rsi_signal", "macd_label", "trend", "momentum", "rsi_pct", "volume_pct")
 
 
-@query()
+_RECS_TAIL = """o AS (SELECT o_orderkey AS rec_id, (['AF', 'AO', 'NF', 'NO', 'RF', 'RO'])[o_orderkey % 6 + 1] AS symbol, CASE o_orderstatus WHEN 'F' THEN 'BUY' WHEN 'O' THEN 'SELL' ELSE 'HOLD' END AS direction, (o_custkey % 101)::DOUBLE AS confidence, CAST(o_orderdate AS DATE) AS created_at FROM orders),
+recs AS (SELECT o.*, b.close AS entry_price, b.close * CASE WHEN direction = 'BUY' THEN 1.05::DOUBLE ELSE 0.95::DOUBLE END AS target_price, b.close * CASE WHEN direction = 'BUY' THEN 0.97::DOUBLE ELSE 1.03::DOUBLE END AS stop_loss FROM o ASOF JOIN bars b ON o.symbol = b.symbol AND o.created_at >= b.bar_ts)"""
+_RECS = f"{BARS}, {_RECS_TAIL}"
+_ANALYSED = f"""{_SERIES}, s1 AS (SELECT *, (close / {lag('close')} - 1) * 100 AS ret, (close / sma_20 - 1) * 100 AS d20, (close / sma_50 - 1) * 100 AS d50, (close / {lag('close', 5)} - 1) * 100 AS ret_5, (close / {lag('close', 20)} - 1) * 100 AS ret_20, {_TR} AS tr, (close - min(close) OVER (PARTITION BY symbol)) / (max(close) OVER (PARTITION BY symbol) - min(close) OVER (PARTITION BY symbol)) * 100 AS place FROM series),
+s2 AS (SELECT *, {full('ret', 10, 'stddev_samp(ret)')} AS vol_10, {avg('tr', 14)} AS atr_14 FROM s1), one AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) = 1),
+p AS (SELECT s.symbol, count(*) FILTER (s.rsi_14 < o.rsi_14) / count(s.rsi_14) * 100 AS rsi_pct, count(*) FILTER (s.v20 < o.v20) / count(s.v20) * 100 AS volume_pct, count(*) FILTER (s.vol_10 < o.vol_10) / count(s.vol_10) * 100 AS volatility_pct FROM s2 s JOIN one o USING (symbol) GROUP BY 1),
+an AS (SELECT *, greatest(0, least(100, 50 + CASE WHEN rsi_pct < 30 THEN 15 WHEN rsi_pct > 70 THEN -15 ELSE 0 END + CASE WHEN volume_pct > 60 AND ret > 0 THEN 12 WHEN volume_pct < 40 THEN -8 ELSE 0 END + CASE WHEN d20 > 0 AND d50 > 0 THEN 12 WHEN d20 < 0 AND d50 < 0 THEN -12 ELSE 0 END + CASE WHEN macd - macd_signal > 0 THEN 10 ELSE -10 END + CASE WHEN volatility_pct > 80 THEN -5 ELSE 0 END)) AS composite_score FROM one JOIN p USING (symbol))"""
+
+
+def _said(column: str, *texts: str) -> str:
+    return "CASE " + " ".join(f"WHEN {column} < {20 * k + 20} THEN '{t}'" for k, t in enumerate(texts[:4])) + f" ELSE '{texts[4]}' END"
+
+
+_TEXTS = f"""tx AS (SELECT *, printf('RSI at %.1f is in the %.0fth percentile - ', rsi_14, rsi_pct) || {_said('rsi_pct', 'extremely oversold historically', 'below average, oversold territory', 'neutral zone', 'above average, overbought territory', 'extremely overbought historically')} AS rsi_text,
+printf('10D volatility at %.2f%% is in the %.0fth percentile - ', vol_10, volatility_pct) || {_said('volatility_pct', 'extremely low volatility, tight range', 'below average volatility', 'normal volatility range', 'elevated volatility', 'extreme volatility, high risk')} AS volatility_text,
+printf('Volume at %.2fx average is in the %.0fth percentile - ', volume_ratio, volume_pct) || {_said('volume_pct', 'very low participation', 'below average participation', 'normal participation', 'strong participation, accumulation', 'exceptional volume, institutional activity')} AS volume_text,
+printf('Price at %.0fth percentile of 6-month range - ', place) || {_said('place', 'near lows, potential support', 'lower third, consolidation zone', 'mid-range, neutral', 'upper third, strength', 'near highs, potential resistance')} AS position_text,
+{_said('composite_score', 'Extremely bearish setup - Strong sell signals across multiple indicators', 'Bearish setup - Multiple negative factors, consider reducing exposure', 'Neutral setup - Mixed signals, wait for clearer direction', 'Bullish setup - Multiple positive factors align, favorable for entry', 'Extremely bullish setup - Strong buy signals across multiple indicators')} AS composite_text FROM an)"""
+
+
+@query(f"{_ANALYSED}, {_TEXTS} SELECT symbol, composite_score, CASE WHEN atr_14 > 10 THEN 'high' WHEN atr_14 < 5 THEN 'low' WHEN atr_14 IS NOT NULL THEN 'moderate' END AS volatility, round(volatility_pct, 4) AS volatility_pct, rsi_text, volatility_text, volume_text, position_text, composite_text FROM tx")
 def analysis_composite(spark, sf_dir):
-    return rounded(analysis.analysed(src.daily_bars(spark, sf_dir)), "symbol", "composite_score", "volatility", "volatility_pct", "summary")
+    return rounded(analysis.analysed(src.daily_bars(spark, sf_dir)), "symbol", "composite_score", "volatility", "volatility_pct", "rsi_text", "volatility_text", "volume_text", "position_text", "composite_text")
 
 
-@query()
+def _answers(spark, sf_dir) -> DataFrame:
+    """What a model might say of the recommendations: some with named indicators, some long, some with risks; prices are whole numbers, and ratios just miss the halves that engines round differently."""
+    rows, k = recommendations(spark, sf_dir), F.col("rec_id")
+    rows = rows.withColumns({c: F.floor(c).cast("double") for c in ("entry_price", "target_price", "stop_loss")})
+    reasoning = F.concat(F.when(k % 3 == 0, "The RSI turns. ").when(k % 3 == 1, "Volume and SMA agree. ").otherwise("TREND. "), F.when(k % 2 == 0, F.repeat(F.lit("More. "), F.lit(20))).otherwise(""))
+    return rows.withColumns({
+        "recommendation": F.when(k % 11 == 0, "MAYBE").otherwise(F.col("direction")), "risk_reward": F.try_divide(F.abs(F.col("target_price") - F.col("entry_price")), F.abs(F.col("entry_price") - F.col("stop_loss"))) + 1e-7, "reasoning": reasoning,
+        "key_risks": F.when(k % 5 == 0, F.array(F.lit("gap"))).when(k % 5 < 3, F.array(F.lit("gap"), F.lit("debt"))), "key_opportunities": F.when(k % 4 == 0, F.array(F.lit("orders"))),
+        "sector_trend": F.when(k % 3 == 0, "Bullish").when(k % 3 == 1, "bearish"), "relative_strength": F.when(k % 7 < 3, "Outperforming peers").when(k % 7 < 5, "underperforming").when(k % 7 == 5, "level"), "time_horizon": F.when(k % 4 == 1, "short_term").when(k % 4 == 2, "long_term").when(k % 4 == 3, "a year")})
+
+
+_JUDGED = f"""{_ANALYSED}, {_TEXTS}, {_RECS_TAIL}, ans AS (SELECT rec_id, symbol, CASE WHEN rec_id % 11 = 0 THEN 'MAYBE' ELSE direction END AS recommendation, confidence, floor(entry_price) AS entry_price, floor(target_price) AS target_price, floor(stop_loss) AS stop_loss,
+  CASE rec_id % 3 WHEN 0 THEN 'The RSI turns. ' WHEN 1 THEN 'Volume and SMA agree. ' ELSE 'TREND. ' END || CASE WHEN rec_id % 2 = 0 THEN repeat('More. ', 20) ELSE '' END AS reasoning, CASE WHEN rec_id % 5 = 0 THEN 1 WHEN rec_id % 5 < 3 THEN 2 ELSE 0 END AS risks FROM recs),
+j AS (SELECT *, abs(target_price - entry_price) / nullif(abs(entry_price - stop_loss), 0) + 1e-7 AS risk_reward, CASE recommendation WHEN 'BUY' THEN {_aligned('BUY')[0]} WHEN 'SELL' THEN {_aligned('SELL')[0]} ELSE 1.0 END AS side FROM ans JOIN tx USING (symbol)),
+q AS (SELECT *, round(side, 2) AS alignment, greatest(0, 100 - coalesce(CASE WHEN recommendation NOT IN ('BUY', 'SELL', 'HOLD') THEN 50 END, 0) - CASE WHEN confidence BETWEEN 0 AND 100 THEN 0 ELSE 10 END
+  - CASE WHEN (recommendation = 'BUY' AND target_price <= entry_price) OR (recommendation = 'SELL' AND target_price >= entry_price) THEN 15 ELSE 0 END - CASE WHEN (recommendation = 'BUY' AND stop_loss >= entry_price) OR (recommendation = 'SELL' AND stop_loss <= entry_price) THEN 15 ELSE 0 END
+  - CASE WHEN abs((entry_price - close) / close) > 0.1 THEN 5 ELSE 0 END - CASE WHEN (recommendation = 'BUY' AND rsi_14 > 70) OR (recommendation = 'SELL' AND rsi_14 < 30) THEN 10 ELSE 0 END
+  - CASE WHEN (recommendation = 'BUY' AND macd < macd_signal) OR (recommendation = 'SELL' AND macd > macd_signal) THEN 8 ELSE 0 END - CASE WHEN (recommendation = 'BUY' AND close < sma_20 AND close < sma_50) OR (recommendation = 'SELL' AND close > sma_20 AND close > sma_50) THEN 10 ELSE 0 END
+  - CASE WHEN volume_ratio < 0.5 THEN 5 ELSE 0 END - CASE WHEN (recommendation = 'BUY' AND stoch_k > 80) OR (recommendation = 'SELL' AND stoch_k < 20) THEN 8 ELSE 0 END - CASE WHEN side < 0.6 THEN 10 ELSE 0 END
+  - CASE WHEN length(reasoning) < 100 THEN 15 ELSE 0 END - CASE WHEN regexp_matches(lower(reasoning), 'rsi|macd|trend|support|resistance') THEN 0 ELSE 5 END - CASE WHEN risks < 2 THEN 5 ELSE 0 END - CASE WHEN risk_reward < 1.5 THEN 5 ELSE 0 END) AS quality_score FROM j)"""
+
+
+@query(f"""{_JUDGED} SELECT rec_id, symbol, quality_score, CASE WHEN quality_score >= 90 THEN 'excellent' WHEN quality_score >= 75 THEN 'good' WHEN quality_score >= 60 THEN 'fair' ELSE 'poor' END AS quality_rating, alignment,
+  CASE WHEN alignment < 0.5 THEN least(confidence, 60) WHEN alignment >= 0.8 AND confidence < 80 THEN least(confidence + 5, 85) ELSE confidence END AS confidence_recalibrated FROM q""")
 def analysis_validated(spark, sf_dir):
     """Recommendations of orders joined to their symbol's indicators, validated and recalibrated."""
-    answers = recommendations(spark, sf_dir).withColumns({"recommendation": F.col("direction"), "risk_reward": F.try_divide(F.abs(F.col("target_price") - F.col("entry_price")), F.abs(F.col("entry_price") - F.col("stop_loss"))), "reasoning": F.lit("RSI and volume support this entry."), "key_risks": F.array(F.lit("gap"))})
-    out_ = analysis.recommended(src.daily_bars(spark, sf_dir), answers)
+    out_ = analysis.recommended(src.daily_bars(spark, sf_dir), _answers(spark, sf_dir))
     return rounded(out_, "rec_id", "symbol", "quality_score", "quality_rating", "alignment", "confidence_recalibrated")
 
 
+@query(f"""{_JUDGED}, k AS (SELECT *, CASE WHEN rec_id % 3 = 0 THEN 'bullish' WHEN rec_id % 3 = 1 THEN 'bearish' END AS st, CASE WHEN rec_id % 7 < 3 THEN 'out' WHEN rec_id % 7 < 5 THEN 'under' WHEN rec_id % 7 = 5 THEN 'level' END AS rs FROM q),
+l AS (SELECT rec_id, [CASE recommendation WHEN 'BUY' THEN '🟢 **BUY** signal with ' || confidence::INT || '% confidence' || printf(' - Potential upside of %.1f%% to target ₹%.2f', (target_price - entry_price) / entry_price * 100, target_price)
+  WHEN 'SELL' THEN '🔴 **SELL** signal with ' || confidence::INT || '% confidence' || printf(' - Potential downside of %.1f%% to target ₹%.2f', (entry_price - target_price) / entry_price * 100, target_price) ELSE '🟡 **' || recommendation || '** recommendation with ' || confidence::INT || '% confidence - Wait for clearer signals' END,
+  CASE WHEN risk_reward >= 2 THEN printf('✅ Favorable risk-reward ratio of %.2f:1 with stop-loss at ₹%.2f', risk_reward, stop_loss) WHEN risk_reward >= 1.5 THEN printf('⚖️ Acceptable risk-reward ratio of %.2f:1 with stop-loss at ₹%.2f', risk_reward, stop_loss) ELSE printf('⚠️ Limited risk-reward ratio of %.2f:1 - Consider waiting for better setup', risk_reward) END,
+  '📊 Composite score of ' || composite_score || CASE WHEN composite_score >= 70 THEN '/100 indicates strong bullish alignment across indicators' WHEN composite_score <= 30 THEN '/100 indicates strong bearish alignment across indicators' ELSE '/100 shows mixed signals - exercise caution' END,
+  '📈 ' || rsi_text, '📊 ' || volume_text, CASE WHEN regexp_matches(volatility_text, 'extreme|elevated') THEN '⚠️ ' || volatility_text || ' - Use wider stops' ELSE '📉 ' || volatility_text END,
+  CASE WHEN st IS NOT NULL AND rs IS NOT NULL THEN CASE WHEN st = 'bullish' AND rs = 'out' THEN '🚀 Stock is outperforming in a bullish sector - strong positive tailwinds' WHEN st = 'bearish' AND rs = 'under' THEN '⚠️ Stock is underperforming in a bearish sector - significant headwinds' WHEN rs = 'out' THEN '💪 Stock showing relative strength vs sector peers' WHEN rs = 'under' THEN '⚠️ Stock showing relative weakness vs sector peers' END END,
+  CASE WHEN ret_5 > 0 AND ret_20 > 0 THEN CASE WHEN ret_5 > ret_20 THEN printf('⚡ Momentum accelerating - 5D return (%.1f%%) exceeds 20D return (%.1f%%)', ret_5, ret_20) ELSE printf('📈 Positive momentum maintained - 5D: %.1f%%, 20D: %.1f%%', ret_5, ret_20) END WHEN ret_5 < 0 AND ret_20 < 0 THEN CASE WHEN ret_5 < ret_20 THEN printf('⚠️ Momentum deteriorating - 5D return (%.1f%%) worse than 20D (%.1f%%)', ret_5, ret_20) ELSE printf('📉 Negative momentum - 5D: %.1f%%, 20D: %.1f%%', ret_5, ret_20) END END,
+  '💡 ' || position_text || CASE WHEN contains(position_text, 'near lows') THEN ' - potential bounce zone' WHEN contains(position_text, 'near highs') THEN ' - watch for breakout or rejection' ELSE '' END,
+  CASE WHEN rec_id % 4 = 0 THEN '💎 Key catalyst: orders' END, CASE WHEN rec_id % 5 < 3 THEN '⚠️ Primary risk: gap' END, CASE rec_id % 4 WHEN 1 THEN '⏱️ Recommended timeframe: Short-term trade (days to weeks)' WHEN 2 THEN '⏱️ Recommended timeframe: Long-term investment (months+)' WHEN 3 THEN '⏱️ Recommended timeframe: a year' END] AS v,
+  CASE WHEN recommendation = 'BUY' AND confidence >= 70 AND composite_score >= 60 THEN 'Strong buying opportunity' WHEN recommendation = 'BUY' AND confidence >= 50 THEN 'Moderate buying opportunity' WHEN recommendation = 'SELL' AND confidence >= 70 AND composite_score <= 40 THEN 'Strong selling pressure' WHEN recommendation = 'SELL' AND confidence >= 50 THEN 'Consider reducing exposure'
+  WHEN composite_score >= 60 THEN 'Bullish setup, but wait for confirmation' WHEN composite_score <= 40 THEN 'Bearish setup, avoid entry' ELSE 'Neutral setup with mixed signals' END || CASE rs WHEN 'out' THEN ' with relative sector strength' WHEN 'under' THEN ' despite sector weakness' WHEN 'level' THEN ' in line with sector' ELSE '' END || ' (Confidence: ' || confidence::INT || '%, Composite: ' || composite_score || '/100)' AS summary FROM k)
+SELECT rec_id, array_to_string(list_filter(v, lambda x: x IS NOT NULL), '|') AS insights, summary FROM l""")
+def recommendation_insights(spark, sf_dir):
+    rows = analysis.explained(src.daily_bars(spark, sf_dir), _answers(spark, sf_dir))
+    return rows.select("rec_id", F.array_join("insights", "|").alias("insights"), "summary")
+
+
 @query(f"WITH {BARS} SELECT symbol, round((last(close ORDER BY bar_ts) - min(close)) / (max(close) - min(close)) * 100, 4) AS range_position FROM bars GROUP BY 1")
 def range_positions(spark, sf_dir):
     return rounded(scoring.range_position(src.daily_bars(spark, sf_dir)))
@@ -380,13 +446,18 @@ def volume_profiles(spark, sf_dir):
     return rounded(market.volume_profile(src.daily_bars(spark, sf_dir)), "symbol", "bin", "volume", "percent", "is_poc", "in_value_area")
 
 
-@query(f"""WITH {BARS}, d AS (SELECT symbol, CASE WHEN close > s THEN 'bullish' ELSE 'bearish' END AS daily FROM (SELECT *, {avg('close', 20)} AS s FROM bars) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) = 1),
-wk AS (SELECT symbol, CAST(date_trunc('week', bar_ts) AS DATE) + 6 AS bar_ts, last(close ORDER BY bar_ts) AS close FROM bars GROUP BY 1, 2), w AS (SELECT symbol, CASE WHEN close > s THEN 'bullish' WHEN s IS NOT NULL THEN 'bearish' END AS weekly FROM (SELECT *, {avg('close', 10)} AS s FROM wk) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) = 1),
-mo AS (SELECT symbol, last_day(bar_ts) AS bar_ts, last(close ORDER BY bar_ts) AS close FROM bars GROUP BY 1, 2), m AS (SELECT symbol, CASE WHEN close > s THEN 'bullish' WHEN s IS NOT NULL THEN 'bearish' END AS monthly FROM (SELECT *, lag(close, 2) OVER ({W}) AS s FROM mo) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) = 1),
-x AS (SELECT *, (daily = 'bullish')::INT + coalesce((weekly = 'bullish')::INT, 0) + coalesce((monthly = 'bullish')::INT, 0) AS n_bullish FROM d JOIN w USING (symbol) JOIN m USING (symbol))
-SELECT symbol, daily, weekly, monthly, n_bullish, CASE WHEN n_bullish >= 2 THEN 'bullish' WHEN n_bullish = 0 THEN 'bearish' ELSE 'mixed' END AS alignment FROM x""")
+_WEEKS = f"""wk AS (SELECT symbol, CAST(date_trunc('week', bar_ts) AS DATE) + 6 AS bar_ts, last(close ORDER BY bar_ts) AS close FROM bars GROUP BY 1, 2), wn AS (SELECT *, row_number() OVER ({W}) AS i, close - {lag('close')} AS ch FROM wk),
+wr AS (SELECT symbol, i, 0.0::DOUBLE AS u, 0.0::DOUBLE AS d FROM wn WHERE i = 1 UNION ALL SELECT wn.symbol, wn.i, greatest(wn.ch, 0) / 14.0::DOUBLE + (1 - 1 / 14.0::DOUBLE) * u, greatest(-wn.ch, 0) / 14.0::DOUBLE + (1 - 1 / 14.0::DOUBLE) * d FROM wn JOIN wr ON wn.symbol = wr.symbol AND wn.i = wr.i + 1)"""
+
+
+@query(f"""{_EWM_SQL}, {_WEEKS}, d AS (SELECT symbol, i AS days, rsi_14 AS daily_rsi, macd AS daily_macd, s AS daily_sma_20, CASE WHEN close > s THEN 'above' WHEN s IS NOT NULL THEN 'below' END AS daily FROM (SELECT *, {avg('close', 20)} AS s FROM ew) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) = 1),
+w AS (SELECT symbol, i AS weeks, CASE WHEN i >= 14 THEN CASE WHEN d = 0 THEN 100 ELSE 100 - 100 / (1 + u / d) END END AS weekly_rsi, s AS weekly_sma_10, CASE WHEN close > s THEN 'above' WHEN s IS NOT NULL THEN 'below' END AS weekly FROM (SELECT wn.*, u, d, {avg('close', 10)} AS s FROM wn JOIN wr USING (symbol, i)) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) = 1),
+mo AS (SELECT symbol, last_day(bar_ts) AS bar_ts, last(close ORDER BY bar_ts) AS close FROM bars GROUP BY 1, 2), m AS (SELECT symbol, months, s AS monthly_sma_6, CASE WHEN close > s THEN 'above' WHEN s IS NOT NULL THEN 'below' END AS monthly, CASE WHEN close > third THEN 'up' ELSE 'down' END AS monthly_trend FROM (SELECT *, {avg('close', 6)} AS s, lag(close, 2) OVER ({W}) AS third, count(*) OVER (PARTITION BY symbol) AS months FROM mo) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) = 1),
+x AS (SELECT *, (daily = 'above')::INT + coalesce((weekly = 'above')::INT, 0) + coalesce((monthly = 'above')::INT, 0) AS score FROM d JOIN w USING (symbol) JOIN m USING (symbol) WHERE days >= 150 AND weeks >= 14 AND months >= 6)
+SELECT symbol, round(daily_rsi, 4) AS daily_rsi, round(daily_macd, 4) AS daily_macd, round(daily_sma_20, 4) AS daily_sma_20, daily, round(weekly_rsi, 4) AS weekly_rsi, round(weekly_sma_10, 4) AS weekly_sma_10, weekly, round(monthly_sma_6, 4) AS monthly_sma_6, monthly, monthly_trend, score,
+  CASE WHEN score >= 2 THEN 'bullish' WHEN score = 0 THEN 'bearish' ELSE 'mixed' END AS alignment FROM x""")
 def timeframes(spark, sf_dir):
-    return market.multi_timeframe(src.daily_bars(spark, sf_dir))
+    return rounded(market.multi_timeframe(src.daily_bars(spark, sf_dir)))
 
 
 def _members(spark, sf_dir) -> DataFrame:
@@ -493,8 +564,6 @@ def recommendations(spark, sf_dir) -> DataFrame:
     return priced.select("rec_id", "symbol", "direction", "confidence", entry.alias("entry_price"), (entry * F.when(buy, 1.05).otherwise(0.95)).alias("target_price"), (entry * F.when(buy, 0.97).otherwise(1.03)).alias("stop_loss"), "created_at")
 
 
-_RECS = f"""{BARS}, o AS (SELECT o_orderkey AS rec_id, (['AF', 'AO', 'NF', 'NO', 'RF', 'RO'])[o_orderkey % 6 + 1] AS symbol, CASE o_orderstatus WHEN 'F' THEN 'BUY' WHEN 'O' THEN 'SELL' ELSE 'HOLD' END AS direction, (o_custkey % 101)::DOUBLE AS confidence, CAST(o_orderdate AS DATE) AS created_at FROM orders),
-recs AS (SELECT o.*, b.close AS entry_price, b.close * CASE WHEN direction = 'BUY' THEN 1.05::DOUBLE ELSE 0.95::DOUBLE END AS target_price, b.close * CASE WHEN direction = 'BUY' THEN 0.97::DOUBLE ELSE 1.03::DOUBLE END AS stop_loss FROM o ASOF JOIN bars b ON o.symbol = b.symbol AND o.created_at >= b.bar_ts)"""
 _OUT = f"""{_RECS}, due AS (SELECT *, created_at + days AS due FROM recs, (VALUES ('1d', 1), ('5d', 5), ('20d', 20)) h(horizon, days) WHERE direction IN ('BUY', 'SELL')),
 found AS (SELECT d.*, b.close AS price, b.bar_ts AS seen, CASE WHEN direction = 'BUY' THEN b.close - entry_price ELSE entry_price - b.close END / entry_price * 100 AS ret FROM due d ASOF LEFT JOIN bars b ON d.symbol = b.symbol AND d.due <= b.bar_ts)"""
 
@@ -589,16 +658,6 @@ def articles(spark, sf_dir) -> DataFrame:
 _ARTICLES = r"art AS (SELECT doc_id AS article_id, trim(regexp_extract(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), '^ ?((?:[^ ]+ ?){0,10})', 1)) AS title, text AS description, source, TIMESTAMP '2024-03-01' - to_minutes(doc_id) AS published FROM documents)"
 
 
-@query()
-def news_sentiment(spark, sf_dir):
-    return text.articles_scored(articles(spark, sf_dir), LEXICON).select("article_id", "score", "confidence", "label", F.array_join("positive_words", " ").alias("positive"), F.array_join("negative_words", " ").alias("negative"))
-
-
-@query()
-def news_sentiment_by_source(spark, sf_dir):
-    return rounded(text.aggregate(text.articles_scored(articles(spark, sf_dir), LEXICON), "source"))
-
-
 @query(f"WITH {_ARTICLES}, n AS (SELECT * FROM art ORDER BY published DESC, article_id LIMIT 100), w AS (SELECT regexp_replace(unnest(regexp_split_to_array(lower(title), '\\s+')), '[^a-z0-9]', '', 'g') AS topic FROM n) SELECT topic, count(*) AS mentions FROM w WHERE length(topic) > 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def trending_topics(spark, sf_dir):
     return text.trending(articles(spark, sf_dir))
@@ -652,11 +711,17 @@ def stream_windowed_bars(spark, sf_dir):
     return _collected(spark, df).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
-@query()
+@query("SELECT event_type AS symbol, last(ts ORDER BY ts, event_id) AS ts, last(value ORDER BY ts, event_id) AS price FROM events GROUP BY 1")
 def stream_latest_prices(spark, sf_dir):
+    """Four files in four batches, each merged into the kept table."""
     path = scratch(spark, "latest")
-    streams.upsert_latest(_ticks(spark, sf_dir).select("symbol", "ts", "price"), f"{path}/data", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/data").select("symbol", "ts", "price")
+    table(spark, sf_dir, "events").repartitionByRange(4, "event_id").write.parquet(f"{path}/in")
+    ticks = streams.tick_stream(spark, f"{path}/in", files_per_trigger=1)
+    streams.upsert_latest(ticks, f"{path}/data", f"{path}/checkpoint").awaitTermination()
+    return streams.newest_version(spark, f"{path}/data", ticks.schema).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "price")
+
+
+from . import request_queries  # noqa: E402, F401 - adds its queries
 
 
 def queries() -> dict:

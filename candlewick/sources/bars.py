@@ -52,23 +52,24 @@ def four_hourly(ticks_: DataFrame) -> DataFrame:
         F.min_by("price", F.struct("ts", "tick_id")).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", F.struct("ts", "tick_id")).alias("close"), F.count("*").alias("ticks"))
 
 
-def quotes(bars: DataFrame) -> DataFrame:
-    """The last bar of each symbol with change and change percent against the one before; 0 without a previous close."""
-    recent = bars.groupBy("symbol").agg(F.max_by(F.struct("bar_ts", "open", "high", "low", "close", "volume"), "bar_ts").alias("b"), F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("bar_ts", "close")))), 1, 2).alias("two"))
-    previous = F.get(F.col("two"), F.lit(1))["close"]
-    change = F.when(F.coalesce(previous, F.lit(0.0)) != 0, F.col("b.close") - previous).otherwise(0.0)
-    percent = F.when(F.coalesce(previous, F.lit(0.0)) != 0, (F.col("b.close") - previous) / previous * 100).otherwise(0.0)
-    return recent.select("symbol", "b.*", previous.alias("previous_close"), change.alias("change"), percent.alias("change_percent"))
-
-
 def latest_quotes(bars: DataFrame) -> DataFrame:
-    """As ``quotes``, by a window instead of gathered arrays: no group is held in memory."""
+    """The last bar of each symbol with change and change percent against the one before; 0 without a previous close."""
     order = Window.partitionBy("symbol").orderBy(F.col("bar_ts").desc())
     two = bars.withColumn("previous_close", F.lead("close").over(order)).withColumn("rank", F.row_number().over(order)).filter("rank = 1").drop("rank")
     known = F.coalesce("previous_close", F.lit(0.0)) != 0
     return two.withColumns({"change": F.when(known, F.col("close") - F.col("previous_close")).otherwise(0.0), "change_percent": F.when(known, (F.col("close") - F.col("previous_close")) / F.col("previous_close") * 100).otherwise(0.0)})
 
 
+def with_age(quotes: DataFrame, now: Column, at: str = "ts", zone: str = "Asia/Kolkata", intraday: Column | None = None, fresh: int = 5) -> DataFrame:
+    """``data_age_minutes`` of quotes whose local time ``at`` has no zone of its own, and ``is_realtime``: from intraday data and younger than ``fresh`` minutes.
+
+    ``now`` is in UTC. Ages are whole minutes, cut towards zero.
+    """
+    seconds = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.to_utc_timestamp(F.col(at).cast("timestamp"), zone))
+    age = (seconds / 60).cast("long")
+    return quotes.withColumns({"data_age_minutes": age, "is_realtime": (F.lit(True) if intraday is None else intraday) & (age < fresh)})
+
+
 def valid_quote(price: str = "price", previous: str = "previous_close") -> Column:
     """Positive, not NaN, and within a fifth and five times the previous close if there is one."""
     p, b = F.col(price), F.col(previous)
