@@ -14,15 +14,7 @@ from pyspark.sql.types import StructType
 
 def ewm(x: np.ndarray, alpha: float, least: int = 1) -> np.ndarray:
     """y = alpha * x + (1 - alpha) * y before, from the first value on; null until ``least`` values."""
-    out = np.full(len(x), np.nan)
-    state, seen = np.nan, 0
-    for i, v in enumerate(x):
-        if v == v:
-            state = v if seen == 0 else alpha * v + (1 - alpha) * state
-            seen += 1
-        if seen >= least:
-            out[i] = state
-    return out
+    return pd.Series(x).ewm(alpha=alpha, adjust=False, ignore_na=True, min_periods=least).mean().to_numpy()
 
 
 def ema(x: np.ndarray, n: int) -> np.ndarray:
@@ -34,16 +26,11 @@ def wilder(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def seeded_wilder(x: np.ndarray, n: int) -> np.ndarray:
-    """Wilder's mean, started from the mean of the first n values."""
+    """Wilder's mean, started from the mean of the first n values; null where there is no value."""
     out = np.full(len(x), np.nan)
     good = np.flatnonzero(~np.isnan(x))
-    if len(good) < n:
-        return out
-    state = x[good[:n]].mean()
-    out[good[n - 1]] = state
-    for i in good[n:]:
-        state = (state * (n - 1) + x[i]) / n
-        out[i] = state
+    if len(good) >= n:
+        out[good[n - 1 :]] = ewm(np.concatenate(([x[good[:n]].mean()], x[good[n:]])), 1 / n)
     return out
 
 
@@ -152,7 +139,7 @@ def recursive_columns(pdf: pd.DataFrame) -> pd.DataFrame:
     out["psar"], rising = parabolic(high, low)
     out["kama"] = adaptive(close)
     added = pd.DataFrame({k: pd.Series(v, dtype="float64") for k, v in out.items()}, index=range(n))
-    return pd.concat([pdf, added[list(COLUMNS)], pd.Series(rising, name="psar_up", dtype=bool)], axis=1).replace({np.nan: None})
+    return pd.concat([pdf, added[list(COLUMNS)], pd.Series(rising, name="psar_up", dtype=bool)], axis=1)
 
 
 def recursive(bars: DataFrame) -> DataFrame:
