@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix, text_buffer, text_pieces, word_bounds, written
 
-#: Mean number of rows that meet in a leaf of the tree, and how many residuals meet in an inner node.
-LEAF, FAN = 1000, 32
+#: Mean number of rows that meet in a leaf of the tree, how many leaves meet in an inner node, and mean number of sources that share a tree.
+LEAF, FAN, SOURCES = 1000, 32, 64
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -111,12 +111,13 @@ def _transfer(sizes: np.ndarray, share: np.ndarray, chance: np.ndarray, taken: n
     return held
 
 
-_ROW = "doc_id long, source string, size long, whole long, share double, tie long, node long, extra long, done boolean"
+_ROW = "doc_id long, source string, size long, whole long, share double, tie long, tree long, leaves long, node long, extra long, done boolean"
 
 
-def _node(level: int, last: bool):
+def _node(level: int):
     def run(table: pa.Table) -> pa.Table:
         pdf = table.to_pandas()
+        last = len(pdf) > 0 and bool(pdf["leaves"].iloc[0] == 1)  # the root of a tree
         pdf["_s"] = pdf["source"].isna()
         pdf["_d"] = -pdf["size"]  # large rows first, so that what is left over at the end is small
         pdf = pdf.sort_values(["_s", "source", "_d", "tie", "doc_id"], kind="stable", na_position="last").reset_index(drop=True)
@@ -132,7 +133,7 @@ def _node(level: int, last: bool):
                     taken[a + held] = int(chance[a + held] < share[a + held])
                 else:
                     done[a + held] = False
-        pdf["extra"], pdf["done"], pdf["share"], pdf["node"] = taken, done, share, pdf["node"] // FAN
+        pdf["extra"], pdf["done"], pdf["share"], pdf["node"], pdf["leaves"] = taken, done, share, pdf["node"] // FAN, -(-pdf["leaves"] // FAN)
         return pa.Table.from_pandas(pdf.drop(columns=["_s", "_d"]), schema=table.schema, preserve_index=False)
 
     return run
@@ -145,25 +146,26 @@ def pivotal_copies(sized: DataFrame, share_of: DataFrame) -> DataFrame:
     rounded by weighted pivotal sampling: rows of a source meet in pairs, mass moves between them at
     random so that expectations and the source's total stay, until one is integral. Leaves are dealt by a hash of the row,
     so a hot source fills as many leaves as it needs, and leave at most one residual for each source; residuals
-    meet in nodes of FAN leaves, level by level. Only the last residual of a source is rounded
-    alone, so its total differs from the target by less than one document. Chances are hashes of doc_id: reruns agree.
+    meet in nodes of FAN leaves, level by level. Some SOURCES sources share a tree, so a node never has more than FAN times as many residuals. Only the last residual of a source is rounded
+    alone, so its total differs from the target by less than one document. Chances are hashes of doc_id and size: reruns agree.
     """
     want = share_of.withColumn("copies", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
     rows = sized.join(want.select(F.col("source").alias("s"), "source_size", "target", "copies"), sized["source"].eqNullSafe(F.col("s"))).drop("s")
-    n = rows.count()
-    leaves = max(1, -(-n // LEAF))
-    tie = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(11))
-    rows = rows.withColumns({"whole": F.floor("copies").cast("long"), "tie": tie})
-    level_rows = rows.select("doc_id", "source", "size", "whole", (F.col("copies") - F.col("whole")).alias("share"), "tie", F.pmod(F.xxhash64("tie", F.lit(3)), F.lit(leaves)).alias("node"), F.lit(0).cast("long").alias("extra"), F.lit(False).alias("done"))
+    tie = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "size", F.lit(11))
+    trees = max(1, -(-want.count() // SOURCES))
+    rows = rows.withColumns({"whole": F.floor("copies").cast("long"), "tie": tie, "tree": F.pmod(F.xxhash64("source", F.lit(7)), F.lit(trees)).cast("long")})
+    sizes = rows.groupBy("tree").agg(F.ceil(F.count("*") / LEAF).cast("long").alias("leaves"))
+    rows = rows.join(written(sizes, "trees"), "tree")
+    node = F.pmod(F.xxhash64("tie", F.lit(3)), F.col("leaves"))
+    level_rows = rows.select("doc_id", "source", "size", "whole", (F.col("copies") - F.col("whole")).alias("share"), "tie", "tree", "leaves", node.alias("node"), F.lit(0).cast("long").alias("extra"), F.lit(False).alias("done"))
     parts, level = [], 0
     while True:
-        last = leaves == 1
-        table = written(level_rows.groupBy("node").applyInArrow(_node(level, last), _ROW), "mixing")
+        table = written(level_rows.groupBy("tree", "node").applyInArrow(_node(level), _ROW), "mixing")
         parts.append(table.filter("done"))
-        if last:
-            break
         level_rows = table.filter("not done")
-        leaves, level = -(-leaves // FAN), level + 1
+        if level_rows.isEmpty():
+            break
+        level += 1
     done = parts[0]
     for p in parts[1:]:
         done = done.unionByName(p)

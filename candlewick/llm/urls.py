@@ -10,8 +10,10 @@ from .common import dropped, written
 #: (action, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Share of a score that stays with the seeds, rounds of propagation, and the distrust from which a host is blocked.
-RESTART, ROUNDS, THRESHOLD = 0.15, 12, 0.075
+#: Share of a score that stays with the seeds, and the distrust from which a host is blocked.
+RESTART, THRESHOLD = 0.15, 0.075
+#: Rounds go on until no score changes by TOLERANCE; each leaves at most 1 - RESTART of the changes before, so MOST_ROUNDS are never needed.
+TOLERANCE, MOST_ROUNDS = 1e-6, 200
 
 
 def host_of(url) -> F.Column:
@@ -48,12 +50,12 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return ends.filter("dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, restart: float = RESTART) -> DataFrame:
+def propagated(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, restart: float = RESTART) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank.
 
     ``seeds`` is (host, trust, distrust). Trust goes along links and distrust against them, each divided
     by the sender's links in that direction. Both kinds share the rounds; every round aggregates before it
-    shuffles and ends in a shared table. Scores that stop changing end the rounds early.
+    shuffles and ends in a shared table. They end when no score changes by TOLERANCE, or after ``rounds`` if that is given.
     """
     forward = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("u"), F.col("dst").alias("v"), "links")
     both = forward.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("u"), F.col("src").alias("v"), "links"))
@@ -62,10 +64,8 @@ def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, restart
     start = seeds.select("host", F.explode(F.map_from_arrays(F.array(F.lit("trust"), F.lit("distrust")), F.array("trust", "distrust"))).alias("kind", "seed"))
     start = written(start.filter("seed > 0"), "seeds")
     scores = start.select("kind", F.col("host").alias("u"), (F.col("seed") * restart).alias("score"))
-    if share.isEmpty():
-        rounds = 0
     held = None
-    for _ in range(rounds):
+    for _ in range(0 if share.isEmpty() else rounds or MOST_ROUNDS):
         sent = scores.join(share, ["kind", "u"]).groupBy("kind", "v").agg(F.sum(F.col("score") * F.col("share") * (1 - restart)).alias("got"))
         added = start.select("kind", F.col("host").alias("v"), (F.col("seed") * restart).alias("got")).unionByName(sent)
         new = written(added.groupBy("kind", F.col("v").alias("u")).agg(F.sum("got").alias("score")), "scores")
@@ -73,8 +73,11 @@ def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, restart
         if held is not None:
             dropped(held)
         scores = held = new
-        if change is None or change < 1e-6:
+        if change is None or change < TOLERANCE:
             break
+    else:
+        if rounds is None and not share.isEmpty():
+            raise RuntimeError("scores did not settle")
     score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return scores.groupBy(F.col("u").alias("host")).agg(score("trust"), score("distrust"))
 
@@ -86,7 +89,8 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataF
     rest, a host is seeded with the shares of its pages that rules allow and block; trust and
     distrust spread over links between hosts; a page is blocked if its host's distrust reaches ``threshold``, which is
     what a host gets of which half the pages are blocked, and exceeds its trust. Urls without host have no rule and are
-    allowed. Hot hosts are pre-aggregated for the graph; only the join back to pages is by host, with
+    allowed. A null html has no links; repeated rows give repeated rows and count as pages of their own; of rules of equal length
+    that fit the larger in order of code points counts; further columns are ignored. Hot hosts are pre-aggregated for the graph; only the join back to pages is by host, with
     a table of one row for each host.
     """
     spark = pages.sparkSession

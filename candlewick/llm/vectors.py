@@ -13,6 +13,7 @@ from .common import blobs, components, text_buffer, whole_groups, written
 GRID_DIMS, CELL_BITS = 8, 7
 #: Vectors in one interval of the sequence, and in one leaf of the recursion.
 INTERVAL, LEAF = 8192, 512
+LEAD = tuple(f"lead{k}" for k in range(GRID_DIMS))
 #: Room for rounding when distances decide what may be skipped; cosines themselves decide links.
 SLACK = 1e-6
 
@@ -66,20 +67,21 @@ def _projected(axes: np.ndarray, epsilon: float):
             if not batch.num_rows:
                 continue
             rows, unit = _unit(batch)
-            cells = np.clip(np.floor(unit @ axes[:, :dims] / epsilon) + 64, 0, (1 << CELL_BITS) - 1).astype(np.int64)
+            lead = np.zeros((len(rows), GRID_DIMS))
+            lead[:, :dims] = unit @ axes[:, :dims]
+            cells = np.clip(np.floor(lead[:, :dims] / epsilon) + 64, 0, (1 << CELL_BITS) - 1).astype(np.int64)
             order = np.zeros(len(rows), np.int64)
             for d in range(GRID_DIMS):
                 order = (order << CELL_BITS) | (cells[:, d] if d < dims else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows, pa.int64())), pa.array(order, pa.int64()), blobs([x.tobytes() for x in unit])], names=["vec_id", "cells", "unit"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows, pa.int64())), pa.array(order, pa.int64()), blobs([x.tobytes() for x in unit]), *[pa.array(x) for x in lead.T]], names=["vec_id", "cells", "unit", *LEAD])
 
     return run
 
 
 def in_sequence(placed: DataFrame, interval: int) -> DataFrame:
-    """Number the intervals of the sequence sorted by cells: ``own``, and the range ``low`` .. ``high`` of those it must meet.
+    """Number the intervals ``own`` of the sequence sorted by cells.
 
-    The sort is a range partition; only a count for each partition, and the bounds of at most 128 cells of the
-    first dimension, reach the driver.
+    The sort is a range partition; only a count for each partition reaches the driver.
     """
     spark = placed.sparkSession
     dealt = placed.repartitionByRange("cells", "vec_id").sortWithinPartitions("cells", "vec_id")
@@ -90,14 +92,27 @@ def in_sequence(placed: DataFrame, interval: int) -> DataFrame:
         offsets.append((part, before))
         before += n
     first = spark.createDataFrame(offsets or [(0, 0)], "part int, first long")
-    top = F.shiftright("cells", CELL_BITS * (GRID_DIMS - 1)).cast("int")
-    numbered = dealt.join(first, "part").select("vec_id", "unit", top.alias("cell"), F.floor((F.col("first") + F.col("at")) / interval).cast("int").alias("own"))
-    bounds = {r["cell"]: (r["lo"], r["hi"]) for r in numbered.groupBy("cell").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).collect()}
-    reach = {c: (min(v[0] for k, v in bounds.items() if k >= c - 1), max(v[1] for k, v in bounds.items() if k <= c + 1)) for c in bounds}
-    table = spark.createDataFrame([(c, lo, hi) for c, (lo, hi) in reach.items()] or [(0, 0, 0)], "cell int, lo int, hi int")
-    # an interval meets whatever any of its vectors must meet
-    spans = numbered.groupBy("own", "cell").agg(F.count("*").alias("n")).join(table, "cell").groupBy("own").agg(F.min("lo").alias("low"), F.max("hi").alias("high"))
-    return numbered.select("vec_id", "unit", "own").join(spans, "own")
+    return dealt.join(first, "part").select("vec_id", "unit", *LEAD, F.floor((F.col("first") + F.col("at")) / interval).cast("long").alias("own"))
+
+
+def near_intervals(numbered: DataFrame, epsilon: float) -> DataFrame:
+    """(i, j), i <= j: intervals whose boxes on the leading axes are not provably farther apart than ``epsilon``.
+
+    One row for each interval: its box, and the cells as wide as epsilon that it touches on the first axis. Boxes of one cell or of
+    neighbours meet, once for the first cell that both touch, and their distance on all leading axes decides before any vector moves.
+    """
+    bounds = [f(c).alias(f"{name}{k}") for k, c in enumerate(LEAD) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    boxes = written(numbered.groupBy("own").agg(*bounds), "boxes")
+    cell = lambda c: F.floor(F.col(c) / epsilon).cast("long")
+    placed = boxes.withColumns({"c0": cell("lo0"), "c1": cell("hi0")})
+    left = placed.select(*[F.col(c).alias(f"a_{c}") for c in placed.columns], F.explode(F.sequence("c0", "c1")).alias("cell"))
+    reach = placed.withColumns({"c0": F.col("c0") - 1, "c1": F.col("c1") + 1})
+    right = reach.select(*[F.col(c).alias(f"b_{c}") for c in reach.columns], F.explode(F.sequence("c0", "c1")).alias("cell"))
+    gaps = [F.greatest(F.lit(0.0), F.col(f"a_lo{k}") - F.col(f"b_hi{k}"), F.col(f"b_lo{k}") - F.col(f"a_hi{k}")) for k in range(GRID_DIMS)]
+    apart = sum((g * g for g in gaps), F.lit(0.0))
+    once = F.col("cell") == F.greatest("a_c0", "b_c0")  # the first cell that both rows have
+    met = left.join(right, "cell").filter(once & (F.col("a_own") <= F.col("b_own")) & (apart <= (epsilon + SLACK) ** 2))
+    return met.select(F.col("a_own").alias("i"), F.col("b_own").alias("j"))
 
 
 def _far(a: np.ndarray, b: np.ndarray, epsilon: float) -> bool:
@@ -186,8 +201,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, interval: int = INTE
     aren't compared. Rows that repeat a vec_id are vectors of their own in the counts.
 
     Vectors are turned to principal axes and sorted by cells of a grid on leading axes; cells are as wide as epsilon, the
-    distance of unit vectors at that cosine. Intervals of the sequence meet if their cells on the
-    first axis are at most one apart; each pair is joined recursively in one task, and parts whose boxes are more
+    distance of unit vectors at that cosine. Intervals of the sequence meet if their boxes on all leading axes are within
+    epsilon, which a join of the boxes finds before any vector moves; each pair is joined recursively in one task, and parts whose boxes are more
     than epsilon apart on all axes together are skipped. A tight group becomes counts and a spanning forest there, never all pairs.
     """
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK
@@ -198,9 +213,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, interval: int = INTE
     for wide in sorted(lengths):
         own = plain.filter((F.col("wide") == wide) & F.col("vec_id").isNotNull())
         axes = principal_axes(own, wide)
-        placed = own.mapInArrow(_projected(axes, epsilon), "vec_id long, cells long, unit binary")
-        met = in_sequence(placed, interval).withColumn("other", F.explode(F.sequence("low", "high")))
-        met = met.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "unit")
+        placed = own.mapInArrow(_projected(axes, epsilon), ", ".join(["vec_id long", "cells long", "unit binary", *[f"{c} double" for c in LEAD]]))
+        numbered = in_sequence(placed, interval)
+        near = written(near_intervals(numbered, epsilon), "near")
+        members = near.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+        met = numbered.select("own", "vec_id", "unit").join(members.hint("merge"), "own")
         tasks = met.repartition("i", "j").sortWithinPartitions("i", "j", "own")
         facts = facts.unionByName(tasks.mapInArrow(_pairs(least, epsilon, axes), "a long, b long, links long"))
     facts = written(facts, "links")
