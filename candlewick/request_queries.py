@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.shared import scratch
+from .functions.windows import highest, mean
 from .operators import alerts, market, patterns, scoring, text, track, wording
-from .queries import _ALERTS, _ARTICLES, BARS, LEXICON, W, _alerts, _pattern_sql, articles, avg, query, rounded, table
+from .queries import _ALERTS, _ARTICLES, BARS, LEXICON, _alerts, _pattern_sql, articles, avg, full, query, rounded, table
 from .sources import bars as src
 from .sources import files
 
@@ -23,6 +24,13 @@ def quotes_with_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.with_age(q, F.lit("2024-01-30 18:00:00").cast("timestamp"), intraday=F.col("symbol") != "error").drop("ts")
 
 
+@query(f"""WITH {BARS.replace("l_returnflag || l_linestatus", "l_suppkey::VARCHAR")} SELECT symbol, bar_ts, round({avg('close', 20)}, 4) AS sma_20, round({full('high', 14, 'max(high)')}, 4) AS high_14 FROM bars""")
+def indicators_of_many_symbols(spark, sf_dir):
+    """One symbol for each supplier: many short series in place of a few long ones."""
+    bars = src.daily_bars(spark, sf_dir, F.col("l_suppkey").cast("string"))
+    return rounded(bars.withColumns({"sma_20": mean("close", 20), "high_14": highest("high", 14)}), "symbol", "bar_ts", "sma_20", "high_14")
+
+
 @query("""WITH asked AS (SELECT c_name AS symbol FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'nobody'), facts AS (SELECT c_name AS symbol, 'Company ' || n_name AS name, nullif(c_mktsegment, 'MACHINERY') AS sector FROM customer JOIN nation ON c_nationkey = n_nationkey)
   SELECT symbol, name, coalesce(sector, 'N/A') AS sector FROM asked LEFT JOIN facts USING (symbol)""")
 def company_facts(spark, sf_dir):

@@ -15,10 +15,11 @@ def aggregated(trades: DataFrame, keys: list, order: Column, price: str = "price
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum(volume).alias("volume"))
 
 
-def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars (symbol, bar_ts, open, high, low, close, volume) from line items: symbol is the flag and status, price the extended price."""
+def daily_bars(spark: SparkSession, sf_dir: str, symbol: Column | None = None) -> DataFrame:
+    """Bars (symbol, bar_ts, open, high, low, close, volume) from line items: symbol is the flag and status unless another is given, price the extended price."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    trades = items.select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.col("l_shipdate").cast("date").alias("bar_ts"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("volume"), *TRADE_ORDER)
+    symbol = F.concat("l_returnflag", "l_linestatus") if symbol is None else symbol
+    trades = items.select(symbol.alias("symbol"), F.col("l_shipdate").cast("date").alias("bar_ts"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("volume"), *TRADE_ORDER)
     return aggregated(trades, ["symbol", "bar_ts"], F.struct(*TRADE_ORDER))
 
 
