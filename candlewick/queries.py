@@ -20,8 +20,8 @@ from .sources import bars as src
 from .streaming import streams
 
 PLACES = 4
-#: Means of 100 and 200 prices have up to 5 places, and whole units in millions 6; one fewer would be a tie that engines round differently.
-EXACT = {"sma_100": 5, "sma_200": 5, "ad_millions": 6}
+#: Means of 100 and 200 prices have up to 5 places, whole units in millions and means of 14 ranges up to 6; one fewer would be a tie that engines round differently.
+EXACT = {"sma_100": 5, "sma_200": 5, "ad_millions": 6, "atr_wilder_14": 6}
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -240,10 +240,60 @@ def indicators_exponential(spark, sf_dir):
     return rounded(recursive(src.daily_bars(spark, sf_dir)), "symbol", "bar_ts", "rsi_14", "macd", "macd_signal", "ema_9", "ema_50", "ppo")
 
 
-@query()
+def _recursive_sql() -> str:
+    """Recursive filters as states of one recursive query: y is the filter, k counts its inputs. Filters of filters are layers inside a step."""
+    ema = {  # name: (input, alpha, least number of inputs, layer)
+        "e12": ("close", "2.0::DOUBLE/13", 12, 1), "e26": ("close", "2.0::DOUBLE/27", 26, 1), "e9": ("close", "2.0::DOUBLE/10", 9, 1), "e21": ("close", "2.0::DOUBLE/22", 21, 1), "e50": ("close", "2.0::DOUBLE/51", 50, 1), "e200": ("close", "2.0::DOUBLE/201", 200, 1), "e23": ("close", "2.0::DOUBLE/24", 23, 1),
+        "u14": ("greatest(coalesce(ch, 0), 0)", "1.0::DOUBLE/14", 14, 1), "d14": ("greatest(-coalesce(ch, 0), 0)", "1.0::DOUBLE/14", 14, 1), "u7": ("greatest(coalesce(ch, 0), 0)", "1.0::DOUBLE/7", 7, 1), "d7": ("greatest(-coalesce(ch, 0), 0)", "1.0::DOUBLE/7", 7, 1),
+        "t1": ("close", "2.0::DOUBLE/16", 15, 1), "s1": ("high - low", "2.0::DOUBLE/10", 9, 1), "c1": ("ch", "2.0::DOUBLE/26", 25, 1), "a1": ("abs(ch)", "2.0::DOUBLE/26", 25, 1), "fo": ("ch * volume", "2.0::DOUBLE/14", 13, 1),
+        "t2": ("o_t1", "2.0::DOUBLE/16", 15, 2), "s2": ("o_s1", "2.0::DOUBLE/10", 9, 2), "c2": ("o_c1", "2.0::DOUBLE/14", 13, 2), "a2": ("o_a1", "2.0::DOUBLE/14", 13, 2), "sg": ("o_e12 - o_e26", "2.0::DOUBLE/10", 9, 2), "ps": ("100 * (o_e12 - o_e26) / o_e26", "2.0::DOUBLE/10", 9, 2),
+        "t3": ("o_t2", "2.0::DOUBLE/16", 15, 3),
+    }
+    wilder = {"wt": ("tr", 1), "wp": ("dmp", 1), "wm": ("dmm", 1), "wx": ("CASE WHEN o_wp / o_wt + o_wm / o_wt <> 0 THEN 100 * abs(100 * o_wp / o_wt - 100 * o_wm / o_wt) / (100 * o_wp / o_wt + 100 * o_wm / o_wt) END", 2)}
+    names = [*ema, *wilder]
+    start = ", ".join(f"NULL::DOUBLE AS y_{x}, 0 AS k_{x}" for x in names)
+
+    def layer(inner: str, k: int) -> str:
+        new, out_ = [], []
+        for x, (value, alpha, least, at) in ema.items():
+            if at == k:
+                new += [f"CASE WHEN ({value}) IS NULL THEN y_{x} WHEN y_{x} IS NULL THEN ({value}) ELSE {alpha} * ({value}) + (1 - {alpha}) * y_{x} END AS y_{x}", f"k_{x} + (({value}) IS NOT NULL)::INT AS k_{x}"]
+                out_.append(f"CASE WHEN k_{x} >= {least} THEN y_{x} END AS o_{x}")
+        for x, (value, at) in wilder.items():
+            if at == k:
+                new += [f"CASE WHEN ({value}) IS NULL THEN y_{x} WHEN k_{x} + 1 < 14 THEN coalesce(y_{x}, 0) + ({value}) WHEN k_{x} + 1 = 14 THEN (y_{x} + ({value})) / 14 ELSE (y_{x} * 13 + ({value})) / 14 END AS y_{x}", f"k_{x} + (({value}) IS NOT NULL)::INT AS k_{x}"]
+                out_.append(f"CASE WHEN k_{x} >= 14 THEN y_{x} END AS o_{x}")
+        changed = {c.rsplit(" AS ", 1)[1]: c.rsplit(" AS ", 1)[0] for c in new}
+        return f"(SELECT *, {', '.join(out_)} FROM (SELECT * REPLACE ({', '.join(f'{v} AS {c}' for c, v in changed.items())}) FROM {inner}))"
+
+    states = ", ".join(f"z.y_{x}, z.k_{x}" for x in names)
+    row = "n.symbol, n.i, n.close, n.high, n.low, n.volume, n.ch, n.tr, n.dmp, n.dmm"
+    step = lambda inner: layer(layer(layer(inner, 1), 2), 3)
+    kept = f"symbol, i, {', '.join(f'y_{x}, k_{x}' for x in names)}, {', '.join(f'o_{x}' for x in names)}"
+    stoch = lambda x: f"CASE WHEN count({x}) OVER w10 = 10 AND max({x}) OVER w10 > min({x}) OVER w10 THEN 100 * ({x} - min({x}) OVER w10) / (max({x}) OVER w10 - min({x}) OVER w10) END"
+    window = "WINDOW w10 AS (PARTITION BY symbol ORDER BY i ROWS 9 PRECEDING)"
+    three = lambda name, src_, x: f"""{name} AS (SELECT symbol, i, CASE WHEN {x} IS NOT NULL THEN {x} END AS y, ({x} IS NOT NULL)::INT AS k FROM {src_} WHERE i = 1
+  UNION ALL SELECT s.symbol, s.i, CASE WHEN s.{x} IS NULL THEN r.y WHEN r.y IS NULL THEN s.{x} ELSE 0.5::DOUBLE * s.{x} + 0.5::DOUBLE * r.y END, r.k + (s.{x} IS NOT NULL)::INT FROM {src_} s JOIN {name} r ON s.symbol = r.symbol AND s.i = r.i + 1)"""
+    rsi = lambda n: f"CASE WHEN o_u{n} IS NOT NULL THEN CASE WHEN o_d{n} = 0 THEN 100 ELSE 100 - 100 / (1 + o_u{n} / o_d{n}) END END AS rsi_{n}"
+    return f"""WITH RECURSIVE {BARS}, n0 AS (SELECT *, row_number() OVER ({W}) AS i, close - {lag('close')} AS ch, {_TR} AS tr, high - {lag('high')} AS up, {lag('low')} - low AS dn, abs(coalesce(close - {lag('close')}, 0)) AS moved, {lag('low')} AS low1, {lag('low', 2)} AS low2, {lag('high')} AS high1, {lag('high', 2)} AS high2 FROM bars),
+n AS (SELECT *, CASE WHEN up IS NULL THEN NULL WHEN up > dn AND up > 0 THEN up ELSE 0 END AS dmp, CASE WHEN dn IS NULL THEN NULL WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS dmm, sum(moved) OVER (PARTITION BY symbol ORDER BY i ROWS 9 PRECEDING) AS noise, abs(close - {lag('close', 10)}) AS net FROM n0),
+z AS (SELECT {kept} FROM {step(f"(SELECT {row}, {start} FROM n WHERE i = 1)")}
+  UNION ALL SELECT {kept} FROM {step(f"(SELECT {row}, {states} FROM n JOIN z ON n.symbol = z.symbol AND n.i = z.i + 1)")}),
+k AS (SELECT symbol, i, close AS kama FROM n WHERE i = 10 UNION ALL SELECT n.symbol, n.i, k.kama + pow((CASE WHEN noise <> 0 THEN net / noise ELSE 0 END) * (2.0::DOUBLE / 3 - 2.0::DOUBLE / 31) + 2.0::DOUBLE / 31, 2) * (close - k.kama) FROM n JOIN k ON n.symbol = k.symbol AND n.i = k.i + 1),
+p AS (SELECT symbol, i, true AS up, 0.02::DOUBLE AS factor, high AS extreme, low AS value FROM n WHERE i = 1 UNION ALL
+  SELECT symbol, i, CASE WHEN up THEN low >= v ELSE high > v END, CASE WHEN flipped THEN 0.02::DOUBLE WHEN (up AND high > extreme) OR (NOT up AND low < extreme) THEN least(factor + 0.02::DOUBLE, 0.2::DOUBLE) ELSE factor END, CASE WHEN flipped THEN CASE WHEN up THEN low ELSE high END WHEN up THEN greatest(extreme, high) ELSE least(extreme, low) END, CASE WHEN flipped THEN extreme ELSE v END
+  FROM (SELECT *, CASE WHEN up THEN low < v ELSE high > v END AS flipped FROM (SELECT n.symbol, n.i, n.high, n.low, p.up, p.factor, p.extreme, CASE WHEN p.up THEN least(p.value + p.factor * (p.extreme - p.value), low1, coalesce(low2, low1)) ELSE greatest(p.value + p.factor * (p.extreme - p.value), high1, coalesce(high2, high1)) END AS v FROM n JOIN p ON n.symbol = p.symbol AND n.i = p.i + 1))),
+x1 AS (SELECT *, {stoch('d')} AS f FROM (SELECT symbol, i, o_e23 - o_e50 AS d FROM z) {window}), {three('x2', 'x1', 'f')},
+x3 AS (SELECT *, {stoch('g')} AS f FROM (SELECT symbol, i, CASE WHEN k >= 3 THEN y END AS g FROM x2) {window}), {three('x4', 'x3', 'f')},
+done AS (SELECT n.symbol, n.bar_ts, {rsi(14)}, {rsi(7)}, o_e12 - o_e26 AS macd, o_sg AS macd_signal, o_e12 - o_e26 - o_sg AS macd_hist, o_e9 AS ema_9, o_e21 AS ema_21, o_e50 AS ema_50, o_e200 AS ema_200, o_wt AS atr_wilder_14, 100 * (o_t3 - lag(o_t3) OVER v) / nullif(lag(o_t3) OVER v, 0) AS trix_15,
+  CASE WHEN count(o_s1 / nullif(o_s2, 0)) OVER v25 = 25 THEN sum(o_s1 / nullif(o_s2, 0)) OVER v25 END AS mass_index, 100 * o_c2 / nullif(o_a2, 0) AS tsi, CASE WHEN x4.k >= 3 THEN x4.y END AS stc, 100 * (o_e12 - o_e26) / o_e26 AS ppo, o_ps AS ppo_signal, 100 * (o_e12 - o_e26) / o_e26 - o_ps AS ppo_hist, o_fo AS force_13, o_wx AS adx, 100 * o_wp / nullif(o_wt, 0) AS di_plus, 100 * o_wm / nullif(o_wt, 0) AS di_minus,
+  CASE WHEN n.i > 1 THEN p.value END AS psar, kama, n.i > 1 AND p.up AS psar_up FROM n JOIN z USING (symbol, i) JOIN p USING (symbol, i) JOIN x4 USING (symbol, i) LEFT JOIN k USING (symbol, i) WINDOW v AS (PARTITION BY n.symbol ORDER BY n.i), v25 AS (PARTITION BY n.symbol ORDER BY n.i ROWS 24 PRECEDING))"""
+
+
+@query(f"{_recursive_sql()} SELECT {out(*RECURSIVE)}, psar_up FROM done")
 def indicators_recursive(spark, sf_dir):
-    """All recursive indicators of every bar; held against a plain loop in the tests."""
-    return recursive(src.daily_bars(spark, sf_dir)).select("symbol", "bar_ts", *RECURSIVE, "psar_up")
+    """All recursive indicators of every bar."""
+    return rounded(recursive(src.daily_bars(spark, sf_dir)), "symbol", "bar_ts", *RECURSIVE, "psar_up")
 
 
 @query()
