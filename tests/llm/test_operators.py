@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -495,3 +496,103 @@ def test_contents_with_equal_hashes_are_told_apart():
     assert number[0] == number[2] != number[1]
     codes, words = bpe._distinct(np.frombuffer("abcd".encode("utf-32-le"), np.uint32), "abcd", np.array([0, 2]), np.array([2, 4]))
     assert [words[k] for k in codes] == ["ab", "cd"]
+
+
+def test_license_query_finds_edited_copies_and_nothing_else(spark):
+    rng = random.Random(9)
+    word = lambda: "w" + "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, want = [], set()
+    for k in range(60):
+        before, after = " ".join(word() for _ in range(rng.randint(0, 80))), " ".join(word() for _ in range(rng.randint(0, 80)))
+        if k % 3 == 0:
+            rows.append((k, before + " " + after))
+            continue
+        name = rng.choice([n for n, t in licenses.TEMPLATES.items() if len(t.split()) > 25])
+        words = licenses.TEMPLATES[name].split()
+        edits = rng.sample(range(4, len(words) - 4), len(words) // 15)
+        for e in edits:
+            words[e] = word()
+        copy = " ".join(words).replace(", ", " ,\n") if k % 2 else " ".join(words)
+        rows.append((k, f"{before} {copy} {after}"))
+        tokens = re.findall(r"[0-9a-z\x80-\U0010ffff]+", licenses.TEMPLATES[name].lower())
+        lost = sum(len(re.findall(r"[0-9a-z\x80-\U0010ffff]+", licenses.TEMPLATES[name].split()[e].lower())) for e in edits)
+        start = len(before) + 1 if before else 1
+        want.add((k, name, len(tokens) - lost, start))
+    got = licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = {(r.doc_id, r.template, r.matched, r.start_char + (not rows[r.doc_id][1][r.start_char].isalnum())) for r in got if len(licenses.TEMPLATES[r.template].split()) > 25}
+    assert {x[:3] for x in found} == {x[:3] for x in want}
+    assert all(abs(a[3] - b[3]) <= 1 for a in found for b in want if a[:2] == b[:2])
+    again = [(None, licenses.TEMPLATES["isc"]), (None, licenses.TEMPLATES["isc"]), (1, None)]
+    assert len(licenses.scanned(spark.createDataFrame([(*r, "x", 1) for r in again], "doc_id long, text string, template string, matched int")).collect()) == 2
+
+
+def _url_parts(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url) if url else None
+    return (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if m else ("", "")
+
+
+def test_url_verdicts_equal_a_plain_propagation(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet").unionByName(_pages(spark).drop("host"))
+    rows = pages.collect()
+    seeds, edges = {}, {}
+    best = lambda host, path: max(((len(h + p), h + p, a) for a, h, p in urls.RULES if host and (host == h or host.endswith("." + h)) and path.startswith(p)), default=None)
+    for r in rows:
+        host, path = _url_parts(r.url)
+        if not host:
+            continue
+        fit = best(host, path)
+        n = seeds.setdefault(host, [0, 0, 0])
+        n[2] += 1
+        if fit:
+            n[fit[2] == "block"] += 1
+        for link in re.findall(r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"'>]+)""", r.html or ""):
+            other = _url_parts("http:" + link if link.startswith("//") else link)[0]
+            if other and other != host:
+                edges[host, other] = edges.get((host, other), 0) + 1
+    scores = _propagated({h: (a / n, b / n) for h, (a, b, n) in seeds.items()}, [(a, b, w) for (a, b), w in edges.items()], 300 if edges else 0, urls.RESTART)
+    want = []
+    for r in rows:
+        host, path = _url_parts(r.url)
+        fit, (trust, distrust) = best(host, path), scores.get(host, (0.0, 0.0)) if host else (0.0, 0.0)
+        want.append((r.page_id, fit[2] if fit else "block" if distrust >= urls.THRESHOLD and distrust > trust else "allow"))
+    assert sorted((r.page_id, r.verdict) for r in urls.judged(pages).collect()) == sorted(want)
+
+
+def test_quality_verdicts_equal_plain_estimates(spark, data):
+    """The same estimates, group by group, in numpy."""
+    stats = quality.text_statistics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet") if os.path.isdir("/root/testdata/sf0.01") else spark.read.parquet(f"{data}/documents.parquet"), ["doc_id", "lang", "source"])
+    pdf = stats.toPandas()
+    words, lines = pdf.n_words.clip(lower=1), pdf.n_lines.clip(lower=1)
+    x = np.stack([np.log(pdf.word_chars.clip(lower=1) / words), np.sqrt(pdf.n_symbols / words), np.sqrt(pdf.n_dup_lines / lines), np.sqrt(pdf.n_repeat_words / words)], 1)
+    failed = ((pdf.n_words < 50) | (100 * pdf.n_repeat_words > 50 * pdf.n_words)).to_numpy()
+    own = (pdf.lang.fillna("-") + "\x1f" + pdf.source.fillna("-")).to_numpy()
+    pool = pdf.lang.fillna("-").to_numpy()
+    size = {g: int(((own == g) & ~failed).sum()) for g in set(own)}
+    small = np.array([size[g] < 100 for g in own])
+    rest = {p: int(((pool == p) & small & ~failed).sum()) for p in set(pool)}
+    group = np.array([o if not s else f"pool:{p}" if rest[p] >= 100 else "rest" for o, s, p in zip(own, small, pool)], object)
+    middle = lambda v, share: np.sort(v)[max(0, int(np.ceil(share * len(v))) - 1)]
+    floor = np.diag(np.square(quality.FLOOR))
+    floor[2, 3] = floor[3, 2] = quality.SHARED * quality.FLOOR[2] * quality.FLOOR[3]
+    state = {}
+    for g in set(group[~failed]):
+        v = x[(group == g) & ~failed]
+        centre = np.array([middle(c, 0.5) for c in v.T])
+        state[g] = [v, centre, np.linalg.inv(np.diag([(1.4826 * middle(np.abs(c - m), 0.5)) ** 2 for c, m in zip(v.T, centre)]) + floor)]
+    far = lambda v, m, p: np.einsum("ij,jk,ik->i", v - m, p, v - m)
+    while True:
+        moved = 0.0
+        for g, (v, m, p) in state.items():
+            d = far(v, m, p)
+            near = v[d <= middle(d, quality.INNER)]
+            new, inverse = near.mean(axis=0), np.linalg.inv(np.cov(near.T, bias=True) * quality.CONSISTENCY + floor)
+            moved = max(moved, (np.abs(new - m) * np.sqrt(np.diag(inverse))).max(), (np.abs(np.log(np.diag(inverse) / np.diag(p))) / 2).max())
+            state[g] = [v, new, inverse]
+        if moved <= quality.TOLERANCE:
+            break
+    want = {}
+    for k, f, g, row in zip(pdf.doc_id, failed, group, x):
+        want[k] = bool(not f and far(row[None], *state[g][1:])[0] <= quality.CUTOFF)
+    got = {r.doc_id: r.kept for r in quality.robust_outliers(stats).collect()}
+    differ = [k for k in want if want[k] != got[k]]
+    assert set(want) == set(got) and len(differ) <= 0.002 * len(want), differ
