@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Rolling, text_buffer, text_pieces, word_bounds, word_hashes
+from .common import LOWER, U64, Rolling, spread, text_buffer, text_pieces, word_bounds, word_hashes
 
 #: The public wording of common notices and licenses.
 TEMPLATES = {
@@ -27,6 +29,8 @@ GRAM, WINNOW = 3, 3
 #: Words that an alignment may drift from its diagonal, and the share of a template that must match.
 BAND, COVERAGE = 8, 0.8
 PIECE = 1 << 20
+#: Diagonals that are aligned together.
+BATCH = 1024
 _FOLD = np.full(256, 0x20, np.uint8)
 for _b in (*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)):
     _FOLD[_b] = LOWER[_b]
@@ -62,73 +66,88 @@ class Index:
         self.template = np.array([p[1] for p in prints], np.int64)
         self.place = np.array([p[2] for p in prints], np.int64)
 
-    def hits(self, grams: np.ndarray):
+    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, template, place) of all grams that are a fingerprint."""
         low, high = np.searchsorted(self.keys, grams, "left"), np.searchsorted(self.keys, grams, "right")
         at = np.flatnonzero(high > low)
-        return [(int(p), int(self.template[k]), int(self.place[k])) for p in at for k in range(low[p], high[p])]
+        k = spread(low[at], (high - low)[at])
+        return np.repeat(at, (high - low)[at]), self.template[k], self.place[k]
+
+
+def aligned_many(template: np.ndarray, words: np.ndarray, diagonal: np.ndarray, low: np.ndarray, high: np.ndarray, band: int = BAND) -> np.ndarray:
+    """(matched words, first, end) of the best local alignment near each diagonal, inside words low .. high - 1: +2 a match, -1 a gap or mismatch.
+
+    All diagonals go through the rows of their bands together.
+    """
+    n, wide = len(diagonal), 2 * band + 1
+    before, steps = np.zeros((n, wide + 2), np.int32), np.zeros((len(template), n, wide), np.int8)
+    best, row, column = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    slope, at = np.arange(wide, dtype=np.int32), np.arange(n)
+    for i, t in enumerate(template):
+        j = diagonal[:, None] + i + slope - band
+        inside = (j >= low[:, None]) & (j < high[:, None])
+        same = words[np.clip(j, 0, max(len(words) - 1, 0))] == t
+        straight, down = before[:, 1:-1] + np.where(same, 2, -1).astype(np.int32), before[:, 2:] - 1
+        most = np.where(inside, np.maximum(np.maximum(straight, down), 0), 0)
+        score = np.where(inside, np.maximum.accumulate(most + slope, axis=1) - slope, 0)  # gaps in the template
+        steps[i] = np.where(score == 0, 0, np.where(score > most, 4, np.where(straight >= down, np.where(same, 1, 2), 3)))
+        before[:, 1:-1] = score
+        b = score.argmax(axis=1)
+        higher = score[at, b] > best
+        best, row, column = np.where(higher, score[at, b], best), np.where(higher, i, row), np.where(higher, b, column)
+    out = np.zeros((n, 3), np.int64)
+    for k in np.flatnonzero(best):
+        i, b, matched = int(row[k]), int(column[k]), 0
+        first = end = int(diagonal[k]) + i + b - band
+        while i >= 0 and 0 <= b < wide and (m := steps[i, k, b]):
+            if m <= 2:
+                matched += m == 1
+                first = int(diagonal[k]) + i + b - band
+                i -= 1
+            elif m == 3:
+                i, b = i - 1, b + 1
+            else:
+                b -= 1
+        out[k] = matched, first, end + 1
+    return out
 
 
 def aligned(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, end) of the best local alignment near a diagonal: +2 a match, -1 a gap or mismatch."""
-    t, w = template.tolist(), words.tolist()
-    wide = 2 * band + 1
-    score = [[0] * (wide + 2) for _ in range(len(t) + 1)]
-    step = [[0] * (wide + 2) for _ in range(len(t) + 1)]
-    best, where = 0, None
-    for i in range(1, len(t) + 1):
-        row, above, moves = score[i], score[i - 1], step[i]
-        for b in range(1, wide + 1):
-            j = diagonal + i - 1 + b - 1 - band
-            if 0 <= j < len(w):
-                same = t[i - 1] == w[j]
-                options = ((above[b] + (2 if same else -1), 1 if same else 2), (above[b + 1] - 1, 3), (row[b - 1] - 1, 4))
-                s, m = max(options, key=lambda o: o[0])
-                if s > 0:
-                    row[b], moves[b] = s, m
-                    if s > best:
-                        best, where = s, (i, b)
-    if where is None:
-        return 0, 0, 0
-    (i, b), matched = where, 0
-    end = first = diagonal + i - 1 + b - 1 - band
-    while i > 0 and score[i][b] > 0:
-        m = step[i][b]
-        if m in (1, 2):
-            matched += m == 1
-            first = diagonal + i - 1 + b - 1 - band
-            i -= 1
-        elif m == 3:
-            i, b = i - 1, b + 1
-        else:
-            b -= 1
-    return matched, first, end + 1
-
-
-def found_in(index: Index, words: np.ndarray, hits: list[tuple[int, int, int]], coverage: float) -> list[tuple[int, int, int, int]]:
-    """(template, matched, first word, end word) of each place where a template matches well enough, without overlaps of one template."""
+    """As ``aligned_many``, for one diagonal and all words."""
+    matched, first, end = aligned_many(template, words, np.array([diagonal]), np.array([0]), np.array([len(words)]), band)[0].tolist()
+    return matched, first, end
+
+
+def found_in(index: Index, words: np.ndarray, first: np.ndarray, counts: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int]]:
+    """(text, template, matched, first word, end word) of each place where a template matches well enough, without overlaps of one template in a text."""
+    position, template, place = index.hits(_grams(words))
+    text = np.repeat(np.arange(len(counts)), counts)
+    inside = text[position] == text[position + GRAM - 1]
+    position, template, place = position[inside], template[inside], place[inside]
     out = []
-    by: dict[int, list[tuple[int, int]]] = {}
-    for p, t, k in hits:
-        by.setdefault(t, []).append((p, k))
-    for t, places in sorted(by.items()):
+    for t in np.unique(template):
+        own = template == t
+        pairs = np.unique(np.stack([text[position[own]], position[own] - place[own]], 1), axis=0)
+        picked, last = [], (-1, 0)
+        for x, d in pairs.tolist():  # one diagonal stands for those close behind it
+            if x != last[0] or d - last[1] > BAND // 2:
+                picked.append((x, d))
+                last = (x, d)
         size, seen = len(index.words[t]), []
-        tried: set[int] = set()
-        for p, k in places:
-            diagonal = p - k
-            if any(abs(diagonal - d) <= BAND // 2 for d in tried):
-                continue
-            tried.add(diagonal)
-            low = max(0, diagonal - BAND)
-            matched, first, end = aligned(index.words[t], words[low : diagonal + size + BAND + 1], diagonal - low)
-            if matched >= coverage * size:
-                seen.append((-matched, low + first, low + end))
+        for a in range(0, len(picked), BATCH):
+            x, d = np.array(picked[a : a + BATCH], np.int64).reshape(-1, 2).T
+            found = aligned_many(index.words[t], words, d, first[x], first[x] + counts[x])
+            seen += [(int(x[k]), -int(m), int(b), int(e)) for k, (m, b, e) in enumerate(found) if m >= coverage * size]
         taken: list[tuple[int, int]] = []
-        for m, a, b in sorted(seen):
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
-                out.append((t, -m, a, b))
-    return out
+        of = -1
+        for x, m, b, e in sorted(seen):
+            if x != of:
+                of, taken = x, []
+            k = bisect.bisect(taken, (b, e))
+            if (k == 0 or taken[k - 1][1] <= b) and (k == len(taken) or taken[k][0] >= e):
+                taken.insert(k, (b, e))
+                out.append((x, int(t), -m, b, e))
+    return sorted(out)
 
 
 SCHEMA = "doc_id long, template string, matched long, coverage double, start_char long, end_char long"
@@ -138,7 +157,8 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
     """(doc_id, template, matched, coverage, start_char, end_char) for every license passage in ``docs`` (doc_id, text).
 
     ``matched`` counts the template's words in the alignment, ``coverage`` is their share, and the span is given in code
-    points of the whole text. One row for each place; null and empty texts have none. The templates
+    points of the whole text. One row for each place; null and empty texts have none, repeated rows have theirs again, a null doc_id stays
+    null, and further columns are ignored. Of places of one template that overlap, the one with most matched words counts, of equal ones the first. The templates
     are a parameter and their index goes to every task with the code; documents are read once and nothing is shuffled.
     """
     templates = templates or TEMPLATES
@@ -150,19 +170,11 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
                 buf, off = text_buffer(piece.column("text"))
                 start, end, counts, words = _tokens(buf, off)
                 first = np.cumsum(counts) - counts
-                row = np.repeat(np.arange(len(counts)), counts)
-                grams = _grams(words)
-                per: dict[int, list[tuple[int, int, int]]] = {}
-                for p, t, k in index.hits(grams):
-                    if row[p] == row[p + GRAM - 1]:
-                        per.setdefault(int(row[p]), []).append((p - int(first[row[p]]), t, k))
+                chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
                 out = []
-                for d, hits in per.items():
-                    own = words[first[d] : first[d] + counts[d]]
-                    for t, matched, a, b in found_in(index, own, hits, coverage):
-                        raw = buf[off[d] : off[d + 1]]
-                        chars = lambda byte: int(((raw[: byte - off[d]] & 0xC0) != 0x80).sum())  # noqa: B023, E731
-                        out.append((d, index.names[t], matched, matched / len(index.words[t]), chars(start[first[d] + a]), chars(end[first[d] + b - 1])))
+                for d, t, matched, a, b in found_in(index, words, first, counts, coverage):
+                    spans = [int(chars[byte] - chars[off[d]]) for byte in (start[a], end[b - 1])]
+                    out.append((d, index.names[t], matched, matched / len(index.words[t]), *spans))
                 ids = piece.column("doc_id").take(pa.array([x[0] for x in out], pa.int64()))
                 kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array([x[k + 1] for x in out], kind) for k, kind in enumerate(kinds)]], names=["doc_id", "template", "matched", "coverage", "start_char", "end_char"])
