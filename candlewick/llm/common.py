@@ -11,6 +11,7 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,20 +197,35 @@ def word_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, counts
 
 
-#: Bytes whose words are hashed at a time.
-STEP = 1 << 19
+#: Bytes of a word that are read eight at a time; longer words are few for their bytes and are looked at one by one.
+EIGHTS = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def eights(buf: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """The first EIGHTS bytes of each word, eight at a time as one number: (which words, their numbers), at first of all words."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[:-8] = buf
+    at = np.ndarray((len(buf) + 1,), U64, padded, strides=(1,))
+    size = end - start
+    rows, k = np.arange(len(start)), 0
+    while len(rows) and k < EIGHTS:
+        yield rows, at[start[rows] + k] & _LOW[np.minimum(size[rows] - k, 8)]
+        k += 8
+        rows = rows[size[rows] > k]
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A hash of each word's bytes, STEP bytes (or one word) at a time."""
-    out = np.empty(len(start), U64)
-    values = seeded(256, seed)
-    a = 0
-    while a < len(start):
-        b = max(a + 1, int(np.searchsorted(end, start[a] + STEP, "right")))
-        low = start[a]
-        out[a:b] = Rolling(values[buf[low : end[b - 1]]], seed).of(start[a:b] - low, end[a:b] - low)
-        a = b
+    """A hash of each word's bytes."""
+    first, length = seeded(2, seed)
+    out = (end - start).astype(U64) * (length | U64(1)) + first
+    for rows, x in eights(buf, start, end):
+        if len(rows) == len(out):
+            out = mix(out ^ x)
+        else:
+            out[rows] = mix(out[rows] * U64(3) ^ x)
+    for k in np.flatnonzero(end - start > EIGHTS).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(buf[start[k] : end[k]].tobytes(), seed)
     return out
 
 

@@ -16,13 +16,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
 from .blocks import Block
-from .common import U64, Rolling, blobs, deleted, mix, seeded, spread, whole_groups, word_bounds, word_hashes, written
+from .common import EIGHTS, U64, Rolling, blobs, deleted, eights, mix, seeded, spread, text_buffer, whole_groups, word_bounds, word_hashes, written
 
 WINDOW = 20
 #: Bytes of text for each part of the exchanges of windows, and of those of names.
@@ -108,19 +109,18 @@ def shrunk(z: Zones, key: np.ndarray, level: int) -> tuple[tuple[np.ndarray, np.
 
     low, high = run[z.low] + 1, run[z.high - 1]
     open_ = low < high
-    low[open_] += right[low[open_]]
-    high[open_] -= ~right[high[open_] - 1]
+    low += right[np.minimum(low, len(runs) - 1)] if len(runs) else 0
+    high -= ~right[high - 1]
     open_ &= low < high
     closed = ~open_
     a, b = z.low[closed], z.high[closed]
     zone = np.ones(len(a), bool)
     zone[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     a, b = a[zone], b[zone]
-    order = mix(key)
     best = a.copy()
     for k in range(1, int((b - a).max(initial=0))):
         at = np.minimum(a + k, b - 1)
-        best = np.where(order[at] < order[best], at, best)
+        best = np.where(key[at] < key[best], at, best)
     pick = best[np.cumsum(zone) - 1] if len(zone) else best
     done = z.begin[closed], z.n[closed], z.at[pick], pick
 
@@ -158,12 +158,13 @@ def exact_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarr
     """(one occurrence of each distinct word, the number of each word); equal hashes are compared as bytes."""
     first, number = _first_of(h)
     size = end - start
-    same = np.array_equal(size, size[first][number])
-    step = 1 << 17
-    for a in range(0, len(start), step):
-        if same:
-            n, rep = size[a : a + step], start[first][number[a : a + step]]
-            same = np.array_equal(buf[spread(start[a : a + step], n)], buf[spread(rep, n)])
+    rep = first[number]
+    same = np.array_equal(size, size[rep])
+    if same:
+        again = np.flatnonzero(rep != np.arange(len(rep)))
+        here, there = (eights(buf, start[x], end[x]) for x in (again, rep[again]))
+        same = all(np.array_equal(x, y) for (_, x), (_, y) in zip(here, there))
+        same = same and all(np.array_equal(buf[start[k] : end[k]], buf[start[rep[k]] : end[rep[k]]]) for k in again[size[again] > EIGHTS].tolist())
     if not same:
         raw = buf.tobytes()
         _, first, number = np.unique(np.array([raw[a:b] for a, b in zip(start, end)], object), return_index=True, return_inverse=True)
@@ -267,25 +268,17 @@ class _Words:
     def contents(self, block: Block) -> tuple[bytes, np.ndarray]:
         """Bytes and sizes of the contents in the order of ``order``. Words have no white space, so a space between runs and a tab before
         a run's length keep contents apart."""
-        size = self.end - self.start
-        one, two = self.first[np.concatenate([np.arange(len(self.first)), self.s1])], self.first[self.s2]
-        none = np.zeros(len(self.first), np.int64)
-        paired = np.concatenate([none, self.l2 > 0]).astype(np.int64)
-        start = np.stack([self.start[one], np.full(len(one), len(block.buf)), np.concatenate([none, self.start[two]])], 1)
-        wide = np.stack([size[one], paired, np.concatenate([none, size[two]]) * paired], 1)
-        raw, more, at = block.buf.tobytes(), [b" "], len(block.buf) + 1
-        word = lambda k, n: raw[self.start[self.first[k]] : self.end[self.first[k]]] + (b"\t%d" % n if n > 1 else b"")
-        for k in np.flatnonzero((self.l1 > 1) | (self.l2 > 1)).tolist():
-            text = word(self.s1[k], self.l1[k]) + (b" " + word(self.s2[k], self.l2[k]) if self.l2[k] else b"")
-            start[len(self.first) + k], wide[len(self.first) + k] = (at, 0, 0), (len(text), 0, 0)
-            more.append(text)
-            at += len(text)
-        start, wide = start[self.order], wide[self.order]
-        source = np.concatenate([block.buf, np.frombuffer(b"".join(more), np.uint8)])
-        out, step = [], 1 << 16
-        for a in range(0, len(start), step):
-            out.append(source[spread(start[a : a + step].reshape(-1), wide[a : a + step].reshape(-1))])
-        return b"".join(x.tobytes() for x in out), wide.sum(axis=1)
+        size = (self.end - self.start)[self.first]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(block.buf[spread(self.start[self.first], size)])])
+        pair = (self.l1 == 1) & (self.l2 == 1)
+        pairs = pc.binary_join_element_wise(words.take(pa.array(self.s1[pair])), words.take(pa.array(self.s2[pair])), pa.scalar(b" ", pa.large_binary()))
+        word = lambda k, n: words[k].as_py() + (b"\t%d" % n if n > 1 else b"")
+        runs = [word(a, m) + (b" " + word(b, n) if n else b"") for a, m, b, n in zip(*(x[~pair].tolist() for x in (self.s1, self.l1, self.s2, self.l2)))]
+        at = np.where(pair, np.cumsum(pair) - 1, len(pairs) + np.cumsum(~pair) - 1) + len(words)
+        texts = pa.concat_arrays([words, pairs, pa.array(runs, pa.large_binary())]).take(pa.array(np.concatenate([np.arange(len(words)), at])[self.order]))
+        out, ends = text_buffer(texts)
+        return out.tobytes(), np.diff(ends)
 
 
 def _asked(parts: int):
