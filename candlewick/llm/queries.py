@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, licenses, minhash, mixing, quality, recompression, sql, suffixes, urls, vectors
+from . import audit, bpe, html, licenses, minhash, mixing, quality, recompression, sql, suffixes, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op2_license_scan": op2_license_scan, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op4_url_filters": op4_url_filters, "op7_html_extraction": op7_html_extraction, "op10_recompression_dedup": op10_recompression_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_source_mixing": op3_source_mixing, "op6_bpe_encoding": op6_bpe_encoding, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_quality_rules": op9_quality_rules}
+    return {"op12_filter_audit": op12_filter_audit, "op2_license_scan": op2_license_scan, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op4_url_filters": op4_url_filters, "op7_html_extraction": op7_html_extraction, "op10_recompression_dedup": op10_recompression_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_source_mixing": op3_source_mixing, "op6_bpe_encoding": op6_bpe_encoding, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -70,4 +70,19 @@ out AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' OR
 SELECT t.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM texts t LEFT JOIN out USING (doc_id)"""
 
-ORACLE = {"op1_suffix_array_dedup": OP1, "op5_embedding_near_dedup": OP5, "op8_minhash_near_dedup": OP8, "op10_recompression_dedup": OP10}
+OP12 = f"""WITH RECURSIVE orders AS (SELECT '' AS filter_order, 0 AS step UNION ALL SELECT filter_order || f, step + 1 FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE step < 5 AND NOT contains(filter_order, f)),
+steps AS (SELECT filter_order, s::INTEGER AS step, substr(filter_order, s, 1) AS f, substr(filter_order, 1, s - 1) AS before FROM (SELECT filter_order, unnest(range(1, 6)) AS s FROM orders WHERE step = 5)),
+texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+tests AS (SELECT part, doc_id, (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+  || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails FROM texts),
+counted AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM tests LEFT JOIN marks USING (doc_id) GROUP BY 1, 2),
+out AS (SELECT part, filter_order, step, f, sum(n) FILTER (fails = '' OR translate(fails, before || f, '') = fails) AS kept, sum(n) FILTER (contains(fails, f) AND translate(fails, before, '') = fails) AS removed,
+  sum(n) FILTER (contains(fails, f) AND translate(fails, before, '') <> fails) AS redundant, sum(n) FILTER (fails = f) AS unique_fails,
+  sum(good) FILTER (contains(fails, f) AND translate(fails, before, '') = fails) AS good_lost, sum(toxic) FILTER (contains(fails, f) AND translate(fails, before, '') = fails) AS toxic_lost
+  FROM counted, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
+  coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM out"""
+
+ORACLE = {"op1_suffix_array_dedup": OP1, "op5_embedding_near_dedup": OP5, "op8_minhash_near_dedup": OP8, "op10_recompression_dedup": OP10, "op12_filter_audit": OP12}

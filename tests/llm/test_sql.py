@@ -9,7 +9,7 @@ from candlewick.llm import queries
 def test_query_equals_sql(spark, data, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     df, found = queries.queries()[name](spark, data), con.sql(queries.oracle_sql()[name])
     columns = sorted(df.columns)
