@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, html, licenses, minhash, mixing, quality, recompression, sql, suffixes, urls, vectors
+from . import audit, bpe, fingerprints, html, licenses, minhash, mixing, quality, recompression, spelling, sql, suffixes, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,16 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op12_filter_audit": op12_filter_audit, "op2_license_scan": op2_license_scan, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op4_url_filters": op4_url_filters, "op7_html_extraction": op7_html_extraction, "op10_recompression_dedup": op10_recompression_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_source_mixing": op3_source_mixing, "op6_bpe_encoding": op6_bpe_encoding, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_quality_rules": op9_quality_rules}
+    return {"op13_document_fingerprints": op13_document_fingerprints, "op11_spelling_variants": op11_spelling_variants, "op12_filter_audit": op12_filter_audit, "op2_license_scan": op2_license_scan, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op4_url_filters": op4_url_filters, "op7_html_extraction": op7_html_extraction, "op10_recompression_dedup": op10_recompression_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_source_mixing": op3_source_mixing, "op6_bpe_encoding": op6_bpe_encoding, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

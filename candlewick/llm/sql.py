@@ -85,4 +85,22 @@ out AS (SELECT part, filter_order, step, f, sum(n) FILTER (fails = '' OR transla
 SELECT part, filter_order, step, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
   coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM out"""
 
-ORACLE = {"op1_suffix_array_dedup": OP1, "op5_embedding_near_dedup": OP5, "op8_minhash_near_dedup": OP8, "op10_recompression_dedup": OP10, "op12_filter_audit": OP12}
+OP11 = r"""WITH RECURSIVE crc AS (SELECT i AS x, i, 0 AS k FROM (SELECT unnest(range(0, 256)) AS i) UNION ALL SELECT CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i, k + 1 FROM crc WHERE k < 8),
+table_ AS (SELECT list(x ORDER BY i) AS t FROM crc WHERE k = 8),
+found AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 6 GROUP BY 1, 2),
+coded AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(doc_id || ':' || run), '..'), lambda b: (16 * (instr('0123456789ABCDEF', b[1]) - 1) + instr('0123456789ABCDEF', b[2]) - 1)::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM runs, table_),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM coded GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words),
+cuts AS (SELECT word, n, p, substr(word, 1, p - 1) AS a, substr(word, p + 1) AS b FROM places),
+replaced AS (SELECT x.word AS word, y.word AS near, y.n AS near_n FROM cuts x JOIN cuts y ON x.a = y.a AND x.b = y.b WHERE x.word <> y.word),
+deleted AS (SELECT DISTINCT c.word AS long, c.n AS long_n, w.word AS short, w.n AS short_n FROM cuts c JOIN words w ON w.word = c.a || c.b),
+near AS (SELECT * FROM replaced UNION ALL SELECT long, short, short_n FROM deleted UNION ALL SELECT short, long, long_n FROM deleted),
+best AS (SELECT word, count(*) AS n_near, min({'n': -near_n, 'w': near}) AS b FROM near GROUP BY 1),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 5 * w.n THEN b.w END AS form, CASE WHEN -b.n >= 5 * w.n THEN -b.n END AS form_n FROM words w LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS last FROM forms UNION ALL SELECT path.word, form FROM path JOIN forms ON forms.word = path.last WHERE form IS NOT NULL),
+roots AS (SELECT path.word, path.last AS root FROM path JOIN forms ON forms.word = path.last WHERE form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
+
+ORACLE = {"op1_suffix_array_dedup": OP1, "op5_embedding_near_dedup": OP5, "op8_minhash_near_dedup": OP8, "op10_recompression_dedup": OP10, "op11_spelling_variants": OP11, "op12_filter_audit": OP12}
