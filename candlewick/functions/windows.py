@@ -6,7 +6,7 @@ the columns that are built on them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,8 +60,22 @@ def ratio(a, b) -> Column:
     return F.try_divide(a, b)
 
 
+#: A bar's place in its series, from 1, that ``numbered`` adds.
+PLACE = "__place"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    return df.withColumn(PLACE, F.row_number().over(ordered()))
+
+
 def weighted(x: str, n: int) -> Column:
-    """Mean with weights 1 .. n, the newest counting most."""
+    """Mean with weights 1 .. n, the newest counting most, of ``numbered`` rows: two sums, since a bar's weight is its place less that of the bar before the window."""
+    placed = F.sum(F.col(x) * F.col(PLACE)).over(last(n)) - (F.col(PLACE) - n) * F.sum(x).over(last(n))
+    return full(x, n, placed / (n * (n + 1) / 2))
+
+
+def weighted_in_order(x: str, n: int) -> Column:
+    """``weighted`` of short frames whose values are added in their order: means of means keep their last places, and rows need no number."""
     values = F.collect_list(x).over(last(n))
     summed = F.aggregate(F.transform(values, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
     return full(x, n, summed / (n * (n + 1) / 2))

@@ -16,9 +16,9 @@ def with_signals(df: DataFrame) -> DataFrame:
     return df.withColumns({"buy_alignment": alignment_ratio("BUY"), "sell_alignment": alignment_ratio("SELL")}).withColumn("signal", F.when(F.col("buy_alignment") >= THRESHOLD, "BUY").when(F.col("sell_alignment") >= THRESHOLD, "SELL"))
 
 
-def candidate_trades(df: DataFrame) -> DataFrame:
-    """The trade that each signalled bar from START on would make: the stop is tested before the target, else the close after HOLD bars or the last."""
-    index = F.row_number().over(ordered()) - 1
+def candidate_trades(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, idx, ... and ``keep``): the trade that each signalled bar from START on would make: the stop is tested before the target, else the close after HOLD bars or the last."""
+    index = F.col("idx") if "idx" in df.columns else F.row_number().over(ordered()) - 1  # bars that come in chunks are numbered
     ahead = F.collect_list(F.struct("bar_ts", "high", "low", "close")).over(ordered().rowsBetween(1, HOLD))
     rows = df.withColumns({"idx": index, "ahead": ahead}).filter(F.col("signal").isNotNull() & (F.col("idx") >= START) & (F.size("ahead") > 0))
     buy, entry = F.col("signal") == "BUY", F.col("close")
@@ -33,7 +33,7 @@ def candidate_trades(df: DataFrame) -> DataFrame:
     price = F.when(F.col("exit.reason") == "stop_loss", F.col("stop")).when(F.col("exit.reason") == "target", F.col("goal")).otherwise(F.col("exit.close"))
     rows = rows.withColumn("exit_price", price)
     gain = F.when(buy, F.col("exit_price") - entry).otherwise(entry - F.col("exit_price")) / entry * 100
-    return rows.select("symbol", "idx", F.col("bar_ts").alias("entry_ts"), "exit.exit_ts", F.col("signal").alias("direction"), entry.alias("entry_price"), "exit_price", gain.alias("return_percent"), F.col("exit.hold").cast("int").alias("hold_days"), F.coalesce("exit.reason", F.lit("time_exit")).alias("exit_reason"))
+    return rows.select("symbol", "idx", F.col("bar_ts").alias("entry_ts"), "exit.exit_ts", F.col("signal").alias("direction"), entry.alias("entry_price"), "exit_price", gain.alias("return_percent"), F.col("exit.hold").cast("int").alias("hold_days"), F.coalesce("exit.reason", F.lit("time_exit")).alias("exit_reason"), *keep)
 
 
 def simulated(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import before, deviation, full, highest, last, lowest, mean, ordered, percent_change, ratio, running, total, weighted
+from ..functions.windows import PLACE, before, deviation, full, highest, last, lowest, mean, numbered, ordered, percent_change, ratio, running, total, weighted, weighted_in_order
 
 
 def typical():
@@ -43,12 +43,12 @@ def momentum(bars: DataFrame) -> DataFrame:
 
 def trend(bars: DataFrame) -> DataFrame:
     """SMA 10/20/50/100/200 and distances, WMA 10/20/50, HMA(16), Vortex(14)."""
-    df = bars.withColumns({f"sma_{n}": mean("close", n) for n in (10, 20, 50, 100, 200)} | {f"wma_{n}": weighted("close", n) for n in (10, 20, 50)})
+    df = numbered(bars).withColumns({f"sma_{n}": mean("close", n) for n in (10, 20, 50, 100, 200)} | {f"wma_{n}": weighted("close", n) for n in (10, 20, 50)})
     df = df.withColumns({f"dist_sma_{n}": (ratio(F.col("close"), F.col(f"sma_{n}")) - 1) * 100 for n in (20, 50, 200)})
-    df = df.withColumns({"__raw": 2 * weighted("close", 8) - weighted("close", 16)}).withColumn("hma_16", weighted("__raw", 4))
+    df = df.withColumns({"__raw": 2 * weighted_in_order("close", 8) - weighted_in_order("close", 16)}).withColumn("hma_16", weighted_in_order("__raw", 4))
     df = df.withColumns({"__up": F.abs(F.col("high") - before("low")), "__down": F.abs(F.col("low") - before("high")), "__tr": true_range()})
     df = df.withColumns({"vortex_pos": ratio(total("__up", 14), total("__tr", 14)), "vortex_neg": ratio(total("__down", 14), total("__tr", 14))})
-    return df.withColumn("vortex_diff", F.col("vortex_pos") - F.col("vortex_neg")).drop("__raw", "__up", "__down", "__tr")
+    return df.withColumn("vortex_diff", F.col("vortex_pos") - F.col("vortex_neg")).drop("__raw", "__up", "__down", "__tr", PLACE)
 
 
 def true_range():
@@ -70,41 +70,56 @@ def volatility(bars: DataFrame) -> DataFrame:
     return df.drop("__ret", "__tr", "__sd", "__tp", "__ku", "__kl", "__peak", "__dd")
 
 
-def volume(bars: DataFrame) -> DataFrame:
-    """OBV, volume SMA(20) and ratio, A/D line, CMF(20), cumulative VWAP, VPT, ease of movement(14), NVI."""
+#: Running totals from the start of a series, and the columns made of them.
+TOTALS = ("signed", "flow", "typical_volume", "volume_sum", "trend_volume", "falling")
+CUMULATIVE = ("obv", "ad", "vwap", "vpt", "nvi")
+
+
+def increments(bars: DataFrame) -> DataFrame:
+    """What each bar adds to TOTALS, as ``__inc_`` columns."""
     c = before("close")
     clv = F.coalesce(ratio((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), F.col("high") - F.col("low")), F.lit(0.0))
-    df = bars.withColumns({
-        "__signed": F.coalesce(F.signum(F.col("close") - c) * F.col("volume"), F.lit(0.0)),
-        "__mf": clv * F.col("volume"), "__ret": ratio(F.col("close"), c) - 1, "__tpv": typical() * F.col("volume"),
+    falling = F.when(F.col("volume") < before("volume"), F.log(ratio(F.col("close"), c))).otherwise(0.0)
+    inc = {"signed": F.coalesce(F.signum(F.col("close") - c) * F.col("volume"), F.lit(0.0)), "flow": clv * F.col("volume"), "typical_volume": typical() * F.col("volume"), "volume_sum": F.col("volume"),
+           "trend_volume": F.coalesce((ratio(F.col("close"), c) - 1) * F.col("volume"), F.lit(0.0)), "falling": F.coalesce(falling, F.lit(0.0))}
+    return bars.withColumns({f"__inc_{k}": v for k, v in inc.items()})
+
+
+def cumulative(df: DataFrame, totals: dict) -> DataFrame:
+    """CUMULATIVE from the running totals of ``increments``, whose columns go."""
+    out = df.withColumns({"obv": totals["signed"], "ad": totals["flow"], "vwap": ratio(totals["typical_volume"], totals["volume_sum"]), "vpt": totals["trend_volume"], "nvi": 1000 * F.exp(totals["falling"])})
+    return out.drop(*[f"__inc_{k}" for k in TOTALS])
+
+
+def volume(bars: DataFrame) -> DataFrame:
+    """OBV, volume SMA(20) and ratio, A/D line, CMF(20), cumulative VWAP, VPT, ease of movement(14), NVI."""
+    df = increments(bars).withColumns({
         "__move": ((F.col("high") + F.col("low")) / 2 - before(F.col("high") + F.col("low")) / 2),
         "volume_sma_20": mean("volume", 20),
-        "__nvi": F.when(F.col("volume") < before("volume"), F.log(ratio(F.col("close"), c))).otherwise(0.0),
     })
     df = df.withColumns({
-        "obv": F.sum("__signed").over(running()), "ad": F.sum("__mf").over(running()), "cmf_20": ratio(total("__mf", 20), total("volume", 20)),
-        "vwap": ratio(F.sum("__tpv").over(running()), F.sum("volume").over(running())),
-        "vpt": F.sum(F.coalesce(F.col("__ret") * F.col("volume"), F.lit(0.0))).over(running()),
+        "cmf_20": ratio(total("__inc_flow", 20), total("volume", 20)),
         "eom": ratio(F.col("__move") * (F.col("high") - F.col("low")), F.col("volume")) * 1e8,
-        "nvi": 1000 * F.exp(F.sum(F.coalesce("__nvi", F.lit(0.0))).over(running())),
         "volume_ratio": F.when(F.col("volume_sma_20") > 0, F.col("volume") / F.col("volume_sma_20")).when(F.col("volume_sma_20").isNotNull(), 1.0),
+        **{f"__total_{k}": F.sum(f"__inc_{k}").over(running()) for k in TOTALS},
     })
-    return df.withColumn("eom_sma_14", mean("eom", 14)).drop("__signed", "__mf", "__ret", "__tpv", "__move", "__nvi")
+    df = cumulative(df, {k: F.col(f"__total_{k}") for k in TOTALS})
+    return df.withColumn("eom_sma_14", mean("eom", 14)).drop("__move", *[f"__total_{k}" for k in TOTALS])
 
 
 def advanced(bars: DataFrame) -> DataFrame:
     """Aroon(25), Ultimate Oscillator(7, 14, 28), Awesome Oscillator(5, 34), Ichimoku(9, 26, 52), pivots, lags and returns."""
     c = before("close")
-    newest = lambda values, pick: F.size(values) - F.array_position(F.reverse(values), pick(values))
-    df = bars.withColumns({
-        "__h": F.collect_list("high").over(last(26)), "__l": F.collect_list("low").over(last(26)),
+    newest = lambda x, most: F.col(PLACE) - (F.max(F.struct(x, PLACE)).over(last(26))[PLACE] if most else -F.min(F.struct(x, (-F.col(PLACE)).alias("at"))).over(last(26))["at"])
+    df = numbered(bars).withColumns({
+        "__h": newest("high", True), "__l": newest("low", False),
         "__bp": F.col("close") - F.least(F.col("low"), c), "__tr": F.greatest(F.col("high"), c) - F.least(F.col("low"), c), "__mid": (F.col("high") + F.col("low")) / 2,
     })
     df = df.withColumns({"__bp": F.when(before("close").isNotNull(), F.col("__bp")), "__tr": F.when(before("close").isNotNull(), F.col("__tr"))})
     average = lambda n: ratio(total("__bp", n), total("__tr", n))
     mid = lambda n: (highest("high", n) + lowest("low", n)) / 2
     df = df.withColumns({
-        "aroon_up": full("high", 26, 100.0 * newest(F.col("__h"), F.array_max) / 25), "aroon_down": full("low", 26, 100.0 * newest(F.col("__l"), F.array_min) / 25),
+        "aroon_up": full("high", 26, 100.0 * (25 - F.col("__h")) / 25), "aroon_down": full("low", 26, 100.0 * (25 - F.col("__l")) / 25),
         "ultimate": 100 * (4 * average(7) + 2 * average(14) + average(28)) / 7, "awesome": mean("__mid", 5) - mean("__mid", 34),
         "tenkan": mid(9), "kijun": mid(26), "senkou_b": mid(52),
         "pivot": (F.col("high") + F.col("low") + F.col("close")) / 3, "recent_high": highest("high", 20), "recent_low": lowest("low", 20),
@@ -118,7 +133,7 @@ def advanced(bars: DataFrame) -> DataFrame:
         "cloud_position": F.when(cloud, F.when(F.col("close") > top, "above").when(F.col("close") < bottom, "below").otherwise("inside")),
         "r1": 2 * F.col("pivot") - F.col("low"), "s1": 2 * F.col("pivot") - F.col("high"), "r2": F.col("pivot") + F.col("high") - F.col("low"), "s2": F.col("pivot") - (F.col("high") - F.col("low")),
     })
-    return df.drop("__h", "__l", "__bp", "__tr", "__mid")
+    return df.drop("__h", "__l", "__bp", "__tr", "__mid", PLACE)
 
 
 def crossings(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
