@@ -15,9 +15,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, text_buffer, text_pieces, whole_groups, written
+from .common import blobs, text_buffer, whole_groups, written
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 10_000
+#: Most tasks of one exchange. Groups inside of it may be more: a task takes one after the other.
+MOST_TASKS = 100_000
 #: Every table that is dealt by block: part -1 has the texts, other parts have answers.
 SCHEMA = "block long, part int, data binary"
 NO_DOC = np.iinfo(np.int64).max
@@ -73,17 +75,43 @@ def plain(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def cut(batches):
+    """Blocks of rows in their order: BLOCK_BYTES of text and BLOCK_ROWS rows at most, or one row.
+
+    Only the texts decide where a block ends, not the record batches, which also follow what other columns hold; so scans that read
+    different columns cut alike.
+    """
+    held: list[pa.RecordBatch] = []
+    bytes_, rows = 0, 0
     for batch in batches:
-        for rows in text_pieces(batch, "text", BLOCK_BYTES):
-            buf, off = text_buffer(rows.column("text"))
-            rest = b""
-            if rows.num_columns > 2:
-                sink = pa.BufferOutputStream()
-                more = pa.RecordBatch.from_arrays([*rows.columns[2:]], names=[c.removeprefix("__") for c in rows.schema.names[2:]])
-                with pa.ipc.new_stream(sink, more.schema) as out:
-                    out.write_batch(more)
-                rest = sink.getvalue().to_pybytes()
-            yield Block(buf, off, rows.column("doc_id").fill_null(NO_DOC).to_numpy(), rest=rest)
+        _, off = text_buffer(batch.column("text"))
+        start = 0
+        while start < batch.num_rows:
+            end = int(np.searchsorted(off, off[start] + BLOCK_BYTES - bytes_, "right")) - 1
+            end = min(end, start + BLOCK_ROWS - rows)
+            if end <= start and rows:
+                yield _block(held)
+                held, bytes_, rows = [], 0, 0
+                continue
+            end = max(end, start + 1)
+            held.append(batch.slice(start, end - start))
+            bytes_, rows, start = bytes_ + int(off[end] - off[start]), rows + end - start, end
+    if rows:
+        yield _block(held)
+
+
+def _block(held: list[pa.RecordBatch]) -> Block:
+    texts = [text_buffer(b.column("text")) for b in held]
+    ends = np.cumsum(np.concatenate([[0], *[np.diff(off) for _, off in texts]]))
+    rest = b""
+    if held[0].num_columns > 2:
+        names = [c.removeprefix("__") for c in held[0].schema.names[2:]]
+        sink, more = pa.BufferOutputStream(), [pa.RecordBatch.from_arrays([*b.columns[2:]], names=names) for b in held]
+        with pa.ipc.new_stream(sink, more[0].schema) as out:
+            for b in more:
+                out.write_batch(b)
+        rest = sink.getvalue().to_pybytes()
+    doc = np.concatenate([b.column("doc_id").fill_null(NO_DOC).to_numpy() for b in held])
+    return Block(np.concatenate([buf for buf, _ in texts]), ends, doc, rest=rest)
 
 
 def _packed(batches):
@@ -109,7 +137,7 @@ def with_answers(docs: DataFrame, answers: DataFrame, parts: int, work, schema,
                     yield from work(Block.unpack(data, rows[0]["block"]), got)
 
     texts = plain(docs, keep).mapInArrow(_packed, SCHEMA)
-    return texts.unionByName(answers).repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(run, schema)
+    return texts.unionByName(answers).repartition(tasks(parts), "block").sortWithinPartitions("block", "part").mapInArrow(run, schema)
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -117,16 +145,21 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
 
 
+def tasks(parts: int) -> int:
+    return min(parts, MOST_TASKS)
+
+
 def shared_marks(part: np.ndarray, keys: np.ndarray, parts: int):
     """Split 32-bit keys by part, in order: (part, keys) of those parts that have any."""
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(edges)):
-        yield int(p), keys[order[edges[p] : edges[p + 1]]]
+    ordered = part[order]
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+        yield int(ordered[a]), keys[order[a:b]]
 
 
-def repeated(marks: DataFrame, parts: int) -> DataFrame:
-    """Answer each row of (part, block, keys) with a bit for each key: whether it occurs again in the part.
+def repeated(marks: DataFrame, parts: int, hot: int) -> DataFrame:
+    """Answer each row of (part, block, keys) with a bit for each key, whether it occurs again in the part, and, if any does, another for whether it occurs ``hot`` times.
 
     Keys have 32 bits beside the part, of which there are as many as the input needs; a key that looks
     repeated by accident only costs a later comparison.
@@ -139,29 +172,37 @@ def repeated(marks: DataFrame, parts: int) -> DataFrame:
                 buf, off = text_buffer(group.column("data"))
                 keys = np.frombuffer(buf, np.uint32)
                 ordered = np.sort(keys)
-                again = ordered[1:][ordered[1:] == ordered[:-1]]
-                at = np.searchsorted(again, keys)
-                hit = np.zeros(len(keys), bool)
-                if len(again):
-                    hit = again[np.minimum(at, len(again) - 1)] == keys
+                again, often = ordered[1:][ordered[1:] == ordered[:-1]], ordered[hot - 1 :][ordered[hot - 1 :] == ordered[: max(len(ordered) - hot + 1, 0)]]
+                hit, many = _among(keys, again), _among(keys, often)
                 off = off // 4
-                data = [np.packbits(hit[a:b]).tobytes() for a, b in zip(off[:-1], off[1:])]
+                data = [np.packbits(hit[a:b]).tobytes() + (np.packbits(many[a:b]).tobytes() if many[a:b].any() else b"") for a, b in zip(off[:-1], off[1:])]
                 yield pa.RecordBatch.from_arrays([group.column("block").combine_chunks(), group.column("part").combine_chunks(), blobs(data)], names=["block", "part", "data"])
 
-    return marks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, SCHEMA)
+    return marks.repartition(tasks(parts), "part").sortWithinPartitions("part").mapInArrow(run, SCHEMA)
+
+
+def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(keys), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
 
 
-def marked(part: np.ndarray, parts: int, got: dict[int, list[bytes]]) -> np.ndarray:
-    """The answers of ``repeated`` back in the order of the keys."""
-    hit = np.zeros(len(part), bool)
+def marked(part: np.ndarray, parts: int, got: dict[int, list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The answers of ``repeated`` back in the order of the keys: which occur again, and which are hot."""
+    hit, hot = np.zeros(len(part), bool), np.zeros(len(part), bool)
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(edges)):
-        if int(p) not in got:
+    ordered = part[order]
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+        p = int(ordered[a])
+        if p not in got:
             raise RuntimeError("a block's documents differ between two scans of the same table")
-        own = order[edges[p] : edges[p + 1]]
-        hit[own] = np.unpackbits(np.frombuffer(got[int(p)][0], np.uint8), count=len(own)).astype(bool)
-    return hit
+        own, bits = order[a:b], np.frombuffer(got[p][0], np.uint8)
+        wide = -(-len(own) // 8)
+        hit[own] = np.unpackbits(bits[:wide], count=len(own)).astype(bool)
+        if len(bits) > wide:
+            hot[own] = np.unpackbits(bits[wide:], count=len(own)).astype(bool)
+    return hit, hot
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

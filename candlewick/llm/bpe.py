@@ -353,9 +353,9 @@ def _run(docs: DataFrame, tokenizer: str | None, emit, schema: str) -> DataFrame
     parts, shuffle = max(16, -(-size // WORD_BYTES)), max(16, -(-size // PART_BYTES))
     docs = blocks.plain(docs)
     words = docs.mapInArrow(_dictionaries(parts, special), "part int, block long, lengths binary, words binary")
-    replies = words.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_encoded(path), _REPLY)
+    replies = words.repartition(blocks.tasks(parts), "part").sortWithinPartitions("part").mapInArrow(_encoded(path), _REPLY)
     sequences = docs.mapInArrow(_sequences(parts, special), _REPLY)
-    return sequences.unionByName(replies).repartition(shuffle, "block").sortWithinPartitions("block", "part").mapInArrow(_joined(path, emit), schema)
+    return sequences.unionByName(replies).repartition(blocks.tasks(shuffle), "block").sortWithinPartitions("block", "part").mapInArrow(_joined(path, emit), schema)
 
 
 def encode_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

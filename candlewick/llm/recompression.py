@@ -539,14 +539,14 @@ def repeated_words(docs: DataFrame, finish, schema) -> DataFrame:
        block, so that a window occurs once for each block however common it is, and then where the symbol they ended with meets its like.
     3. Later windows come back to their block. ``finish(block, start, end, counts, gone)`` makes the output.
 
-    All exchanges have parts in proportion to the bytes of the text. A text longer than a block is a block of its own, of which a
+    All exchanges have parts in proportion to the bytes of the text, which MOST_TASKS tasks at most take one after the other. A text longer than a block is a block of its own, of which a
     task holds some 100 bytes for each byte.
     """
     spark = docs.sparkSession
     docs = blocks.stable(docs)
     size = blocks.text_bytes(docs)
     parts, names = max(16, -(-size // PART_BYTES)), max(16, -(-size // NAME_BYTES))
-    named = lambda asked, words: asked.repartition(names, "part").sortWithinPartitions("part").mapInArrow(_named(words), blocks.SCHEMA)
+    named = lambda asked, words: asked.repartition(blocks.tasks(names), "part").sortWithinPartitions("part").mapInArrow(_named(words), blocks.SCHEMA)
     asked = blocks.plain(docs).mapInArrow(_asked(names), "part int, block long, data binary")
     table = written(blocks.with_answers(docs, named(asked, True), parts, _first_round(names), _TABLE), "round", by=("kind",))
     kind = lambda k: table.filter(F.col("kind") == k).select("block", "part", "data")  # noqa: B023, E731
@@ -555,7 +555,7 @@ def repeated_words(docs: DataFrame, finish, schema) -> DataFrame:
         state = kind("state")
         if state.isEmpty():
             break
-        rows = state.unionByName(named(kind("ask"), False)).repartition(names, "block").sortWithinPartitions("block", "part")
+        rows = state.unionByName(named(kind("ask"), False)).repartition(blocks.tasks(names), "block").sortWithinPartitions("block", "part")
         old, table = table, written(rows.mapInArrow(_round(level, names), _TABLE), "round", by=("kind",))
         for path in {f.rsplit("/kind=", 1)[0] for f in old.inputFiles()}:
             for k in ("state", "ask"):
@@ -563,8 +563,8 @@ def repeated_words(docs: DataFrame, finish, schema) -> DataFrame:
         kept = kept.unionByName(table.filter("kind = 'done'"))
     else:
         raise RuntimeError("a window outlived all rounds")
-    windows = kept.select("kind", "block", "data").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_candidates(parts), "bucket int, block long, data binary")
-    later = windows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compared, blocks.SCHEMA)
+    windows = kept.select("kind", "block", "data").repartition(blocks.tasks(parts), "block").sortWithinPartitions("block").mapInArrow(_candidates(parts), "bucket int, block long, data binary")
+    later = windows.repartition(blocks.tasks(parts), "bucket").sortWithinPartitions("bucket").mapInArrow(_compared, blocks.SCHEMA)
 
     def work(block: Block, got: dict[int, list[bytes]]):
         start, end, counts = word_bounds(block.buf, block.off)

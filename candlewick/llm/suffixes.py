@@ -27,8 +27,10 @@ LEFT = LENGTH - GRAM
 PIECE = 1 << 19
 #: Bytes that strings around a hot gram have before it at most, to be dealt by the suffix at the gram; the others by that HALF + 1 bytes before it.
 HALF = LEFT // 2
-#: Least number of suffixes in the sample, and how many there are for each bucket.
-SAMPLE, EACH = 65_536, 64
+#: Least number of suffixes in the sample, how many there are for each range of leading bytes, and the most that the driver takes (84 bytes each).
+SAMPLE, EACH, MOST_SAMPLE = 65_536, 64, 1 << 20
+#: A gram that so many blocks hold is hot, too, however rare it is in the sample.
+HOT_BLOCKS = 4096
 #: A gram is hot from this share of an average bucket's suffixes in the sample, and this number.
 HOT, HOT_LEAST = 0.5, 32
 #: Bytes of text for each part of the first pass and each bucket.
@@ -272,9 +274,10 @@ def _answers(flags: np.ndarray, s: Suffixes, origin: np.ndarray):
 class Buckets:
     """Which bucket a suffix goes to, by sampled splitters of its leading bytes.
 
-    A gram that alone fills much of a bucket is hot. Strings with up to HALF bytes before it hold the LENGTH - HALF
-    bytes from it on, and the others the HALF + 1 bytes before it and itself; such suffixes go
-    to two buckets, each by those bytes and for those strings.
+    The sample is bounded, so ranges of leading bytes are, too; where more buckets are wanted, each range is cut by a hash of
+    those bytes, which keeps suffixes with equal ones together. A gram that alone fills much of a bucket is hot. Strings with up to
+    HALF bytes before it hold the LENGTH - HALF bytes from it on, and the others the HALF + 1 bytes before it and itself; such
+    suffixes go to two buckets, each by those bytes and for those strings.
     """
 
     def __init__(self, around: np.ndarray, parts: int):
@@ -283,7 +286,9 @@ class Buckets:
         names, of, counts = np.unique(gram, return_inverse=True, return_counts=True)
         hot = counts >= max(HOT_LEAST, HOT * len(around) / parts)
         self.hot, is_hot = names[hot], hot[of] if len(of) else np.zeros(0, bool)
-        pick = lambda x: np.unique(np.sort(x)[np.linspace(0, len(x) - 1, min(parts, len(x)) + 1).astype(int)[1:-1]]) if len(x) > 2 else x[:0]
+        ranges = min(parts, max(1, MOST_SAMPLE // EACH))
+        self.cuts = -(-parts // ranges)
+        pick = lambda x: np.unique(np.sort(x)[np.linspace(0, len(x) - 1, min(ranges, len(x)) + 1).astype(int)[1:-1]]) if len(x) > 2 else x[:0]
         self.splitters = [pick(gram[~is_hot]), pick(self._long(around[is_hot])), pick(self._wide(around[is_hot]))]
         self.first = np.cumsum([0, *[len(x) + 1 for x in self.splitters]])
 
@@ -297,29 +302,42 @@ class Buckets:
     def _wide(self, around: np.ndarray) -> np.ndarray:
         return self._key(around, LEFT - HALF - 1, HALF + 1 + GRAM)
 
-    def deal(self, s: Suffixes):
-        """(bucket, suffixes) of every bucket that gets any."""
+    def deal(self, s: Suffixes, more_hot: np.ndarray):
+        """(bucket, suffixes) of every bucket that gets any; ``more_hot`` are grams that are hot beside those of the sample."""
         around = np.concatenate([s.left[:, ::-1], s.right], axis=1)
         gram = self._key(around, LEFT, GRAM)
-        hot = np.isin(gram, self.hot)
+        hot = np.isin(gram, self.hot) | np.isin(gram, more_hot)
         for kind, rows, key in ((0, ~hot, lambda x: self._key(x, LEFT, GRAM)), (1, hot, self._long), (2, hot & (s.n_left > HALF), self._wide)):
             at = np.flatnonzero(rows)
-            bucket = np.searchsorted(self.splitters[kind], key(around[at]), "right") + self.first[kind]
+            keys = key(around[at])
+            bucket = np.searchsorted(self.splitters[kind], keys, "right") + self.first[kind]
+            if self.cuts > 1:
+                bucket = bucket * self.cuts + self._cut(keys)
             order = np.argsort(bucket, kind="stable")
             at, bucket = at[order], bucket[order]
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(at) else []
             for a, b in zip(cuts, [*cuts[1:], len(at)]):
                 yield int(bucket[a]), s.take(at[a:b])
 
+    def _cut(self, keys: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(keys), U64)
+        for w in words_of(keys.view(np.uint8).reshape(len(keys), -1)).T if len(keys) else ():
+            h = mix(h * U64(31) + w)
+        return (h % U64(self.cuts)).astype(np.int64)
+
     def strings(self, bucket: int) -> tuple[int, int]:
         """The least and the largest number of bytes before the anchor, of the strings that this bucket decides."""
-        return (0, LEFT) if bucket < self.first[1] else (0, HALF) if bucket < self.first[2] else (HALF + 1, LEFT)
+        range_ = bucket // self.cuts
+        return (0, LEFT) if range_ < self.first[1] else (0, HALF) if range_ < self.first[2] else (HALF + 1, LEFT)
 
 
 def _dealt(buckets: Buckets, parts: int):
     def work(block: Block, got: dict[int, list[bytes]]):
         places, number, h, several = _grams(block)
-        places = places[(blocks.marked(_part(h, parts), parts, got) | several)[number]]
+        again, hot = blocks.marked(_part(h, parts), parts, got)
+        more_hot = Suffixes.at(block, places[hot[number]]).right[:, :GRAM] if hot.any() else np.zeros((0, GRAM), np.uint8)
+        more_hot = np.unique(np.ascontiguousarray(more_hot).view(f"S{GRAM}").reshape(-1))
+        places = places[(again | several)[number]]
         rows: list[tuple[int, bytes]] = []
         if len(places):
             s = Suffixes.at(block, places)
@@ -328,7 +346,7 @@ def _dealt(buckets: Buckets, parts: int):
             if len(t):
                 place = t.place.astype(np.int64)
                 rows.append((-2 - abs(block.name) % parts, _spans(place - t.n_left, place + t.reach + t.n_right)))
-            rows += [(b, t.pack()) for b, t in buckets.deal(s.take(~later))]
+            rows += [(b, t.pack()) for b, t in buckets.deal(s.take(~later), more_hot)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block.name] * len(rows), pa.int64()), blobs([r[1] for r in rows])], names=["bucket", "block", "data"])
 
     return work
@@ -352,8 +370,8 @@ def _sorted_buckets(buckets: Buckets):
 
 
 def _sample(docs: DataFrame, size: int, parts: int) -> np.ndarray:
-    """The bytes around a bounded sample of anchors: EACH for each bucket, SAMPLE at least, from all documents alike."""
-    want = max(SAMPLE, EACH * parts)
+    """The bytes around a bounded sample of anchors: EACH for each bucket, SAMPLE at least and some MOST_SAMPLE at most, from all documents alike."""
+    want = min(max(SAMPLE, EACH * parts), max(MOST_SAMPLE, 1))
     per_byte = min(1.0, 2 * want * WINDOW / 4 / max(size, 1))  # a text has some 2 / (WINDOW + 1) anchors for each byte
     share = min(1.0, 8 * per_byte)
     least = U64(int((1 - per_byte / share) * (2**64 - 1)) if per_byte < share else 0)
@@ -378,8 +396,8 @@ def repeated_bytes(docs: DataFrame, finish, schema, keep: tuple[str, ...] = ())
     3. Buckets sort by multikey quicksort, and every run of strings with a smaller document comes back to its block.
     ``finish(block, gone)`` makes the output from a block and the bytes to remove.
 
-    Buckets and parts follow the bytes of the text, PART_BYTES each; with larger executors that may be raised. A text longer
-    than a block is a block of its own, of which a task holds some 60 bytes for each byte.
+    Buckets and parts follow the bytes of the text, PART_BYTES each, and MOST_TASKS tasks at most take them one after the other. What the driver and
+    every task hold of the sample is bounded. A text longer than a block is a block of its own, of which a task holds some 60 bytes for each byte.
     """
     docs = blocks.stable(docs)
     size = blocks.text_bytes(docs)
@@ -387,9 +405,9 @@ def repeated_bytes(docs: DataFrame, finish, schema, keep: tuple[str, ...] = ())
     spread_ = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets = Buckets(_sample(docs, size, parts), parts)
     marks = blocks.plain(docs).mapInArrow(_marks(parts), "part int, block long, data binary")
-    again = blocks.repeated(marks, spread_)
+    again = blocks.repeated(marks, spread_, HOT_BLOCKS)
     suffixes = blocks.with_answers(docs, again, spread_, _dealt(buckets, parts), "bucket int, block long, data binary")
-    found = suffixes.repartition(spread_, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(buckets), blocks.SCHEMA)
+    found = suffixes.repartition(blocks.tasks(spread_), "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(buckets), blocks.SCHEMA)
 
     def work(block: Block, got: dict[int, list[bytes]]):
         starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

@@ -7,9 +7,11 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from candlewick.llm import bpe, html, licenses, minhash, mixing, quality, recompression, suffixes, urls, vectors
+from candlewick.llm import blocks, bpe, html, licenses, minhash, mixing, quality, recompression, suffixes, urls, vectors
 from candlewick.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,11 +70,17 @@ def _byte_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [None, 2])
+@pytest.mark.parametrize("hot", [None, 2, "ranges", "blocks"])
 def test_suffix_array(docs, plain, nothing, monkeypatch, hot):
-    if hot:  # all common grams take the way of hot ones
+    if hot == 2:  # all common grams take the way of hot ones
         monkeypatch.setattr(suffixes, "HOT", 0.0)
         monkeypatch.setattr(suffixes, "HOT_LEAST", hot)
+    if hot == "ranges":  # fewer ranges than buckets, and fewer tasks than parts
+        monkeypatch.setattr(suffixes, "MOST_SAMPLE", 3 * suffixes.EACH)
+        monkeypatch.setattr(blocks, "MOST_TASKS", 3)
+    if hot == "blocks":  # what two blocks hold is hot, though no sample tells it
+        monkeypatch.setattr(suffixes, "HOT_BLOCKS", 2)
+        monkeypatch.setattr(suffixes, "MOST_SAMPLE", 3 * suffixes.EACH)
     want = _byte_repeats(plain)
     got = suffixes.repeat_digests(docs).collect()
     assert len(got) == docs.count()
@@ -596,3 +604,70 @@ def test_quality_verdicts_equal_plain_estimates(spark, data):
     got = {r.doc_id: r.kept for r in quality.robust_outliers(stats).collect()}
     differ = [k for k in want if want[k] != got[k]]
     assert set(want) == set(got) and len(differ) <= 0.002 * len(want), differ
+
+
+def test_sections_of_an_article_stay():
+    """Marks and lists of links inside an article: names of its sections and its references stay, menus and notices go."""
+    prose = "The measured values agree with what the earlier work found, apart from two that were read twice and are left out here."
+    links = lambda n: "".join(f'<li><a href="/p{k}">Paper {k}</a></li>' for k in range(n))
+    page = f"""<body><nav><a href=/>Home</a></nav><article><h1>On values</h1><p>{prose}</p>
+      <section id="discussion"><h2>Discussion</h2><p>{prose} A.</p></section><section id="related"><h2>Related work</h2><p>{prose} B.</p></section>
+      <div class="form"><p>{prose} C.</p></div><div class="notice">Cookies here.</div><div class="related"><a href=/x>More of this</a> <a href=/y>And this</a></div>
+      <h2>References</h2><ul>{links(3)}</ul><h3>Related articles</h3><ul>{links(2)}</ul><p>{prose} D.</p><ul>{links(4)}</ul>
+      <ol><li><a href=/long>{prose[:60]}</a></li><li><a href=/long2>{prose[:70]}</a></li></ol>
+      <section class="comments"><p>{prose} E.</p></section></article><footer>End</footer></body>"""
+    assert html.main_text(page).split("\n") == ["On values", prose, "Discussion", f"{prose} A.", "Related work", f"{prose} B.", f"{prose} C.", "References", "Paper 0", "Paper 1", "Paper 2", f"{prose} D.", prose[:60].strip(), prose[:70].strip()]
+
+
+def test_many_lists_of_links_cost_linear_time():
+    page = "<article>" + "<ul><li><a href=/>x</a></li></ul>" * 20_000 + "<p>text</p></article>"
+    began = time.time()
+    assert html.main_text(page) == "text" and html.main_text("<div>" * 20_000 + "<a href=/>x</a>") is not None
+    assert time.time() - began < 20
+
+
+def test_unclosed_links_cost_linear_time(spark):
+    pages = [(1, "http://a.org/", "<a " * 400_000), (2, "http://a.org/", "<a href=" + " " * 400_000), (3, "http://a.org/", "<a " + "href " * 200_000), (4, "http://a.org/", "<a title=x href='//B.org/x'>b</a> <A\nHREF = \"https://c.org\">")]
+    began = time.time()
+    edges = urls.link_edges(urls.with_host_and_path(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    assert {(r.src, r.dst, r.links) for r in edges.collect()} == {("a.org", "b.org", 1), ("a.org", "c.org", 1)}
+    assert time.time() - began < 30
+
+
+def test_scans_cut_alike_whatever_columns_they_read(spark):
+    """Long rows and wide further columns: record batches end elsewhere, blocks don't."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    shared = " ".join(rng.choice(words) for _ in range(30))
+    rows = [(k, " ".join(rng.choice(words) for _ in range(1700)) + (shared if k % 50 == 0 else ""), "u" * 3000) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, url string").coalesce(1)
+    got = suffixes.without_repeats(docs).select("doc_id", "n_removed", F.length("url").alias("u")).collect()
+    assert len(got) == 6000 and all(r.u == 3000 and (r.n_removed >= len(shared) - 2) == (r.doc_id % 50 == 0 and r.doc_id > 0) for r in got)
+
+
+def test_blocks_are_cut_by_text_alone(monkeypatch):
+    rng = random.Random(7)
+    texts = [rng.choice([None, "", "é", "x" * rng.randint(1, 90)]) for _ in range(500)] + ["y" * 300] + [""] * 50
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+
+    def cut(sizes):
+        table, out, at = pa.table({"doc_id": pa.array([None if k % 9 == 0 else k for k in range(len(texts))], pa.int64()), "text": pa.array(texts, pa.string()), "__more": pa.array([str(k) for k in range(len(texts))])}), [], 0
+        while at < table.num_rows:
+            n = next(sizes)
+            out += table.slice(at, n).combine_chunks().to_batches()
+            at += n
+        return list(blocks.cut(iter(out)))
+
+    whole = cut(iter([len(texts)]))
+    for sizes in (iter(lambda: 1, 0), iter(lambda: rng.randint(1, 40), 0)):
+        again = cut(sizes)
+        assert [b.name for b in again] == [b.name for b in whole] and [b.columns().column("more").to_pylist() for b in again] == [b.columns().column("more").to_pylist() for b in whole]
+    assert b"".join(b.buf.tobytes() for b in whole).decode() == "".join(t or "" for t in texts)
+    assert all(len(b.doc) <= 7 and (len(b.buf) <= 100 or len(b.doc) == 1) for b in whole)
+
+
+def test_mixing_tells_rows_without_ids_apart(spark):
+    rows = [(None, "s", " ".join(f"w{k}" for _ in range(10))) for k in range(5000)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert len(got) == 5000 and abs(sum(r.taken for r in got) - got[0].target) <= 10
