@@ -24,6 +24,10 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising adbox spo
 NOT, HEADS = frozenset(("has", "with", "no", "without")), frozenset(("header", "masthead"))
 #: Words that only say what kind of part a mark is on; with them a class or id still is a mark as a whole.
 PARTS = frozenset("area bar block box btn button buttons col column container content count global group holder icon icons inner item items left link links list main mobile module outer page panel pane post posts primary right secondary section site slot sticky text title top bottom unit wrap wrapper".split())
+#: Marks that an article's own sections may have for a name; in an article what they are on must agree.
+NAMES = frozenset("alert alerts discussion form notice notices related recommended search".split())
+#: Characters of a line from which it is prose, and of the mean item of a list of links that isn't a menu.
+PROSE, ITEM = 80, 40
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -36,40 +40,43 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "children", "score", "chars", "linked", "gone", "doubtful", "inside")
+    __slots__ = ("tag", "up", "children", "score", "chars", "linked", "gone", "doubtful", "inside", "prose")
 
-    def __init__(self, tag: str, up: Node | None, gone: bool, doubtful: bool = False):
+    def __init__(self, tag: str, up: Node | None, gone: bool, doubtful: int = 0):
         self.tag, self.up, self.gone, self.doubtful = tag, up, gone, doubtful
         self.inside = tag in ("article", "main") or (up is not None and up.inside)
         self.children: list = []  # nodes and lines of text, in page order
         self.score, self.chars, self.linked = 0.0, 0, 0
+        self.prose = False  # whether it has a heading of its own or a line of prose
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element goes, and whether it goes if it has mostly links.
+def _unwanted(tag: str, attributes: str, inside_article: bool) -> tuple[bool, int]:
+    """Whether an element goes, and whether it goes if it has mostly links (1), or that or no prose (2).
 
     A class, id or role that is a mark as a whole drops its element; one that has a mark among other words may be
-    the slug of a heading, so links must agree.
+    the slug of a heading, so links must agree. In an article that also holds for marks in NAMES, which are its sections' names as well.
     """
     if tag in DROPPED or (tag == "header" and not inside_article):
-        return True, False
+        return True, 0
     if not attributes or not attributes.strip():
-        return False, False
-    doubtful = False
+        return False, 0
+    doubtful = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         value = value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True, False
+            return True, 0
         if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and not (name == "id" and tag in HEADINGS):
             for part in value.lower().split():
                 words = _WORD.findall(part)
                 if NOT.isdisjoint(words) and any(w in MARKS and not (inside_article and w in HEADS) for w in words):
-                    if all(w in MARKS or w in PARTS or len(w) == 1 for w in words):
-                        return True, False
-                    doubtful = True
+                    whole = all(w in MARKS or w in PARTS or len(w) == 1 for w in words)
+                    named = inside_article and all(w in NAMES or w not in MARKS for w in words)
+                    if whole and not named:
+                        return True, 0
+                    doubtful = max(doubtful, 2 if whole else 1)
         elif name in ("class", "id") and tag == "article" and any(w.startswith("comment") for w in _WORD.findall(value.lower())):
-            return True, False
+            return True, 0
     return False, doubtful
 
 
@@ -203,7 +210,7 @@ def parsed(page: str) -> Node:
             if tag == "hr":
                 end_line()
             continue
-        gone, doubtful = (True, False) if here.gone else _unwanted(tag, attributes, here.inside)
+        gone, doubtful = (True, 0) if here.gone else _unwanted(tag, attributes, here.inside)
         if tag in BLOCK or (gone and not here.gone and not attributes.rstrip().endswith("/")):
             end_line()
             if here.tag == "p" and tag in BLOCK:  # a block ends an open paragraph
@@ -242,12 +249,14 @@ def _scored(root: Node) -> list[Node]:
                 node.score += 1.0 + len(line) / 50 + line.count(",") + line.count("，") + line.count("、")
                 node.chars += len(line)
                 node.linked += linked
+                node.prose = node.prose or len(line) >= PROSE or node.tag in HEADINGS
     for node in reversed(nodes):  # children before their parents
-        if node.doubtful and node.linked > 0.5 * node.chars:
+        if node.doubtful and (node.linked > 0.5 * node.chars or (node.doubtful == 2 and not node.prose)):
             node.gone = True
         elif node.up is not None:
             node.up.chars += node.chars
             node.up.linked += node.linked
+            node.up.prose = node.up.prose or node.prose
             node.up.score += node.score if node.tag == "p" else node.score / 2
             if node.tag == "p":
                 node.score = 0.0
@@ -264,6 +273,23 @@ def _menu(node: Node) -> bool:
     return node.tag in ("ul", "ol", "div", "table", "section") and node.linked > 0.8 * node.chars and node.linked > 0
 
 
+def _text(node: Node) -> list[str]:
+    """All lines below an element that stay."""
+    out, todo = [], [node]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, tuple):
+            out.append(c[0])
+        elif not c.gone:
+            todo += reversed(c.children)
+    return out
+
+
+def _prose(node: Node) -> bool:
+    lines = _text(node)
+    return sum(map(len, lines)) >= ITEM * len(lines)
+
+
 def _plain(c) -> int:
     """Characters of an element or line that is text with few links, else 0."""
     chars, linked = (len(c[0]), c[1]) if isinstance(c, tuple) else (0, 0) if c.gone else (c.chars, c.linked)
@@ -294,14 +320,36 @@ def _lifted(best: Node) -> Node:
 
 
 def _lines(top: Node):
-    """The lines below an element in page order, without those of menus; pages may nest deeper than calls can."""
-    todo = [top]
+    """The lines below an element in page order, without those of menus; pages may nest deeper than calls can.
+
+    In an article, links that stand under a heading, or whose items are as long as prose, are no menu, like its references. A heading with a mark in it is
+    that of a menu and goes with it.
+    """
+    todo = [(top, False)]  # and whether a heading vouches for it
     while todo:
-        c = todo.pop()
+        c, vouched = todo.pop()
         if isinstance(c, tuple):
             yield c[0]
-        elif not c.gone and (c is top or not _menu(c)):
-            todo += reversed(c.children)
+            continue
+        kept, heading = [], None
+        for x in c.children:
+            if isinstance(x, tuple):
+                kept.append((x, vouched))
+                heading = None
+            elif not x.gone and x.chars:
+                own = vouched
+                if not own and _menu(x):
+                    words = set(_WORD.findall(" ".join(_text(heading)).lower())) if heading is not None else set()
+                    named = heading is not None and MARKS.isdisjoint(words)
+                    if not (x.inside and (named or (heading is None and _prose(x)))):
+                        if heading is not None and not named:
+                            kept.pop()
+                        heading = None
+                        continue
+                    own = True
+                kept.append((x, own))
+                heading = x if x.tag in HEADINGS else None
+        todo += reversed(kept)
 
 
 def main_text(page: str | None) -> str:

@@ -140,18 +140,18 @@ def _node(level: int):
 
 
 def pivotal_copies(sized: DataFrame, share_of: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for rows of (doc_id, source, size).
+    """(doc_id, size, source_size, target, taken) for rows of (doc_id, source, size), and ``salt``, a long that tells rows of one doc_id and size apart, if there is one.
 
     A row's expected copies are its source's target / source_size. The whole part is taken; the fraction is
     rounded by weighted pivotal sampling: rows of a source meet in pairs, mass moves between them at
     random so that expectations and the source's total stay, until one is integral. Leaves are dealt by a hash of the row,
     so a hot source fills as many leaves as it needs, and leave at most one residual for each source; residuals
     meet in nodes of FAN leaves, level by level. Some SOURCES sources share a tree, so a node never has more than FAN times as many residuals. Only the last residual of a source is rounded
-    alone, so its total differs from the target by less than one document. Chances are hashes of doc_id and size: reruns agree.
+    alone, so its total differs from the target by less than one document. Chances are hashes of doc_id, size and salt: reruns agree.
     """
     want = share_of.withColumn("copies", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
     rows = sized.join(want.select(F.col("source").alias("s"), "source_size", "target", "copies"), sized["source"].eqNullSafe(F.col("s"))).drop("s")
-    tie = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "size", F.lit(11))
+    tie = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "size", *(["salt"] if "salt" in sized.columns else []), F.lit(11))
     trees = max(1, -(-want.count() // SOURCES))
     rows = rows.withColumns({"whole": F.floor("copies").cast("long"), "tie": tie, "tree": F.pmod(F.xxhash64("source", F.lit(7)), F.lit(trees)).cast("long")})
     sizes = rows.groupBy("tree").agg(F.ceil(F.count("*") / LEAF).cast("long").alias("leaves"))
@@ -177,8 +177,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     """Sizes, targets and taken words of each row of ``docs`` (doc_id, source, text).
 
     ``size`` counts words; a null text has none and is taken 0 times its 0 words. A null source is a source of its own, last in order.
-    Repeated rows with one doc_id are rounded one by one. An empty table gives an empty result.
+    Repeated rows with one doc_id are rounded one by one; rows without doc_id are told apart by their texts. An empty table gives an empty result.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    sized = written(word_counts(plain, ["doc_id", "source"]), "sizes")
+    sized = written(word_counts(plain.withColumn("salt", F.xxhash64("text")), ["doc_id", "source", "salt"]), "sizes")
     return pivotal_copies(sized, source_targets(sized, weights, share, most))

@@ -41,9 +41,14 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return found.groupBy("host").agg(F.collect_set(entry).alias("rules"))
 
 
+#: The address in a link, up to the end of its tag. What stands before it holds no angle bracket, and nothing is tried twice,
+#: so a page takes time in proportion to its length, whatever is left open in it.
+LINK = r"""(?i)<a\s[^<>]*?\bhref\s*+=\s*+["']?+\s*+((?:[a-z][a-z0-9+.-]*+:)?//[^\s"'<>]++)"""
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, links): links of pages to other hosts, counted for each pair of hosts."""
-    target = F.explode(F.regexp_extract_all(F.col("html").cast("string"), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"'>]+)"""), 1))
+    """(src, dst, links): links of pages to other hosts, counted for each pair of hosts. A tag with an angle bracket before its address is none."""
+    target = F.explode(F.regexp_extract_all(F.col("html").cast("string"), F.lit(LINK), 1))
     links = pages.filter("host <> ''").select(F.col("host").alias("src"), target.alias("target"))
     links = links.select("src", F.regexp_replace("target", r"^//", "http://").alias("url"))
     ends = with_host_and_path(links).select("src", F.col("host").alias("dst"))
@@ -54,8 +59,9 @@ def propagated(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, re
     """(host, trust, distrust) by personalised PageRank.
 
     ``seeds`` is (host, trust, distrust). Trust goes along links and distrust against them, each divided
-    by the sender's links in that direction. Both kinds share the rounds; every round aggregates before it
-    shuffles and ends in a shared table. They end when no score changes by TOLERANCE, or after ``rounds`` if that is given.
+    by the sender's links in that direction. Seeds are taken as they are, so scores are no probabilities: they add up to
+    the sum of the seeds at most. Both kinds share the rounds; every round aggregates before it
+    shuffles and ends in a shared table, which also holds what each score was before. They end when no score changes by TOLERANCE, or after ``rounds`` if that is given.
     """
     forward = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("u"), F.col("dst").alias("v"), "links")
     both = forward.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("u"), F.col("src").alias("v"), "links"))
@@ -63,13 +69,16 @@ def propagated(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, re
     share = written(both.join(totals, ["kind", "u"]).select("kind", "u", "v", (F.col("links") / F.col("total")).alias("share")), "shares")
     start = seeds.select("host", F.explode(F.map_from_arrays(F.array(F.lit("trust"), F.lit("distrust")), F.array("trust", "distrust"))).alias("kind", "seed"))
     start = written(start.filter("seed > 0"), "seeds")
+    zero = F.lit(0.0)
     scores = start.select("kind", F.col("host").alias("u"), (F.col("seed") * restart).alias("score"))
     held = None
     for _ in range(0 if share.isEmpty() else rounds or MOST_ROUNDS):
         sent = scores.join(share, ["kind", "u"]).groupBy("kind", "v").agg(F.sum(F.col("score") * F.col("share") * (1 - restart)).alias("got"))
-        added = start.select("kind", F.col("host").alias("v"), (F.col("seed") * restart).alias("got")).unionByName(sent)
-        new = written(added.groupBy("kind", F.col("v").alias("u")).agg(F.sum("got").alias("score")), "scores")
-        change = new.join(scores.withColumnRenamed("score", "before"), ["kind", "u"], "full").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
+        seeded = start.select("kind", F.col("host").alias("v"), (F.col("seed") * restart).alias("got"))
+        added = seeded.unionByName(sent).withColumn("was", zero).unionByName(scores.select("kind", F.col("u").alias("v"), zero.alias("got"), F.col("score").alias("was")))
+        new = written(added.groupBy("kind", F.col("v").alias("u")).agg(F.sum("got").alias("score"), F.sum("was").alias("was")), "scores")
+        change = new.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
+        new = new.drop("was")
         if held is not None:
             dropped(held)
         scores = held = new
