@@ -47,8 +47,8 @@ def company_info(rows: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def search(rows: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Exact symbols first, then prefixes, then symbols or names that contain the query; larger caps first inside a tier."""
-    q = F.lit(query.upper())
+    """Exact symbols first, then prefixes, then symbols or names that contain the trimmed query; larger caps first inside a tier. ``names.search_many`` takes many queries at once."""
+    q = F.lit(query.strip().upper())
     s, n = F.upper("symbol"), F.upper("name")
     tier = F.when(s == q, 1).when(F.startswith(s, q), 2).when(F.contains(s, q) | F.contains(n, q), 3)
     return rows.withColumn("tier", tier).filter("tier is not null").orderBy("tier", F.col("market_cap").desc(), "symbol").limit(limit)

@@ -1,15 +1,19 @@
 """News text: lexicon sentiment with negation, bigrams and modifiers, aggregates, trending topics, duplicates and search.
 
-Lexicons are parameters; everything up to an aggregate is narrow and stays in the JVM.
+Lexicons are parameters; everything up to an aggregate is narrow.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import scratch
+from .names import contained
+
 #: Words before a term that a negation reaches over, and the threshold of the labels.
 REACH, THRESHOLD = 3, 0.2
 
@@ -26,52 +30,50 @@ class Lexicon:
     modifiers: dict[str, float] = field(default_factory=dict)
 
 
-def _map(words: dict[str, float]) -> Column:
-    if not words:
-        return F.create_map().cast("map<string,double>")
-    return F.create_map(*[F.lit(x) for k, v in sorted(words.items()) for x in (k, float(v))])
-
-
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b[\w']+\b"), F.lit(0))
 
 
+def _weighed(tokens_: list[str], lex: Lexicon) -> tuple[float, float, int, list[str], list[str]]:
+    """Positive and negative weight, terms, and the words of either side, of one text."""
+    n = len(tokens_)
+    negated = lambda i: -1.0 if any(w in lex.negations for w in tokens_[max(i - REACH, 0) : i]) else 1.0
+    modifier = lambda i: lex.modifiers.get(tokens_[i], 1.0) if i >= 0 else 1.0
+    pairs = [lex.bigrams.get(f"{a} {b}", 0.0) for a, b in zip(tokens_, tokens_[1:])] if lex.bigrams else [0.0] * max(n - 1, 0)
+    values = [w * modifier(i - 1) * negated(i) for i, w in enumerate(pairs) if w]
+    begins = [bool(w) for w in pairs] + [False]
+    sides: tuple[list[str], list[str]] = ([], [])
+    before = False  # whether a bigram uses the word before
+    for i, word in enumerate(tokens_):
+        used = begins[i] or (i > 0 and begins[i - 1])
+        if not used:
+            p, q = lex.positive.get(word), lex.negative.get(word)
+            if p is not None or q is not None or word in lex.neutral:
+                value = (p if p is not None else -abs(q) if q is not None else 0.0) * (modifier(i - 1) if i and not before else 1.0) * negated(i)
+                values.append(value)
+                if value:
+                    sides[value < 0].append(word)
+        before = used
+    return sum((v for v in values if v > 0), 0.0), sum((-v for v in values if v < 0), 0.0), len(values), sides[0][:10], sides[1][:10]
+
+
 def scored(df: DataFrame, text: str, lex: Lexicon, out: str = "sentiment") -> DataFrame:
     """Add a struct (score, confidence, label, positive, negative) for the text column.
 
     A bigram uses up its two words and may overlap another; it is negated by one of the three words before. Words that no
-    bigram uses count with the modifier before them, unless that is used up; a negation swaps sides.
+    bigram uses count with the modifier before them, unless that is used up; a negation swaps sides. Words are split in the JVM and looked up
+    in dictionaries, batch by batch, in time that doesn't depend on the size of the lexicon.
     """
-    negation, neutral = F.array(*[F.lit(w) for w in sorted(lex.negations)] or [F.lit("")]), F.array(*[F.lit(w) for w in sorted(lex.neutral)] or [F.lit("")])
-    df = df.withColumns({"__t": tokens(F.col(text)), "__pos": _map(lex.positive), "__neg": _map(lex.negative), "__bi": _map(lex.bigrams), "__mod": _map(lex.modifiers), "__no": negation, "__neutral": neutral})
-    t, n = F.col("__t"), F.size("__t")
-    index = lambda upto: F.when(upto > 0, F.sequence(F.lit(0), upto - 1)).otherwise(F.array().cast("array<int>"))
-    word = lambda i: F.get(t, i)
-    negated = lambda i: F.arrays_overlap(F.slice(t, F.greatest(i - REACH + 1, F.lit(1)), F.least(i, F.lit(REACH))), F.col("__no"))
-    weight = lambda i: F.coalesce(F.col("__bi")[F.concat(word(i), F.lit(" "), word(i + 1))], F.lit(0.0))
-    modifier = lambda i: F.coalesce(F.col("__mod")[F.coalesce(word(i), F.lit(""))], F.lit(1.0))
-    df = df.withColumn("__hit", F.filter(index(n - 1), lambda i: weight(i) != 0))
-    signed = F.transform("__hit", lambda i: weight(i) * modifier(i - 1) * F.when(negated(i), -1.0).otherwise(1.0))
-    # whether a bigram begins at each word: used() is two look-ups, so long texts cost linear time
-    begins = F.transform(index(n), lambda i: weight(i) != 0)
-    df = df.withColumns({"__b": signed, "__begins": begins})
-    used = lambda i: F.coalesce(F.get("__begins", i), F.lit(False)) | F.coalesce(F.get("__begins", i - 1), F.lit(False))
-
-    def single(i):
-        scale = F.when((i > 0) & ~used(i - 1), modifier(i - 1)).otherwise(1.0)
-        p, q = F.col("__pos")[word(i)], F.col("__neg")[word(i)]
-        value = F.when(p.isNotNull(), p).when(q.isNotNull(), -F.abs(q)).otherwise(0.0)
-        return F.struct((value * scale * F.when(negated(i), -1.0).otherwise(1.0)).alias("v"), (p.isNotNull() | q.isNotNull() | F.array_contains("__neutral", word(i))).alias("known"), word(i).alias("w"))
-
-    df = df.withColumn("__s", F.filter(F.transform(F.filter(index(n), lambda i: ~used(i)), single), lambda x: x["known"]))
-    values = F.concat("__b", F.transform("__s", lambda x: x["v"]))
-    side = lambda sign: F.aggregate(F.filter(values, lambda v: v * sign > 0), F.lit(0.0), lambda a, v: a + v * sign)
-    df = df.withColumns({"__p": side(1.0), "__q": side(-1.0), "__k": F.size("__b") + F.size("__s")})
-    score = F.round(F.coalesce(F.try_divide(F.col("__p") - F.col("__q"), F.col("__p") + F.col("__q")), F.lit(0.0)), 3)
-    confidence = F.round(F.least(F.log(1.0 + F.col("__k")) / F.log(F.lit(21.0)), F.lit(1.0)), 3)
-    words = lambda sign: F.slice(F.transform(F.filter("__s", lambda x: x["v"] * sign > 0), lambda x: x["w"]), 1, 10)
-    df = df.withColumn(out, F.struct(score.alias("score"), confidence.alias("confidence"), label(score).alias("label"), words(1.0).alias("positive"), words(-1.0).alias("negative")))
-    return df.drop("__t", "__pos", "__neg", "__bi", "__mod", "__no", "__neutral", "__hit", "__b", "__begins", "__s", "__p", "__q", "__k")
+
+    @F.pandas_udf("p double, q double, k int, up array<string>, down array<string>")
+    def weighed(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_weighed(list(t), lex) for t in texts], columns=["p", "q", "k", "up", "down"])
+
+    df = df.withColumn("__w", weighed(tokens(F.col(text))))
+    p, q = F.col("__w.p"), F.col("__w.q")
+    score = F.round(F.coalesce(F.try_divide(p - q, p + q), F.lit(0.0)), 3)
+    confidence = F.round(F.least(F.log(1.0 + F.col("__w.k")) / F.log(F.lit(21.0)), F.lit(1.0)), 3)
+    return df.withColumn(out, F.struct(score.alias("score"), confidence.alias("confidence"), label(score).alias("label"), F.col("__w.up").alias("positive"), F.col("__w.down").alias("negative"))).drop("__w")
 
 
 def label(score: Column, threshold: float = THRESHOLD) -> Column:
@@ -147,6 +149,46 @@ def keep_first(df: DataFrame, group: str, threshold: float = 0.8) -> DataFrame:
     return df.groupBy(group).agg(rows.alias("rows")).select(group, F.explode(kept).alias("k")).select(group, "k.article_id")
 
 
+def keep_first_in_rounds(df: DataFrame, group: str, threshold: float = 0.8, most_rounds: int = 1000) -> DataFrame:
+    """``keep_first`` of groups of any size: (group, article_id) of the first independent set of the articles in their order, found in rounds.
+
+    An article waits for the earlier ones that have its url, its word set or a similar one. In each round it is kept if none of these is left undecided or kept, and goes if one
+    is kept. What a url or word set has to say is its earliest article that hasn't gone, so copies make no pairs; word sets meet by their rarest words, as in ``similar_titles``.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "first")
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    words = F.array_sort(word_set(F.coalesce("title", F.lit(""))))
+    rows = kept(df.select(F.col(group).alias("g"), "article_id", "url", words.alias("words")).withColumn("w", F.when(F.size("words") > 0, F.sha2(F.concat_ws("\n", "words"), 256))), "rows")
+    sets = kept(rows.filter("w IS NOT NULL").groupBy("g", "w").agg(F.first("words").alias("words")), "sets")
+    each = sets.select("g", "w", F.explode("words").alias("word"))
+    rare = each.groupBy("g", "word").agg(F.count("*").alias("n"))
+    ranked = each.join(rare, ["g", "word"]).groupBy("g", "w").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("r"))
+    prefix = ranked.select("g", "w", F.explode(F.slice("r", 1, (F.size("r") - F.ceil(F.size("r") * threshold) + 1).cast("int"))).alias("p")).select("g", "w", F.col("p.word").alias("word"))
+    pairs = prefix.join(prefix.withColumnRenamed("w", "near"), ["g", "word"]).filter("w < near").select("g", "w", "near").distinct()
+    pairs = pairs.join(sets.withColumnRenamed("words", "a"), ["g", "w"]).join(sets.select("g", F.col("w").alias("near"), F.col("words").alias("b")), ["g", "near"]).filter(jaccard(F.col("a"), F.col("b")) >= threshold)
+    pairs = pairs.select("g", "w", "near")
+    near = kept(pairs.unionByName(pairs.select("g", F.col("near").alias("w"), F.col("w").alias("near"))).unionByName(sets.select("g", "w", F.col("w").alias("near"))), "near")
+    state = kept(rows.select("g", "article_id", "url", "w", F.lit(None).cast("boolean").alias("stays")), "state-0")  # None: undecided
+    for k in range(1, most_rounds + 1):
+        left = state.filter("stays OR stays IS NULL")
+        first = F.min(F.struct("article_id", F.coalesce("stays", F.lit(False)).alias("stays")))
+        by_url = left.filter("url IS NOT NULL").groupBy("g", "url").agg(first.alias("u"))
+        by_set = left.filter("w IS NOT NULL").groupBy("g", F.col("w").alias("near")).agg(first.alias("f"))
+        heads = near.join(by_set, ["g", "near"]).groupBy("g", "w").agg(F.collect_list("f").alias("heads"))
+        open_ = state.filter("stays IS NULL").join(by_url, ["g", "url"], "left").join(heads, ["g", "w"], "left")
+        said = F.filter(F.concat(F.coalesce("heads", F.array()), F.when(F.col("u").isNotNull(), F.array("u")).otherwise(F.array())), lambda f: f["article_id"] < F.col("article_id"))
+        verdict = F.when(F.exists(said, lambda f: f["stays"]), F.lit(False)).when(F.size(said) == 0, F.lit(True))
+        state = kept(state.filter("stays IS NOT NULL").unionByName(open_.select("g", "article_id", "url", "w", verdict.alias("stays"))), f"state-{k}")
+        if state.filter("stays IS NULL").isEmpty():
+            return state.filter("stays").select(F.col("g").alias(group), "article_id")
+    raise RuntimeError("articles were left undecided")
+
+
 def search(df: DataFrame, query: str, since: Column, limit: int = 20, newest: int = 100) -> DataFrame:
     """The ``newest`` articles first, then those that contain the query, then the date filter and the limit: the order of these steps counts."""
     recent = df.orderBy(F.col("published").desc(), "article_id").limit(newest)
@@ -154,31 +196,41 @@ def search(df: DataFrame, query: str, since: Column, limit: int = 20, newest: in
     return recent.filter(found & (F.col("published") >= since)).orderBy(F.col("published").desc(), "article_id").limit(limit)
 
 
+def _clean(symbol: Column) -> Column:
+    """A symbol in lower case without its exchange."""
+    return F.lower(F.regexp_replace(F.upper(symbol), r"\.(NS|BO)$", ""))
+
+
+def _naming(df: DataFrame, asked: DataFrame) -> DataFrame:
+    """``df`` with the other columns of each row of ``asked`` (name, ...) whose name an article has in title or description; articles have an article_id each."""
+    text = F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit("\n"), F.lower(F.coalesce("description", F.lit(""))))
+    found = contained(df.select("article_id", text.alias("__text")), "article_id", "__text", asked)
+    return df.join(found.join(asked, "name").drop("name").distinct(), "article_id")
+
+
 def for_symbols(df: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Articles whose title or description contains a symbol, without its exchange suffix, in any case; one row for each article and symbol.
+    """Articles whose title or description contains a symbol, without its exchange suffix, or its alias, in any case; one row for each article and symbol.
 
-    ``symbols`` (symbol, and alias for a company's name where there is one) is the short list that a request names; it is gathered into
-    one array that travels with the rows, so there is no join and articles stay where they are.
+    ``symbols`` is (symbol), and alias for a company's name where there is one; it may be long. Symbols that are empty without their suffix, and empty
+    aliases, are in no article.
     """
-    alias = F.col("alias") if "alias" in symbols.columns else F.lit(None).cast("string")
-    asked = symbols.select("symbol", F.lower(F.regexp_replace(F.upper("symbol"), r"\.(NS|BO)$", "")).alias("clean"), F.lower(alias).alias("alias"))
-    wanted = asked.agg(F.collect_list(F.struct("symbol", "clean", "alias")).alias("__asked"))
-    text = F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit("\n"), F.lower(F.coalesce("description", F.lit(""))))
-    named = lambda x: F.contains(F.col("__text"), x["clean"]) | F.coalesce(F.contains(F.col("__text"), x["alias"]), F.lit(False))
-    rows = df.withColumn("__text", text).join(F.broadcast(wanted), F.lit(True), "left")
-    return rows.withColumn("symbol", F.explode(F.transform(F.filter("__asked", named), lambda x: x["symbol"]))).drop("__text", "__asked")
+    alias = F.lower("alias") if "alias" in symbols.columns else F.lit(None).cast("string")
+    asked = symbols.select("symbol", F.explode(F.array_compact(F.array(_clean(F.col("symbol")), alias))).alias("name"))
+    return _naming(df, asked)
 
 
 def stock_news(df: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
-    """The newest ``limit`` articles of each symbol that name its company; for symbols without any, those that name the symbol itself."""
-    by_name = for_symbols(df, symbols.select(F.coalesce("alias", "symbol").alias("symbol"), F.col("symbol").alias("__s"))).withColumn("__broad", F.lit(0))
-    names = symbols.select("symbol", F.coalesce("alias", "symbol").alias("__n"))
-    by_name = by_name.withColumnRenamed("symbol", "__n").join(F.broadcast(names), "__n").drop("__n")
-    rows = by_name.unionByName(for_symbols(df, symbols.select("symbol")).withColumn("__broad", F.lit(1)))
-    tier = Window.partitionBy("symbol")
-    order = tier.orderBy(F.col("published").desc(), "article_id")
-    kept = rows.withColumn("__least", F.min("__broad").over(tier)).filter("__broad = __least")
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("__broad", "__least")
+    """The newest ``limit`` articles of each symbol that name its company; for symbols without any, those that name the symbol itself.
+
+    Listings that share a company share its articles, each once.
+    """
+    tiers = F.array(F.struct(F.lit(0).alias("broad"), _clean(F.coalesce("alias", "symbol")).alias("name")), F.struct(F.lit(1).alias("broad"), _clean(F.col("symbol")).alias("name")))
+    asked = symbols.select("symbol", F.explode(tiers).alias("t")).select("symbol", F.col("t.name").alias("name"), F.col("t.broad").alias("__broad")).groupBy("symbol", "name").agg(F.min("__broad").alias("__broad"))
+    rows = _naming(df, asked)
+    least = rows.groupBy("symbol").agg(F.min("__broad").alias("__broad"))
+    kept = rows.join(least, ["symbol", "__broad"]).drop("__broad")
+    order = Window.partitionBy("symbol").orderBy(F.col("published").desc(), "article_id")
+    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
 def feed(df: DataFrame, now: Column, most: int = 20, days: int = 30) -> DataFrame:

@@ -771,7 +771,7 @@ def stream_latest_prices(spark, sf_dir):
     return streams.newest_version(spark, f"{path}/data", ticks.schema).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "price")
 
 
-from . import long_queries, request_queries, stateful_queries  # noqa: E402, F401 - add their queries
+from . import long_queries, name_queries, request_queries, stateful_queries  # noqa: E402, F401 - add their queries
 
 
 def queries() -> dict:
