@@ -11,16 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import written
 
 #: Paragraphs are lines, cut after each sentence, since many documents are one line.
 PARAGRAPH = r"\n|(?<=[.!?]) "
-#: Rows of a sketch, and cells of each row in the fingerprint that is returned.
+#: Rows of a sketch, and cells of each row in the fingerprint that is returned; what differs is found with wider ones of both texts.
 ROWS, WIDTH = 3, 8
-#: Cells for each paragraph that may differ, in a pair's second try; each later try has twice as many.
-SPARE = 1.6
+#: A pair's sketches have SPARE cells for each paragraph of both texts at the first try, LEAST in each row at least, and each later try MORE times as many.
+SPARE, LEAST, MORE = 1.6, 48, 4
 #: Times that lone paragraphs are taken out before a pair counts as failed, and tries before the job fails.
 PEELS, TRIES = 8, 12
+#: Digests whose cells a task holds at a time, and tasks at most; more than these spill.
+DIGESTS, MOST_TASKS = 100_000, 100_000
 
 
 def paragraphs(text: Column) -> Column:
@@ -77,20 +79,26 @@ def _peeled(sketch: DataFrame) -> DataFrame:
     return _summed(counted, *_PAIR)
 
 
-def differences(texts: DataFrame) -> DataFrame:
+def _parts(texts: DataFrame, size: Column) -> int:
+    """Tasks for rows that hold ``size`` digests each."""
+    total = texts.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return min(max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DIGESTS)), MOST_TASKS)
+
+
+def compared(texts: DataFrame, spare: float = SPARE) -> DataFrame:
     """(k, side, differ): how many paragraphs only one text has, of each pair of ``first`` and an entry of ``others``.
 
-    ``texts`` is (k, first, others): digests, and an array of such arrays; k is unique. First all pairs are tried with sketches as wide
-    as a fingerprint, then those that failed with ones that fit the paragraphs of both. A pair without any difference may have no row.
+    ``texts`` is (k, first, others): digests, and an array of such arrays; k is unique. Sketches fit the paragraphs of both texts at first;
+    pairs that fail, since a cell holds several to the end, are tried again with larger ones. A pair without any difference may have no row.
     """
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbers = F.sequence(F.lit(0), F.size("others") - 1)
-    rows, tried, out = texts.repartition(parts, "k").withColumn("sides", F.when(F.size("others") > 0, numbers)), None, None
+    sizes = F.aggregate("others", F.size("first"), lambda n, x: n + F.size(x))
+    rows, out = texts.withColumn("sides", F.when(F.size("others") > 0, F.sequence(F.lit(0), F.size("others") - 1))), None
+    rows = rows.repartition(_parts(texts, sizes), "k")
     for attempt in range(TRIES):
         pairs = rows.select("k", "first", F.explode("sides").alias("side"), "others").withColumn("second", F.get("others", F.col("side")))
-        fit = F.greatest(F.lit(2 * WIDTH), F.ceil((F.size("first") + F.size("second")) * (SPARE / ROWS))) * 2 ** (attempt - 1)
+        width = F.greatest(F.lit(LEAST), F.ceil((F.size("first") + F.size("second")) * (spare / ROWS))) * MORE**attempt
         signed = F.array(F.struct(F.lit(1).alias("n"), F.col("first").alias("digests")), F.struct(F.lit(-1).alias("n"), F.col("second").alias("digests")))
-        pairs = pairs.select("k", "side", (fit if attempt else F.lit(WIDTH)).cast("int").alias("width"), F.explode(signed).alias("s"))
+        pairs = pairs.select("k", "side", width.cast("int").alias("width"), F.explode(signed).alias("s"))
         sketch = cells(pairs.select(*_PAIR, "s.n", F.explode("s.digests").alias("digest")), *_PAIR)
         for _ in range(PEELS):
             sketch = _peeled(sketch)
@@ -102,23 +110,24 @@ def differences(texts: DataFrame) -> DataFrame:
         if tried.filter("failed").isEmpty():
             return out
         failed = tried.filter("failed").groupBy("k").agg(F.collect_set("side").alias("sides"))
-        rows = texts.join(failed.hint("merge"), "k")
+        rows = texts.join(failed, "k").repartition("k")  # few: Spark sends them to the texts if they are small, and only their texts move
     raise RuntimeError("sketches did not peel")
 
 
-def sketch_texts(sides: DataFrame) -> DataFrame:
-    """(k, side, sketch): the fingerprint of each of ``sides`` (k, side, digests) as text: (cell:count:digest:check), all but the cell in hexadecimal."""
-    rows = sides.select("k", "side", F.lit(WIDTH).alias("width"), F.lit(1).alias("n"), F.explode("digests").alias("digest"))
+def sketch_texts(texts: DataFrame) -> DataFrame:
+    """(k, side, sketch): the fingerprints of ``first`` (side -1) and ``others`` (0 and on) as text: cell:count:digest:check, all but the cell in hexadecimal."""
+    each = F.transform(F.concat(F.array("first"), F.col("others")), lambda x, i: F.struct((i - 1).alias("side"), x.alias("digests")))
+    sides = texts.select("k", F.explode(each).alias("s")).select("k", "s.side", F.lit(WIDTH).alias("width"), F.lit(1).alias("n"), F.explode("s.digests").alias("digest"))
     cell = F.struct("cell", F.format_string("%d:%x:%x:%x", "cell", "n", "digest", "check").alias("text"))
-    return cells(rows, "k", "side").groupBy("k", "side").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["text"])).alias("sketch"))
+    return cells(sides, "k", "side").groupBy("k", "side").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["text"])).alias("sketch"))
 
 
 _KEY = ("none", "id", "h")
 
 
 def _sequence(docs: DataFrame) -> DataFrame:
-    """(none, id, h, n, copies, k, after, before, before_n): the distinct documents in order of doc_id, numbered, with the number of the next
-    one, and the key and length of the one before; the first follows the last.
+    """(none, id, h, n, copies, k, before, before_n): the distinct documents in order of doc_id, numbered, with the key and length of the one
+    before; the last comes before the first.
 
     Rows are dealt by range of (doc_id, hash), so a doc_id that many rows have is not one task; only the first and last row of each part are looked at together.
     """
@@ -127,35 +136,34 @@ def _sequence(docs: DataFrame) -> DataFrame:
     ids = ids.repartitionByRange(parts, *_KEY).select(F.struct(*_KEY).alias("at"), "copies", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("k"))
     ids = written(ids, "numbered")
     own = Window.partitionBy("part").orderBy("at")
-    end = F.struct("at", "n", "k")
-    ends = ids.groupBy("part").agg(F.min(end).alias("first"), F.max(end).alias("last"))
+    end = F.struct("at", "n")
+    ends = ids.groupBy("part").agg(F.max(end).alias("last"))
     every = Window.orderBy("part")  # one row for each part
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = ends.select("part", F.coalesce(F.lead("first").over(every), F.first("first").over(whole)).alias("next"), F.coalesce(F.lag("last").over(every), F.last("last").over(whole)).alias("prior"))
-    inside = ids.withColumns({"after": F.lead("k").over(own), "behind": F.lag(end).over(own)}).join(edges, "part").withColumn("behind", F.coalesce("behind", "prior"))
-    return written(inside.select("at.*", "n", "copies", "k", F.coalesce("after", "next.k").alias("after"), F.col("behind.at").alias("before"), F.col("behind.n").alias("before_n")), "sequence")
+    edges = ends.select("part", F.coalesce(F.lag("last").over(every), F.last("last").over(whole)).alias("prior"))
+    inside = ids.withColumn("behind", F.lag(end).over(own)).join(edges, "part").withColumn("behind", F.coalesce("behind", "prior"))
+    return written(inside.select("at.*", "n", "copies", "k", F.col("behind.at").alias("before"), F.col("behind.n").alias("before_n")), "sequence")
 
 
 def edited_documents(docs: DataFrame) -> DataFrame:
-    """(k, after, id, copies, n, edited_sha256, own, edited): distinct documents with the digests of their paragraphs and of their edited text's.
+    """(k, id, copies, n, edited_sha256, own, edited, next, n_next): distinct documents with the digests of their paragraphs, of their edited text's and of the next document's.
 
     The last half of a text's code points (rounded down) is replaced by as many from the start of the next document, or all it has. Texts move
-    once to meet their place in the sequence, and the start that the document before takes moves on to it.
+    once to meet their place in the sequence, and the start that the document before takes moves on to it, with the digests.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), text.alias("text")).withColumn("h", F.sha2("text", 256))
     sequence = _sequence(rows.withColumn("n", F.length("text"))).hint("merge")
     whole = rows.groupBy(*_KEY).agg(F.first("text").alias("text"))
-    heads = whole.join(sequence, [*_KEY]).select("before.*", F.expr("left(text, CAST(floor(before_n / 2) AS INT))").alias("head"))
+    heads = whole.join(sequence, [*_KEY]).select("before.*", F.expr("left(text, CAST(floor(before_n / 2) AS INT))").alias("head"), paragraphs(F.col("text")).alias("next"))
     both = whole.join(sequence.drop("before", "before_n"), [*_KEY]).join(heads.hint("merge"), [*_KEY])
     both = both.withColumn("edited_text", F.concat(F.expr("left(text, n - CAST(floor(n / 2) AS INT))"), "head"))
-    return both.select("k", "after", F.when(~F.col("none"), F.col("id")).alias("id"), "copies", "n", F.sha2("edited_text", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited_text")).alias("edited"))
+    return both.select("k", F.when(~F.col("none"), F.col("id")).alias("id"), "copies", "n", F.sha2("edited_text", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited_text")).alias("edited"), "next", F.size("next").alias("n_next"))
 
 
-def _likeness(of: Column, other: Column, differ: Column) -> Column:
-    """Common paragraphs as a share of all that either has, from what the sketches say differs; two texts without any are alike."""
-    total = (F.size(of) + F.size(other)).cast("double")
-    return F.coalesce(F.try_divide(total - differ, total + differ), F.lit(1.0))
+def _likeness(paragraphs_: Column, differ: Column) -> Column:
+    """Common paragraphs as a share of all that either text has, from how many both have together and what the sketches say differs; two texts without any are alike."""
+    return F.coalesce(F.try_divide((paragraphs_ - differ).cast("double"), (paragraphs_ + differ).cast("double")), F.lit(1.0))
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -165,20 +173,17 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     SHA-256 of their texts; rows equal in both are one document, of which each copy is returned. A document that is alone is
     the next one of itself. Digests and check values have 64 bits each. Other columns are ignored; no rows give none.
     """
-    alone = written(edited_documents(docs), "edited")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edited = written(alone.join(alone.select(F.col("k").alias("after"), F.col("own").alias("next")).hint("merge"), "after"), "compared")
-    dropped(alone)
-    differ = differences(edited.select("k", F.col("own").alias("first"), F.array("edited", "next").alias("others")))
+    edited = written(edited_documents(docs), "edited")
+    texts = edited.select("k", F.col("own").alias("first"), F.array("edited", "next").alias("others"))
     each = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("differ"))), F.lit(0).cast("long"))
-    likes = differ.groupBy("k").agg(each(0).alias("edited_differ"), each(1).alias("next_differ"))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("own").alias("digests")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("digests")))
-    texts = sketch_texts(edited.repartition(parts, "k").select("k", F.explode(sides).alias("s")).select("k", "s.*"))
-    named = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("sketch"))), F.lit(""))
-    prints = texts.groupBy("k").agg(named(0).alias("fingerprint"), named(1).alias("edited_fingerprint"))
-    out = edited.join(likes.hint("merge"), "k", "left").join(prints.hint("merge"), "k", "left")
+    likes = compared(texts).groupBy("k").agg(each(0).alias("edited_differ"), each(1).alias("next_differ"))
+    dealt = edited.drop("next").repartition(_parts(edited, F.size("own") + F.size("edited")), "k")
+    named = lambda text: F.coalesce(F.max(F.when(F.col("side") == text, F.col("sketch"))), F.lit("")).alias
+    prints = sketch_texts(dealt.select("k", F.col("own").alias("first"), F.array("edited").alias("others"))).groupBy("k").agg(named(-1)("fingerprint"), named(0)("edited_fingerprint"))
+    narrow = edited.select("k", "id", "copies", "n", "edited_sha256", F.size("own").alias("n_own"), F.size("edited").alias("n_edited"), "n_next")
+    out = prints.hint("merge").join(narrow.join(likes.hint("merge"), "k", "left").hint("merge"), "k", "right")
     none = F.lit(0).cast("long")
     rows = out.select(
         F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
-        _likeness(F.col("own"), F.col("edited"), F.coalesce("edited_differ", none)).alias("near_edited"), _likeness(F.col("own"), F.col("next"), F.coalesce("next_differ", none)).alias("near_next"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+        _likeness(F.col("n_own") + F.col("n_edited"), F.coalesce("edited_differ", none)).alias("near_edited"), _likeness(F.col("n_own") + F.col("n_next"), F.coalesce("next_differ", none)).alias("near_next"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return rows.drop("copy")

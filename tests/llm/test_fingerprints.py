@@ -99,8 +99,11 @@ def test_nothing_and_one(spark):
     assert r.edited_sha256 == hashlib.sha256(b"One. One.").hexdigest() and r.near_next == 1.0 and r.near_edited == 0.5
 
 
-def test_sketches_find_what_differs(spark):
-    """Pairs of sets of many sizes, most of which fail at first and are tried again with wider sketches."""
+@pytest.mark.parametrize("spare", [fingerprints.SPARE, 0.2])
+def test_sketches_find_what_differs(spark, spare, monkeypatch):
+    """Pairs of sets of many sizes; narrow sketches fail at first and are tried again with wider ones."""
+    monkeypatch.setattr(fingerprints, "LEAST", 4 if spare < 1 else fingerprints.LEAST)
+
     def some(n):
         return [R.getrandbits(63) - 2**62 for _ in range(n)]
 
@@ -109,6 +112,6 @@ def test_sketches_find_what_differs(spark):
         both = some(common)
         pairs.append((k, both + some(left), both + some(right), left + right))
     texts = [(k, first, [second, first, []]) for k, first, second, _ in pairs]
-    got = {(k, side): n for k, side, n in fingerprints.differences(spark.createDataFrame(texts, "k long, first array<long>, others array<array<long>>")).collect()}
+    got = {(k, side): n for k, side, n in fingerprints.compared(spark.createDataFrame(texts, "k long, first array<long>, others array<array<long>>"), spare).collect()}
     for k, first, _, differ in pairs:
         assert [got.get((k, side), 0) for side in range(3)] == [differ, 0, len(first)]
