@@ -59,3 +59,10 @@ def statistics(trades: DataFrame) -> DataFrame:
     sharpe = F.when((F.count("*") < 2) | (F.stddev_samp(r) == 0), 0.0).otherwise(F.avg(r) / F.when(F.stddev_samp(r) == 0, None).otherwise(F.stddev_samp(r)) * F.sqrt(F.when(hold == 0, F.lit(12.0)).otherwise(252 / F.when(hold == 0, None).otherwise(hold))))
     counts = {name: F.count_if(F.col("exit_reason") == name).alias(f"n_{name}") for name in ("stop_loss", "target", "time_exit")}
     return df.groupBy("symbol").agg(F.count("*").alias("trades"), F.count_if(r > 0).alias("wins"), (F.count_if(r > 0) / F.count("*") * 100).alias("win_rate"), F.avg(r).alias("mean_return"), F.sum(r).alias("total_return"), factor.alias("profit_factor"), hold.alias("mean_hold"), F.max("drop").alias("max_drawdown"), sharpe.alias("sharpe"), *counts.values())
+
+
+def statistics_of(symbols: DataFrame, trades: DataFrame) -> DataFrame:
+    """``statistics`` of each of ``symbols`` (symbol); those without trades have zeros."""
+    found = statistics(trades)
+    rows = symbols.select("symbol").distinct().join(found, "symbol", "left")
+    return rows.select("symbol", *[F.coalesce(c, F.lit(0).cast(found.schema[c].dataType)).alias(c) for c in found.columns if c != "symbol"])

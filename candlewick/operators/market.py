@@ -46,6 +46,26 @@ def company_info(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     return facts.withColumns({c: F.coalesce(F.col(c), F.lit("N/A")) for c in ("sector", "industry") if c in facts.columns})
 
 
+#: What is known of a company's business and of its figures.
+FACTS = ("name", "sector", "industry", "description", "website", "employees")
+FIGURES = ("market_cap", "pe_ratio", "forward_pe", "peg_ratio", "price_to_book", "dividend_yield", "profit_margin", "roe", "debt_to_equity")
+
+
+def _projected(rows: DataFrame, symbols: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    known = rows.select("symbol", *[F.col(c) if c in rows.columns else F.lit(None).cast("string" if c in FACTS and c != "employees" else "double").alias(c) for c in columns], "source")
+    return symbols.select("symbol").join(known, "symbol")
+
+
+def facts(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol, FACTS, source) of the asked symbols that the source knows; what it doesn't have is null."""
+    return _projected(rows, symbols, FACTS)
+
+
+def fundamentals(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol, FIGURES, source) of the asked symbols that the source knows; what it doesn't have is null."""
+    return _projected(rows, symbols, FIGURES)
+
+
 def search(rows: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Exact symbols first, then prefixes, then symbols or names that contain the trimmed query; larger caps first inside a tier. ``names.search_many`` takes many queries at once."""
     q = F.lit(query.strip().upper())

@@ -240,11 +240,28 @@ def feed(df: DataFrame, now: Column, most: int = 20, days: int = 30) -> DataFram
     return dated.withColumn("__r", rank).filter((F.col("__r") <= most) & (F.col("published") >= now - F.make_dt_interval(F.lit(days)))).drop("__r")
 
 
-def parsed_date(text: Column, now: Column) -> Column:
-    """ISO or common news formats, "3 hours ago", else now."""
+def known_date(text: Column, now: Column) -> Column:
+    """ISO or common news formats, "3 hours ago", else null."""
     amount = F.regexp_extract(F.lower(text), r"(\d+)\s*(minute|hour|day|week|month)s?\s+ago", 1)
     unit = F.regexp_extract(F.lower(text), r"(\d+)\s*(minute|hour|day|week|month)s?\s+ago", 2)
     minutes = F.create_map(*[F.lit(x) for kv in {"minute": 1, "hour": 60, "day": 1440, "week": 10080, "month": 43200}.items() for x in kv])[unit]
     relative = F.when(amount != "", now - F.make_dt_interval(F.lit(0), F.lit(0), (F.try_to_number(amount, F.lit("999999")).cast("int") * minutes).cast("int")))
     formats = [F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[X]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MMM d, yyyy")]
-    return F.coalesce(*formats, relative, now)
+    return F.coalesce(*formats, relative)
+
+
+def parsed_date(text: Column, now: Column) -> Column:
+    """ISO or common news formats, "3 hours ago", else now."""
+    return F.coalesce(known_date(text, now), now)
+
+
+def web_results(results: DataFrame, attempts: DataFrame, now: Column, days: int = 7, most: int = 10) -> DataFrame:
+    """What a web search gives for each query: the first ``most`` results of the first provider that answered it, without those dated before the last ``days``; undated ones stay.
+
+    ``results`` is (query, provider, position, date, ...) with dates as text, ``attempts`` (query, provider, priority, answered).
+    """
+    order = F.when(F.col("answered"), F.struct("priority", "provider"))
+    used = attempts.groupBy("query").agg(F.min(order).alias("__used")).select("query", F.col("__used.provider").alias("provider")).filter("provider IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy("query", "provider").orderBy("position"))
+    rows = results.join(used, ["query", "provider"], "left_semi").withColumns({"rank": rank, "published": known_date(F.col("date"), now)}).filter(F.col("rank") <= most)
+    return rows.filter(F.col("published").isNull() | (F.col("published") >= now - F.make_dt_interval(F.lit(days))))
