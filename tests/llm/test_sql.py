@@ -14,4 +14,5 @@ def test_query_equals_sql(spark, data, name):
     df, found = queries.queries()[name](spark, data), con.sql(queries.oracle_sql()[name])
     columns = sorted(df.columns)
     assert columns == sorted(found.columns)
-    assert sorted(map(tuple, df.select(columns).collect())) == sorted(found.select(*columns).fetchall())
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert order(df.select(columns).collect()) == order(found.select(*columns).fetchall())
