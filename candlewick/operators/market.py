@@ -86,20 +86,20 @@ def constituents(indices: DataFrame) -> DataFrame:
     return indices.select("index_name", F.posexplode("members").alias("pos", "symbol"))
 
 
-def movers(members: DataFrame, quotes: DataFrame, k: int = 5) -> DataFrame:
-    """Top and bottom ``k`` of each index by change percent; the same symbol may be in both if there are few."""
-    both = members.join(quotes, "symbol")
+def movers(members: DataFrame, quotes: DataFrame, k: int = 5, key: str = "symbol") -> DataFrame:
+    """Top and bottom ``k`` of each index by change percent, unknown ones last; the same symbol may be in both if there are few. ``key`` is unique in ``quotes``."""
+    both = members.join(quotes, key)
     up = F.row_number().over(Window.partitionBy("index_name").orderBy(F.col("change_percent").desc(), "symbol"))
-    down = F.row_number().over(Window.partitionBy("index_name").orderBy(F.col("change_percent").asc(), "symbol"))
+    down = F.row_number().over(Window.partitionBy("index_name").orderBy(F.col("change_percent").asc_nulls_last(), "symbol"))
     ranked = both.withColumns({"up": up, "down": down})
     gainers = ranked.filter(F.col("up") <= k).select("index_name", F.lit("gainer").alias("kind"), F.col("up").alias("rank"), "symbol", "change_percent")
     return gainers.unionByName(ranked.filter(F.col("down") <= k).select("index_name", F.lit("loser").alias("kind"), F.col("down").alias("rank"), "symbol", "change_percent"))
 
 
-def index_levels(members: DataFrame, quotes: DataFrame, base: float = 10_000.0, first: int = 5) -> DataFrame:
-    """A synthetic level for each index: the mean change of its first members on a base, highs and lows half a percent around."""
+def index_levels(members: DataFrame, quotes: DataFrame, base: float = 10_000.0, first: int = 5, key: str = "symbol") -> DataFrame:
+    """A synthetic level for each index: the mean change of its first members on a base, highs and lows half a percent around. ``key`` is unique in ``quotes``."""
     change = F.avg("change_percent")
-    out = members.filter(F.col("pos") < first).join(quotes, "symbol").groupBy("index_name").agg(change.alias("change_percent"))
+    out = members.filter(F.col("pos") < first).join(quotes, key).groupBy("index_name").agg(change.alias("change_percent"))
     out = out.withColumn("level", base * (1 + F.col("change_percent") / 100))
     return out.withColumns({"high": F.col("level") * 1.005, "low": F.col("level") * 0.995})
 
