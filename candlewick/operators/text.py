@@ -120,24 +120,46 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
 
 
-def similar_titles(df: DataFrame, threshold: float = 0.8) -> DataFrame:
+#: Titles with a word that meet in one place; a word of more is several blocks.
+BLOCK = 1024
+
+
+def similar_titles(df: DataFrame, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b, similarity) of articles whose title words have a Jaccard similarity of ``threshold`` and more.
 
     Equal word sets form one class, so copies make no pairs among themselves: ``a`` and ``b`` are the first
     articles of two classes. Candidates share a word among the rarest of each title: a title of n words keeps
-    n - ceil(threshold * n) + 1 of them, which any similar pair must share.
+    n - ceil(threshold * n) + 1 of them, which any similar pair must share; it is looked at where the rarest of those it shares
+    is. Titles of a word are dealt to blocks of some ``block``, and each two blocks are a group, so nothing holds all of a word or a pair twice.
     """
+    spark = df.sparkSession
+    path = scratch(spark, "titles")
     sets = df.select("article_id", F.array_sort(word_set(F.col("title"))).alias("words")).filter(F.size("words") > 0)
-    classes = sets.groupBy("words").agg(F.min("article_id").alias("id"))
+    sets.groupBy("words").agg(F.min("article_id").alias("id")).write.parquet(f"{path}/classes")
+    classes = spark.read.parquet(f"{path}/classes")
     exploded = classes.select("id", F.explode("words").alias("w"))
-    rarity = exploded.groupBy("w").agg(F.count("*").alias("df"))
+    exploded.groupBy("w").agg(F.count("*").alias("df")).write.parquet(f"{path}/rarity")
+    rarity = spark.read.parquet(f"{path}/rarity")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # rows are few and what comes of them is much, so tasks aren't put together
+    common = rarity.filter(F.col("df") > classes.count() / 1000).withColumnRenamed("df", "often")  # of which a title's words allow few
+    told = exploded.join(F.broadcast(common), "w", "left")
+    rare = told.filter("often IS NULL").select("id", "w").repartition(parts, "w").join(rarity, "w")
+    every = rare.select("id", "df", "w").unionByName(told.filter("often IS NOT NULL").select("id", F.col("often").alias("df"), "w"))
+    ranked = every.repartition(parts, "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ranked"))
     size = F.size("ranked")
-    ranked = exploded.join(rarity, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ranked"))
-    prefix = ranked.select("id", F.explode(F.slice("ranked", 1, (size - F.ceil(size * threshold) + 1).cast("int"))).alias("p")).select("id", F.col("p.w").alias("w"))
-    pairs = prefix.toDF("a", "w").join(prefix.toDF("b", "w"), "w").filter("a < b").select("a", "b").distinct()
-    words = classes.select("id", "words")
-    both = pairs.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
-    return both.withColumn("similarity", jaccard(F.col("wa"), F.col("wb"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    first = F.slice("ranked", 1, (size - F.ceil(size * threshold) + 1).cast("int"))
+    ranked.select("id", F.col("ranked.w").alias("words"), first.alias("first")).write.parquet(f"{path}/ranked")
+    places = spark.read.parquet(f"{path}/ranked").select("id", "words", F.col("first.w").alias("first"), F.explode("first").alias("p"))
+    places = places.filter("p.df > 1").select("id", "words", "first", F.col("p.w").alias("w"))  # no other title has a word of one
+    blocks = places.groupBy("w").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = places.join(blocks, "w").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    x = dealt.select("w", F.col("own").alias("low"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("high"), F.struct("id", "words", "first").alias("x")).repartition(parts, "w", "low", "high")
+    y = dealt.select("w", F.explode(F.sequence(F.lit(0), "own")).alias("low"), F.col("own").alias("high"), F.struct("id", "words", "first").alias("y")).repartition(parts, "w", "low", "high")
+    sizes = F.size("x.words"), F.size("y.words")
+    met = x.join(y, ["w", "low", "high"]).filter((F.col("low") < F.col("high")) | (F.col("x.id") < F.col("y.id"))).filter(F.least(*sizes) >= F.greatest(*sizes) * threshold - 1e-6)
+    both = met.filter(F.get(F.array_intersect("x.first", "y.first"), F.lit(0)) == F.col("w"))
+    pairs = both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), jaccard(F.col("x.words"), F.col("y.words")).alias("similarity"))
+    return pairs.filter(F.col("similarity") >= threshold)
 
 
 def keep_first(df: DataFrame, group: str, threshold: float = 0.8) -> DataFrame:
