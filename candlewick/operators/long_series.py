@@ -34,6 +34,8 @@ def numbered(bars: DataFrame, rows: int = ROWS) -> DataFrame:
     spark = bars.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch(spark, "bars")
+    bars.write.parquet(f"{path}/given")  # ranges are found by a look at all rows, which would make them twice
+    bars = spark.read.schema(bars.schema).parquet(f"{path}/given")
     bars.repartitionByRange(parts, "symbol", "bar_ts").withColumn("__part", F.spark_partition_id()).write.parquet(f"{path}/dealt")
     dealt = spark.read.parquet(f"{path}/dealt")
     earlier = Window.partitionBy("symbol").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
