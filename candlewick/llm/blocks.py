@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, text_buffer, whole_groups, written
+from .common import blobs, lean, text_buffer, whole_groups, written
 
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 10_000
 #: Most tasks of one exchange. Groups inside of it may be more: a task takes one after the other.
@@ -136,8 +136,8 @@ def with_answers(docs: DataFrame, answers: DataFrame, parts: int, work, schema,
                 for data in packed:  # equal blocks have one name, and equal answers
                     yield from work(Block.unpack(data, rows[0]["block"]), got)
 
-    texts = plain(docs, keep).mapInArrow(_packed, SCHEMA)
-    return texts.unionByName(answers).repartition(tasks(parts), "block").sortWithinPartitions("block", "part").mapInArrow(run, schema)
+    texts = plain(docs, keep).mapInArrow(lean(_packed), SCHEMA)
+    return texts.unionByName(answers).repartition(tasks(parts), "block").sortWithinPartitions("block", "part").mapInArrow(lean(run), schema)
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -178,7 +178,7 @@ def repeated(marks: DataFrame, parts: int, hot: int) -> DataFrame:
                 data = [np.packbits(hit[a:b]).tobytes() + (np.packbits(many[a:b]).tobytes() if many[a:b].any() else b"") for a, b in zip(off[:-1], off[1:])]
                 yield pa.RecordBatch.from_arrays([group.column("block").combine_chunks(), group.column("part").combine_chunks(), blobs(data)], names=["block", "part", "data"])
 
-    return marks.repartition(tasks(parts), "part").sortWithinPartitions("part").mapInArrow(run, SCHEMA)
+    return marks.repartition(tasks(parts), "part").sortWithinPartitions("part").mapInArrow(lean(run), SCHEMA)
 
 
 def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:

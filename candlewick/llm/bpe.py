@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .common import U64, Rolling, blobs, mix, spread, text_buffer, text_pieces, whole_groups
+from .common import U64, Rolling, blobs, lean, mix, spread, text_buffer, text_pieces, whole_groups
 
 #: Text of one block of documents, whose words share one dictionary, and of one step inside it.
 BLOCK_BYTES, PIECE = 4 << 20, 1 << 19
@@ -352,10 +352,10 @@ def _run(docs: DataFrame, tokenizer: str | None, emit, schema: str) -> DataFrame
     size = blocks.text_bytes(docs)
     parts, shuffle = max(16, -(-size // WORD_BYTES)), max(16, -(-size // PART_BYTES))
     docs = blocks.plain(docs)
-    words = docs.mapInArrow(_dictionaries(parts, special), "part int, block long, lengths binary, words binary")
-    replies = words.repartition(blocks.tasks(parts), "part").sortWithinPartitions("part").mapInArrow(_encoded(path), _REPLY)
-    sequences = docs.mapInArrow(_sequences(parts, special), _REPLY)
-    return sequences.unionByName(replies).repartition(blocks.tasks(shuffle), "block").sortWithinPartitions("block", "part").mapInArrow(_joined(path, emit), schema)
+    words = docs.mapInArrow(lean(_dictionaries(parts, special)), "part int, block long, lengths binary, words binary")
+    replies = words.repartition(blocks.tasks(parts), "part").sortWithinPartitions("part").mapInArrow(lean(_encoded(path)), _REPLY)
+    sequences = docs.mapInArrow(lean(_sequences(parts, special)), _REPLY)
+    return sequences.unionByName(replies).repartition(blocks.tasks(shuffle), "block").sortWithinPartitions("block", "part").mapInArrow(lean(_joined(path, emit)), schema)
 
 
 def encode_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

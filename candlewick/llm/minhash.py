@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Rolling, Union, blobs, components, mix, runs, seeded, text_buffer, text_pieces, whole_groups, word_bounds, word_hashes, written
+from .common import LOWER, U64, Rolling, Union, blobs, components, in_files, lean, mix, runs, seeded, text_buffer, text_pieces, whole_groups, word_bounds, word_hashes, written
 
 #: Chance that the bands miss a pair at the least similarity, and that its equal coordinates are too few for a candidate.
 MISS = 4e-7
@@ -112,7 +112,7 @@ def sketched(docs: DataFrame, percent: int = 85) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(counts, pa.int64()), blobs(keys), blobs([x.tobytes() for x in low]), bands], names=["doc_id", "n_shingles", "set_key", "sketch", "bands"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>")
 
 
 def in_blocks(members: DataFrame, key: str, size: str, block: int = BLOCK) -> DataFrame:
@@ -213,18 +213,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     found = written(sketched(docs, percent), "sketches")
     classes = found.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    classes = written(classes.filter("rep is not null"), "classes")
+    classes = written(in_files(classes.filter("rep is not null"), found.count()), "classes")
     placed = classes.select("rep", F.explode("bands").alias("key"))
     buckets = placed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.min("rep").alias("least")).filter("size > 1")
     buckets = buckets.groupBy("size", "who", "least").agg(F.min("key").alias("key")).select("key", "size")
     members = in_blocks(placed.join(buckets, "key"), "key", "size").join(classes.select("rep", "sketch"), "rep")
-    alike = _together(members.select("key", "i", "j", "own", "rep", "sketch"), "key").mapInArrow(_alike(percent), "a long, b long")
+    alike = _together(members.select("key", "i", "j", "own", "rep", "sketch"), "key").mapInArrow(lean(_alike(percent)), "a long, b long")
     clusters = components(alike).toDF("rep", "key")
     # the merge join is what large inputs need: clusters grow with the input, so no size of theirs may choose the plan
     sizes = clusters.groupBy("key").agg(F.count("*").alias("size"))
     clusters = clusters.join(sizes, "key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(clusters.hint("merge"), "rep").mapInArrow(_with_sets, "rep long, key long, size long, set binary")
-    links = _together(in_blocks(texts, "key", "size"), "key").mapInArrow(_linked(percent), "a long, b long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(clusters.hint("merge"), "rep").mapInArrow(lean(_with_sets), "rep long, key long, size long, set binary")
+    links = _together(in_blocks(texts, "key", "size"), "key").mapInArrow(lean(_linked(percent)), "a long, b long")
     groups = components(links).toDF("rep", "component")
     known = classes.select("set_key", "rep").join(groups, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = found.select("doc_id", "n_shingles", "set_key").join(known, "set_key", "left")

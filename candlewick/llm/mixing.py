@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, text_buffer, text_pieces, word_bounds, written
+from .common import U64, lean, mix, text_buffer, text_pieces, word_bounds, written
 
 #: Mean number of rows that meet in a leaf of the tree, how many leaves meet in an inner node, and mean number of sources that share a tree.
 LEAF, FAN, SOURCES = 1000, 32, 64
@@ -24,7 +24,7 @@ def word_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
                 counts = word_bounds(*text_buffer(piece.column("__text")))[2]
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], pa.array(counts, pa.int64())], names=[*keep, "size"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(lean(run), schema)
 
 
 def targets(sizes: list[float], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Rolling, text_buffer, text_pieces, word_bounds, word_hashes, written
+from .common import SPACE, Rolling, in_files, lean, text_buffer, text_pieces, word_bounds, word_hashes, written
 
 #: Punctuation that counts as a symbol.
 SYMBOL = np.zeros(256, bool)
@@ -77,7 +77,7 @@ def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
                 found = _piece_statistics(*text_buffer(piece.column("__text")))
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], *[pa.array(x, pa.int64()) for x in found]], names=[*keep, *COUNTS])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(lean(run), schema)
 
 
 def base_failed() -> F.Column:
@@ -181,6 +181,7 @@ def robust_outliers(stats: DataFrame, most_steps: int = 60, least_group: int = 1
     names = sizes.join(pools, "pool").select(
         "own", F.when(F.col("count") >= least_group, F.col("own")).when(F.col("rest") >= least_group, F.concat(F.lit("pool:"), "pool")).otherwise("rest").alias("grp"))
     names = written(names, "groups")
+    groups = names.count()  # estimates are as many at most
 
     # named() keeps all rows: a group that has only failed rows has no name and no estimate
     named = rows.join(names, "own", "left")
@@ -192,12 +193,12 @@ def robust_outliers(stats: DataFrame, most_steps: int = 60, least_group: int = 1
     centre = inside.groupBy("grp").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(FEATURES)])
     spread = inside.join(salted(centre), at).groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(k)], *[F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 1000), 2).alias(f"c{i}{i}") for i, f in enumerate(FEATURES)])
     zero = {f"c{i}{j}": F.lit(0.0) for i in range(k) for j in range(i + 1, k)}
-    estimate = written(_inverted(spread.withColumns(zero), 1.0, FLOOR), "estimate")
+    estimate = written(_inverted(in_files(spread.withColumns(zero), groups), 1.0, FLOOR), "estimate")
     for _ in range(most_steps):
         near = inside.join(salted(estimate), at).withColumn("distance", _distance())
         edge = near.groupBy("grp").agg(F.percentile_approx("distance", inner, 1000).alias("edge"))
         chosen = near.join(salted(edge), at).filter(F.col("distance") <= F.col("edge"))
-        before, estimate = estimate, written(_inverted(_moments(chosen), CONSISTENCY, FLOOR), "estimate")
+        before, estimate = estimate, written(_inverted(in_files(_moments(chosen), groups), CONSISTENCY, FLOOR), "estimate")
         if _moved(before, estimate) <= TOLERANCE:
             break
     else:

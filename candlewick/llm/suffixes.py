@@ -18,7 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from . import blocks
 from .blocks import Block
-from .common import U64, Rolling, blobs, mix, seeded, whole_groups
+from .common import U64, Rolling, blobs, lean, mix, seeded, whole_groups
 
 LENGTH, GRAM = 50, 16
 #: A string of LENGTH bytes holds this many grams; the least hash among them is its anchor.
@@ -382,7 +382,7 @@ def _sample(docs: DataFrame, size: int, parts: int) -> np.ndarray:
             s = Suffixes.at(block, places[mix(h ^ U64(99) + places.astype(U64)) >= least])
             yield pa.RecordBatch.from_arrays([blobs([np.concatenate([s.left[:, ::-1], s.right], axis=1).tobytes()])], names=["around"])
 
-    got = blocks.plain(docs).sample(share, 1).mapInArrow(run, "around binary").collect()
+    got = blocks.plain(docs).sample(share, 1).mapInArrow(lean(run), "around binary").collect()
     return np.frombuffer(b"".join(r["around"] for r in got), np.uint8).reshape(-1, LEFT + LENGTH)
 
 
@@ -404,10 +404,10 @@ def repeated_bytes(docs: DataFrame, finish, schema, keep: tuple[str, ...] = ())
     parts = max(16, -(-size // PART_BYTES))
     spread_ = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets = Buckets(_sample(docs, size, parts), parts)
-    marks = blocks.plain(docs).mapInArrow(_marks(parts), "part int, block long, data binary")
+    marks = blocks.plain(docs).mapInArrow(lean(_marks(parts)), "part int, block long, data binary")
     again = blocks.repeated(marks, spread_, HOT_BLOCKS)
     suffixes = blocks.with_answers(docs, again, spread_, _dealt(buckets, parts), "bucket int, block long, data binary")
-    found = suffixes.repartition(blocks.tasks(spread_), "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(buckets), blocks.SCHEMA)
+    found = suffixes.repartition(blocks.tasks(spread_), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_sorted_buckets(buckets)), blocks.SCHEMA)
 
     def work(block: Block, got: dict[int, list[bytes]]):
         starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
